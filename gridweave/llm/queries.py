@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import quality, toxicity
+from gridweave.llm import decontaminate, quality, simhash, toxicity
 from gridweave.llm.common import crc_fold, table
 
 
@@ -18,6 +18,17 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every place where a document holds a benchmark text, with few edits."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 64-bit SimHash of every document and its group at four or fewer differing bits."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of the third of ids with remainder 1 are never read."""
     docs = table(spark, sf_dir, "documents")
@@ -27,6 +38,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op7_simhash, op9_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
