@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import decontaminate, quality, simhash, toxicity
-from gridweave.llm.common import crc_fold, table
+from gridweave.llm import decontaminate, packing, quality, records, simhash, toxicity
+from gridweave.llm.common import crc_fold, scratch, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +24,24 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 4096 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, keep_ids=False)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 64-bit SimHash of every document and its group at four or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to record files in the order of doc_id and read back from them."""
+    folder = scratch(spark, "token-records")
+    shards = records.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return records.read(spark, folder, shards)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of the third of ids with remainder 1 are never read."""
     docs = table(spark, sf_dir, "documents")
@@ -38,6 +51,6 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op7_simhash, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op4_packing, op7_simhash, op8_token_records, op9_toxicity)}
 
 ORACLE_SQL: dict[str, str] = {}
