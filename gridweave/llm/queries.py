@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import decontaminate, packing, quality, records, simhash, toxicity
+from gridweave.llm import chat, decontaminate, embeddings, packing, quality, records, simhash, toxicity, urls, warc
 from gridweave.llm.common import crc_fold, scratch, table
 
 
@@ -24,11 +24,31 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation that is not the start of a longer one, rendered."""
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces in sequences of at most 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, keep_ids=False)
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page, written to compressed archives and read back from them."""
+    folder = scratch(spark, "archives")
+    files = warc.write(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.read(spark, folder, files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op6_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url judged by the rules, else by how much of its host's pages is junk."""
+    return urls.judge(table(spark, sf_dir, "pages"), RULES, urls.junk(F.col("html")))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 64-bit SimHash of every document and its group at four or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
@@ -51,6 +71,56 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op4_packing, op7_simhash, op8_token_records, op9_toxicity)}
-
-ORACLE_SQL: dict[str, str] = {}
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's links at cosine 0.98 within its label, and its group."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_chat, op4_packing, op5_warc, op6_urls, op7_simhash, op8_token_records, op9_toxicity, op10_embeddings)}
+
+OP3_SQL = """
+WITH own AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+whole AS (SELECT conv_id, list({'t': turn, 'r': role, 'x': text} ORDER BY turn NULLS FIRST, role, text) AS l FROM own GROUP BY conv_id),
+starts AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM whole)),
+logged AS (SELECT min(conv_id) AS conv_id, l FROM whole GROUP BY l),
+kept AS (SELECT conv_id FROM logged WHERE NOT EXISTS (SELECT 1 FROM starts WHERE starts.l = logged.l))
+SELECT conv_id, CAST(coalesce(floor(turn / 512), 0) AS BIGINT) AS part, count(*) AS turns,
+    string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered
+FROM own JOIN kept USING (conv_id) GROUP BY ALL
+"""
+
+OP6_SQL = r"""
+WITH own AS (
+    SELECT page_id, coalesce(translate(regexp_extract(url, '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
+        CASE WHEN html IS NULL THEN NULL WHEN length(html) - length(translate(html, '#$%*|', '')) > 0.01 * length(html) THEN 1 ELSE 0 END AS bad
+    FROM pages),
+named AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS p FROM own GROUP BY host),
+hosts AS (
+    SELECT host, n, bad, CASE WHEN array_to_string(p[-2:], '.') IN (SUFFIXES) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
+        CASE WHEN array_to_string(p[-2:], '.') IN (SUFFIXES) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix
+    FROM named),
+domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+suffixes AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL),
+units AS (SELECT 'h' AS level, n, bad FROM hosts UNION ALL SELECT 'd', n, bad FROM domains UNION ALL SELECT 's', n, bad FROM suffixes),
+sums AS (
+    SELECT level, count(*) AS k, CAST(sum(n) AS DOUBLE) AS n, sum(bad) / CAST(sum(n) AS DOUBLE) AS m, CAST(sum(n * n) AS DOUBLE) AS nn, sum(bad * bad / CAST(n AS DOUBLE)) AS sq
+    FROM units WHERE n > 0 GROUP BY level),
+between_ AS (SELECT level, m, CASE WHEN n - nn / n > 0 THEN (sq - n * m * m - (k - 1) * m * (1 - m)) / (n - nn / n) ELSE 0 END AS b FROM sums),
+prior AS (SELECT level, m, CASE WHEN b > 0 THEN least(10000.0, greatest(1.0, m * (1 - m) / b - 1)) ELSE 10000.0 END AS s FROM between_),
+p AS (SELECT max(m) FILTER (level = 's') AS mean, max(s) FILTER (level = 's') AS ss, max(s) FILTER (level = 'd') AS ds, max(s) FILTER (level = 'h') AS hs FROM prior),
+top AS (SELECT suffix, (bad + ss * mean) / (n + ss) AS above FROM suffixes, p),
+middle AS (SELECT domain, suffix, (bad + ds * above) / (n + ds) AS above FROM domains JOIN top USING (suffix), p),
+rated AS (SELECT host, n, (bad + hs * above) / (n + hs) AS rate, hs FROM hosts JOIN middle USING (domain, suffix), p),
+known AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + hs + 1)) > 0.2 THEN 'block' ELSE 'allow' END AS by_host FROM rated),
+ruled AS (
+    SELECT page_id, own.host, path, by_host,
+        CASE WHEN (own.host = 'example.net' OR own.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+            WHEN (own.host = 'example.com' OR own.host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+            WHEN (own.host = 'org' OR own.host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+            WHEN (own.host = 'net' OR own.host LIKE '%.net') AND starts_with(path, '/') THEN 'net/' END AS rule
+    FROM own JOIN known ON own.host = known.host)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow' ELSE by_host END AS verdict FROM ruled
+""".replace("SUFFIXES", "'" + "', '".join(urls.DOUBLE_SUFFIXES) + "'")
+
+ORACLE_SQL: dict[str, str] = {"op3_chat": OP3_SQL, "op6_urls": OP6_SQL}
