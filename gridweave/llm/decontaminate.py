@@ -82,6 +82,8 @@ def align(window: np.ndarray, region: np.ndarray, most: int) -> tuple[int, int,
     cells beyond its diagonal on either side.
     """
     n, m, wide = len(window), len(region), len(region) - len(window) + most
+    if wide < 0:  # the region ends before the window could
+        return None
     cost, origin = np.zeros(m + 1, np.int64), np.arange(m + 1)
     for i in range(1, n + 1):
         lo, hi = max(0, i - 1 - most), min(m, i + wide)
