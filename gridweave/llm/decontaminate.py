@@ -196,13 +196,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return found
 
 
+def _free(index: Index):
+    @F.pandas_udf("boolean")
+    def free(texts: pd.Series) -> pd.Series:
+        return pd.Series([not index.search(t) for t in texts], dtype=bool)
+
+    return free
+
+
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark text, with all their columns."""
     for index in _passes(benchmark):
-
-        @F.pandas_udf("boolean")
-        def free(texts: pd.Series, index: Index = index) -> pd.Series:
-            return pd.Series([not index.search(t) for t in texts], dtype=bool)
-
-        docs = docs.where(free(F.col("text")))
+        docs = docs.where(_free(index)(F.col("text")))
     return docs
