@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import os
+import sys
+from array import array
 from itertools import islice
 
-import numpy as np
-
 #: Entries of a cache generation; two generations are held.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 500_000
 TAIL = ".,;:!?"
 
 
@@ -19,6 +19,23 @@ def byte_letters() -> dict[str, str]:
     return {chr(b): chr(b) for b in own} | {chr(b): chr(256 + k) for k, b in enumerate(rest)}
 
 
+def packed(ids: list[int]) -> bytes:
+    """Ids as 32-bit little-endian bytes."""
+    own = array("I", ids)
+    if sys.byteorder == "big":
+        own.byteswap()
+    return own.tobytes()
+
+
+def lowered(text: str) -> str:
+    """In lower case if every character is below 256, where lower case is a matter of single characters."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class _Unsafe(Exception):
     """White space that a cut would tear apart; the text is encoded in one piece instead."""
 
@@ -65,15 +82,18 @@ class Encoder:
         self.letters = str.maketrans(byte_letters())
         self.model = self.tokenizer.model
         self.tails = _Cache(self.library)
-        self.cores = {lead: _Cache(lambda core, lead=lead: self._core(lead, core)) for lead in ("", " ", "\n")}
         self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit)) for lead in ("", " ", "\n")}
 
     def library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _core(self, lead: str, core: str) -> bytes:
-        text = core.lower() if self.words_only else lead + core
-        return np.array([t.id for t in self.model.tokenize(text.encode().decode("latin-1").translate(self.letters))], "<u4").tobytes()
+    def _word(self, lead: str, word: str) -> bytes:
+        """Of letters alone, which the model takes as one piece."""
+        if self.words_only:
+            word, lead = word.lower(), ""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return packed([t.id for t in self.model.tokenize(self.letters[32] + word if lead else word)])
 
     def _unit(self, lead: str, unit: str) -> bytes:
         if self.words_only:
@@ -81,10 +101,12 @@ class Encoder:
         elif not unit or unit[0].isspace() or unit[-1].isspace():
             raise _Unsafe
         core = unit.rstrip(TAIL)
-        if core and max(core) < "ƀ" and core.isalpha() and core.lower().isalpha():
+        if core and (core.isascii() or max(core) < "ƀ") and core.isalpha() and core.lower().isalpha():
             if lead == "\n":
-                return self.tails["\n"] + self.cores[""][core] + (self.tails[unit[len(core) :]] if len(core) < len(unit) else b"")
-            return self.cores[lead][core] + (self.tails[unit[len(core) :]] if len(core) < len(unit) else b"")
+                return self.tails["\n"] + self.units[""][unit]
+            if len(core) < len(unit):
+                return self.units[lead][core] + self.tails[unit[len(core) :]]
+            return self._word(lead, core)
         return self.library(lead + unit)
 
     def ids(self, text: str) -> bytes:
@@ -93,7 +115,7 @@ class Encoder:
         if any(s in text for s in self.special) or not (self.byte_level or self.words_only):
             return self.library(text)
         if self.words_only:
-            return b"".join(map(self.units[""].__getitem__, text.replace("\n", " ").split(" ")))
+            return b"".join(map(self.units[""].__getitem__, lowered(text).replace("\n", " ").split(" ")))
         try:
             first, *rest = text.split("\n")
             bare, spaced, newline = self.units[""], self.units[" "].__getitem__, self.units["\n"]
