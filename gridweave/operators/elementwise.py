@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from gridweave.frame import DenseFrame, SparseFrame, coord_names, fill
@@ -131,9 +133,6 @@ def binary(name: str, a, b) -> DenseFrame:
 
 def nextafter(a: DenseFrame, toward: float) -> DenseFrame:
     """The next double towards a number: the bits of a double are in its order, so a step is one bit."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def step(v: pd.Series) -> pd.Series:
         return pd.Series(np.nextafter(v, toward))

@@ -30,7 +30,7 @@ def _spark(spark=None) -> SparkSession:
 
 
 def _sparse(*xs) -> builtins.bool:
-    return any(isinstance(x, SparseFrame) for x in xs)
+    return builtins.any(isinstance(x, SparseFrame) for x in xs)
 
 
 def any_number(x) -> builtins.bool:
