@@ -15,11 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridweave.llm.common import stored
+
 Q = 12
 WINDOW = 160
 EDIT_SHARE = 0.07
-#: Benchmark characters that one pass over the documents holds in memory.
-PASS_CHARS = 4_000_000
+#: Benchmark characters that one pass over the documents holds in memory, at some 25 bytes each.
+PASS_CHARS = 2_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "item_id long, start long, end long, edits int"
 
@@ -167,14 +169,17 @@ class Index:
         return [(item, *original_span(text, a, b), edits) for item, (edits, a, b) in best.items()]
 
 
-def _passes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes over parts of the benchmark, each of about PASS_CHARS characters, so memory has a bound."""
+def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes over parts of the benchmark, each of about PASS_CHARS characters, and whether there are several.
+
+    The result of each of several passes is stored before the next index is made, so memory has a bound.
+    """
     rows = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long"), "text")
     chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = 1 + chars // PASS_CHARS
     for k in range(passes):
         part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        yield Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()])
+        yield Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]), passes > 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -184,7 +189,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts under 12 characters, match nothing; repeated rows match each time; null ids come back as null.
     """
     found = None
-    for index in _passes(benchmark):
+    for index, several in _passes(benchmark):
 
         def searched(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -192,6 +197,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype="Int64") for k, c in enumerate(("doc_id", "item_id", "start", "end", "edits"))})
 
         own = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(searched, "doc_id long, " + FOUND)
+        own = stored(own, "benchmark-matches") if several else own
         found = own if found is None else found.unionByName(own)
     return found
 
@@ -206,6 +212,7 @@ def _free(index: Index):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark text, with all their columns."""
-    for index in _passes(benchmark):
+    for index, several in _passes(benchmark):
         docs = docs.where(_free(index)(F.col("text")))
+        docs = stored(docs, "decontaminated") if several else docs
     return docs
