@@ -142,15 +142,21 @@ class Grammar:
 THREATS = frozenset(WORDS[THREAT].split())
 
 
+#: Lengths of the prefixes that may be entries; a prefix goes if a longer entry has this share of its toxic texts.
+PREFIXES = (4, 5, 6)
+SAME = 0.9
+
+
 def _keys(word: str) -> list[str]:
-    return [word, *(word[:n] + "*" for n in (4, 5, 6) if len(word) > n)] if len(word) >= 3 else []
+    return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)] if len(word) >= 3 else []
 
 
 def learn_lexicon(sample: DataFrame, min_contexts: int = 4, max_entries: int = 5_000) -> dict[str, float]:
     """Words and prefixes that toxic texts of the sample use and clean ones do not, with weights 0 to 1.
 
     Evidence for an entry is the number of different (word before, word after) pairs around it, so that
-    copies of one toxic text do not make all its words entries. At most max_entries reach the driver.
+    copies of one toxic text do not make all its words entries. Of a word and its prefixes, the longest that
+    has nearly all their toxic texts stays. At most max_entries reach the driver.
     """
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,7 +186,9 @@ def learn_lexicon(sample: DataFrame, min_contexts: int = 4, max_entries: int = 5
     least = max(min_contexts, toxic // 100)
     odds = (F.col("toxic") + 0.5) / (toxic + 1.0) / ((F.col("clean") + 0.5) / (clean + 1.0))
     rows = counts.where((F.col("contexts") >= least) & (F.col("toxic") >= 3)).withColumn("odds", odds).where("odds >= 12").orderBy(F.desc("odds"), "entry").limit(max_entries).collect()
-    return {r["entry"]: min(1.0, math.log(r["odds"]) / math.log(100.0)) for r in rows}
+    texts = {r["entry"]: r["toxic"] for r in rows}
+    wide = {p for e, n in texts.items() for k in PREFIXES if len(e) > k and (p := e[:k] + "*") != e and n >= SAME * texts.get(p, math.inf)}
+    return {r["entry"]: min(1.0, math.log(r["odds"]) / math.log(100.0)) for r in rows if r["entry"] not in wide}
 
 
 def fit_curve(evidence: np.ndarray, label: np.ndarray, rounds: int = 3_000) -> tuple[float, float]:
