@@ -119,31 +119,53 @@ def reduce_mean_axes(a: SparseFrame, axes) -> SparseFrame:
     return reduce("mean", a, axes)
 
 
-def _running(a: SparseFrame, axis, fn) -> DenseFrame:
+#: Cells of a line that one window runs over; longer lines are cut, and what comes before a cut is carried over.
+CHUNK = 65_536
+
+
+def _running(df, line: str, at: str, length: int, **totals):
+    """df with running totals along each line, by name: (column, running aggregate, how two of them combine, what none is)."""
+    chunked = length > CHUNK
+    own = df.withColumn("_chunk", F.floor(F.col(at) / CHUNK)) if chunked else df
+    keys = [line, "_chunk"] if chunked else [line]
+    window = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
+    local = own.select("*", *[fn(c).over(window).alias(k) for k, (c, fn, _, _) in totals.items()])
+    if not chunked:
+        return local
+    before = Window.partitionBy(line).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = own.groupBy(*keys).agg(*[fn(c).alias("_w_" + k) for k, (c, fn, _, _) in totals.items()])
+    carried = whole.select(*keys, *[F.coalesce(fn("_w_" + k).over(before), F.lit(none)).alias("_b_" + k) for k, (_, fn, _, none) in totals.items()])
+    both = local.join(carried, keys)
+    for k, (_, _, combine, _) in totals.items():
+        both = both.withColumn(k, combine(F.col(k), F.col("_b_" + k)))
+    return both
+
+
+def _axis_of(a: SparseFrame, axis) -> int:
     if axis is None:
         raise NotImplementedError("a running sum or product needs an axis")
-    (k,) = normal_axes(axis, 2)
-    full = a.todense()
-    line = Window.partitionBy(full.coords[1 - k]).orderBy(full.coords[k]).rowsBetween(Window.unboundedPreceding, 0)
-    return DenseFrame(full.df.select(*full.coords, fn("val").over(line).alias("val")), a.shape)
+    return normal_axes(axis, 2)[0]
 
 
 def cumulative_sum(a: SparseFrame, axis=None) -> DenseFrame:
     """Running sums along an axis of a matrix, for every cell."""
-    return _running(a, axis, F.sum)
+    k = _axis_of(a, axis)
+    full = a.todense()
+    out = _running(full.df, full.coords[1 - k], full.coords[k], a.shape[k], total=("val", F.sum, lambda x, y: x + y, 0.0))
+    return DenseFrame(out.select(*full.coords, F.col("total").alias("val")), a.shape)
 
 
 def cumulative_prod(a: SparseFrame, axis=None) -> DenseFrame:
     """Running products along an axis of a matrix, for every cell: 0.0 from the first missing cell on."""
-    if axis is None:
-        raise NotImplementedError("a running sum or product needs an axis")
-    (k,) = normal_axes(axis, 2)
-    own = a.coalesce().df.withColumn("stored", F.lit(1))
-    names = ["row", "col"]
-    full = fill(own.select(*names, F.struct("val", "stored").alias("val")), names, a.shape, a.spark, F.struct(F.lit(0.0).alias("val"), F.lit(0).alias("stored")))
-    line = Window.partitionBy(names[1 - k]).orderBy(names[k]).rowsBetween(Window.unboundedPreceding, 0)
-    value = F.when(F.min("val.stored").over(line) == 0, F.lit(0.0)).otherwise(F.product("val.val").over(line))
-    return DenseFrame(full.df.select(*names, value.alias("val")), a.shape)
+    k = _axis_of(a, axis)
+    names, pair = ["row", "col"], F.struct("val", F.lit(1).alias("stored"))
+    missing = F.struct(F.lit(0.0).alias("val"), F.lit(0).alias("stored"))
+    full = fill(a.coalesce().df.select(*names, pair.alias("val")), names, a.shape, a.spark, missing).df.select(*names, "val.val", "val.stored")
+    out = _running(
+        full, names[1 - k], names[k], a.shape[k],
+        total=("val", F.product, lambda x, y: x * y, 1.0), least=("stored", F.min, F.least, 1),
+    )
+    return DenseFrame(out.select(*names, F.when(F.col("least") == 0, F.lit(0.0)).otherwise(F.col("total")).alias("val")), a.shape)
 
 
 def diff(a: SparseFrame, n: int = 1, axis: int = -1) -> SparseFrame:

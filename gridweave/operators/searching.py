@@ -1,4 +1,7 @@
-"""Searching, sorting and sets. Sorting along an axis is a window on each line of the tensor."""
+"""Searching, sorting and sets.
+
+Sorting along an axis is a window on each line of the tensor; a vector, a single line, is ranked by ranges.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gridweave.frame import DenseFrame, SparseFrame, normal_axes
 from gridweave.operators import reductions
+from gridweave.plans.ranges import running_total
 
 
 def count_nonzero(a: SparseFrame, axis=None, keepdims: bool = False):
@@ -46,17 +50,12 @@ def searchsorted(x: DenseFrame, v: DenseFrame, side: str = "left") -> DenseFrame
     """For each value of v, how many values of the sorted vector x are smaller (left) or not larger (right).
 
     Both are counted in one order: values of x rank before equal values of v on the right, after them on the left.
-    Counts before each range of values are added to counts within it.
     """
     first, second = (0, 1) if side == "right" else (1, 0)
     both = x.df.select(F.lit(first).alias("rank"), F.lit(1).alias("one"), F.lit(None).cast("long").alias("i0"), "val")
     both = both.unionByName(v.df.select(F.lit(second).alias("rank"), F.lit(0).alias("one"), "i0", "val"))
-    parts = both.repartitionByRange("val").withColumn("part", F.spark_partition_id())
-    totals = parts.groupBy("part").agg(F.sum("one").alias("own"))
-    carried = totals.select("part", F.coalesce(F.sum("own").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("carry"))
-    inside = Window.partitionBy("part").orderBy("val", "rank").rowsBetween(Window.unboundedPreceding, 0)
-    counted = parts.withColumn("n", F.sum("one").over(inside)).where("one = 0").join(carried, "part")
-    return DenseFrame(counted.select("i0", (F.col("n") + F.col("carry")).alias("val")), v.shape)
+    counted = running_total(both, ["val", "rank", "i0"], F.col("one"), "n").where("one = 0")
+    return DenseFrame(counted.select("i0", F.col("n").alias("val")), v.shape)
 
 
 def unique_values(a: DenseFrame):
@@ -71,7 +70,7 @@ def unique_counts(a: DenseFrame):
 
 def unique_inverse(a: DenseFrame):
     """(coordinates, val, inverse): the rank of each cell's value among the different values."""
-    ranks = unique_values(a).select("val", (F.row_number().over(Window.orderBy("val")) - 1).cast("long").alias("inverse"))
+    ranks = running_total(unique_values(a), ["val"], F.lit(1).cast("long"), "n").select("val", (F.col("n") - 1).alias("inverse"))
     return a.df.join(ranks, "val").select(*a.coords, "val", "inverse")
 
 
@@ -85,6 +84,8 @@ def unique_all(a: DenseFrame):
 
 def _ranked(a: DenseFrame, axis: int):
     k = axis % a.ndim
+    if a.ndim == 1:
+        return k, running_total(a.df, ["val", "i0"], F.lit(1).cast("long"), "_to").withColumn("_to", F.col("_to") - 1)
     line = Window.partitionBy(*[c for i, c in enumerate(a.coords) if i != k]).orderBy("val", a.coords[k])
     return k, a.df.withColumn("_to", (F.row_number().over(line) - 1).cast("long"))
 

@@ -7,7 +7,6 @@ round's state is cut from its lineage by a checkpoint in the shared folder, so l
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -15,15 +14,7 @@ from pyspark.sql import functions as F
 
 from gridweave.frame import DenseFrame, SparseFrame, dense
 from gridweave.operators import linalg
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    """Checkpointed in spark.checkpoint.dir; a temporary folder where the session names none (local runs)."""
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+from gridweave.plans.ranges import checkpointed
 
 
 def _total(df: DataFrame, value) -> float:
@@ -32,17 +23,17 @@ def _total(df: DataFrame, value) -> float:
 
 def cg_solve(a: SparseFrame, b: DenseFrame, tol: float = 1e-8, maxiter: int = 1000) -> tuple[DenseFrame, int, float]:
     """(x, rounds, residual) of A x = b for a symmetric positive definite A; stops when |r|/|b| is at most tol."""
-    state = _kept(b.df.select("i0", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("p")))
+    state = checkpointed(b.df.select("i0", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("p")))
     size = math.sqrt(_total(b.df, F.col("val") * F.col("val"))) or 1.0
     rr, k = _total(state, F.col("r") * F.col("r")), 0
     while k < maxiter and math.sqrt(rr) / size > tol:
         ap = linalg.matmul(a, DenseFrame(state.select("i0", F.col("p").alias("val")), b.shape))
-        both = _kept(state.join(ap.df.withColumnRenamed("val", "ap"), "i0"))
+        both = checkpointed(state.join(ap.df.withColumnRenamed("val", "ap"), "i0"))
         pap = _total(both, F.col("p") * F.col("ap"))
         if pap == 0.0:
             break
         k, alpha = k + 1, rr / pap
-        moved = _kept(both.select("i0", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p"))
+        moved = checkpointed(both.select("i0", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p"))
         rr, before = _total(moved, F.col("r") * F.col("r")), rr
         state = moved.withColumn("p", F.col("r") + (rr / before) * F.col("p"))
     return DenseFrame(state.select("i0", F.col("x").alias("val")), b.shape), k, math.sqrt(rr) / size
@@ -55,10 +46,10 @@ def block_pagerank(p: SparseFrame, x0: DenseFrame, alpha: float = 0.85, tol: flo
         k += 1
         px = linalg.matmul(p, x)
         mixed = px.df.join(x0.df.withColumnRenamed("val", "start"), ["row", "col"]).select("row", "col", (alpha * F.col("val") + (1 - alpha) * F.col("start")).alias("val"))
-        mixed = _kept(mixed)
+        mixed = checkpointed(mixed)
         sums = mixed.groupBy("col").agg(F.sum("val").alias("total"))
         scaled = mixed.join(sums, "col").select("row", "col", (F.col("val") / F.when(F.col("total") == 0.0, 1.0).otherwise(F.col("total"))).alias("val"))
-        both = _kept(scaled.join(x.df.withColumnRenamed("val", "old"), ["row", "col"]))
+        both = checkpointed(scaled.join(x.df.withColumnRenamed("val", "old"), ["row", "col"]))
         step = both.agg(F.sum((F.col("val") - F.col("old")) ** 2).alias("d"), F.sum(F.col("val") ** 2).alias("n")).first()
         change = math.sqrt(step["d"] or 0.0) / (math.sqrt(step["n"] or 0.0) or 1.0)
         x = DenseFrame(both.select("row", "col", "val"), x0.shape)
@@ -73,9 +64,9 @@ def block_power(a: SparseFrame, q: DenseFrame, iters: int = 10) -> tuple[DenseFr
     """
     spark, k = a.spark, q.shape[1]
     for _ in range(iters):
-        aq = DenseFrame(_kept(linalg.matmul(a, q).df), q.shape)
+        aq = DenseFrame(checkpointed(linalg.matmul(a, q).df), q.shape)
         inverse = np.linalg.inv(np.linalg.cholesky(_gram(aq, aq, k) + 1e-300 * np.eye(k))).T
-        q = DenseFrame(_kept(_times(aq, dense(spark, inverse)).df), q.shape)
+        q = DenseFrame(checkpointed(_times(aq, dense(spark, inverse)).df), q.shape)
     ritz = np.linalg.eigvalsh((lambda g: (g + g.T) / 2)(_gram(q, linalg.matmul(a, q), k)))
     return q, ritz[::-1]
 

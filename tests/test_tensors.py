@@ -189,7 +189,9 @@ def test_nan(spark):
     assert xp.min(x).item() == -2
 
 
-def test_running(spark, pair):
+@pytest.mark.parametrize("chunk", [65_536, 2])
+def test_running(spark, pair, chunk, monkeypatch):
+    monkeypatch.setattr(reductions, "CHUNK", chunk)
     a = pair[0]
     x = csr(spark, a)
     full = csr(spark, np.abs(a) + 1)
@@ -251,6 +253,11 @@ def test_searching(spark, pair):
         order = xp.argsort(d, axis)
         assert np.array_equal(xp.take_along_axis(d, order, axis).toarray(), np.sort(a, axis))
     assert {tuple(r) for r in xp.nonzero(csr(spark, a)).collect()} == set(zip(*map(list, np.nonzero(a)), strict=True))
+    line = dense(spark, a.ravel())
+    assert np.array_equal(xp.sort(line).toarray(), np.sort(a.ravel()))
+    assert np.array_equal(xp.argsort(line).toarray(), np.argsort(a.ravel(), kind="stable"))
+    inverse = {(r["row"], r["col"]): r["inverse"] for r in xp.unique_inverse(d).collect()}
+    assert [inverse[i, j] for i in range(5) for j in range(7)] == np.unique(a, return_inverse=True)[1].ravel().tolist()
     values, v = [0.0, 1, 1, 2, 5], [1.0, -3, 9, 1.5]
     for side in ("left", "right"):
         assert xp.searchsorted(dense(spark, values), dense(spark, v), side=side).toarray().tolist() == np.searchsorted(values, v, side).tolist()
