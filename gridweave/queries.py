@@ -331,21 +331,46 @@ def _sizes(s, d) -> DenseFrame:
 
 # ---- iterations and streams
 
-@query("pagerank_block", None)
+def _unrolled(first: str, rounds: int, step: str, last: str, names: str) -> str:
+    """SQL of a fixed number of rounds: `step` makes table x{k} from x{k-1}, written {before}."""
+    parts = [names, f"x0 AS MATERIALIZED ({first})"]
+    parts += [f"x{k} AS MATERIALIZED ({step.format(before=f'x{k - 1}')})" for k in range(1, rounds + 1)]
+    return "WITH " + ", ".join(parts) + " " + last.format(before=f"x{rounds}")
+
+
+_TOTALS = "n AS MATERIALIZED (" + N_SQL + "), t AS (SELECT r, sum(v) AS s FROM n GROUP BY r)"
+_STOCHASTIC = _TOTALS + (
+    ", p AS MATERIALIZED (SELECT n.r, n.c, v / s AS v FROM n JOIN t ON n.r = t.r WHERE s <> 0"
+    " UNION ALL SELECT i, i, 1.0 FROM range(25) z(i) WHERE i NOT IN (SELECT r FROM t WHERE s <> 0))"
+)
+_RANK_STEP = "SELECT i, v / sum(v) OVER () AS v FROM (SELECT z.i, 0.85 * coalesce(sum(p.v * b.v), 0) + 0.15 / 25 AS v FROM range(25) z(i) LEFT JOIN p ON p.c = z.i LEFT JOIN {before} b ON b.i = p.r GROUP BY z.i)"
+
+
+@query("pagerank_block", _unrolled("SELECT i, 1.0 / 25 AS v FROM range(25) z(i)", 20, _RANK_STEP, f"SELECT i AS row, CAST(k AS BIGINT) AS col, {_val('v')} FROM {{before}} CROSS JOIN range(2) y(k)", _STOCHASTIC))
 def _pagerank(s, d):
     p = manipulation.to_csr(algorithms.row_stochastic(nations(s, d)).T)
     return algorithms.block_pagerank(p, creation.full(s, (25, 2), 1 / 25), 0.85, 1e-8, 20)[0]
 
 
-@query("cg_solve", None)
+@query("cg_solve", "SELECT i AS i0, CAST(1 AS DOUBLE) AS val FROM range(25) z(i)")
 def _cg(s, d):
-    return algorithms.cg_solve(algorithms.spd(nations(s, d)), creation.ones(s, (25,)), 1e-8, 50)[0]
+    """A times the solution of A x = 1, which is 1 again."""
+    a = algorithms.spd(nations(s, d))
+    return a @ algorithms.cg_solve(a, creation.ones(s, (25,)), 1e-8, 50)[0]
+
+
+_SPD = "n AS MATERIALIZED (" + N_SQL + (
+    "), o AS (SELECT r, c, sum(v) AS v FROM (SELECT * FROM n UNION ALL SELECT c, r, v FROM n) WHERE r <> c GROUP BY r, c),"
+    " a AS MATERIALIZED (SELECT * FROM o UNION ALL SELECT i, i, coalesce(s, 0) + 0.001 FROM range(25) z(i) LEFT JOIN (SELECT r, sum(abs(v)) AS s FROM o GROUP BY r) ON r = i)"
+)
+_POWER_STEP = "SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM (SELECT a.r AS i, sum(a.v * b.v) AS v FROM a JOIN {before} b ON b.i = a.c GROUP BY a.r)"
 
 
-@query("block_power", None)
+@query("block_power", _unrolled("SELECT i, CAST(i % 3 + 1 AS DOUBLE) AS v FROM range(25) z(i)", 10, _POWER_STEP, f"SELECT CAST(0 AS BIGINT) AS i0, {_val('sum(x.v * a.v * y.v)')} FROM a JOIN {{before}} x ON x.i = a.r JOIN {{before}} y ON y.i = a.c", _SPD))
 def _power(s, d):
-    start = dense(s, [[1.0, float(i % 3 - 1)] for i in range(25)])
-    values = algorithms.block_power(algorithms.spd(nations(s, d)), start, 5)[1]
+    """The Rayleigh quotient after ten rounds of a block of one column."""
+    start = dense(s, [[i % 3 + 1.0] for i in range(25)])
+    values = algorithms.block_power(algorithms.spd(nations(s, d)), start, 10)[1]
     return s.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "i0 long, val double")
 
 
