@@ -67,6 +67,13 @@ def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder) if ":/" in folder else (pafs.LocalFileSystem(), folder)
 
 
+def put(fs: pafs.FileSystem, tmp: str, path: str) -> None:
+    """Renames a whole file. One left by an earlier attempt holds the same and goes first: not every store replaces it."""
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_file(path)
+    fs.move(tmp, path)
+
+
 def open_shard(fs: pafs.FileSystem, path: str):
     """The open file, past its head, and the width of its ids."""
     source = fs.open_input_stream(path, buffer_size=1 << 20)
@@ -126,7 +133,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width:
             with fs.open_output_stream(tmp + ".idx") as f:
                 f.write(np.array(index, "<u8").tobytes())
             for kind in (".idx", ".bin"):
-                fs.move(tmp + kind, f"{base}/{name}{kind}")
+                put(fs, tmp + kind, f"{base}/{name}{kind}")
             yield pd.DataFrame([(context.partitionId(), name, records, tokens, at)], columns=["shard", "path", "records", "tokens", "bytes"])
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm.records import filesystem
+from gridweave.llm.records import filesystem, put
 
 #: The skippable frame that holds a dictionary, an ordinary frame, and the revisit profile.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -191,7 +191,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2000-0
             begin()
         if out is not None:
             out.close()
-            fs.move(tmp, f"{base}/{name}")
+            put(fs, tmp, f"{base}/{name}")
             yield pd.DataFrame([(context.partitionId(), name, number)], columns=["shard", "path", "records"])
 
     done = marked.mapInPandas(written, FILES).collect()  # a row for each archive
