@@ -6,7 +6,10 @@ import math
 
 from pyspark.sql import functions as F
 
-from gridweave.frame import DenseFrame, SparseFrame, coord_names, fill
+from gridweave.frame import BROADCAST_CELLS, DenseFrame, SparseFrame, coord_names, fill
+
+#: Columns of a dense right operand up to which each is a sum of its own.
+WIDE_COLUMNS = 64
 
 
 def _dense(b, what: str) -> DenseFrame:
@@ -36,12 +39,28 @@ def matmul(a, b) -> DenseFrame:
     inner = 0 if b.ndim == 1 else b.ndim - 2
     if b.ndim == 0 or b.shape[inner] != a.shape[1]:
         raise ValueError(f"inner dimensions differ: {a.shape} and {b.shape}")
+    if b.ndim == 2 and 1 < b.shape[1] <= WIDE_COLUMNS:
+        return _matmul_wide(a, b)
     sums, kept, rest = _contract(a, 1, b, inner)
     order = kept if b.ndim == 1 else [*rest[:-1], *kept, rest[-1]]
     shape = (*b.shape[: max(0, b.ndim - 2)], a.shape[0], *b.shape[b.ndim - 1 :][: b.ndim > 1])
     return fill(sums, order, shape, a.spark)
 
 
+def _matmul_wide(a: SparseFrame, b: DenseFrame) -> DenseFrame:
+    """A matrix times a dense one of few columns: a row of b is one record, and each of its columns one sum.
+
+    The join then makes a record for each stored cell, not for each cell and column of b.
+    """
+    k = b.shape[1]
+    records = b.df.groupBy(F.col("row").alias("_k")).agg(*[F.sum(F.when(F.col("col") == j, F.col("val"))).alias(f"b{j}") for j in range(k)])
+    records = F.broadcast(records) if b.size <= BROADCAST_CELLS else records
+    sums = a.df.select("row", F.col("col").alias("_k"), "val").join(records, "_k").groupBy("row").agg(*[F.sum(F.col("val") * F.col(f"b{j}")).alias(f"b{j}") for j in range(k)])
+    rows = a.spark.range(a.shape[0]).select(F.col("id").alias("row")).join(sums, "row", "left")
+    cells = rows.select("row", F.posexplode(F.array(*[F.coalesce(f"b{j}", F.lit(0.0)) for j in range(k)])).alias("col", "val"))
+    return DenseFrame(cells.select("row", F.col("col").cast("long").alias("col"), "val"), (a.shape[0], k))
+
+
 def vecdot(a: SparseFrame, b: DenseFrame, axis: int | None = None):
     """The dot product with a vector along an axis: dense for a matrix, coond for a coond tensor."""
     if isinstance(b, SparseFrame) or not isinstance(b, DenseFrame) or b.ndim != 1:
