@@ -7,22 +7,38 @@ round's state is cut from its lineage by a checkpoint in the shared folder, so l
 from __future__ import annotations
 
 import math
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.frame import DenseFrame, SparseFrame, dense
+from gridweave.frame import BROADCAST_CELLS, DenseFrame, SparseFrame, dense
 from gridweave.operators import linalg
 from gridweave.plans.ranges import checkpointed
 
 
+@contextmanager
+def _held(a: SparseFrame):
+    """The matrix kept in memory and on disk while rounds read it; lost parts are computed again."""
+    own = a.like(a.df.persist())
+    try:
+        yield own
+    finally:
+        own.df.unpersist()
+
+
 def _total(df: DataFrame, value) -> float:
     return df.agg(F.sum(value)).first()[0] or 0.0
 
 
 def cg_solve(a: SparseFrame, b: DenseFrame, tol: float = 1e-8, maxiter: int = 1000) -> tuple[DenseFrame, int, float]:
     """(x, rounds, residual) of A x = b for a symmetric positive definite A; stops when |r|/|b| is at most tol."""
+    with _held(a) as own:
+        return _cg(own, b, tol, maxiter)
+
+
+def _cg(a: SparseFrame, b: DenseFrame, tol: float, maxiter: int) -> tuple[DenseFrame, int, float]:
     state = checkpointed(b.df.select("i0", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("p")))
     size = math.sqrt(_total(b.df, F.col("val") * F.col("val"))) or 1.0
     rr, k = _total(state, F.col("r") * F.col("r")), 0
@@ -33,27 +49,41 @@ def cg_solve(a: SparseFrame, b: DenseFrame, tol: float = 1e-8, maxiter: int = 10
         if pap == 0.0:
             break
         k, alpha = k + 1, rr / pap
-        moved = checkpointed(both.select("i0", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p"))
+        moved = both.select("i0", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
         rr, before = _total(moved, F.col("r") * F.col("r")), rr
         state = moved.withColumn("p", F.col("r") + (rr / before) * F.col("p"))
-    return DenseFrame(state.select("i0", F.col("x").alias("val")), b.shape), k, math.sqrt(rr) / size
+    return DenseFrame(checkpointed(state.select("i0", F.col("x").alias("val"))), b.shape), k, math.sqrt(rr) / size
 
 
 def block_pagerank(p: SparseFrame, x0: DenseFrame, alpha: float = 0.85, tol: float = 1e-8, maxiter: int = 100) -> tuple[DenseFrame, int, float]:
-    """(X, rounds, change): X becomes alpha P X + (1 - alpha) X0 with columns that add up to one, until it rests."""
-    x, k, change = x0, 0, math.inf
-    while k < maxiter and change > tol:
-        k += 1
-        px = linalg.matmul(p, x)
-        mixed = px.df.join(x0.df.withColumnRenamed("val", "start"), ["row", "col"]).select("row", "col", (alpha * F.col("val") + (1 - alpha) * F.col("start")).alias("val"))
-        mixed = checkpointed(mixed)
-        sums = mixed.groupBy("col").agg(F.sum("val").alias("total"))
-        scaled = mixed.join(sums, "col").select("row", "col", (F.col("val") / F.when(F.col("total") == 0.0, 1.0).otherwise(F.col("total"))).alias("val"))
-        both = checkpointed(scaled.join(x.df.withColumnRenamed("val", "old"), ["row", "col"]))
-        step = both.agg(F.sum((F.col("val") - F.col("old")) ** 2).alias("d"), F.sum(F.col("val") ** 2).alias("n")).first()
-        change = math.sqrt(step["d"] or 0.0) / (math.sqrt(step["n"] or 0.0) or 1.0)
-        x = DenseFrame(both.select("row", "col", "val"), x0.shape)
-    return x, k, change
+    """(X, rounds, change): X becomes alpha P X + (1 - alpha) X0 with columns that add up to one, until it rests.
+
+    A row of X is one record with a column for each of its vectors, so x0 should have tens of columns at most.
+    """
+    with _held(p) as own:
+        return _pagerank(own, x0, alpha, tol, maxiter)
+
+
+def _pagerank(p: SparseFrame, x0: DenseFrame, alpha: float, tol: float, maxiter: int) -> tuple[DenseFrame, int, float]:
+    k, n = x0.shape[1], x0.shape[0]
+    columns = range(k)
+    state = x0.df.groupBy("row").agg(*[F.sum(F.when(F.col("col") == j, F.col("val"))).alias(f"s{j}") for j in columns])
+    state = checkpointed(state).select("*", *[F.col(f"s{j}").alias(f"x{j}") for j in columns])
+    rounds, change = 0, math.inf
+    while rounds < maxiter and change > tol:
+        rounds += 1
+        right = state.select(F.col("row").alias("col"), *[f"x{j}" for j in columns])
+        right = F.broadcast(right) if n * k <= BROADCAST_CELLS else right
+        sums = p.df.join(right, "col").groupBy("row").agg(*[F.sum(F.col("val") * F.col(f"x{j}")).alias(f"y{j}") for j in columns])
+        mixed = [(alpha * F.coalesce(f"y{j}", F.lit(0.0)) + (1 - alpha) * F.col(f"s{j}")).alias(f"m{j}") for j in columns]
+        now = checkpointed(state.join(sums, "row", "left").select("row", *[c + str(j) for j in columns for c in "sx"], *mixed))
+        totals = [t or 1.0 for t in now.agg(*[F.sum(f"m{j}") for j in columns]).first()]
+        new = [F.col(f"m{j}") / F.lit(totals[j]) for j in columns]
+        step = now.agg(*[F.sum((v - F.col(f"x{j}")) ** 2) for j, v in enumerate(new)], *[F.sum(v**2) for v in new]).first()
+        change = math.sqrt(sum(step[:k])) / (math.sqrt(sum(step[k:])) or 1.0)
+        state = now.select("row", *[f"s{j}" for j in columns], *[v.alias(f"x{j}") for j, v in enumerate(new)])
+    cells = state.select("row", F.posexplode(F.array(*[f"x{j}" for j in columns])).alias("col", "val"))
+    return DenseFrame(cells.select("row", F.col("col").cast("long").alias("col"), "val"), x0.shape), rounds, change
 
 
 def block_power(a: SparseFrame, q: DenseFrame, iters: int = 10) -> tuple[DenseFrame, np.ndarray]:
@@ -62,6 +92,11 @@ def block_power(a: SparseFrame, q: DenseFrame, iters: int = 10) -> tuple[DenseFr
     The basis comes from the Cholesky factor of the k-by-k matrix of column products, the only thing on the
     driver besides the values; k is the number of columns and small.
     """
+    with _held(a) as own:
+        return _power(own, q, iters)
+
+
+def _power(a: SparseFrame, q: DenseFrame, iters: int) -> tuple[DenseFrame, np.ndarray]:
     spark, k = a.spark, q.shape[1]
     for _ in range(iters):
         aq = DenseFrame(checkpointed(linalg.matmul(a, q).df), q.shape)
