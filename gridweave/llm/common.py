@@ -38,9 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, read from the shared folder from now on; Spark removes them when no longer used."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, cut from their lineage by a table in the shared folder.
+
+    A table also forgets what the optimiser has derived about the rows; DataFrame.checkpoint() hands that on, and
+    over many rounds it grows until planning takes minutes.
+    """
+    return stored(df, "round")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
