@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, kept in spark.checkpoint.dir; a temporary folder where the session names none (local runs)."""
+    """The same rows, cut from their lineage by a table in spark.checkpoint.dir.
+
+    Where the session names no such folder (local runs), a temporary one is set. A table also forgets what the
+    optimiser has derived about the rows, which DataFrame.checkpoint() hands on from round to round.
+    """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running_total(df: DataFrame, order: list[str], value: Column, out: str) -> DataFrame:
