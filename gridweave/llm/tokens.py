@@ -8,7 +8,7 @@ from array import array
 from itertools import islice
 
 #: Entries of a cache generation; two generations are held.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 TAIL = ".,;:!?"
 
 
