@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import decontaminate, packing, quality, simhash, toxicity
+from gridweave.llm import decontaminate, overlap, packing, quality, toxicity
 from gridweave.llm.common import stored, table
 
 TOXIC = 0.7
@@ -30,8 +30,8 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near-duplicates."""
-    groups = simhash.near_duplicates(docs.where(F.col("doc_id").isNotNull()))
+    """Keeps the document with the smallest doc_id of each group of texts that share 0.8 of their five-word shingles."""
+    groups = overlap.near_copies(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))

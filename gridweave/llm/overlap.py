@@ -1,0 +1,168 @@
+"""Near copies by Jaccard similarity of word shingles: every pair at or over the threshold is linked.
+
+Shingles of all texts have one order, with common ones last. Two sets that are similar enough share a shingle
+among the first fifth of either (the prefix filter), so texts meet under those and no pair is missed. A pair is
+linked only after its whole texts are compared. Texts first meet one leader under each shingle; pairs that are
+in one group by then need no comparison, so a large group does not turn into all its pairs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from gridweave.llm.common import HOT_ROWS, _salted_lookup, components, stored
+from gridweave.llm.simhash import LOWER, SEED
+
+SHINGLE = 5
+#: Similarity from which texts are near copies, as a fraction.
+SHARE = (4, 5)
+#: Documents that the order of shingles is taken from, and the shingles it puts last. Any order gives the same links.
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
+
+
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of `shingle` words; of all words where there are fewer."""
+    held = words(text)
+    if not held:
+        return np.zeros(0, np.uint64)
+    runs = {b" ".join(held[k : k + shingle]) for k in range(max(1, len(held) - shingle + 1))}
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs)))
+
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles reach the threshold, in whole numbers."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SHARE[1] * both >= SHARE[0] * (len(a) + len(b) - both) and both > 0
+
+
+def prefix(own: np.ndarray, late: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first shingles in the order of all, those counted in `late` (sorted) at the end: enough to meet every similar set."""
+    rank = np.zeros(len(own), np.int64)
+    if len(late):
+        at = np.minimum(np.searchsorted(late, own), len(late) - 1)
+        rank = np.where(late[at] == own, counts[at], 0)
+    least = -(-len(own) * SHARE[0] // SHARE[1])
+    return own[np.lexsort((own, rank))][: len(own) - least + 1]
+
+
+def _parts(rows: Iterator, of: int | None = None, most: int = 200_000) -> Iterator[list]:
+    """Lists of rows, each with some `most` shingles: those of the row, or of its place `of`."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row if of is None else row[of])
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _common(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for own in _parts(shingles(t) for batch in batches for t in batch["text"]):
+            yield pd.DataFrame({"key": np.concatenate(own).view(np.int64)})
+
+    some = texts.where(F.pmod(F.xxhash64("node"), F.lit(1 + total // ORDER_DOCS)) == 0)
+    found = some.select("text").mapInPandas(held, "key long").groupBy("key").count().where(F.col("count") > 4)
+    top = found.orderBy(F.desc("count"), "key").limit(ORDER_SHINGLES).toPandas()
+    keys, counts = top["key"].to_numpy(np.int64).view(np.uint64), top["count"].to_numpy(np.int64)
+    order = np.argsort(keys)
+    return keys[order], counts[order]
+
+
+def _hot(rows: DataFrame, key: str, total: int) -> DataFrame:
+    return rows.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, total // 10_000))
+
+
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose whole texts are similar."""
+
+    @F.pandas_udf("boolean")
+    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([similar(shingles(x), shingles(y)) for x, y in zip(a, b, strict=True)], dtype=bool)
+
+    pairs = stored(pairs, "near-pairs")
+    total = pairs.count()
+    for side, other in (("a", "b"), ("b", "a")):
+        pairs = _salted_lookup(pairs, texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), _hot(pairs.select(side), side, total), side, other)
+    return stored(pairs.where(alike("text_a", "text_b")).select("a", "b"), "near-links")
+
+
+def _may(a: str, b: str) -> F.Column:
+    """Whether rows of one shingle can belong to similar sets, by their sizes and the places in them."""
+    col = lambda side, name: F.col(f"{side}.{name}")
+    small, large = F.least(col(a, "size"), col(b, "size")), F.greatest(col(a, "size"), col(b, "size"))
+    most = F.least(col(a, "size") - col(a, "pos"), col(b, "size") - col(b, "pos"))
+    return (SHARE[1] * small >= SHARE[0] * large) & (sum(SHARE) * most >= SHARE[0] * (col(a, "size") + col(b, "size")))
+
+
+def near_copies(docs: DataFrame, stars: int = 3) -> DataFrame:
+    """(doc_id, component_id): for each distinct word sequence its smallest doc_id, and that of its group of near copies.
+
+    Groups are connected by similarity of at least SHARE on SHINGLE-word shingles. Null doc_ids take no part;
+    texts without words are copies of one another.
+    """
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh64_intdigest(b" ".join(words(t)), SEED) for t in texts], dtype="uint64").astype("int64")
+
+    own = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").withColumn("node", node("text"))
+    texts = stored(own.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")), "near-texts")
+    total = texts.count()
+    late, counts = _common(texts, total)
+
+    def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _parts(heads(batches), 0):
+            keys, nodes, sizes = zip(*part, strict=True)
+            lengths = [len(k) for k in keys]
+            place = np.concatenate([np.arange(n) for n in lengths])
+            yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "node": np.repeat(nodes, lengths), "size": np.repeat(sizes, lengths), "pos": place})
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, int, int]]:
+        for batch in batches:
+            for n, text in zip(batch["node"], batch["text"], strict=True):
+                if len(held := shingles(text)):
+                    yield prefix(held, late, counts), n, len(held)
+
+    rows = stored(texts.select("node", "text").mapInPandas(filed, "key long, node long, size int, pos int"), "near-keys")
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-shared")
+    rows = stored(_salted_lookup(rows, shared, shared.where(F.col("n") > max(HOT_ROWS, total // 10_000)), "key", "node").drop("n"), "near-met")
+    met = stored(texts.select("node", "text").join(rows.select("node").distinct(), "node", "left_semi"), "near-met-texts")
+    rows = rows.withColumn("component", F.col("node"))
+    links, groups = None, None
+    for k in range(stars + 1):
+        open_keys = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n"), F.min_by(F.struct("node", "size", "pos", "component"), F.xxhash64("node", F.lit(k))).alias("l"))
+        open_keys = stored(open_keys.where("lo < hi").select("key", "n", "l"), "near-open")
+        squares = open_keys.agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
+        hot = open_keys.where(F.col("n") > max(HOT_ROWS, total // 10_000))
+        left = _salted_lookup(rows, open_keys.select("key", "l"), hot, "key", "node")
+        last = k == stars or (k > 0 and squares <= 50 * total)
+        if last:
+            x, y = left.select("key", F.struct("node", "size", "pos", "component").alias("x")), left.select("key", F.struct("node", "size", "pos", "component").alias("y"))
+            pairs = x.join(y, "key").where((F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & _may("x", "y"))
+        else:
+            pairs = left.select(F.col("l").alias("x"), F.struct("node", "size", "pos", "component").alias("y")).where((F.col("x.component") != F.col("y.component")) & _may("x", "y"))
+        pairs = pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        found = _verified(pairs, met)
+        links = found if links is None else links.unionByName(found)
+        groups = stored(components(links), "near-groups")
+        if last:
+            break
+        named = groups.withColumnRenamed("id", "node")
+        rows = stored(rows.drop("component").join(named, "node", "left").withColumn("component", F.coalesce("component", "node")), "near-rows")
+    named = texts.select("node", "doc_id").join(groups.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = stored(named.select("doc_id", "component"), "near-named")
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    return _salted_lookup(named, least.select("component", "component_id"), least.where(F.col("n") > max(HOT_ROWS, total // 10_000)), "component", "doc_id").select("doc_id", "component_id")

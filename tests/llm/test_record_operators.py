@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridweave.llm import common, embeddings, packing, queries, records, tokens, urls, warc
+from gridweave.llm import common, embeddings, overlap, packing, queries, records, tokens, urls, warc
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
@@ -295,3 +295,32 @@ def test_pipeline_stages(spark, tmp_path):
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in packed} == left
     check_packed(packed, {i: texts[i] for i in left})
+
+
+@pytest.mark.parametrize("stars", [0, 1, 3])
+def test_pipeline_drops_every_near_copy(spark, stars):
+    pick = random.Random(stars)
+    base = [f"w{pick.randrange(10**6)}" for _ in range(120)]
+    line = [f"c{k}" for k in range(12)]
+    texts = [" ".join(base), " ".join(base[:-1] + [base[-1], "."]), " ".join(base[:60] + ["other"] + base[61:]).upper()]
+    for _ in range(40):  # a common line in texts of their own, and copies with one to four words changed
+        own = [f"w{pick.randrange(10**6)}" for _ in range(pick.choice([8, 40, 90]))] + line
+        texts.append(" ".join(own))
+        for n in range(1, 5):
+            for at in pick.sample(range(len(own)), n):
+                own[at] = f"x{pick.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += ["", None, "a b", "A  b", " ".join(line), " ".join(line[1:])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    top = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and top[i] != top[j]:
+                top = [min(top[i], top[j]) if t in (top[i], top[j]) else t for t in top]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in overlap.near_copies(docs, stars).collect()}
+    assert all(top[d] == c for d, c in got.items())
+    assert {d for d, c in got.items() if d == c} == set(top)
+    if stars == 3:
+        assert {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == set(top)
+    assert overlap.near_copies(docs.limit(0), stars).count() == 0
