@@ -110,12 +110,17 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.windows: list[tuple[int | None, str, np.ndarray, int]] = []
+        self.origin: list[tuple[int, int]] = []  # which text a window is from, and where it starts there
+        self.texts: list[np.ndarray] = []
         for item, text in items:
             text = normal(text)
+            self.texts.append(codes_of(text))
             starts = range(0, max(1, len(text) - WINDOW // 2), WINDOW // 2) if len(text) > WINDOW else (0,)
             for a in starts:
-                part = text[min(a, max(0, len(text) - WINDOW)) :][:WINDOW]
+                a = min(a, max(0, len(text) - WINDOW))
+                part = text[a:][:WINDOW]
                 if len(part) >= Q:
+                    self.origin.append((len(self.texts) - 1, a))
                     self.windows.append((item, part, codes_of(part), budget(len(part))))
         grams = [gram_hashes(w[2]) for w in self.windows]
         hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
@@ -148,25 +153,55 @@ class Index:
         step = self.budgets[window] + 1
         return list(zip(window[reached].tolist(), (band * step)[reached].tolist(), ((band + 2) * step - 1)[reached].tolist(), strict=True))
 
-    def search(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
-        """(item_id, start, end, edits) for each item with a region in the text: the one with fewest edits."""
-        own = normal(text or "")
+    def verified(self, own: str) -> Iterator[tuple[int, int, int, int]]:
+        """(window, edits, start, end) of each place in a normal text where a window is found, some more than once."""
         if len(own) < Q or not self.windows:
-            return []
-        codes, best = codes_of(own), {}
+            return
+        codes = codes_of(own)
         for w, first, last in self.candidates(codes):
-            item, part, window, most = self.windows[w]
-            if item in best and best[item][0] == 0:
-                continue
+            _, part, window, most = self.windows[w]
             a, b = max(0, first - most), min(len(own), last + len(part) + most)
-            if (exact := own.find(part, a, b)) >= 0:
-                got = (0, exact, exact + len(part))
-            elif hit := align(window, codes[a:b], most):
-                got = (hit[0], a + hit[1], a + hit[2])
+            at = own.find(part, a, b)
+            if at < 0 and (hit := align(window, codes[a:b], most)):
+                yield w, hit[0], a + hit[1], a + hit[2]
+            while at >= 0:
+                yield w, 0, at, at + len(part)
+                at = own.find(part, at + 1, b)
+
+    def holds(self, text: str | None) -> bool:
+        """Whether a window is found in the text."""
+        return next(self.verified(normal(text or "")), None) is not None
+
+    def search(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
+        """(item_id, start, end, edits) for each region of the text that holds an item or part of it.
+
+        A region is a chain of windows of one benchmark text that overlap or touch and follow one another as they do
+        in that text; its edits are those to the part of the text that its windows cover.
+        """
+        own = normal(text or "")
+        places: dict[int, list[tuple[int, int, int]]] = {}
+        for w, *place in sorted(set(self.verified(own))):
+            held = places.setdefault(w, [])
+            if place[0] == 0 or not any(2 * (min(place[2], e) - max(place[1], s)) > place[2] - place[1] for _, s, e in held):
+                held.append(tuple(place))
+        chains: dict[int, list[list]] = {}
+        for k, a, w, edits, start, end in sorted((self.origin[w][0], start, w, edits, start, end) for w, held in places.items() for edits, start, end in held):
+            origin, most = self.origin[w][1], self.windows[w][3]
+            for chain in reversed(chains.setdefault(k, [])):  # [start, end, first and last place in the text, shift, budget of the last, edits]
+                if start <= chain[1] and origin > chain[7] and abs(start - origin - chain[4]) <= most + chain[5]:
+                    chain[1], chain[3], chain[4], chain[5] = max(chain[1], end), origin + len(self.windows[w][1]), start - origin, most
+                    chain[6], chain[7] = chain[6] + edits, origin
+                    break
             else:
-                continue
-            best[item] = min(best.get(item, got), got)
-        return [(item, *original_span(text, a, b), edits) for item, (edits, a, b) in best.items()]
+                chains[k].append([start, end, origin, origin + len(self.windows[w][1]), start - origin, most, edits, origin, self.windows[w][0]])
+        codes, found = codes_of(own), []
+        for k, own_chains in chains.items():
+            for start, end, first, last, _, most, edits, _, item in own_chains:
+                if edits and last - first > WINDOW:
+                    hit = align(self.texts[k][first:last], codes[start:end], edits + 2 * most)
+                    edits, start, end = (hit[0], start + hit[1], start + hit[2]) if hit else (edits, start, end)
+                found.append((item, *original_span(text, start, end), edits))
+        return list(dict.fromkeys(found))
 
 
 def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
@@ -183,7 +218,7 @@ def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, end, edits): the place in each document nearest to a benchmark text it holds.
+    """(doc_id, item_id, start, end, edits): each region of a document that holds a benchmark text or part of it.
 
     start and end count characters of the whole document. Null and empty texts on either side, and benchmark
     texts under 12 characters, match nothing; repeated rows match each time; null ids come back as null.
@@ -205,7 +240,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _free(index: Index):
     @F.pandas_udf("boolean")
     def free(texts: pd.Series) -> pd.Series:
-        return pd.Series([not index.search(t) for t in texts], dtype=bool)
+        return pd.Series([not index.holds(t) for t in texts], dtype=bool)
 
     return free
 

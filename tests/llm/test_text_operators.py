@@ -185,6 +185,20 @@ def test_decontamination_finds_what_a_plain_search_finds(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
 
+def test_decontamination_gives_every_region_whole(spark):
+    pick = random.Random(9)
+    speak = lambda n: " ".join("".join(pick.choices(["ta", "ro", "mi", "lon", "ter", "vik", "dus"], k=pick.randint(1, 4))) for _ in range(n))
+    long, short = speak(70), speak(8)
+    late = long[:150] + "#" + long[151:300] + "#" + long[301:]
+    texts = [f"{speak(20)} {long} {speak(20)}", f"{short} {speak(15)} {short} {speak(3)}", f"{speak(5)} {late} {speak(30)} {long.upper()}", f"{long} {long}"]
+    wanted = [[(1, texts[0].index(long), len(long), 0)], [(2, 0, len(short), 0), (2, texts[1].rindex(short), len(short), 0)]]
+    wanted += [[(1, texts[2].index(late), len(late), 2), (1, texts[2].rindex(long.upper()), len(long), 0)], [(1, 0, len(long), 0), (1, len(long) + 1, len(long), 0)]]
+    bench = spark.createDataFrame([(1, long), (2, short)], "item_id long, text string")
+    got = decontaminate.matches(docs_of(spark, texts), bench).collect()
+    for d in range(4):
+        assert sorted((r["item_id"], r["start"], r["end"] - r["start"], r["edits"]) for r in got if r["doc_id"] == d) == wanted[d]
+    assert decontaminate.clean(docs_of(spark, texts), bench).count() == 0
+
 
 # ---- simhash
 
