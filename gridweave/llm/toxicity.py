@@ -133,8 +133,8 @@ class Grammar:
 
     def evidence(self, text: str) -> float:
         """The sum over all clauses. Texts without any insult or threat skip the machine."""
-        tokens = text.lower().replace(".", " ").replace("!", " ").replace("?", " ").split()
-        if not any(map(self.weight, tokens)) and not any(t in THREATS for t in tokens):
+        tokens = SPLIT.findall(text.lower())
+        if not any(map(self.weight, tokens)) and not any(t.strip(EDGE) in THREATS for t in tokens):
             return 0.0
         return sum(w for w, _ in self.clauses(text))
 

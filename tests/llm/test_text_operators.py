@@ -37,6 +37,19 @@ def test_grammar_reads_clauses():
     assert g.evidence("") == 0
 
 
+def test_evidence_is_the_sum_over_clauses():
+    pick, found = random.Random(3), 0
+    grammar = toxicity.Grammar({"moron": 0.8, "idiot": 0.6, "scum*": 0.7})
+    for text in ("you moron; go away", "idiot: leave", "I will *kill* you", "(kill you)", "scummy;;"):
+        assert grammar.evidence(text) == sum(w for w, _ in grammar.clauses(text)) > 0, text
+    for _ in range(3_000):
+        words = pick.choices(["moron", "Idiot", "scummy", "kill", "burn", "you", "not", "said", "a", "fine"], k=pick.randint(1, 3))
+        text = "".join(w + "".join(pick.choices(" \n.!?;:*(),-_\"", k=pick.randint(1, 3))) for w in words)
+        assert grammar.evidence(text) == sum(w for w, _ in grammar.clauses(text)), text
+        found += grammar.evidence(text) > 0
+    assert found > 1_000
+
+
 def test_toxicity_learns_and_holds_out(spark):
     pick = random.Random(1)
     words = [f"w{k}" for k in range(300)]
