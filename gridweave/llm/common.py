@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows a hot node, key or label may have before it is salted.
 HOT_ROWS = 2_000
+#: Rows of a few numbers each that may be sent to all tasks: some 16 to 32 MB.
+MOST_SENT = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Where the session names none (local tests), a temporary one is set.
+    Where the session names none, a temporary one is set if it runs on this machine alone, as in tests.
     """
     sc = spark.sparkContext
     held = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (held.get() if held.isDefined() else None)
     if named is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
     if not held.isDefined():
         sc.setCheckpointDir(named)
@@ -61,15 +65,18 @@ def crc_fold(id_col: str, folds: int) -> F.Column:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: F.Column, limit: int) -> DataFrame:
     """Texts and labels of at most `limit` labelled rows: those with the smallest hash of their id.
 
-    The bound is what makes the broadcast of the ids safe. Null labels, ids and texts take no part.
+    The bound is what makes the broadcast of the ids safe. Null labels, ids and texts take no part. Of an id that
+    is labelled twice the smaller label counts, and of one that has several texts that with the smallest hash.
     """
     picked = (
         labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & keep)
-        .select("doc_id", F.col(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+        .groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(limit)
-    )
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", "label")
+    )
+    both = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+    one = F.min_by(F.struct("text", "label"), F.struct(F.xxhash64("text"), "text"))
+    return both.groupBy("doc_id").agg(one.alias("x")).select("x.text", "x.label")
 
 
 def _salted_lookup(rows: DataFrame, values: DataFrame, hot: DataFrame, key: str, other: str, salts: int = 64) -> DataFrame:
@@ -87,6 +94,26 @@ def _salted_lookup(rows: DataFrame, values: DataFrame, hot: DataFrame, key: str,
     return dealt.join(spread, [key, "_salt"]).drop("_salt")
 
 
+def looked_up(rows: DataFrame, values: DataFrame, counts: DataFrame, key: str, other: str) -> DataFrame:
+    """rows with the one row of values for their key; counts holds the rows n of each key, hot ones are salted."""
+    counts = counts.select(key, "n")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return _salted_lookup(rows, values, _hot_keys(counts, total), key, other)
+
+
+def small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
+    """df marked for broadcast if its rows, of a few numbers each, are counted to be few; else as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not use, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Connected components of undirected edges (a, b) of ids: a row (id, component) for each id on an edge.
 

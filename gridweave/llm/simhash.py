@@ -1,14 +1,16 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint is cut into segments. Two fingerprints within the distance agree on some segment up to a
-few bits, so each one is filed under its own segment values and under the values of a small Hamming ball
-around them. Those that meet under a value are compared in full. Work under one value is shared out in
-tiles of bounded size, and only a spanning set of its links leaves a task, so groups of copies never
-turn into all their pairs.
+A fingerprint is cut into segments. Two fingerprints within the distance agree on some segment up to a few
+bits, so each is filed under the values of a small Hamming ball around its own value of every segment, and
+those that meet under a value are compared in full. Values are dealt to tasks by bounded numbers of rows; a
+value with too many is cut into blocks, and pairs of blocks are compared apart. Where nearly all rows of a value
+are near each other only a star of pairs leaves the task; its members are compared again once groups are known,
+and then only across groups, so copies never turn into all their pairs and no link is lost.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -18,31 +20,55 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import components, stored
+from gridweave.llm.common import components, free_name, looked_up, small, stored
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
+#: Filed rows that a task compares at once, and rows under one value from which it is cut into blocks.
+TASK_ROWS, TILE_ROWS = 1_000_000, 50_000
+#: Values with their number of blocks that may be sent to all tasks; with more, all are cut into as many.
+MOST_HOT = 1_000_000
+#: Rounds in which crowded values give stars before all pairs across groups are given.
+STARS = 2
+#: Rows under one value that are compared by offset, and near pairs a row from which a value is crowded.
+FEW, CROWD = 256, 4
+#: Near copies: fingerprints of five-word shingles at most so many bits apart, and shared shingles as a fraction.
+SHINGLE, DISTANCE, SHARE = 5, 13, (4, 5)
+
+
+# ---- fingerprints
+
+def words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+
+
+def shingles(held: list[bytes], shingle: int) -> np.ndarray:
+    """64-bit hashes of all runs of `shingle` words, repeats included; of all words where there are fewer."""
+    if not held:
+        return np.zeros(0, np.uint64)
+    joined, digest = b" ".join(held), xxhash.xxh64_intdigest
+    if len(held) <= shingle:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, held), np.int64, len(held)) + 1) - 1
+    starts = [0, *(ends[:-shingle] + 1).tolist()]
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The signed 64-bit fingerprint: a bit is 1 if set in over half the hashes."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """The signed 64-bit fingerprint of a whole text; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = [0, *(ends[:-shingle] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)], np.uint64)
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * bits > len(hashes), bitorder="little").view("<i8")[0])
+    return bits_of(shingles(words(text), shingle))
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint", shingle: int = 4) -> DataFrame:
-    """All rows and columns of docs, and the fingerprint of each text as a long."""
+    """All rows and columns of docs, and the fingerprint of each text as a long; a column named `out` is replaced."""
 
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
@@ -51,6 +77,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
     return docs.withColumn(out, of(F.col(text_col)))
 
 
+# ---- filing
+
 def plan_segments(distance: int, segments: int) -> list[tuple[int, int, int]]:
     """(shift, width, radius) of each segment: any two within the distance meet in one of them."""
     cuts = [64 * k // segments for k in range(segments + 1)]
@@ -58,135 +86,366 @@ def plan_segments(distance: int, segments: int) -> list[tuple[int, int, int]]:
     return [(a, b - a, radius if k <= rest else radius - 1) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if k <= rest or radius]
 
 
+def ball(width: int, radius: int) -> np.ndarray:
+    """All masks of so many bits with at most `radius` of them set."""
+    return np.array([sum(1 << b for b in flips) for n in range(radius + 1) for flips in combinations(range(width), n)], np.uint64)
+
+
+def around(own: np.ndarray, k: int, width: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, keys) of values of segment k: two within the radius meet under a key.
+
+    Both go halfway. Where the radius is odd, values with an even number of bits go the step that is left over:
+    at an odd distance just one of the two has such a number.
+    """
+    odd = np.bitwise_count(own) & 1
+    for at, reach in ((np.flatnonzero(odd == 0), (radius + 1) // 2), (np.flatnonzero(odd), radius // 2)):
+        masks = ball(width, reach)
+        yield np.repeat(at, len(masks)), (own[at][:, None] ^ masks[None, :]).ravel() | np.uint64(k << 32)
+
+
 def filed_under(fp: np.ndarray, distance: int, segments: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, keys): where each fingerprint is filed. Of two that differ by a mask, one files under it."""
-    bits = fp.view(np.uint64)
+    """(positions, keys): where each fingerprint is filed, in all segments."""
     for k, (shift, width, radius) in enumerate(plan_segments(distance, segments)):
-        own = ((bits >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
-        yield np.arange(len(fp)), own | (k << 40)
-        for weight in range(1, radius + 1):
-            for flips in combinations(range(width), weight):
-                at = np.flatnonzero(own & (1 << flips[0]) == 0)
-                yield at, (own[at] ^ sum(1 << b for b in flips)) | (k << 40)
+        yield from around((fp.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << width) - 1), k, width, radius)
+
+
+def mixed(*parts: np.ndarray) -> np.ndarray:
+    """Numbers spread over 64 bits."""
+    out = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        out = (out ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def packed(*columns: np.ndarray) -> bytes:
+    """64-bit columns, byte by byte, which packs small: the high bytes of sorted numbers hardly change."""
+    return b"".join(c.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns)
+
 
+def unpacked(data: bytes, columns: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(columns, 8, -1).transpose(0, 2, 1)).view("<u8")[..., 0]
 
-def links(fp: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Pairs of positions, all within the distance, that connect what is connected among these fingerprints.
 
-    Each goes to the first leader within the distance. Two leaders' groups can only touch when the leaders
-    are within three distances; such groups are compared unless they are connected already.
+def hot_values(prints: DataFrame, distance: int, segments: int, tile_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(keys, blocks, blocks of all other keys): the keys with many rows, and into how many blocks they are cut.
+
+    A key has over tile_rows rows only if some value in its ball is that of many fingerprints, so balls are
+    opened around those values alone; what the others add to a key is at most tile_rows again.
+    """
+    plan = plan_segments(distance, segments)
+    most = max(len(ball(width, (radius + 1) // 2)) for _, width, radius in plan)
+    each = F.array(*[F.struct(F.lit(k).alias("k"), F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for k, (shift, width, _) in enumerate(plan)])
+    values = prints.select(F.explode(each).alias("x")).groupBy("x.k", "x.value").agg(F.count("*").alias("n")).where(F.col("n") * most >= tile_rows)
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, own in batch.groupby("k"):
+                for at, keys in around(own["value"].to_numpy().astype(np.uint64), int(k), *plan[k][1:]):
+                    yield pd.DataFrame({"key": keys.astype(np.int64), "n": own["n"].to_numpy()[at]})
+
+    hot = stored(values.mapInPandas(opened, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(2 * F.col("n") > tile_rows), "simhash-hot")
+    found = hot.agg(F.count("*").alias("keys"), F.max("n").alias("n")).first()
+    if found["keys"] > MOST_HOT:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), 1 + math.ceil(found["n"] / tile_rows)
+    rows = hot.orderBy("key").toPandas() if found["keys"] else pd.DataFrame({"key": [], "n": []})
+    return rows["key"].to_numpy(np.int64).astype(np.uint64), 1 + np.ceil(rows["n"].to_numpy(float) / tile_rows).astype(np.int64), 1
+
+
+# ---- comparing
+
+def _first_rows(run: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+
+
+class _Pairs:
+    """Near pairs (i before j) of rows in runs; of a crowded run only the first partner of each row is kept."""
+
+    def __init__(self, run: np.ndarray, sizes: np.ndarray, all_pairs: bool):
+        self.run, self.room, self.all_pairs = run, CROWD * sizes, all_pairs
+        self.count, self.first, self.whole = np.zeros(len(sizes), np.int64), np.full(len(run), -1, np.int64), np.zeros(len(sizes), bool)
+        self.met = np.zeros(len(run), bool)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        if not len(i):
+            return
+        np.add.at(self.count, self.run[i], 1)
+        self.met[i] = self.met[j] = True
+        if not self.all_pairs:
+            order = np.argsort(-i, kind="stable")  # the smallest partner is written last
+            at, least = j[order], i[order]
+            now = self.first[at]
+            self.first[at] = np.where((now < 0) | (least < now), least, now)
+            room = self.count[self.run[i]] <= self.room[self.run[i]]
+            i, j = i[room], j[room]
+        self.held.append((i, j))
+
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, rows that are to be compared again)."""
+        i, j = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64),) * 2
+        if self.all_pairs:
+            return i, j, i[:0]
+        crowded = (self.count > self.room) | self.whole
+        thin = ~crowded[self.run[i]]
+        star = np.flatnonzero((self.first >= 0) & crowded[self.run])
+        again = np.flatnonzero(self.met & crowded[self.run] | self.whole[self.run])
+        return np.concatenate([i[thin], self.first[star]]), np.concatenate([j[thin], star]), again
+
+
+def near_rows(key: np.ndarray, tile: np.ndarray, fp: np.ndarray, group: np.ndarray, distance: int, all_pairs: bool):
+    """(i, j, again): rows that meet under a key, are near and of different groups; rows to be compared again.
+
+    Rows come in order of (key, tile without its last bit). A tile is (block, other block, which of the two a
+    row is of); of a tile of two blocks only pairs across are compared.
     """
-    fp = fp.view(np.uint64)  # counting bits of signed numbers would drop the sign
-    left, groups, found = np.arange(len(fp)), [], []
-    while len(left):
-        near = np.bitwise_count(fp[left] ^ fp[left[0]]) <= distance
-        groups.append(left[near])
-        found += [(int(left[0]), int(x)) for x in groups[-1][1:]]
-        left = left[~near]
-    root = list(range(len(groups)))
-
-    def top(k: int) -> int:
-        while root[k] != k:
-            root[k] = k = root[root[k]]
-        return k
-
-    leaders = fp[[g[0] for g in groups]]
-    for i in range(len(groups)):
-        for j in (np.flatnonzero(np.bitwise_count(leaders[i + 1 :] ^ leaders[i]) <= 3 * distance) + i + 1).tolist():
-            if top(i) != top(j) and (pair := _touch(fp, groups[i], groups[j], distance)):
-                found.append(pair)
-                root[top(j)] = top(i)
-    return found
-
-
-def _touch(fp: np.ndarray, a: np.ndarray, b: np.ndarray, distance: int, block: int = 1024) -> tuple[int, int] | None:
-    for x in range(0, len(a), block):
-        for y in range(0, len(b), block):
-            hit = np.bitwise_count(fp[a[x : x + block], None] ^ fp[None, b[y : y + block]]) <= distance
-            if hit.any():
-                i, j = np.unravel_index(hit.argmax(), hit.shape)
-                return int(a[x + i]), int(b[y + j])
-    return None
-
-
-def _linked(run: np.ndarray, fp: np.ndarray, ids: np.ndarray, distance: int, few: int = 24) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal numbers: short runs all at once by offset, long ones by leaders."""
-    starts = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
-    sizes = np.diff(np.r_[starts, len(run)])
-    short = np.repeat(sizes <= few, sizes)
-    a, b = [], []
-    for k in range(1, min(few, int(sizes.max()))):
-        at = np.flatnonzero((run[k:] == run[:-k]) & short[k:])
-        at = at[np.bitwise_count(fp[at] ^ fp[at + k]) <= distance]
-        a.append(ids[at])
-        b.append(ids[at + k])
-    for s, n in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist(), strict=True):
-        pairs = np.array(links(fp[s : s + n], distance), np.int64).reshape(-1, 2) + s
-        a.append(ids[pairs[:, 0]])
-        b.append(ids[pairs[:, 1]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (ids[:0], ids[:0])
-
-
-def fingerprint_links(prints: DataFrame, distance: int = 4, segments: int | None = None, tile_rows: int = 20_000) -> DataFrame:
-    """Edges (a, b) of ids that connect distinct fingerprints within the distance.
-
-    prints: one row (id, fp) for each distinct fingerprint. Under a value with more than tile_rows rows,
-    rows are dealt into blocks, and each pair of blocks is a task's tile. Such values number at most
-    the rows filed over tile_rows, and 10,000 at most, which bounds their broadcast.
+    lane, side = tile >> np.uint64(1), tile & np.uint64(1)
+    across = (lane >> np.uint64(31)) != (lane & np.uint64((1 << 31) - 1))
+    begins = np.r_[True, (key[1:] != key[:-1]) | (lane[1:] != lane[:-1])]
+    run = np.cumsum(begins) - 1
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.r_[starts, len(key)])
+    out = _Pairs(run, sizes, all_pairs)
+
+    def near(i, j):
+        return (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (group[i] != group[j]) & (~across[i] | (side[i] != side[j]))
+
+    at = np.flatnonzero((sizes > 1)[run] & (sizes <= FEW)[run])
+    for k in range(1, FEW):
+        at = at[at + k < len(run)]
+        at = at[run[at + k] == run[at]]
+        if not len(at):
+            break
+        hit = at[near(at, at + k)]
+        out.add(hit, hit + k)
+    for r in np.flatnonzero(sizes > FEW).tolist():
+        left = np.arange(starts[r], starts[r] + sizes[r])
+        while not all_pairs and len(left) > FEW:  # a row that is near at least half of the others stands for them
+            hit = near(left[:1], left)
+            if 2 * hit.sum() < len(left):
+                break
+            out.add(np.full(hit.sum(), left[0]), left[hit])
+            out.whole[r], hit[0] = True, True
+            left = left[~hit]
+        names, sizes_of = np.unique(group[left], return_counts=True)
+        largest = group[left] == names[sizes_of.argmax()] if len(names) else np.zeros(0, bool)
+        others = left[~largest]  # pairs within the largest group need no look
+        for x in range(0, len(others), 512):
+            rows = others[x : x + 512, None]
+            for y in range(0, len(left), 4096):
+                cols = left[None, y : y + 4096]
+                a, b = np.nonzero(near(rows, cols) & (largest[None, y : y + 4096] | (cols > rows)))
+                i, j = rows[a, 0], cols[0, b]
+                out.add(np.minimum(i, j), np.maximum(i, j))
+    return out.done()
+
+
+def candidates(prints: DataFrame, distance: int, segments: int = 3, all_pairs: bool = False, salt: int = 0, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(a, b): distinct fingerprints within the distance whose groups differ; b is null where a is to be compared again.
+
+    prints: one row for each distinct fingerprint, (fp) or (fp, group). With all_pairs every such pair is given,
+    without it crowded values give a star each, around the first of their rows in an order that salt changes.
     """
-    spark = prints.sparkSession
+    grouped = "group" in prints.columns
+    columns = 4 if grouped else 3
     total = prints.count()
-    segments = segments or (3 if total < 1 << 25 else 2)
+    hot_keys, hot_blocks, blocks = hot_values(prints, distance, segments, tile_rows) if total > 1 else (np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
+    each = sum(len(ball(w, r // 2)) + len(ball(w, (r + 1) // 2)) for _, w, r in plan_segments(distance, segments)) / 2
+    buckets = max(1, math.ceil((total * each * blocks + tile_rows * int((hot_blocks * hot_blocks).sum())) / TASK_ROWS))
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            fp, ids = batch["fp"].to_numpy(), batch["id"].to_numpy()
-            for at, keys in filed_under(fp, distance, segments):
-                yield pd.DataFrame({"key": keys, "id": ids[at], "fp": fp[at]})
-
-    rows = prints.select("id", "fp").mapInPandas(filed, "key long, id long, fp long")
-    hot_rows = max(tile_rows, 100 * total // 10_000)
-    hot = rows.groupBy("key").count().where(F.col("count") > hot_rows).select("key", F.ceil(F.col("count") / hot_rows).cast("int").alias("blocks")).collect() if total > hot_rows else []
-    rows = rows.withColumn("tile", F.lit(0))
-    if hot:
-        held = spark.createDataFrame([(r["key"], r["blocks"]) for r in hot], "key long, blocks int")
-        block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-        other = F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.join(F.broadcast(held), "key", "left").withColumn("block", block).withColumn("other", other)
-        rows = rows.withColumn("tile", F.when(F.col("blocks").isNull(), 0).otherwise(F.least("block", "other") * 100_000 + F.greatest("block", "other")))
-
-    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            last = batch["key"].iat[-1], batch["tile"].iat[-1]
-            begun = (batch["key"].iat[0], batch["tile"].iat[0]) == last
-            held.append(batch)
-            if not begun:  # all but the last run are whole
-                whole = pd.concat(held)
-                own = ((whole["key"] == last[0]) & (whole["tile"] == last[1])).to_numpy()
-                yield pairs(whole[~own])
-                held = [whole[own]]
-        if held:
-            yield pairs(pd.concat(held))
-
-    def pairs(rows: pd.DataFrame) -> pd.DataFrame:
-        key, tile = rows["key"].to_numpy(), rows["tile"].to_numpy()
-        run = np.cumsum(np.r_[True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])]) if len(key) else key
-        a, b = _linked(run, rows["fp"].to_numpy().view(np.uint64), rows["id"].to_numpy(), distance) if len(key) else (key, key)
-        return pd.DataFrame({"a": a, "b": b}).drop_duplicates()
-
-    return rows.select("key", "tile", "id", "fp").repartition("key", "tile").sortWithinPartitions("key", "tile", "fp").mapInPandas(met, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
+            for x in range(0, len(batch), 4096):
+                fps = batch["fp"].to_numpy()[x : x + 4096].view(np.uint64)
+                groups = batch["group"].to_numpy()[x : x + 4096].view(np.uint64) if grouped else None
+                for at, key in filed_under(fps, distance, segments):
+                    if not len(at):
+                        continue
+                    cut = np.full(len(key), blocks)
+                    if len(hot_keys):
+                        place = np.minimum(np.searchsorted(hot_keys, key), len(hot_keys) - 1)
+                        cut = np.where(hot_keys[place] == key, hot_blocks[place], 1)
+                    block = (mixed(fps)[at] >> np.uint64(20)).astype(np.int64) % cut
+                    tile = np.zeros(len(key), np.uint64)
+                    if (cut > 1).any():
+                        times = np.repeat(np.arange(len(key)), cut)
+                        other = np.arange(len(times)) - np.repeat(np.cumsum(cut) - cut, cut)
+                        at, key, block = at[times], key[times], block[times]
+                        tile = ((np.minimum(block, other) << 32) | (np.maximum(block, other) << 1) | (block > other)).astype(np.uint64)
+                    bucket = (mixed(key, tile >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+                    order = np.lexsort((key, bucket))
+                    own = [c[order] for c in ([key, tile, fps[at]] if groups is None else [key, tile, fps[at], groups[at]])]
+                    first = _first_rows(bucket[order])
+                    ends = [*first[1:].tolist(), len(order)]
+                    yield pd.DataFrame({"bucket": bucket[order][first], "rows": [packed(*[c[a:b] for c in own]) for a, b in zip(first.tolist(), ends, strict=True)]})
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        own = np.concatenate([unpacked(x, columns) for x in rows["rows"]], axis=1)
+        own = own[:, np.lexsort((mixed(own[2], np.full(own.shape[1], salt)), own[1] >> np.uint64(1), own[0]))]
+        fp = own[2]
+        i, j, again = near_rows(own[0], own[1], fp, own[3] if grouped else fp, distance, all_pairs)
+        a, b = (np.concatenate([x, y]).view(np.int64) for x, y in ((np.minimum(fp[i], fp[j]), fp[again]), (np.maximum(fp[i], fp[j]), fp[again])))
+        return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").where(a != b)}).drop_duplicates()
+
+    names = ["fp", "group"] if grouped else ["fp"]
+    return prints.select(*names).mapInPandas(filed, "bucket long, rows binary").groupBy("bucket").applyInPandas(compared, "a long, b long")
+
+
+def grouped_prints(prints: DataFrame, distance: int, segments: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(id, component) of each fingerprint that is linked to another one: the groups within the distance."""
+    links = groups = None
+    for k in range(STARS + 1):
+        found = stored(candidates(prints, distance, segments, k == STARS, k, tile_rows), "simhash-links")
+        own = found.where("b is not null")
+        links = own if links is None else links.unionByName(own)
+        groups = stored(components(links), "simhash-components")
+        again = found.where("b is null").select(F.col("a").alias("fp")).distinct()
+        prints = stored(again.join(groups.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")), "simhash-again")
+        if k == STARS or prints.isEmpty():
+            return groups
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, segments: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of docs.
 
     fingerprint is a long; component_id is the smallest doc_id reachable by links of fingerprints within
     the distance. Null and empty texts have fingerprint 0 and are linked like any others; a null doc_id
-    gets the component of its fingerprint. Repeated rows come back repeated.
+    gets the component of its fingerprint. Repeated rows come back repeated, and of other columns none.
     """
     prints = stored(fingerprints(docs.select("doc_id", "text"), shingle=shingle).select("doc_id", "fingerprint"), "simhash")
-    distinct = stored(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("id")), "simhash-distinct")
-    groups = components(fingerprint_links(distinct.where(F.col("id").isNotNull()), distance))
-    known = stored(distinct.join(groups, "id", "left").select(F.col("fp").alias("fingerprint"), F.coalesce("component", "id").alias("component_id")), "simhash-groups")
-    return prints.join(known, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    distinct = stored(prints.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "simhash-distinct")
+    groups = grouped_prints(distinct.where(F.col("id").isNotNull()), distance, segments).withColumnRenamed("id", "fp")
+    named = distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    known = stored(named.join(least, "component").select(F.col("fp").alias("fingerprint"), "component_id", "n"), "simhash-groups")
+    return looked_up(prints, known.drop("n"), known, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")
+
+
+# ---- near copies, verified on whole texts
+
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets of shingles share enough of their union, in whole numbers."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return SHARE[1] * both >= SHARE[0] * (len(a) + len(b) - both) and both > 0
+
+
+def word_hash(held: list[bytes]) -> int:
+    """A signed 64-bit hash of a sequence of words: texts with the same one are copies."""
+    return int(np.array(xxhash.xxh64_intdigest(b" ".join(held), SEED), np.uint64).view(np.int64))
+
+
+def text_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """(doc_id, node, fp, size) of each row with a doc_id: hash of its words, fingerprint, number of distinct shingles."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+                own = words(text)
+                hashes = shingles(own, shingle)
+                rows.append((doc, word_hash(own), bits_of(hashes), len(np.unique(hashes))))
+            yield pd.DataFrame(rows, columns=["doc_id", "node", "fp", "size"])
+
+    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(read, "doc_id long, node long, fp long, size int")
+
+
+def _across(pairs: DataFrame, nodes: DataFrame, all_pairs: bool) -> DataFrame:
+    """(a, b): texts of different groups and fitting sizes behind pairs of fingerprints and behind one fingerprint.
+
+    Without all_pairs a fingerprint of several texts is paired through the first of them.
+    """
+    heads = nodes.groupBy("fp").agg(F.min(F.struct("node", "size", "group")).alias("x"), F.count("*").alias("n"))
+    own = nodes.select("fp", F.struct("node", "size", "group").alias("x"))
+    both = pairs.unionByName(heads.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
+
+    def met(first: DataFrame, second: DataFrame) -> DataFrame:
+        left = both.join(first.select(F.col("fp").alias("a"), F.col("x").alias("x")), "a")
+        return left.join(second.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
+
+    heads = heads.select("fp", "x")
+    found = met(own, own) if all_pairs else met(heads, own).unionByName(met(own, heads))
+    sizes = [F.col("x.size"), F.col("y.size")]
+    fits = (F.col("x.group") != F.col("y.group")) & (SHARE[1] * F.least(*sizes) >= SHARE[0] * F.greatest(*sizes))
+    return found.where(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a != b").distinct()
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) whose whole texts are similar."""
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([word_hash(words(t)) for t in texts], dtype="int64")
+
+    @F.pandas_udf("boolean")
+    def alike(key: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        held, out = {}, []
+        for k, x, y in zip(key, a, b, strict=True):
+            if k not in held:  # pairs come by their second text
+                held = {k: np.unique(shingles(words(y), shingle))}
+            out.append(similar(np.unique(shingles(words(x), shingle)), held[k]))
+        return pd.Series(out, dtype=bool)
+
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = stored(nodes.join(needed, "node", "left_semi").select("doc_id", "node"), "near-wanted")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("node", node("text"))
+    texts = stored(texts.join(small(wanted), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "near-texts")
+    for side, other in (("a", "b"), ("b", "a")):
+        counts = pairs.select(side, other).groupBy(side).agg(F.count("*").alias("n"))
+        pairs = looked_up(pairs, texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), counts, side, other)
+    return stored(pairs.where(alike("b", "text_a", "text_b")).select("a", "b"), "near-links")
+
+
+def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, segments: int = 3, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups): (doc_id, node) of all rows with a doc_id, and (node, doc_id, component) of all different texts.
+
+    Texts are linked if their fingerprints are within the distance and their whole texts share SHARE of their
+    distinct shingles; component is one number for each group. doc_id is the smallest of a text's. Texts without
+    words are copies of one another.
+    """
+    rows = stored(text_prints(docs, shingle), "near-prints")
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("size").alias("size")), "near-nodes")
+    own = nodes.where("size > 0").withColumn("group", F.col("node"))
+    prints, links, tested, groups = own.select("fp").distinct(), None, None, None
+    for k in range(STARS + 1):
+        found = stored(candidates(prints, distance, segments, k == STARS, k, tile_rows), "near-prints-met")
+        again = found.where("b is null").select(F.col("a").alias("fp"))
+        pairs = _across(found.where("b is not null").distinct(), own, k == STARS)
+        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        right = _verified(pairs, nodes, docs, shingle)
+        links = right if links is None else links.unionByName(right)
+        groups = stored(components(links), "near-components").select(F.col("id").alias("node"), "component")
+        again = again.unionByName(own.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")).distinct()
+        own = own.drop("group").join(again, "fp", "left_semi").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+        own = stored(own, "near-again")
+        if k == STARS or own.isEmpty():
+            break
+        one = F.count_distinct("group") == 1
+        prints = stored(own.groupBy("fp").agg(F.when(one, F.min("group")).otherwise(F.col("fp")).alias("group")), "near-prints-again")
+    named = nodes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
+    return rows.select("doc_id", "node"), stored(named, "near-named")
+
+
+def drop_near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+    """The rows of docs that stay, with all their columns: of each group of near copies the one with the smallest doc_id.
+
+    Of different texts under one doc_id each is judged by itself, and of one text twice under that doc_id one row
+    stays. Rows with a null doc_id take no part and stay; null and empty texts are copies of one another.
+    """
+    rows, named = near_copies(docs, distance, shingle)
+    least = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x"))
+    kept = stored(least.select("x.doc_id", "x.node"), "near-kept")
+    counted = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(kept.groupBy("doc_id").agg(F.count("*").alias("stay")), "doc_id", "left")
+    other = stored(counted.where("stay is null or n > 1"), "near-other")  # ids that go, or of which some rows may
+    whole = docs.join(small(other.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    if other.where("stay is not null").isEmpty():
+        return whole
+    name = free_name(docs, "node")
+
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([word_hash(words(t)) for t in texts], dtype="int64")
+
+    some = docs.join(small(other.where("stay is not null").select("doc_id")), "doc_id", "left_semi").withColumn(name, node("text"))
+    some = some.join(small(kept.withColumnRenamed("node", name)), ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
+    return whole.unionByName(some.select(*docs.columns))

@@ -244,16 +244,94 @@ def near_prints(seed, centres=12, each=40):
     return np.array(sorted(found), np.uint64).view(np.int64)
 
 
+@pytest.mark.parametrize("distance", [0, 1, 4, 5, 8, 13])
+def test_near_fingerprints_meet(distance):
+    pick = random.Random(distance)
+    base = np.array([pick.getrandbits(64) for _ in range(40)], np.uint64)
+    other = np.array([int(x) ^ sum(1 << k for k in pick.sample(range(64), distance)) for x in base], np.uint64)
+    for segments in (2, 3, 4) if distance < 8 else (3, 4):
+        keys = [{}, {}]
+        for held, prints in zip(keys, (base, other), strict=True):
+            for at, key in simhash.filed_under(prints.view(np.int64), distance, segments):
+                for i, k in zip(at.tolist(), key.tolist(), strict=True):
+                    held.setdefault(i, set()).add(k)
+        assert all(keys[0][i] & keys[1][i] for i in range(40))
+
+
+def near_by(prints, distance):
+    bits = [int(x) for x in prints.view(np.uint64)]
+    return [(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if (bits[i] ^ bits[j]).bit_count() <= distance]
+
+
+def same_groups(found, place, pairs):
+    own, groups = plain_components(len(place), pairs), {}
+    for r in found.collect():
+        groups.setdefault(r["component"], set()).add(place[r["id"]])
+    members = {own[i]: {j for j in place.values() if own[j] == own[i]} for pair in pairs for i in pair}
+    return sorted(map(sorted, groups.values())) == sorted(map(sorted, members.values()))
+
+
 @pytest.mark.parametrize(("segments", "tile_rows"), [(3, 8), (2, 20_000)])
 def test_linked_fingerprints(spark, segments, tile_rows):
     prints = near_prints(segments, centres=6)
-    bits = prints.view(np.uint64)
-    pairs = [(i, j) for i in range(len(bits)) for j in range(i + 1, len(bits)) if (int(bits[i]) ^ int(bits[j])).bit_count() <= 4]
-    want = plain_components(len(bits), pairs)
-    rows = spark.createDataFrame([(i, int(p)) for i, p in enumerate(prints)], "id long, fp long").repartition(3)
-    edges = [(r["a"], r["b"]) for r in simhash.fingerprint_links(rows, 4, segments, tile_rows).collect()]
-    assert plain_components(len(bits), edges) == want
-    assert all((int(bits[a]) ^ int(bits[b])).bit_count() <= 4 for a, b in edges)
+    table = spark.createDataFrame([(int(p),) for p in prints], "fp long").repartition(3)
+    place = {int(p): i for i, p in enumerate(prints)}
+    want = near_by(prints, 4)
+    got = {(place[r["a"]], place[r["b"]]) for r in simhash.candidates(table, 4, segments, True, tile_rows=tile_rows).collect()}
+    assert got == set(want)
+    assert same_groups(simhash.grouped_prints(table, 4, segments, tile_rows), place, want)
+
+
+@pytest.mark.parametrize(("few", "hot"), [(4, 1_000_000), (256, 0)])
+def test_crowded_values_give_stars(spark, monkeypatch, few, hot):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "MOST_HOT", hot)
+    prints = near_prints(5, centres=2, each=120)
+    want = near_by(prints, 6)
+    table = spark.createDataFrame([(int(p),) for p in prints], "fp long").repartition(2)
+    place = {int(p): i for i, p in enumerate(prints)}
+    found = simhash.candidates(table, 6, 3, tile_rows=60).collect()
+    stars = {(place[r["a"]], place[r["b"]]) for r in found if r["b"] is not None}
+    again = {place[r["a"]] for r in found if r["b"] is None}
+    assert stars < set(want) and all(p in stars or set(p) <= again for p in want)  # what is left out is compared again
+    assert same_groups(simhash.grouped_prints(table, 6, 3, 60), place, want)
+
+
+@pytest.mark.parametrize("stars", [0, 2])
+def test_near_copies_are_those_of_a_plain_search(spark, monkeypatch, stars):
+    monkeypatch.setattr(simhash, "STARS", stars)
+    pick = random.Random(stars)
+    base = [f"w{pick.randrange(10**6)}" for _ in range(120)]
+    line = [f"c{k}" for k in range(12)]
+    texts = [" ".join(base), " ".join(base[:-1] + [base[-1], "."]), " ".join(base[:60] + ["other"] + base[61:]).upper()]
+    for _ in range(40):  # a common line in texts of their own, and copies with one to four words changed
+        own = [f"w{pick.randrange(10**6)}" for _ in range(pick.choice([8, 40, 90]))] + line
+        texts.append(" ".join(own))
+        for n in range(1, 5):
+            for at in pick.sample(range(len(own)), n):
+                own[at] = f"x{pick.randrange(10**6)}"
+            texts.append(" ".join(own))
+    texts += ["a b c d e " * 50 + f"x{k} y z" for k in range(6)]  # one fingerprint, and alike
+    texts += ["a b c d e f g " * 40 + " ".join(f"{k}v{n}" for n in range(30)) for k in range(6)]  # one fingerprint at most, not alike
+    texts += ["", None, "a b", "A  b", " ".join(line), " ".join(line[1:])]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
+    prints = [simhash.fingerprint(t, 5) & (1 << 64) - 1 for t in texts]
+    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= 13
+    top = plain_components(len(texts), [(i, j) for j in range(len(texts)) for i in range(j) if alike(i, j)])
+    kept = {top[i] for i in range(len(texts))}
+    assert len(kept) < len(texts) - 40
+    docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, node string, fp int").repartition(4)
+    left = simhash.drop_near_copies(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(kept)
+
+
+def test_near_copies_of_repeated_ids(spark):
+    speak = lambda seed: " ".join(f"w{random.Random(seed * 100 + k).randrange(10**6)}" for k in range(40))
+    rows = [(1, speak(1)), (1, speak(1)), (2, speak(1)), (2, speak(2)), (None, speak(1)), (None, None), (3, None), (4, ""), (5, speak(3)), (5, speak(3).upper())]
+    got = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: (r[0] or 0, (r[1] or "").lower())
+    assert sorted(map(key, got.collect())) == sorted(map(key, [(1, speak(1)), (2, speak(2)), (None, speak(1)), (None, None), (3, None), (5, speak(3))]))
+    assert simhash.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_near_duplicates(spark):
