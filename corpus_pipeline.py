@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences: toxicity, quality, near-duplicates, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next one's docs. All but the last keep the columns of documents. Documents with a null doc_id pass the
-near-duplicate stage as they are; of rows that repeat a doc_id it keeps one.
+the next one's docs. All but the last keep the columns of documents, and judge every row by its own text: null
+and empty texts count as empty, repeated rows get the same verdict, empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -11,8 +11,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.llm import decontaminate, overlap, packing, quality, toxicity
-from gridweave.llm.common import stored, table
+from gridweave.llm import decontaminate, packing, quality, simhash, toxicity
+from gridweave.llm.common import free_name, stored, table
 
 TOXIC = 0.7
 
@@ -20,21 +20,20 @@ TOXIC = 0.7
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose toxicity score reaches TOXIC."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, out="_score").where(F.col("_score") < TOXIC).select(*docs.columns)
+    out = free_name(docs, "score")
+    return toxicity.score(docs, model, out=out).where(F.col(out) < TOXIC).select(*docs.columns)
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose quality score is below the cut."""
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out="_score").where(F.col("_score") >= quality.CUT).select(*docs.columns)
+    out = free_name(docs, "score")
+    return quality.score(docs, model, out=out).where(F.col(out) >= quality.CUT).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of texts that share 0.8 of their five-word shingles."""
-    groups = overlap.near_copies(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    """Keeps one document of each group that SimHash brings together and whose texts share 0.8 of their five-word shingles."""
+    return simhash.drop_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

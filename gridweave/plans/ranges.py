@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows, cut from their lineage by a table in spark.checkpoint.dir.
 
-    Where the session names no such folder (local runs), a temporary one is set. A table also forgets what the
+    Where the session names no such folder, a temporary one is set if it runs on this machine alone. A table also forgets what the
     optimiser has derived about the rows, which DataFrame.checkpoint() hands on from round to round.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
     path = f"{context._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
