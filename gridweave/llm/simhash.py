@@ -20,12 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import components, free_name, looked_up, small, stored
+from gridweave.llm.common import batches_of, components, free_name, looked_up, small, stored
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
-#: Filed rows that a task compares at once, and rows under one value from which it is cut into blocks.
-TASK_ROWS, TILE_ROWS = 1_000_000, 50_000
+#: Filed rows that are compared at once, that a task files, and rows under one value from which it is cut into blocks.
+TASK_ROWS, FILED_ROWS, TILE_ROWS = 400_000, 4_000_000, 50_000
+#: Fingerprints filed, and pairs of whole texts compared, at a time.
+AT_ONCE, TEXTS_AT_ONCE = 1_024, 500
 #: Values with their number of blocks that may be sent to all tasks; with more, all are cut into as many.
 MOST_HOT = 1_000_000
 #: Rounds in which crowded values give stars before all pairs across groups are given.
@@ -255,9 +257,9 @@ def candidates(prints: DataFrame, distance: int, segments: int = 3, all_pairs: b
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for x in range(0, len(batch), 4096):
-                fps = batch["fp"].to_numpy()[x : x + 4096].view(np.uint64)
-                groups = batch["group"].to_numpy()[x : x + 4096].view(np.uint64) if grouped else None
+            for x in range(0, len(batch), AT_ONCE):
+                fps = batch["fp"].to_numpy()[x : x + AT_ONCE].view(np.uint64)
+                groups = batch["group"].to_numpy()[x : x + AT_ONCE].view(np.uint64) if grouped else None
                 for at, key in filed_under(fps, distance, segments):
                     if not len(at):
                         continue
@@ -288,16 +290,17 @@ def candidates(prints: DataFrame, distance: int, segments: int = 3, all_pairs: b
         return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").where(a != b)}).drop_duplicates()
 
     names = ["fp", "group"] if grouped else ["fp"]
-    return prints.select(*names).mapInPandas(filed, "bucket long, rows binary").groupBy("bucket").applyInPandas(compared, "a long, b long")
+    dealt = prints.select(*names).repartition(max(1, math.ceil(total * each / FILED_ROWS)))
+    return dealt.mapInPandas(filed, "bucket long, rows binary").groupBy("bucket").applyInPandas(compared, "a long, b long")
 
 
 def grouped_prints(prints: DataFrame, distance: int, segments: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, component) of each fingerprint that is linked to another one: the groups within the distance."""
-    links = groups = None
+    groups = None
     for k in range(STARS + 1):
         found = stored(candidates(prints, distance, segments, k == STARS, k, tile_rows), "simhash-links")
         own = found.where("b is not null")
-        links = own if links is None else links.unionByName(own)
+        links = own if groups is None else groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(own)
         groups = stored(components(links), "simhash-components")
         again = found.where("b is null").select(F.col("a").alias("fp")).distinct()
         prints = stored(again.join(groups.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")), "simhash-again")
@@ -392,7 +395,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
     for side, other in (("a", "b"), ("b", "a")):
         counts = pairs.select(side, other).groupBy(side).agg(F.count("*").alias("n"))
         pairs = looked_up(pairs, texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), counts, side, other)
-    return stored(pairs.where(alike("b", "text_a", "text_b")).select("a", "b"), "near-links")
+    with batches_of(docs.sparkSession, TEXTS_AT_ONCE):
+        return stored(pairs.where(alike("b", "text_a", "text_b")).select("a", "b"), "near-links")
 
 
 def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, segments: int = 3, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -405,7 +409,7 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     rows = stored(text_prints(docs, shingle), "near-prints")
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("size").alias("size")), "near-nodes")
     own = nodes.where("size > 0").withColumn("group", F.col("node"))
-    prints, links, tested, groups = own.select("fp").distinct(), None, None, None
+    prints, tested, groups = own.select("fp").distinct(), None, None
     for k in range(STARS + 1):
         found = stored(candidates(prints, distance, segments, k == STARS, k, tile_rows), "near-prints-met")
         again = found.where("b is null").select(F.col("a").alias("fp"))
@@ -413,7 +417,7 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
         pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
         tested = pairs if tested is None else tested.unionByName(pairs)
         right = _verified(pairs, nodes, docs, shingle)
-        links = right if links is None else links.unionByName(right)
+        links = right if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(right)
         groups = stored(components(links), "near-components").select(F.col("id").alias("node"), "component")
         again = again.unionByName(own.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")).distinct()
         own = own.drop("group").join(again, "fp", "left_semi").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
