@@ -58,6 +58,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def few_at_a_time(df: DataFrame, rows: int = 1_000) -> DataFrame:
+    """df, whose whole texts Python functions now get so many rows at a time: a setting of the session that stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, rows)
+    return df
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Inside, Python functions get so many rows at a time; for rows that hold whole texts."""

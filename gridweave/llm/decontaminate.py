@@ -15,15 +15,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import stored
+from gridweave.llm.common import few_at_a_time, small, stored
 
 Q = 12
 WINDOW = 160
 EDIT_SHARE = 0.07
 #: Benchmark characters that one pass over the documents holds in memory, at some 25 bytes each.
 PASS_CHARS = 2_000_000
+#: Places of shared q-grams that are looked at together.
+PLACES = 1_000_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-FOUND = "item_id long, start long, end long, edits int"
+FOUND = "text_key long, start long, end long, edits int"
 
 
 def normal(text: str) -> str:
@@ -143,16 +145,24 @@ class Index:
         if not count.any():
             return []
         at, lo, count = at[count > 0], lo[count > 0], count[count > 0]
-        entry = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        window, diagonal = self.window[entry], np.repeat(at, count) - self.place[entry]
-        step = self.budgets[window] + 1
-        band = diagonal // step
-        keys, size = np.unique(np.concatenate([window, window]) * (1 << 34) + np.concatenate([band, band - 1]) + (1 << 33), return_counts=True)
+        cuts = np.searchsorted(np.cumsum(count), np.arange(0, count.sum() + PLACES, PLACES))
+        parts = [self._banded(at[a:b], lo[a:b], count[a:b]) for a, b in zip(cuts, [*cuts[1:].tolist(), len(at)], strict=True) if a < b]
+        keys, size = parts[0]
+        if len(parts) > 1:
+            keys, place = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+            size = np.bincount(place, np.concatenate([n for _, n in parts])).astype(np.int64)
         window, band = keys >> 34, (keys & ((1 << 34) - 1)) - (1 << 33)
         reached = size >= self.least[window]
         step = self.budgets[window] + 1
         return list(zip(window[reached].tolist(), (band * step)[reached].tolist(), ((band + 2) * step - 1)[reached].tolist(), strict=True))
 
+    def _banded(self, at: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shared q-grams counted by window and band of diagonals, for some of a document's q-grams."""
+        entry = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        window, diagonal = self.window[entry], np.repeat(at, count) - self.place[entry]
+        band = diagonal // (self.budgets[window] + 1)
+        return np.unique(np.concatenate([window, window]) * (1 << 34) + np.concatenate([band, band - 1]) + (1 << 33), return_counts=True)
+
     def verified(self, own: str) -> Iterator[tuple[int, int, int, int]]:
         """(window, edits, start, end) of each place in a normal text where a window is found, some more than once."""
         if len(own) < Q or not self.windows:
@@ -204,37 +214,51 @@ class Index:
         return list(dict.fromkeys(found))
 
 
-def _passes(benchmark: DataFrame) -> Iterator[tuple[Index, bool]]:
-    """Indexes over parts of the benchmark, each of about PASS_CHARS characters, and whether there are several.
+def _texts(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text_key, text) of the benchmark, each row once; equal texts have one key."""
+    rows = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long"), F.xxhash64("text").alias("text_key"), "text")
+    return stored(rows.distinct(), "benchmark")
+
+
+def _passes(texts: DataFrame) -> Iterator[tuple[Index, bool]]:
+    """Indexes over parts of the different texts, and whether there are several.
 
-    The result of each of several passes is stored before the next index is made, so memory has a bound.
+    A part has PASS_CHARS characters or little more, or is a single text, which is never split: what is found
+    does not depend on the parts. The result of each of several passes is stored before the next index is made.
     """
-    rows = benchmark.where(F.length("text") > 0).select(F.col("item_id").cast("long"), "text")
-    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = 1 + chars // PASS_CHARS
-    for k in range(passes):
-        part = rows if passes == 1 else rows.where(F.pmod(F.xxhash64("text"), F.lit(passes)) == k)
-        yield Index([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]), passes > 1
+    own = texts.select("text_key", "text").dropDuplicates(["text_key"])
+    sizes = own.select("text_key", F.length("text").alias("chars"))
+    parts, most = 1, sizes.agg(F.sum("chars")).first()[0] or 0
+    while most > PASS_CHARS:
+        parts *= 2
+        part = F.pmod(F.col("text_key"), F.lit(parts)).alias("part")
+        most = sizes.groupBy(part).agg(F.sum("chars").alias("chars"), F.count("*").alias("n")).agg(F.max(F.when(F.col("n") > 1, F.col("chars")))).first()[0] or 0
+    for k in range(parts):
+        part = own if parts == 1 else own.where(F.pmod(F.col("text_key"), F.lit(parts)) == k)
+        rows = [(r["text_key"], r["text"]) for r in part.orderBy("text_key").collect()]
+        if rows or parts == 1:
+            yield Index(rows), parts > 1
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, start, end, edits): each region of a document that holds a benchmark text or part of it.
 
     start and end count characters of the whole document. Null and empty texts on either side, and benchmark
-    texts under 12 characters, match nothing; repeated rows match each time; null ids come back as null.
+    texts under 12 characters, match nothing; repeated rows of documents match each time, those of the benchmark
+    once; null ids come back as null. Different texts of one item match each for itself.
     """
-    found = None
-    for index, several in _passes(benchmark):
+    texts, found = _texts(benchmark), None
+    for index, several in _passes(texts):
 
         def searched(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in index.search(text)]
-                yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype="Int64") for k, c in enumerate(("doc_id", "item_id", "start", "end", "edits"))})
+                yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype="Int64") for k, c in enumerate(("doc_id", "text_key", "start", "end", "edits"))})
 
-        own = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(searched, "doc_id long, " + FOUND)
+        own = few_at_a_time(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(searched, "doc_id long, " + FOUND)
         own = stored(own, "benchmark-matches") if several else own
         found = own if found is None else found.unionByName(own)
-    return found
+    return found.join(small(texts.select("text_key", "item_id")), "text_key").select("doc_id", "item_id", "start", "end", "edits")
 
 
 def _free(index: Index):
@@ -247,7 +271,7 @@ def _free(index: Index):
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark text, with all their columns."""
-    for index, several in _passes(benchmark):
-        docs = docs.where(_free(index)(F.col("text")))
+    for index, several in _passes(_texts(benchmark)):
+        docs = few_at_a_time(docs).where(_free(index)(F.col("text")))
         docs = stored(docs, "decontaminated") if several else docs
     return docs

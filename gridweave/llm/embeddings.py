@@ -13,10 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import components, stored
+from gridweave.llm.common import components, looked_up, stored
 
-#: Rows of a block; a tile is a pair of blocks of one label.
-BLOCK = 1024
+#: Numbers and rows of a block; a tile is a pair of blocks of one label.
+BLOCK_NUMBERS, LEAST_ROWS, MOST_ROWS = 4_000_000, 1_024, 8_192
 #: Dimensions whose int8 products add up exactly in single precision.
 EXACT_DIMS = 1024
 #: Hot labels that may be broadcast with their number of blocks.
@@ -32,19 +32,24 @@ def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q, scale, error * (1 + 1e-9) + 1e-12
 
 
-def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float, chunk: int = 100_000) -> tuple[np.ndarray, np.ndarray]:
+def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float, chunk: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the rows of a and b whose cosine in double precision reaches the threshold."""
     (qa, sa, ea), (qb, sb, eb) = quantise(a), quantise(b)
-    product = np.zeros((len(a), len(b)))
-    for k in range(0, a.shape[1], EXACT_DIMS):
-        product += qa[:, k : k + EXACT_DIMS].astype(np.float32) @ qb[:, k : k + EXACT_DIMS].astype(np.float32).T
-    # |u.v - st q.r| <= |sq||f| + |e||tr| + |e||f| with |sq| <= 1 + |e| and |tr| <= 1 + |f|
-    bound = ea[:, None] + eb[None, :] + 3 * ea[:, None] * eb[None, :]
-    i, j = np.nonzero(product * sa[:, None] * sb[None, :] + bound >= threshold - 1e-12)
-    norm_a, norm_b = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-    keep = [np.einsum("ij,ij->i", a[i[k : k + chunk]], b[j[k : k + chunk]]) / (norm_a[i[k : k + chunk]] * norm_b[j[k : k + chunk]]) >= threshold for k in range(0, len(i), chunk)]
-    kept = np.concatenate(keep) if keep else np.zeros(0, bool)
-    return i[kept], j[kept]
+    norm_a, norm_b, near_i, near_j = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1), [], []
+    right = [qb[:, k : k + EXACT_DIMS].astype(np.float32).T for k in range(0, a.shape[1], EXACT_DIMS)]
+    for x in range(0, len(a), chunk):  # rows of the tile at a time
+        own = slice(x, x + chunk)
+        product = sum((qa[own, EXACT_DIMS * k : EXACT_DIMS * (k + 1)].astype(np.float32) @ r).astype(np.float64) for k, r in enumerate(right))
+        # |u.v - st q.r| <= |sq||f| + |e||tr| + |e||f| with |sq| <= 1 + |e| and |tr| <= 1 + |f|
+        bound = ea[own, None] + eb[None, :] + 3 * ea[own, None] * eb[None, :]
+        i, j = np.nonzero(product * sa[own, None] * sb[None, :] + bound >= threshold - 1e-12)
+        for k in range(0, len(i), 50_000):
+            p, q = i[k : k + 50_000] + x, j[k : k + 50_000]
+            kept = np.einsum("ij,ij->i", a[p], b[q]) / (norm_a[p] * norm_b[q]) >= threshold
+            near_i.append(p[kept])
+            near_j.append(q[kept])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *near_i]), np.concatenate([none, *near_j])
 
 
 def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -72,7 +77,7 @@ def tile_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     x, copies, cid, block = np.stack(rows["vector"].to_numpy()).astype(np.float64), rows["copies"].to_numpy(), rows["cid"].to_numpy(), rows["block"].to_numpy()
     first = np.flatnonzero(block == block.min())
     second = np.flatnonzero(block != block.min())
-    if rows["tile"].iat[0] % 100_000 != rows["tile"].iat[0] // 100_000:
+    if rows["low"].iat[0] != rows["high"].iat[0]:
         if not len(second):  # the other block is empty
             return pd.DataFrame({"cid": cid[:0], "n": copies[:0], "root": cid[:0]})
         i, j = near_pairs(x[first], x[second], threshold)
@@ -85,7 +90,7 @@ def tile_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"cid": cid[at], "n": n[at].astype(np.int64), "root": cid[smallest_linked(len(x), i, j)[at]]})
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors (vec_id, embedding, label).
 
     Rows of one label and dimension are linked if their cosine reaches the threshold, copies included. A null
@@ -97,20 +102,21 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     own = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))) & F.exists("vector", lambda v: v != 0)
     own = own.withColumn("fine", F.coalesce(F.col("label").isNotNull() & fine, F.lit(False)))
+    rows = F.lit(block) if block else F.greatest(F.lit(LEAST_ROWS), F.least(F.lit(MOST_ROWS), F.floor(BLOCK_NUMBERS / F.col("dims"))))
     classes = own.where("fine").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("cid"), "label", F.size("vector").alias("dims"), "vector", "least", "copies"), "vector-classes")
 
     kinds = ["label", "dims"]
-    hot = classes.groupBy(*kinds).count().where(F.col("count") > block).select(*kinds, F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    hot = classes.groupBy(*kinds).count().where(F.col("count") > rows).select(*kinds, F.ceil(F.col("count") / rows).cast("int").alias("blocks"))
     hot = stored(hot, "hot-labels")
     hot = F.broadcast(hot) if hot.count() <= MOST_HOT else hot
     tiles = (
         classes.select("cid", *kinds, "vector", "copies").join(hot, kinds, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .withColumn("tile", F.least("block", "other").cast("long") * 100_000 + F.greatest("block", "other"))
+        .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     )
-    found = tiles.groupBy(*kinds, "tile").applyInPandas(lambda rows: tile_links(rows, threshold), "cid long, n long, root long")
+    found = tiles.groupBy(*kinds, "low", "high").applyInPandas(lambda rows: tile_links(rows, threshold), "cid long, n long, root long")
     found = stored(found, "vector-links")
     groups = stored(components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))), "vector-groups")
     least = groups.join(classes.select(F.col("cid").alias("id"), "least"), "id").groupBy("component").agg(F.min("least").alias("component_id"))
@@ -118,9 +124,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, block: int = BL
     linked = found.groupBy("cid").agg(F.sum("n").alias("n"))
     known = (
         classes.join(linked, "cid", "left").join(member, "cid", "left")
-        .select("label", "vector", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+        .select(F.struct("label", "vector").alias("key"), "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
     )
     known = stored(known, "vectors-known")
-    done = own.where("fine").join(known, ["label", "vector"]).select("vec_id", "n_links", "component_id")
+    keyed = own.where("fine").select("vec_id", F.struct("label", "vector").alias("key"))
+    done = looked_up(keyed, known.drop("copies"), known.select("key", F.col("copies").alias("n")), "key", "vec_id").select("vec_id", "n_links", "component_id")
     alone = own.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return done.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

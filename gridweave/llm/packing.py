@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import stored
+from gridweave.llm.common import few_at_a_time, stored
 from gridweave.llm.tokens import encoder
 
 WINDOW = 4096
@@ -44,8 +44,9 @@ class Packer:
 
     def add(self, piece: Piece) -> None:
         doc, start, total, ids = piece
+        ids = memoryview(ids)  # what is left of a long document is not copied for each window
         while len(ids) // 4 >= self.window:
-            self.emit([(doc, start, total, ids[: 4 * self.window])])
+            self.emit([(doc, start, total, bytes(ids[: 4 * self.window]))])
             start, ids = start + self.window, ids[4 * self.window :]
         while ids:
             n = len(ids) // 4
@@ -62,7 +63,7 @@ class Packer:
                     self.emit(self.open.pop(number))
                     continue
                 n = gap
-            self.open[number].append((doc, start, total, ids[: 4 * n]))
+            self.open[number].append((doc, start, total, bytes(ids[: 4 * n])))
             start, ids = start + n, ids[4 * n :]
             if gap == n:
                 self.emit(self.open.pop(number))
@@ -140,7 +141,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = encode(text or "") + end
                 packer.add((None if pd.isna(doc) else int(doc), 0, len(ids) // 4, ids))
-            yield from rows.take(rows.batch)
+                yield from rows.take(rows.batch)
         if left := packer.close():
             rows.put(left, left_over=True)
         yield from rows.take(0)
@@ -164,7 +165,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True
 
         return safe
 
-    first = docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(packed, PIECES)
+    first = few_at_a_time(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(packed, PIECES)
     done, level = stored(first, "packed"), 0
     parts = 1 + (lambda most: -1 if most is None else most)(done.agg(F.max("part")).first()[0])
     whole, open_ = done.where("not left_over"), done.where("left_over")

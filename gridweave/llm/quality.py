@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import crc_fold, labelled_sample
+from gridweave.llm.common import crc_fold, few_at_a_time, labelled_sample
 
 #: Scores at the cut; documents below are rejected.
 CUT = 0.3
@@ -69,10 +69,10 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = 40_000, ridge: float = 1e
         return {"mean": mean, "spread": spread, "w": np.zeros(x.shape[1]), "cut": -1.0 if not len(bad) else 1.0, "slope": 1.0}
     z = (x - mean) / spread
     pick = np.random.default_rng(7)
-    winner, loser = (np.concatenate([own, pick.choice(own, max(0, pairs - len(own)))]) for own in (good, bad))
+    most = max(pairs, len(good), len(bad))  # each row takes part at least once
+    winner, loser = (np.concatenate([own, pick.choice(own, most - len(own))]) for own in (good, bad))
     pick.shuffle(winner)
-    most = min(len(winner), len(loser))
-    d = z[winner[:most]] - z[loser[:most]]
+    d = z[winner] - z[loser]
     w, unit = np.zeros(x.shape[1]), np.eye(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(d @ w, -30, 30)))
@@ -105,7 +105,7 @@ def strengths(model: dict, texts) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, max_labelled: int = 10_000) -> dict:
     """Fits on at most max_labelled labelled rows outside the held-out fold; only their features reach the driver."""
-    sample = labelled_sample(docs, labels, "quality", crc_fold("doc_id", folds) != held_out, max_labelled)
+    sample = labelled_sample(few_at_a_time(docs), labels, "quality", crc_fold("doc_id", folds) != held_out, max_labelled)
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -118,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "score") -> DataFrame:
-    """All rows and columns of docs, and each whole text's score; null texts count as empty."""
+    """All rows and columns of docs, and each whole text's score; null texts count as empty, and a column named `out` is replaced."""
     base = np.log(CUT / (1 - CUT))
 
     @F.pandas_udf("double")
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "scor
             off = model["slope"] * (strengths(model, texts) - model["cut"])
             yield pd.Series(1 / (1 + np.exp(-np.clip(base + off, -30, 30))))
 
-    return docs.withColumn(out, scored(F.col(text_col)))
+    return few_at_a_time(docs).withColumn(out, scored(F.col(text_col)))
 
 
 def keep_above(scored: DataFrame, quantile: float, score_col: str = "score") -> DataFrame:

@@ -95,7 +95,8 @@ WITH own AS (
         coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path,
         CASE WHEN html IS NULL THEN NULL WHEN length(html) - length(translate(html, '#$%*|', '')) > 0.01 * length(html) THEN 1 ELSE 0 END AS bad
     FROM pages),
-named AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, string_split(host, '.') AS p FROM own GROUP BY host),
+counted AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM own GROUP BY host),
+named AS (SELECT *, CASE WHEN regexp_matches(name, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$') THEN [name] ELSE string_split(name, '.') END AS p FROM counted),
 hosts AS (
     SELECT host, n, bad, CASE WHEN array_to_string(p[-2:], '.') IN (SUFFIXES) THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain,
         CASE WHEN array_to_string(p[-2:], '.') IN (SUFFIXES) THEN array_to_string(p[-2:], '.') ELSE p[-1] END AS suffix
@@ -112,7 +113,7 @@ p AS (SELECT max(m) FILTER (level = 's') AS mean, max(s) FILTER (level = 's') AS
 top AS (SELECT suffix, (bad + ss * mean) / (n + ss) AS above FROM suffixes, p),
 middle AS (SELECT domain, suffix, (bad + ds * above) / (n + ds) AS above FROM domains JOIN top USING (suffix), p),
 rated AS (SELECT host, n, (bad + hs * above) / (n + hs) AS rate, hs FROM hosts JOIN middle USING (domain, suffix), p),
-known AS (SELECT host, CASE WHEN rate - 1.645 * sqrt(rate * (1 - rate) / (n + hs + 1)) > 0.2 THEN 'block' ELSE 'allow' END AS by_host FROM rated),
+known AS (SELECT host, CASE WHEN rate - sqrt(19.0) * sqrt(rate * (1 - rate) / (n + hs + 1)) > 0.2 THEN 'block' ELSE 'allow' END AS by_host FROM rated),
 ruled AS (
     SELECT page_id, own.host, path, by_host,
         CASE WHEN (own.host = 'example.net' OR own.host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'

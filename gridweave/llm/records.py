@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.llm.common import few_at_a_time
 from gridweave.llm.tokens import encoder
 
 NAME = b"TOKENS01"
 MASK = 0xA282EAD8
+#: Bytes of text that a shard holds about at most.
+SHARD_BYTES = 256_000_000
 SHARDS = "shard long, path string, records long, tokens long, bytes long"
 READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -68,10 +72,15 @@ def filesystem(folder: str) -> tuple[pafs.FileSystem, str]:
 
 
 def put(fs: pafs.FileSystem, tmp: str, path: str) -> None:
-    """Renames a whole file. One left by an earlier attempt holds the same and goes first: not every store replaces it."""
-    if fs.get_file_info(path).type != pafs.FileType.NotFound:
-        fs.delete_file(path)
-    fs.move(tmp, path)
+    """Renames a whole file, unless another attempt of the task has: its file holds the same and is never taken away."""
+    if fs.get_file_info(path).type == pafs.FileType.NotFound:
+        try:
+            fs.move(tmp, path)
+        except OSError:  # some stores refuse a name that another attempt has just taken
+            if fs.get_file_info(path).type == pafs.FileType.NotFound:
+                raise
+    if fs.get_file_info(tmp).type != pafs.FileType.NotFound:
+        fs.delete_file(tmp)
 
 
 def open_shard(fs: pafs.FileSystem, path: str):
@@ -100,19 +109,20 @@ def read_at(folder: str, name: str, positions: list[int]) -> list[tuple[int | No
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width: int = 2, shards: int | None = None) -> DataFrame:
     """Writes the ids of all documents in ascending doc_id order; returns a row of SHARDS for each file.
 
-    Null ids come first, ties in the order of their texts; null texts count as empty. Each shard is one
-    range of ids, as many as the session has shuffle partitions unless given. A shard is written under a
-    name of its attempt and renamed when whole, so a task that is run again does no harm. The width is
-    that of the tokenizer's largest id: 2 bytes up to 65,535.
+    Null ids come first, rows of one id in the order of their texts' hashes; null texts count as empty, and
+    repeated rows are written each time. Each shard is one range of that order, unless given as many as the session
+    has shuffle partitions, or more where they would hold over SHARD_BYTES of text. A shard is written under a
+    name of its attempt and renamed when whole, so a task that is run again does no harm. width is the bytes of
+    an id; ids that need more raise ValueError.
     """
     spark = docs.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = shards or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // SHARD_BYTES)
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(tokenizer).ids, end_id.to_bytes(4, "little")
         fs, base = filesystem(folder)
         context = TaskContext.get()
-        name, index, records, tokens, at = f"shard-{context.partitionId():06d}", [], 0, 0, 12
+        name, index, records, tokens, at = f"shard-{context.partitionId():06d}", array("Q"), 0, 0, 12
         tmp = f"{base}/_{name}-{context.taskAttemptId()}"
         out = None
         for batch in batches:
@@ -126,7 +136,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width:
                     raise ValueError(f"ids of this tokenizer need more than {width} bytes")
                 record = frame(payload_of(None if pd.isna(doc_id) else int(doc_id), ids, width))
                 out.write(record)
-                index.append((at, tokens))
+                index.extend((at, tokens))
                 at, tokens, records = at + len(record), tokens + len(ids), records + 1
         if out is not None:
             out.close()
@@ -136,7 +146,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, width:
                 put(fs, tmp + kind, f"{base}/{name}{kind}")
             yield pd.DataFrame([(context.partitionId(), name, records, tokens, at)], columns=["shard", "path", "records", "tokens", "bytes"])
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    own = few_at_a_time(docs).select(F.col("doc_id").cast("long"), "text").withColumn("tie", F.xxhash64("text"))
+    ordered = own.repartitionByRange(n, F.asc_nulls_first("doc_id"), "tie").sortWithinPartitions(F.asc_nulls_first("doc_id"), "tie", "text")
     done = ordered.mapInPandas(written, SHARDS).collect()  # a row for each file
     return spark.createDataFrame(sorted(done), SHARDS)
 
@@ -153,19 +164,25 @@ def read(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
     if not listed:
         return spark.createDataFrame([], READ)
 
+    def batch_of(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+
     def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = filesystem(folder)
         for batch in batches:
             for path, before, records, tokens in batch.itertuples(index=False):
-                rows, at = [], before
+                rows, at, number = [], before, 0
                 source, width = open_shard(fs, f"{base}/{path}.bin")
                 with source:
                     while (payload := read_frame(source)) is not None:
                         doc_id, ids = parse_payload(payload, width)
                         rows.append((doc_id, at, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
-                        at += len(ids)
-                if (len(rows), at - before) != (records, tokens):
-                    raise ValueError(f"{path} holds {len(rows)} records, not {records}")
-                yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"]).astype({"doc_id": "Int64"})
+                        at, number = at + len(ids), number + 1
+                        if len(rows) >= 10_000:
+                            yield batch_of(rows)
+                            rows = []
+                if (number, at - before) != (records, tokens):
+                    raise ValueError(f"{path} holds {number} records, not {records}")
+                yield batch_of(rows)
 
     return spark.createDataFrame(listed, "path string, start long, records long, tokens long").repartition(len(listed)).mapInPandas(parsed, READ)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import batches_of, components, free_name, looked_up, small, stored
+from gridweave.llm.common import batches_of, components, few_at_a_time, free_name, looked_up, small, stored
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
-    return docs.withColumn(out, of(F.col(text_col)))
+    return few_at_a_time(docs).withColumn(out, of(F.col(text_col)))
 
 
 # ---- filing
@@ -349,7 +349,7 @@ def text_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
                 rows.append((doc, word_hash(own), bits_of(hashes), len(np.unique(hashes))))
             yield pd.DataFrame(rows, columns=["doc_id", "node", "fp", "size"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(read, "doc_id long, node long, fp long, size int")
+    return few_at_a_time(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(read, "doc_id long, node long, fp long, size int")
 
 
 def _across(pairs: DataFrame, nodes: DataFrame, all_pairs: bool) -> DataFrame:

@@ -8,7 +8,9 @@ from array import array
 from itertools import islice
 
 #: Entries of a cache generation; two generations are held.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Characters of a word that a cache keeps: longer ones (encoded data, say) hardly come again.
+LONGEST = 48
 TAIL = ".,;:!?"
 
 
@@ -51,6 +53,8 @@ class _Cache(dict):
         got = self.old.get(word)
         if got is None:
             got = self.make(word)
+        if len(word) > LONGEST:
+            return got
         if len(self) >= CACHE_WORDS:
             self.old = dict(self)
             self.clear()

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import checkpointed, crc_fold, labelled_sample
+from gridweave.llm.common import checkpointed, crc_fold, few_at_a_time, labelled_sample
 
 OTHER, BREAK, NEGATION, REPORT, TARGET, THREAT, INSULT = range(7)
 DIRECTED, NEGATED, REPORTED, MENACE = 7, 8, 9, 10
@@ -36,6 +36,8 @@ FACTOR = {INSULT: 1.0, DIRECTED: 1.25, NEGATED: 0.5, REPORTED: 0.6, MENACE: 1.0}
 MENACE_WEIGHT = 0.5
 #: Tokens that a negation reaches, and that may stand between a target and an insult or threat.
 REACH = 3
+#: Characters of a token that the cache keeps.
+LONGEST = 48
 
 SPLIT = re.compile(r"[.!?;:\n]+|[^\s.!?;:]+")
 EDGE = "\"'()[]{}<>,*#$%&|«»“”„…¡¿-_"
@@ -94,7 +96,7 @@ class Machine:
 class Grammar:
     """Scores whole texts with a lexicon of words and prefixes (those end in *) and their weights."""
 
-    def __init__(self, lexicon: dict[str, float], reach_cache: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], reach_cache: int = 100_000):
         self.lexicon = lexicon
         self.lengths = sorted({len(k) - 1 for k in lexicon if k[-1:] == "*"})
         self.fixed = {w: s for s, words in WORDS.items() for w in words.split()}
@@ -107,9 +109,10 @@ class Grammar:
             word = token.strip(EDGE)
             keys = [word, *(word[:n] + "*" for n in self.lengths if len(word) >= n)]
             got = max((self.lexicon.get(k, 0.0) for k in keys), default=0.0)
-            if len(self.seen) >= self.most:
-                self.seen.clear()
-            self.seen[token] = got
+            if len(token) <= LONGEST:
+                if len(self.seen) >= self.most:
+                    self.seen.clear()
+                self.seen[token] = got
         return got
 
     def clauses(self, text: str) -> list[tuple[float, list[str]]]:
@@ -223,7 +226,7 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], float, float]:
 
 
 def score(docs: DataFrame, model: tuple[dict[str, float], float, float], text_col: str = "text", out: str = "score") -> DataFrame:
-    """All rows and columns of docs, and each whole text's score; null texts count as empty."""
+    """All rows and columns of docs, and each whole text's score; null texts count as empty, and a column named `out` is replaced."""
     lexicon, slope, offset = model
 
     @F.pandas_udf("double")
@@ -233,10 +236,10 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float, float], text_co
             raw = np.log1p([grammar.evidence(t or "") for t in texts])
             yield pd.Series(1 / (1 + np.exp(-np.clip(slope * raw + offset, -30, 30))))
 
-    return docs.withColumn(out, scored(F.col(text_col)))
+    return few_at_a_time(docs).withColumn(out, scored(F.col(text_col)))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out: int = 1, max_labelled: int = 8_000):
     """Fits on at most max_labelled labelled rows outside the held-out fold of ids."""
-    sample = labelled_sample(docs, labels, "toxic", crc_fold("doc_id", folds) != held_out, max_labelled)
+    sample = labelled_sample(few_at_a_time(docs), labels, "toxic", crc_fold("doc_id", folds) != held_out, max_labelled)
     return fit(checkpointed(sample.repartition(max(4, docs.sparkSession.sparkContext.defaultParallelism))))

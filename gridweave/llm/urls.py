@@ -10,13 +10,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import stored
+from gridweave.llm.common import MOST_SENT, looked_up, stored
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Suffixes of two labels under which names are registered.
 DOUBLE_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "com.br", "co.in", "com.cn", "co.za", "com.mx")
-#: Normal deviate of the one-sided bound, the highest bad rate that passes, and the limits of a prior's strength.
-DEVIATE, HIGHEST, WEAKEST, STRONGEST = 1.645, 0.2, 1.0, 10_000.0
+#: Standard deviations below its mean that a posterior is under with a chance of at most 5 %, whatever its form
+#: (Cantelli's inequality: 1 / (1 + k k)), the highest bad rate that passes, and the limits of a prior's strength.
+DEVIATE, HIGHEST, WEAKEST, STRONGEST = 19**0.5, 0.2, 1.0, 10_000.0
+ADDRESS = r"^(\[.*\]|[0-9]+(\.[0-9]+){3})$"
 
 
 def host_of(url: Column) -> Column:
@@ -29,14 +31,23 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*DOUBLE_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*DOUBLE_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+def suffix_of(host: Column, doubles: tuple[str, ...] = DOUBLE_SUFFIXES) -> Column:
+    """The last label of a name, or two where they are in doubles; an address is its own suffix."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.isin(*doubles), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(host: Column, doubles: tuple[str, ...] = DOUBLE_SUFFIXES) -> Column:
+    """The suffix and the label before it; an address is its own domain."""
+    name = name_of(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.isin(*doubles), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def match_rules(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
@@ -65,14 +76,15 @@ def prior_strength(units: DataFrame) -> tuple[float, float]:
     return mean, min(STRONGEST, max(WEAKEST, spread / between - 1)) if between > 0 else STRONGEST
 
 
-def reputation(outcomes: DataFrame) -> DataFrame:
+def reputation(outcomes: DataFrame, doubles: tuple[str, ...] = DOUBLE_SUFFIXES) -> DataFrame:
     """(host, n, bad, rate, low) for each host of outcomes (host, bad): its posterior bad rate and lower bound.
 
-    bad is 1, 0 or null; null outcomes only make the host known. Hosts number far fewer than pages.
+    bad is 1, 0 or null; null outcomes only make the host known. Hosts number far fewer than pages. doubles are the
+    suffixes of two labels; ports and users belong to the host, not to its domain.
     """
     seen = F.col("bad").isNotNull().cast("long")
     hosts = outcomes.groupBy("host").agg(F.sum(seen).alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    hosts = stored(hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))), "hosts")
+    hosts = stored(hosts.withColumn("domain", domain_of(F.col("host"), doubles)).withColumn("suffix", suffix_of(F.col("host"), doubles)), "hosts")
     sums = [F.sum("n").alias("n"), F.sum("bad").alias("bad")]
     domains, suffixes = hosts.groupBy("domain", "suffix").agg(*sums), hosts.groupBy("suffix").agg(*sums)
     (mean, at_suffix), (_, at_domain), (_, at_host) = (prior_strength(x.where("n > 0")) for x in (suffixes, domains, hosts))
@@ -97,8 +109,12 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], bad: Column, highest:
     """(page_id, host, path, rule, verdict) for each page: the rule's verdict, else that of the host's reputation.
 
     bad: the outcome of a page, 1, 0 or null. Null urls and urls without :// have an empty host, judged as any other.
+    Null page_ids and repeated rows come back as they are, and each repeated row counts as an outcome.
     """
     own = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), bad.alias("bad"))
     known = stored(reputation(own.select("host", "bad")).select("host", F.when(F.col("low") > highest, "block").otherwise("allow").alias("by_host")), "reputation")
     rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    return own.drop("bad").join(known, "host").select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "by_host").alias("verdict"))
+    own = own.drop("bad")
+    few = known.count() <= MOST_SENT
+    judged = own.join(F.broadcast(known), "host") if few else looked_up(own, known, own.groupBy("host").agg(F.count("*").alias("n")), "host", "page_id")
+    return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, "by_host").alias("verdict"))

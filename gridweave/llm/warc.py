@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridweave.llm.common import MOST_SENT, few_at_a_time, small, stored
 from gridweave.llm.records import filesystem, put
 
 #: The skippable frame that holds a dictionary, an ordinary frame, and the revisit profile.
@@ -27,6 +28,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:page:"
 #: The dictionary is trained on a file's first records, so many and so many bytes at most.
 TRAIN_RECORDS, TRAIN_BYTES, DICTIONARY_BYTES = 256, 2_000_000, 32_768
+#: Rows, and bytes of payload, that a reader gives back at once.
+READ_ROWS, READ_BYTES = 500, 8_000_000
 CHUNK = 1 << 20
 FILES = "shard long, path string, records long"
 READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
@@ -140,21 +143,23 @@ def frames(source) -> Iterator[bytes]:
 def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2000-01-01T00:00:00Z") -> DataFrame:
     """Writes a record for each row of pages (page_id, url, html); returns a row of FILES for each archive.
 
-    Of rows with equal payloads of at least min_bytes bytes, those with the smallest page_id are responses
-    and the others revisits of it. Null html is an empty payload; null ids are larger than any other and, if
-    no row of the payload has an id, all are responses. An archive is renamed when whole.
+    Of rows with equal payloads (by SHA-256 and length) of at least min_bytes bytes, those with the smallest page_id
+    are responses, all of them where a page_id repeats, and the others revisits of it. Null html is an empty payload;
+    null ids are larger than any other and, if no row of the payload has an id, all are responses. Rows with one
+    page_id get one WARC-Record-ID. An archive is renamed when whole.
     """
-    own = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    own = own.withColumn("key", F.concat_ws(":", F.sha1("html"), F.octet_length("html")))
+    own = few_at_a_time(pages).select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    own = own.withColumn("key", F.concat_ws(":", F.sha2("html", 256), F.octet_length("html")))
     long_enough = F.octet_length("html") >= min_bytes
     seen = own.where(long_enough).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
-    marked = own.join(seen.select("key", "first"), "key", "left").select("page_id", "url", "html", F.when(long_enough, F.col("first")).alias("first"))
+    seen = small(stored(seen.select("key", "first"), "repeated-payloads"), MOST_SENT // 4)  # the pages themselves then stay where they are
+    marked = own.join(seen, "key", "left").select("page_id", "url", "html", F.when(long_enough, F.col("first")).alias("first"))
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = filesystem(folder)
         context = TaskContext.get()
         name, number = f"pages-{context.partitionId():06d}.warc.zst", 0
-        tmp, out, encoder, held = f"{base}/_{name}-{context.taskAttemptId()}", None, None, []
+        tmp, out, encoder, held, size = f"{base}/_{name}-{context.taskAttemptId()}", None, None, [], 0
 
         def begin():
             nonlocal out, encoder, held
@@ -185,7 +190,8 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, date: str = "2000-0
                     out.write(encoder.compress(data))
                     continue
                 held.append(data)
-                if len(held) >= TRAIN_RECORDS:
+                size += len(data)
+                if len(held) >= TRAIN_RECORDS or size >= TRAIN_BYTES:
                     begin()
         if held:
             begin()
@@ -217,14 +223,15 @@ def read(spark: SparkSession, folder: str, files: DataFrame, payloads: bool = Tr
 
         for batch in batches:
             for path, records in batch.itertuples(index=False):
-                rows, number = [], 0
+                rows, number, size = [], 0, 0
                 with fs.open_input_stream(f"{base}/{path}", compression=None, buffer_size=CHUNK) as source:
                     for data in frames(source):
                         rows.append(parse(data))
                         number += 1
-                        if len(rows) >= 500:
+                        size += len(rows[-1]["payload"] or b"") if payloads else 0
+                        if len(rows) >= READ_ROWS or size >= READ_BYTES:
                             yield batch_of(rows)
-                            rows = []
+                            rows, size = [], 0
                 if number != records:
                     raise ValueError(f"{path} holds {number} records, not {records}")
                 if rows:

@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import zstandard
@@ -215,8 +216,33 @@ def test_reputation(spark):
     assert got["one.fresh.com"]["low"] < 1 and all(0 <= r["rate"] <= 1 for r in got.values())
 
 
+def test_names_without_ports_users_and_addresses(spark):
+    hosts = ["a.b.example.com:8080", "me@www.x.co.uk", "10.0.0.1", "10.0.0.1:80", "[::1]:443", "localhost", "", "x.y.test"]
+    table = spark.createDataFrame([(h,) for h in hosts], "host string")
+    got = [tuple(r) for r in table.select(urls.domain_of(F.col("host")), urls.suffix_of(F.col("host"))).collect()]
+    assert got == [("example.com", "com"), ("x.co.uk", "co.uk"), ("10.0.0.1",) * 2, ("10.0.0.1",) * 2, ("[::1]",) * 2, ("localhost",) * 2, ("", ""), ("y.test", "test")]
+    assert table.select(urls.suffix_of(F.col("host"), ("y.test",))).collect()[-1][0] == "y.test"
+
+
+def test_urls_with_nulls_and_repeats(spark, monkeypatch):
+    rows = [(1, "http://a.org/", None), (1, "http://a.org/", "x"), (None, None, None), (None, "http://b.org/#", "$$$$"), (3, "http://b.org/de/", "$" * 50)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rules = [("allow", "b.org/"), ("block", "b.org/")]  # of equal rules block wins
+    want = [(1, "a.org", "/", None), (1, "a.org", "/", None), (None, "", "", None), (None, "b.org", "/", "b.org/"), (3, "b.org", "/de/", "b.org/")]
+    for sent in (urls.MOST_SENT, 0):
+        monkeypatch.setattr(urls, "MOST_SENT", sent)
+        got = urls.judge(pages, rules, urls.junk(F.col("html"))).collect()
+        assert sorted(map(str, [tuple(r)[:4] for r in got])) == sorted(map(str, want))
+        assert {r["verdict"] for r in got if r["rule"]} == {"block"}
+
+
 # ---- embeddings
 
+def test_tiles_beyond_any_number_of_blocks():
+    rows = pd.DataFrame({"cid": [1, 2], "copies": [1, 1], "vector": [[1.0, 0.1], [1.0, 0.11]], "block": [0, 100_001], "low": [0, 0], "high": [100_001, 100_001]})
+    assert embeddings.tile_links(rows, 0.98)["n"].tolist() == [1, 1]
+
+
 def plain_links(rows, threshold=0.98):
     out = {}
     ok = [v is not None and label is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v) for _, v, label in rows]

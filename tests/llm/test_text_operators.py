@@ -198,6 +198,38 @@ def test_decontamination_finds_what_a_plain_search_finds(spark):
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.matches(docs.limit(0), bench).count() == 0
 
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_bands_miss_no_window_within_its_budget(seed, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PLACES", 50)
+    pick = random.Random(seed)
+    items = ["".join(pick.choices("abcd ", k=n)) for n in (30, 60, 110)] + ["-" * 40]
+    index = decontaminate.Index(list(enumerate(items)))
+    for _ in range(25):
+        part = pick.choice(items)
+        own = list(part)
+        for _ in range(pick.randint(0, 9)):
+            k = pick.randrange(len(own))
+            own[k : k + 1] = pick.choices("abcd", k=pick.randint(0, 2))
+        text = decontaminate.normal("".join(pick.choices("abcd ", k=40)) + "".join(own) + "".join(pick.choices("abcd -", k=40)))
+        want = {w for w, (_, window, _, most) in enumerate(index.windows) if plain_distance(window, text) <= most}
+        assert {w for w, *_ in index.verified(text)} == want
+
+
+def test_decontamination_does_not_depend_on_passes(spark, monkeypatch):
+    speak = lambda n, seed: " ".join(f"w{random.Random(seed * 1000 + k).randrange(10**6)}" for k in range(n))
+    one, two, three = speak(9, 1), speak(11, 2), speak(50, 3)
+    bench = spark.createDataFrame([(1, one), (1, two), (None, two), (None, three), (1, one)], "item_id long, text string")
+    docs = spark.createDataFrame([(7, f"{one} x y {two} {speak(5, 4)} {three}"), (8, two), (8, two), (None, one), (9, "-" * 5_000)], "doc_id long, text string")
+    found = []
+    for chars in (20, 60, 100, 2_000_000):
+        monkeypatch.setattr(decontaminate, "PASS_CHARS", chars)
+        found.append(sorted((r["doc_id"] or -1, r["item_id"] or -1, r["start"], r["end"], r["edits"]) for r in decontaminate.matches(docs, bench).collect()))
+        assert [r["text"] for r in decontaminate.clean(docs, bench).collect()] == ["-" * 5_000]
+    assert all(f == found[0] for f in found) and len(found[0]) == 4 + 4 + 1
+
+
 def test_decontamination_gives_every_region_whole(spark):
     pick = random.Random(9)
     speak = lambda n: " ".join("".join(pick.choices(["ta", "ro", "mi", "lon", "ter", "vik", "dus"], k=pick.randint(1, 4))) for _ in range(n))
