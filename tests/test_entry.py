@@ -24,6 +24,11 @@ def test_without_the_training_data_part(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
 
 
+def test_without_a_library_that_the_training_data_part_needs():
+    code = "import sys; sys.modules['zstandard'] = None; import __spark_entry__ as e; q = e.queries(); assert 'spmv_csr' in q and 'op5_warc' not in q; e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], cwd=ROOT, env=os.environ | {"PYTHONPATH": ROOT}, check=True, timeout=120)
+
+
 def test_entry_runs(spark):
     if os.path.isdir("/root/testdata/sf0.001"):
         assert __spark_entry__.entry(spark).columns == ["i0", "val"]
