@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,3 +176,19 @@ def _small_star(own: DataFrame) -> DataFrame:
     joined = _salted_lookup(own, best.select("v", "m"), _hot_keys(best, own.count()), "v", "u")
     smaller = joined.where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
     return best.select("v", F.col("m").alias("u")).unionByName(smaller).distinct()
+
+
+def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n positions the smallest one that is reached through the pairs (i, j)."""
+    root = np.arange(n)
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        np.minimum.at(new, root[i], low)
+        np.minimum.at(new, root[j], low)
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

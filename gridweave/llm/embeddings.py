@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import components, looked_up, stored
+from gridweave.llm.common import components, looked_up, smallest_linked, stored
 
 #: Numbers and rows of a block; a tile is a pair of blocks of one label.
 BLOCK_NUMBERS, LEAST_ROWS, MOST_ROWS = 4_000_000, 1_024, 8_192
@@ -52,22 +52,6 @@ def near_pairs(a: np.ndarray, b: np.ndarray, threshold: float, chunk: int = 256)
     return np.concatenate([none, *near_i]), np.concatenate([none, *near_j])
 
 
-def smallest_linked(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n positions the smallest one that is reached through the pairs (i, j)."""
-    root = np.arange(n)
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == root).all():
-            return root
-        root = new
-
-
 def tile_links(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(cid, n, root) for the vectors of a tile that have links in it: how many vectors, and whom they reach.
 

@@ -3,9 +3,9 @@
 A fingerprint is cut into segments. Two fingerprints within the distance agree on some segment up to a few
 bits, so each is filed under the values of a small Hamming ball around its own value of every segment, and
 those that meet under a value are compared in full. Values are dealt to tasks by bounded numbers of rows; a
-value with too many is cut into blocks, and pairs of blocks are compared apart. Where nearly all rows of a value
-are near each other only a star of pairs leaves the task; its members are compared again once groups are known,
-and then only across groups, so copies never turn into all their pairs and no link is lost.
+value with too many is cut into blocks, and pairs of blocks are compared apart. Where a value is crowded with rows
+near each other, their pairs are left to a comparison of whole texts block by block, in tasks that give back
+only what connects them, so copies never turn into all their pairs and no link is lost.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import batches_of, components, few_at_a_time, free_name, looked_up, small, stored
+from gridweave.llm.common import batches_of, components, few_at_a_time, free_name, looked_up, small, smallest_linked, stored
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -30,10 +30,9 @@ TASK_ROWS, FILED_ROWS, TILE_ROWS = 400_000, 4_000_000, 50_000
 AT_ONCE, TEXTS_AT_ONCE = 1_024, 500
 #: Values with their number of blocks that may be sent to all tasks; with more, all are cut into as many.
 MOST_HOT = 1_000_000
-#: Rounds in which crowded values give stars before all pairs across groups are given.
-STARS = 2
-#: Rows under one value that are compared by offset, and near pairs a row from which a value is crowded.
-FEW, CROWD = 256, 4
+#: Rows under one value that are compared along with those of others, near pairs a row from which a value is crowded,
+#: and texts of one fingerprint that are compared pair by pair.
+FEW, CROWD, ALIKE = 256, 4, 8
 #: Near copies: fingerprints of five-word shingles at most so many bits apart, and shared shingles as a fraction.
 SHINGLE, DISTANCE, SHARE = 5, 13, (4, 5)
 
@@ -156,110 +155,145 @@ def hot_values(prints: DataFrame, distance: int, segments: int, tile_rows: int)
 
 # ---- comparing
 
-def _first_rows(run: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+def own_key(key: np.ndarray, a: np.ndarray, b: np.ndarray, plan: list[tuple[int, int, int]]) -> np.ndarray:
+    """Whether a key is the one, of all under which fingerprints a and b meet, that stands for the pair.
+
+    That is in their first segment that meets, as far from a's value towards b's as a goes.
+    """
+    segment, value, open_, found = key >> np.uint64(32), key & np.uint64((1 << 32) - 1), np.ones(len(key), bool), np.zeros(len(key), bool)
+    for k, (shift, width, radius) in enumerate(plan):
+        x, y = ((f >> np.uint64(shift)) & np.uint64((1 << width) - 1) for f in (a, b))
+        diff = x ^ y
+        apart = np.bitwise_count(diff)
+        meets = open_ & (apart <= radius)
+        steps = np.minimum(apart, np.where(np.bitwise_count(x) & 1, radius // 2, (radius + 1) // 2))
+        for step in range((radius + 1) // 2):
+            low = np.where(step < steps, diff & (~diff + np.uint64(1)), np.uint64(0))
+            x, diff = x ^ low, diff ^ low
+        found |= meets & (segment == k) & (value == x)
+        open_ &= ~meets
+    return found
+
+
+class _Union:
+    """The groups of rows that links connect, kept while links come in."""
+
+    def __init__(self, rows: int):
+        self.root, self.held, self.size = np.arange(rows), [], 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.held.append((i, j))
+        self.size += len(i)
+        if self.size > 200_000:
+            self.roots()
+
+    def roots(self) -> np.ndarray:
+        if self.held:
+            i, j = (np.concatenate(x) for x in zip(*self.held, strict=True))
+            at = np.flatnonzero(self.root != np.arange(len(self.root)))
+            self.root, self.held, self.size = smallest_linked(len(self.root), np.concatenate([i, at]), np.concatenate([j, self.root[at]])), [], 0
+        return self.root
 
 
 class _Pairs:
-    """Near pairs (i before j) of rows in runs; of a crowded run only the first partner of each row is kept."""
+    """Near pairs of rows in runs, each given under one key only, and the rows of crowded runs that have pairs there."""
 
-    def __init__(self, run: np.ndarray, sizes: np.ndarray, all_pairs: bool):
-        self.run, self.room, self.all_pairs = run, CROWD * sizes, all_pairs
-        self.count, self.first, self.whole = np.zeros(len(sizes), np.int64), np.full(len(run), -1, np.int64), np.zeros(len(sizes), bool)
-        self.met = np.zeros(len(run), bool)
-        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+    def __init__(self, key: np.ndarray, fp: np.ndarray, run: np.ndarray, sizes: np.ndarray, plan):
+        self.key, self.fp, self.run, self.plan = key, fp, run, plan
+        self.room, self.count, self.whole = CROWD * sizes, np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+        self.missed, self.held = np.zeros(len(run), bool), []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
-        if not len(i):
-            return
+        stands = own_key(self.key[i], np.minimum(self.fp[i], self.fp[j]), np.maximum(self.fp[i], self.fp[j]), self.plan)
         np.add.at(self.count, self.run[i], 1)
-        self.met[i] = self.met[j] = True
-        if not self.all_pairs:
-            order = np.argsort(-i, kind="stable")  # the smallest partner is written last
-            at, least = j[order], i[order]
-            now = self.first[at]
-            self.first[at] = np.where((now < 0) | (least < now), least, now)
-            room = self.count[self.run[i]] <= self.room[self.run[i]]
-            i, j = i[room], j[room]
-        self.held.append((i, j))
+        crowded = self.count[self.run[i]] > self.room[self.run[i]]
+        self._miss(i[stands & crowded], j[stands & crowded])
+        self.held.append((i[stands & ~crowded], j[stands & ~crowded]))
+
+    def _miss(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.missed[i] = self.missed[j] = True
 
-    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, rows that are to be compared again)."""
-        i, j = (np.concatenate(x) for x in zip(*self.held, strict=True)) if self.held else (np.zeros(0, np.int64),) * 2
-        if self.all_pairs:
-            return i, j, i[:0]
-        crowded = (self.count > self.room) | self.whole
-        thin = ~crowded[self.run[i]]
-        star = np.flatnonzero((self.first >= 0) & crowded[self.run])
-        again = np.flatnonzero(self.met & crowded[self.run] | self.whole[self.run])
-        return np.concatenate([i[thin], self.first[star]]), np.concatenate([j[thin], star]), again
+    def done(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, rows with pairs left out, for each of these one row of its run that stands for all of them)."""
+        none = np.zeros(0, np.int64)
+        i, j = (np.concatenate([none, *x]) for x in (zip(*self.held, strict=True) if self.held else ((), ())))
+        crowded = self.count[self.run[i]] > self.room[self.run[i]]
+        self._miss(i[crowded], j[crowded])
+        missed = np.flatnonzero(self.missed | self.whole[self.run])
+        begins = np.flatnonzero(np.r_[True, np.diff(self.run[missed]) != 0][: len(missed)])
+        stand = np.repeat(missed[begins], np.diff(np.r_[begins, len(missed)]))
+        return i[~crowded], j[~crowded], missed, stand
 
 
-def near_rows(key: np.ndarray, tile: np.ndarray, fp: np.ndarray, group: np.ndarray, distance: int, all_pairs: bool):
-    """(i, j, again): rows that meet under a key, are near and of different groups; rows to be compared again.
+def compare_runs(out, key: np.ndarray, tile: np.ndarray, fp: np.ndarray, distance: int) -> None:
+    """Gives `out` the pairs of rows that meet under a key and are near.
 
     Rows come in order of (key, tile without its last bit). A tile is (block, other block, which of the two a
     row is of); of a tile of two blocks only pairs across are compared.
     """
-    lane, side = tile >> np.uint64(1), tile & np.uint64(1)
-    across = (lane >> np.uint64(31)) != (lane & np.uint64((1 << 31) - 1))
-    begins = np.r_[True, (key[1:] != key[:-1]) | (lane[1:] != lane[:-1])]
-    run = np.cumsum(begins) - 1
-    starts = np.flatnonzero(begins)
-    sizes = np.diff(np.r_[starts, len(key)])
-    out = _Pairs(run, sizes, all_pairs)
+    starts, sizes, run = runs_of(key, tile)
+    side = tile & np.uint64(1)
+    across = (tile >> np.uint64(32)) != ((tile >> np.uint64(1)) & np.uint64((1 << 31) - 1))
 
     def near(i, j):
-        return (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (group[i] != group[j]) & (~across[i] | (side[i] != side[j]))
+        return (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (~across[i] | (side[i] != side[j]))
 
+    place = np.arange(len(run)) - starts[run]
     at = np.flatnonzero((sizes > 1)[run] & (sizes <= FEW)[run])
-    for k in range(1, FEW):
-        at = at[at + k < len(run)]
-        at = at[run[at + k] == run[at]]
+    for k in range(FEW):  # the k-th row of each run with all that follow it
+        at = at[place[at] > k]
         if not len(at):
             break
-        hit = at[near(at, at + k)]
-        out.add(hit, hit + k)
+        hub = starts[run[at]] + k
+        hit = near(hub, at)
+        if hit.any():
+            out.add(hub[hit], at[hit])
     for r in np.flatnonzero(sizes > FEW).tolist():
-        left = np.arange(starts[r], starts[r] + sizes[r])
-        while not all_pairs and len(left) > FEW:  # a row that is near at least half of the others stands for them
-            hit = near(left[:1], left)
-            if 2 * hit.sum() < len(left):
+        rows = np.arange(starts[r], starts[r] + sizes[r])
+        for x in range(0, len(rows), 64):
+            hubs = rows[x : x + 64, None]
+            if isinstance(out, _Pairs) and out.count[r] > out.room[r]:  # crowded: all its rows are compared elsewhere
+                out.whole[r] = True
                 break
-            out.add(np.full(hit.sum(), left[0]), left[hit])
-            out.whole[r], hit[0] = True, True
-            left = left[~hit]
-        names, sizes_of = np.unique(group[left], return_counts=True)
-        largest = group[left] == names[sizes_of.argmax()] if len(names) else np.zeros(0, bool)
-        others = left[~largest]  # pairs within the largest group need no look
-        for x in range(0, len(others), 512):
-            rows = others[x : x + 512, None]
-            for y in range(0, len(left), 4096):
-                cols = left[None, y : y + 4096]
-                a, b = np.nonzero(near(rows, cols) & (largest[None, y : y + 4096] | (cols > rows)))
-                i, j = rows[a, 0], cols[0, b]
-                out.add(np.minimum(i, j), np.maximum(i, j))
-    return out.done()
-
-
-def candidates(prints: DataFrame, distance: int, segments: int = 3, all_pairs: bool = False, salt: int = 0, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(a, b): distinct fingerprints within the distance whose groups differ; b is null where a is to be compared again.
-
-    prints: one row for each distinct fingerprint, (fp) or (fp, group). With all_pairs every such pair is given,
-    without it crowded values give a star each, around the first of their rows in an order that salt changes.
+            for y in range(0, len(rows), 4096):
+                cols = rows[None, y : y + 4096]
+                a, b = np.nonzero((cols > hubs) & near(hubs, cols))
+                if len(a):
+                    out.add(hubs[a, 0], cols[0, b])
+
+
+def runs_of(key: np.ndarray, tile: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first rows, sizes, run of each row) of the runs of one key and pair of blocks."""
+    lane = tile >> np.uint64(1)
+    begins = np.r_[True, (key[1:] != key[:-1]) | (lane[1:] != lane[:-1])]
+    starts = np.flatnonzero(begins)
+    return starts, np.diff(np.r_[starts, len(key)]), np.cumsum(begins) - 1
+
+
+def spanning(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(fingerprint, smallest one it is linked to) for those that links of rows connect."""
+    names, place = np.unique(np.concatenate([fp[i], fp[j]]), return_inverse=True)
+    root = smallest_linked(len(names), place[: len(i)], place[len(i) :])
+    return names, names[root]
+
+
+def candidates(prints: DataFrame, distance: int, segments: int = 3, pairs: bool = True, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """What connects the distinct fingerprints (fp) within the distance: rows (a, b, crowd).
+
+    Without pairs, a spanning set of the links: each task's linked fingerprints and one that stands for them, crowd
+    null. With pairs, all links as they are, save those that stand under crowded values: their fingerprints come as a, with
+    one that all those share which such links connect as crowd, and b null.
     """
-    grouped = "group" in prints.columns
-    columns = 4 if grouped else 3
+    plan = plan_segments(distance, segments)
     total = prints.count()
     hot_keys, hot_blocks, blocks = hot_values(prints, distance, segments, tile_rows) if total > 1 else (np.zeros(0, np.uint64), np.zeros(0, np.int64), 1)
-    each = sum(len(ball(w, r // 2)) + len(ball(w, (r + 1) // 2)) for _, w, r in plan_segments(distance, segments)) / 2
+    each = sum(len(ball(w, r // 2)) + len(ball(w, (r + 1) // 2)) for _, w, r in plan) / 2
     buckets = max(1, math.ceil((total * each * blocks + tile_rows * int((hot_blocks * hot_blocks).sum())) / TASK_ROWS))
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for x in range(0, len(batch), AT_ONCE):
                 fps = batch["fp"].to_numpy()[x : x + AT_ONCE].view(np.uint64)
-                groups = batch["group"].to_numpy()[x : x + AT_ONCE].view(np.uint64) if grouped else None
                 for at, key in filed_under(fps, distance, segments):
                     if not len(at):
                         continue
@@ -276,36 +310,36 @@ def candidates(prints: DataFrame, distance: int, segments: int = 3, all_pairs: b
                         tile = ((np.minimum(block, other) << 32) | (np.maximum(block, other) << 1) | (block > other)).astype(np.uint64)
                     bucket = (mixed(key, tile >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
                     order = np.lexsort((key, bucket))
-                    own = [c[order] for c in ([key, tile, fps[at]] if groups is None else [key, tile, fps[at], groups[at]])]
-                    first = _first_rows(bucket[order])
+                    own = [c[order] for c in (key, tile, fps[at])]
+                    first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
                     ends = [*first[1:].tolist(), len(order)]
                     yield pd.DataFrame({"bucket": bucket[order][first], "rows": [packed(*[c[a:b] for c in own]) for a, b in zip(first.tolist(), ends, strict=True)]})
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
-        own = np.concatenate([unpacked(x, columns) for x in rows["rows"]], axis=1)
-        own = own[:, np.lexsort((mixed(own[2], np.full(own.shape[1], salt)), own[1] >> np.uint64(1), own[0]))]
-        fp = own[2]
-        i, j, again = near_rows(own[0], own[1], fp, own[3] if grouped else fp, distance, all_pairs)
-        a, b = (np.concatenate([x, y]).view(np.int64) for x, y in ((np.minimum(fp[i], fp[j]), fp[again]), (np.maximum(fp[i], fp[j]), fp[again])))
-        return pd.DataFrame({"a": a, "b": pd.Series(b, dtype="Int64").where(a != b)}).drop_duplicates()
-
-    names = ["fp", "group"] if grouped else ["fp"]
-    dealt = prints.select(*names).repartition(max(1, math.ceil(total * each / FILED_ROWS)))
-    return dealt.mapInPandas(filed, "bucket long, rows binary").groupBy("bucket").applyInPandas(compared, "a long, b long")
+        own = np.concatenate([unpacked(x, 3) for x in rows["rows"]], axis=1)
+        key, tile, fp = own[:, np.lexsort((mixed(own[2]), own[1] >> np.uint64(1), own[0]))]
+        starts, sizes, run = runs_of(key, tile)
+        out = _Pairs(key, fp, run, sizes, plan) if pairs else _Union(len(key))
+        compare_runs(out, key, tile, fp, distance)
+        if pairs:
+            i, j, missed, stand = out.done()
+            a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
+            names, roots = spanning(fp, missed, stand)
+            whole = pd.DataFrame({"a": a.view(np.int64), "b": pd.Series(b.view(np.int64), dtype="Int64"), "crowd": pd.Series([None] * len(a), dtype="Int64")}).drop_duplicates()
+            left = pd.DataFrame({"a": names.view(np.int64), "b": pd.Series([None] * len(names), dtype="Int64"), "crowd": pd.Series(roots.view(np.int64), dtype="Int64")})
+            return pd.concat([x for x in (whole, left) if len(x)] or [whole])
+        root = out.roots()
+        at = np.flatnonzero(root != np.arange(len(root)))
+        names, roots = spanning(fp, at, root[at])
+        return pd.DataFrame({"a": names.view(np.int64), "b": pd.Series(roots.view(np.int64), dtype="Int64"), "crowd": pd.Series([None] * len(names), dtype="Int64")})
+
+    dealt = prints.select("fp").repartition(max(1, math.ceil(total * each / FILED_ROWS)))
+    return dealt.mapInPandas(filed, "bucket long, rows binary").groupBy("bucket").applyInPandas(compared, "a long, b long, crowd long")
 
 
 def grouped_prints(prints: DataFrame, distance: int, segments: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(id, component) of each fingerprint that is linked to another one: the groups within the distance."""
-    groups = None
-    for k in range(STARS + 1):
-        found = stored(candidates(prints, distance, segments, k == STARS, k, tile_rows), "simhash-links")
-        own = found.where("b is not null")
-        links = own if groups is None else groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(own)
-        groups = stored(components(links), "simhash-components")
-        again = found.where("b is null").select(F.col("a").alias("fp")).distinct()
-        prints = stored(again.join(groups.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("group")), "simhash-again")
-        if k == STARS or prints.isEmpty():
-            return groups
+    return stored(components(stored(candidates(prints, distance, segments, False, tile_rows), "simhash-links").select("a", "b")), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, segments: int = 3) -> DataFrame:
@@ -352,33 +386,71 @@ def text_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return few_at_a_time(docs).where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text").mapInPandas(read, "doc_id long, node long, fp long, size int")
 
 
-def _across(pairs: DataFrame, nodes: DataFrame, all_pairs: bool) -> DataFrame:
-    """(a, b): texts of different groups and fitting sizes behind pairs of fingerprints and behind one fingerprint.
+def _node():
+    @F.pandas_udf("long")
+    def node(texts: pd.Series) -> pd.Series:
+        return pd.Series([word_hash(words(t)) for t in texts], dtype="int64")
+
+    return node
 
-    Without all_pairs a fingerprint of several texts is paired through the first of them.
-    """
-    heads = nodes.groupBy("fp").agg(F.min(F.struct("node", "size", "group")).alias("x"), F.count("*").alias("n"))
-    own = nodes.select("fp", F.struct("node", "size", "group").alias("x"))
-    both = pairs.unionByName(heads.where("n > 1").select(F.col("fp").alias("a"), F.col("fp").alias("b")))
 
-    def met(first: DataFrame, second: DataFrame) -> DataFrame:
-        left = both.join(first.select(F.col("fp").alias("a"), F.col("x").alias("x")), "a")
-        return left.join(second.select(F.col("fp").alias("b"), F.col("x").alias("y")), "b").select("x", "y")
+def _texts_of(needed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of the needed nodes, one row each."""
+    wanted = stored(nodes.join(needed, "node", "left_semi").select("doc_id", "node"), "near-wanted")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("node", _node()("text"))
+    return stored(texts.join(small(wanted), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "near-texts")
+
+
+def tile_copies(rows: pd.DataFrame, distance: int) -> pd.DataFrame:
+    """(a, b): links that connect the similar texts of a tile, (node, fp, set, low, high, block) each.
 
-    heads = heads.select("fp", "x")
-    found = met(own, own) if all_pairs else met(heads, own).unionByName(met(own, heads))
-    sizes = [F.col("x.size"), F.col("y.size")]
-    fits = (F.col("x.group") != F.col("y.group")) & (SHARE[1] * F.least(*sizes) >= SHARE[0] * F.greatest(*sizes))
-    return found.where(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a != b").distinct()
+    A tile of one block has the links within it, one of two blocks those between them. The shingles of all rows are
+    looked up for one row after another, which counts what it shares with each.
+    """
+    rows = rows.sort_values("node")
+    sets = [np.asarray(x, np.int64) for x in rows["set"]]
+    node, fp, block, sizes = rows["node"].to_numpy(), rows["fp"].to_numpy().view(np.uint64), rows["block"].to_numpy(), np.array([len(x) for x in sets])
+    every, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, of = every[order], of[order]
+    across = rows["low"].iat[0] != rows["high"].iat[0]
+    found = _Union(len(sets))
+    for i, own in enumerate(sets):
+        lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+        count = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+        both = np.bincount(of[at], minlength=len(sets))
+        alike = (SHARE[1] * both >= SHARE[0] * (sizes + sizes[i] - both)) & (np.bitwise_count(fp ^ fp[i]) <= distance)
+        j = np.flatnonzero(alike & (block != block[i] if across else True))
+        found.add(np.full(len(j), i), j)
+    root = found.roots()
+    at = np.flatnonzero(root != np.arange(len(root)))
+    return pd.DataFrame({"a": node[at], "b": node[root[at]]})
+
+
+def _crowded_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, distance: int, shingle: int, block_rows: int = 512) -> DataFrame:
+    """Links (a, b) that connect the similar texts of each crowd: members (node, fp, crowd) are compared block by block."""
+    members = stored(members, "near-members")
+
+    @F.pandas_udf("array<long>")
+    def shingle_set(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingles(words(t), shingle)).view(np.int64) for t in texts])
+
+    sizes = small(stored(members.groupBy("crowd").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "near-crowds"))
+    with batches_of(docs.sparkSession, TEXTS_AT_ONCE):
+        sets = stored(_texts_of(members.select("node"), nodes, docs).select("node", shingle_set("text").alias("set")), "near-sets")
+    tiles = (
+        members.join(sizes, "crowd").join(sets, "node")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    )
+    return stored(tiles.groupBy("crowd", "low", "high").applyInPandas(lambda rows: tile_copies(rows, distance), "a long, b long"), "near-crowd-links")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar."""
 
-    @F.pandas_udf("long")
-    def node(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_hash(words(t)) for t in texts], dtype="int64")
-
     @F.pandas_udf("boolean")
     def alike(key: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         held, out = {}, []
@@ -388,10 +460,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
             out.append(similar(np.unique(shingles(words(x), shingle)), held[k]))
         return pd.Series(out, dtype=bool)
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = stored(nodes.join(needed, "node", "left_semi").select("doc_id", "node"), "near-wanted")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(small(wanted.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("node", node("text"))
-    texts = stored(texts.join(small(wanted), ["doc_id", "node"], "left_semi").dropDuplicates(["node"]).select("node", "text"), "near-texts")
+    texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs)
     for side, other in (("a", "b"), ("b", "a")):
         counts = pairs.select(side, other).groupBy(side).agg(F.count("*").alias("n"))
         pairs = looked_up(pairs, texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), counts, side, other)
@@ -404,28 +473,34 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
 
     Texts are linked if their fingerprints are within the distance and their whole texts share SHARE of their
     distinct shingles; component is one number for each group. doc_id is the smallest of a text's. Texts without
-    words are copies of one another.
+    words are copies of one another. Pairs are verified one by one; crowds, where nearly all are near each other,
+    and texts of one fingerprint where they are many, are compared in blocks that give back what connects them.
     """
     rows = stored(text_prints(docs, shingle), "near-prints")
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("size").alias("size")), "near-nodes")
-    own = nodes.where("size > 0").withColumn("group", F.col("node"))
-    prints, tested, groups = own.select("fp").distinct(), None, None
-    for k in range(STARS + 1):
-        found = stored(candidates(prints, distance, segments, k == STARS, k, tile_rows), "near-prints-met")
-        again = found.where("b is null").select(F.col("a").alias("fp"))
-        pairs = _across(found.where("b is not null").distinct(), own, k == STARS)
-        pairs = stored(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "near-pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        right = _verified(pairs, nodes, docs, shingle)
-        links = right if groups is None else groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(right)
-        groups = stored(components(links), "near-components").select(F.col("id").alias("node"), "component")
-        again = again.unionByName(own.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")).distinct()
-        own = own.drop("group").join(again, "fp", "left_semi").join(groups, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
-        own = stored(own, "near-again")
-        if k == STARS or own.isEmpty():
-            break
-        one = F.count_distinct("group") == 1
-        prints = stored(own.groupBy("fp").agg(F.when(one, F.min("group")).otherwise(F.col("fp")).alias("group")), "near-prints-again")
+    own = nodes.where("size > 0").select("node", "fp", "size")
+    prints = stored(own.groupBy("fp").agg(F.count("*").alias("n")), "near-distinct")
+    found = stored(candidates(prints.select("fp"), distance, segments, True, tile_rows), "near-met")
+    several = small(prints.where("n > 1"))
+    both = found.where("b is not null").select("a", "b").unionByName(several.select(F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
+    big = several.where(F.col("n") > ALIKE).select("fp")
+    for side in ("a", "b"):
+        both = both.join(big.select(F.col("fp").alias(side), F.lit(True).alias("big_" + side)), side, "left")
+    both = stored(both, "near-both")
+    few, many = both.where("big_a is null and big_b is null"), both.where("big_a or big_b").select("a", "b")
+    node = own.select("fp", F.struct("node", "size").alias("x"))
+    met = few.select("a", "b").join(node.withColumnsRenamed({"fp": "a"}), "a").join(node.withColumnsRenamed({"fp": "b", "x": "y"}), "b")
+    fits = SHARE[1] * F.least("x.size", "y.size") >= SHARE[0] * F.greatest("x.size", "y.size")
+    pairs = stored(met.where(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a != b").distinct(), "near-pairs")
+    links = _verified(pairs, nodes, docs, shingle)
+
+    crowds = stored(found.where("b is null").select("a", F.col("crowd").alias("b")).unionByName(many), "near-crowded")
+    if not crowds.isEmpty():
+        named = components(crowds).withColumnRenamed("id", "fp")
+        crowded = crowds.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(named, "fp", "left")
+        members = own.join(crowded, "fp").select("node", "fp", F.coalesce("component", "fp").alias("crowd"))
+        links = links.unionByName(_crowded_links(members, nodes, docs, distance, shingle))
+    groups = stored(components(links), "near-components").select(F.col("id").alias("node"), "component")
     named = nodes.join(groups, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
     return rows.select("doc_id", "node"), stored(named, "near-named")
 
@@ -446,10 +521,6 @@ def drop_near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = S
         return whole
     name = free_name(docs, "node")
 
-    @F.pandas_udf("long")
-    def node(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_hash(words(t)) for t in texts], dtype="int64")
-
-    some = docs.join(small(other.where("stay is not null").select("doc_id")), "doc_id", "left_semi").withColumn(name, node("text"))
+    some = docs.join(small(other.where("stay is not null").select("doc_id")), "doc_id", "left_semi").withColumn(name, _node()("text"))
     some = some.join(small(kept.withColumnRenamed("node", name)), ["doc_id", name], "left_semi").dropDuplicates(["doc_id", name])
     return whole.unionByName(some.select(*docs.columns))

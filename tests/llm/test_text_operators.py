@@ -304,12 +304,13 @@ def same_groups(found, place, pairs):
 
 
 @pytest.mark.parametrize(("segments", "tile_rows"), [(3, 8), (2, 20_000)])
-def test_linked_fingerprints(spark, segments, tile_rows):
+def test_linked_fingerprints(spark, monkeypatch, segments, tile_rows):
+    monkeypatch.setattr(simhash, "CROWD", 10**6)
     prints = near_prints(segments, centres=6)
     table = spark.createDataFrame([(int(p),) for p in prints], "fp long").repartition(3)
     place = {int(p): i for i, p in enumerate(prints)}
     want = near_by(prints, 4)
-    got = {(place[r["a"]], place[r["b"]]) for r in simhash.candidates(table, 4, segments, True, tile_rows=tile_rows).collect()}
+    got = {(place[r["a"]], place[r["b"]]) for r in simhash.candidates(table, 4, segments, tile_rows=tile_rows).collect()}
     assert got == set(want)
     assert same_groups(simhash.grouped_prints(table, 4, segments, tile_rows), place, want)
 
@@ -317,22 +318,26 @@ def test_linked_fingerprints(spark, segments, tile_rows):
 @pytest.mark.parametrize(("few", "hot"), [(4, 1_000_000), (256, 0)])
 def test_crowded_values_give_stars(spark, monkeypatch, few, hot):
     monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "CROWD", 2)
     monkeypatch.setattr(simhash, "MOST_HOT", hot)
     prints = near_prints(5, centres=2, each=120)
     want = near_by(prints, 6)
     table = spark.createDataFrame([(int(p),) for p in prints], "fp long").repartition(2)
     place = {int(p): i for i, p in enumerate(prints)}
     found = simhash.candidates(table, 6, 3, tile_rows=60).collect()
-    stars = {(place[r["a"]], place[r["b"]]) for r in found if r["b"] is not None}
-    again = {place[r["a"]] for r in found if r["b"] is None}
-    assert stars < set(want) and all(p in stars or set(p) <= again for p in want)  # what is left out is compared again
+    pairs = [(place[r["a"]], place[r["b"]]) for r in found if r["b"] is not None]
+    crowd = plain_components(len(prints), [(place[r["a"]], place[r["crowd"]]) for r in found if r["b"] is None])
+    left = {place[r["a"]] for r in found if r["b"] is None}
+    assert len(set(pairs)) == len(pairs) and set(pairs) < set(want)  # each once
+    assert all(p in pairs or (set(p) <= left and crowd[p[0]] == crowd[p[1]]) for p in want)
     assert same_groups(simhash.grouped_prints(table, 6, 3, 60), place, want)
 
 
-@pytest.mark.parametrize("stars", [0, 2])
-def test_near_copies_are_those_of_a_plain_search(spark, monkeypatch, stars):
-    monkeypatch.setattr(simhash, "STARS", stars)
-    pick = random.Random(stars)
+@pytest.mark.parametrize(("crowd", "alike"), [(4, 8), (0, 2)])
+def test_near_copies_are_those_of_a_plain_search(spark, monkeypatch, crowd, alike):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(simhash, "ALIKE", alike)
+    pick = random.Random(crowd)
     base = [f"w{pick.randrange(10**6)}" for _ in range(120)]
     line = [f"c{k}" for k in range(12)]
     texts = [" ".join(base), " ".join(base[:-1] + [base[-1], "."]), " ".join(base[:60] + ["other"] + base[61:]).upper()]
