@@ -198,9 +198,9 @@ class _Union:
 class _Pairs:
     """Near pairs of rows in runs, each given under one key only, and the rows of crowded runs that have pairs there."""
 
-    def __init__(self, key: np.ndarray, fp: np.ndarray, run: np.ndarray, sizes: np.ndarray, plan):
+    def __init__(self, key: np.ndarray, fp: np.ndarray, run: np.ndarray, sizes: np.ndarray, plan, crowd: int):
         self.key, self.fp, self.run, self.plan = key, fp, run, plan
-        self.room, self.count, self.whole = CROWD * sizes, np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
+        self.room, self.count, self.whole = crowd * sizes, np.zeros(len(sizes), np.int64), np.zeros(len(sizes), bool)
         self.missed, self.held = np.zeros(len(run), bool), []
 
     def add(self, i: np.ndarray, j: np.ndarray) -> None:
@@ -225,7 +225,7 @@ class _Pairs:
         return i[~crowded], j[~crowded], missed, stand
 
 
-def compare_runs(out, key: np.ndarray, tile: np.ndarray, fp: np.ndarray, distance: int) -> None:
+def compare_runs(out, key: np.ndarray, tile: np.ndarray, fp: np.ndarray, distance: int, few: int) -> None:
     """Gives `out` the pairs of rows that meet under a key and are near.
 
     Rows come in order of (key, tile without its last bit). A tile is (block, other block, which of the two a
@@ -239,8 +239,8 @@ def compare_runs(out, key: np.ndarray, tile: np.ndarray, fp: np.ndarray, distanc
         return (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & (~across[i] | (side[i] != side[j]))
 
     place = np.arange(len(run)) - starts[run]
-    at = np.flatnonzero((sizes > 1)[run] & (sizes <= FEW)[run])
-    for k in range(FEW):  # the k-th row of each run with all that follow it
+    at = np.flatnonzero((sizes > 1)[run] & (sizes <= few)[run])
+    for k in range(few):  # the k-th row of each run with all that follow it
         at = at[place[at] > k]
         if not len(at):
             break
@@ -248,7 +248,7 @@ def compare_runs(out, key: np.ndarray, tile: np.ndarray, fp: np.ndarray, distanc
         hit = near(hub, at)
         if hit.any():
             out.add(hub[hit], at[hit])
-    for r in np.flatnonzero(sizes > FEW).tolist():
+    for r in np.flatnonzero(sizes > few).tolist():
         rows = np.arange(starts[r], starts[r] + sizes[r])
         for x in range(0, len(rows), 64):
             hubs = rows[x : x + 64, None]
@@ -277,7 +277,7 @@ def spanning(fp: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     return names, names[root]
 
 
-def candidates(prints: DataFrame, distance: int, segments: int = 3, pairs: bool = True, tile_rows: int = TILE_ROWS) -> DataFrame:
+def candidates(prints: DataFrame, distance: int, segments: int = 3, pairs: bool = True, tile_rows: int = TILE_ROWS, few: int = FEW, crowd: int = CROWD) -> DataFrame:
     """What connects the distinct fingerprints (fp) within the distance: rows (a, b, crowd).
 
     Without pairs, a spanning set of the links: each task's linked fingerprints and one that stands for them, crowd
@@ -319,8 +319,8 @@ def candidates(prints: DataFrame, distance: int, segments: int = 3, pairs: bool
         own = np.concatenate([unpacked(x, 3) for x in rows["rows"]], axis=1)
         key, tile, fp = own[:, np.lexsort((mixed(own[2]), own[1] >> np.uint64(1), own[0]))]
         starts, sizes, run = runs_of(key, tile)
-        out = _Pairs(key, fp, run, sizes, plan) if pairs else _Union(len(key))
-        compare_runs(out, key, tile, fp, distance)
+        out = _Pairs(key, fp, run, sizes, plan, crowd) if pairs else _Union(len(key))
+        compare_runs(out, key, tile, fp, distance, few)
         if pairs:
             i, j, missed, stand = out.done()
             a, b = np.minimum(fp[i], fp[j]), np.maximum(fp[i], fp[j])
@@ -337,9 +337,9 @@ def candidates(prints: DataFrame, distance: int, segments: int = 3, pairs: bool
     return dealt.mapInPandas(filed, "bucket long, rows binary").groupBy("bucket").applyInPandas(compared, "a long, b long, crowd long")
 
 
-def grouped_prints(prints: DataFrame, distance: int, segments: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
+def grouped_prints(prints: DataFrame, distance: int, segments: int = 3, tile_rows: int = TILE_ROWS, few: int = FEW) -> DataFrame:
     """(id, component) of each fingerprint that is linked to another one: the groups within the distance."""
-    return stored(components(stored(candidates(prints, distance, segments, False, tile_rows), "simhash-links").select("a", "b")), "simhash-components")
+    return stored(components(stored(candidates(prints, distance, segments, False, tile_rows, few), "simhash-links").select("a", "b")), "simhash-components")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, segments: int = 3) -> DataFrame:
@@ -468,7 +468,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int)
         return stored(pairs.where(alike("b", "text_a", "text_b")).select("a", "b"), "near-links")
 
 
-def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, segments: int = 3, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame]:
+def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, segments: int = 3, crowd: int = CROWD, alike: int = ALIKE) -> tuple[DataFrame, DataFrame]:
     """(rows, groups): (doc_id, node) of all rows with a doc_id, and (node, doc_id, component) of all different texts.
 
     Texts are linked if their fingerprints are within the distance and their whole texts share SHARE of their
@@ -480,10 +480,10 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("fp").alias("fp"), F.min("size").alias("size")), "near-nodes")
     own = nodes.where("size > 0").select("node", "fp", "size")
     prints = stored(own.groupBy("fp").agg(F.count("*").alias("n")), "near-distinct")
-    found = stored(candidates(prints.select("fp"), distance, segments, True, tile_rows), "near-met")
+    found = stored(candidates(prints.select("fp"), distance, segments, crowd=crowd), "near-met")
     several = small(prints.where("n > 1"))
     both = found.where("b is not null").select("a", "b").unionByName(several.select(F.col("fp").alias("a"), F.col("fp").alias("b"))).distinct()
-    big = several.where(F.col("n") > ALIKE).select("fp")
+    big = several.where(F.col("n") > alike).select("fp")
     for side in ("a", "b"):
         both = both.join(big.select(F.col("fp").alias(side), F.lit(True).alias("big_" + side)), side, "left")
     both = stored(both, "near-both")
@@ -494,10 +494,10 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     pairs = stored(met.where(fits).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).where("a != b").distinct(), "near-pairs")
     links = _verified(pairs, nodes, docs, shingle)
 
-    crowds = stored(found.where("b is null").select("a", F.col("crowd").alias("b")).unionByName(many), "near-crowded")
+    crowds = stored(found.where("b is null").select("a", F.col("crowd").alias("b")).unionByName(many).distinct(), "near-crowded")
     if not crowds.isEmpty():
         named = components(crowds).withColumnRenamed("id", "fp")
-        crowded = crowds.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(named, "fp", "left")
+        crowded = crowds.select(F.col("a").alias("fp")).distinct().unionByName(many.select(F.col("b").alias("fp"))).distinct().join(named, "fp", "left")
         members = own.join(crowded, "fp").select("node", "fp", F.coalesce("component", "fp").alias("crowd"))
         links = links.unionByName(_crowded_links(members, nodes, docs, distance, shingle))
     groups = stored(components(links), "near-components").select(F.col("id").alias("node"), "component")
@@ -505,13 +505,13 @@ def near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGL
     return rows.select("doc_id", "node"), stored(named, "near-named")
 
 
-def drop_near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, crowd: int = CROWD, alike: int = ALIKE) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each group of near copies the one with the smallest doc_id.
 
     Of different texts under one doc_id each is judged by itself, and of one text twice under that doc_id one row
     stays. Rows with a null doc_id take no part and stay; null and empty texts are copies of one another.
     """
-    rows, named = near_copies(docs, distance, shingle)
+    rows, named = near_copies(docs, distance, shingle, crowd=crowd, alike=alike)
     least = named.groupBy("component").agg(F.min(F.struct("doc_id", "node")).alias("x"))
     kept = stored(least.select("x.doc_id", "x.node"), "near-kept")
     counted = rows.groupBy("doc_id").agg(F.count("*").alias("n")).join(kept.groupBy("doc_id").agg(F.count("*").alias("stay")), "doc_id", "left")

@@ -304,39 +304,34 @@ def same_groups(found, place, pairs):
 
 
 @pytest.mark.parametrize(("segments", "tile_rows"), [(3, 8), (2, 20_000)])
-def test_linked_fingerprints(spark, monkeypatch, segments, tile_rows):
-    monkeypatch.setattr(simhash, "CROWD", 10**6)
+def test_linked_fingerprints(spark, segments, tile_rows):
     prints = near_prints(segments, centres=6)
     table = spark.createDataFrame([(int(p),) for p in prints], "fp long").repartition(3)
     place = {int(p): i for i, p in enumerate(prints)}
     want = near_by(prints, 4)
-    got = {(place[r["a"]], place[r["b"]]) for r in simhash.candidates(table, 4, segments, tile_rows=tile_rows).collect()}
+    got = {(place[r["a"]], place[r["b"]]) for r in simhash.candidates(table, 4, segments, tile_rows=tile_rows, crowd=10**6).collect()}
     assert got == set(want)
     assert same_groups(simhash.grouped_prints(table, 4, segments, tile_rows), place, want)
 
 
 @pytest.mark.parametrize(("few", "hot"), [(4, 1_000_000), (256, 0)])
-def test_crowded_values_give_stars(spark, monkeypatch, few, hot):
-    monkeypatch.setattr(simhash, "FEW", few)
-    monkeypatch.setattr(simhash, "CROWD", 2)
+def test_crowded_values_are_left_to_crowds(spark, monkeypatch, few, hot):
     monkeypatch.setattr(simhash, "MOST_HOT", hot)
     prints = near_prints(5, centres=2, each=120)
     want = near_by(prints, 6)
     table = spark.createDataFrame([(int(p),) for p in prints], "fp long").repartition(2)
     place = {int(p): i for i, p in enumerate(prints)}
-    found = simhash.candidates(table, 6, 3, tile_rows=60).collect()
+    found = simhash.candidates(table, 6, 3, tile_rows=60, few=few, crowd=2).collect()
     pairs = [(place[r["a"]], place[r["b"]]) for r in found if r["b"] is not None]
     crowd = plain_components(len(prints), [(place[r["a"]], place[r["crowd"]]) for r in found if r["b"] is None])
     left = {place[r["a"]] for r in found if r["b"] is None}
     assert len(set(pairs)) == len(pairs) and set(pairs) < set(want)  # each once
     assert all(p in pairs or (set(p) <= left and crowd[p[0]] == crowd[p[1]]) for p in want)
-    assert same_groups(simhash.grouped_prints(table, 6, 3, 60), place, want)
+    assert same_groups(simhash.grouped_prints(table, 6, 3, 60, few), place, want)
 
 
 @pytest.mark.parametrize(("crowd", "alike"), [(4, 8), (0, 2)])
-def test_near_copies_are_those_of_a_plain_search(spark, monkeypatch, crowd, alike):
-    monkeypatch.setattr(simhash, "CROWD", crowd)
-    monkeypatch.setattr(simhash, "ALIKE", alike)
+def test_near_copies_are_those_of_a_plain_search(spark, crowd, alike):
     pick = random.Random(crowd)
     base = [f"w{pick.randrange(10**6)}" for _ in range(120)]
     line = [f"c{k}" for k in range(12)]
@@ -353,12 +348,12 @@ def test_near_copies_are_those_of_a_plain_search(spark, monkeypatch, crowd, alik
     texts += ["", None, "a b", "A  b", " ".join(line), " ".join(line[1:])]
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
     prints = [simhash.fingerprint(t, 5) & (1 << 64) - 1 for t in texts]
-    alike = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= 13
-    top = plain_components(len(texts), [(i, j) for j in range(len(texts)) for i in range(j) if alike(i, j)])
+    same = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= 13
+    top = plain_components(len(texts), [(i, j) for j in range(len(texts)) for i in range(j) if same(i, j)])
     kept = {top[i] for i in range(len(texts))}
     assert len(kept) < len(texts) - 40
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, node string, fp int").repartition(4)
-    left = simhash.drop_near_copies(docs)
+    left = simhash.drop_near_copies(docs, crowd=crowd, alike=alike)
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(kept)
 
 
