@@ -122,6 +122,9 @@ UNARY = {
     "conj": (lambda v: v, True),
 }
 
+#: Functions of one value that are true or false.
+TESTS = ("signbit", "isfinite", "isinf", "isnan", "logical_not")
+
 #: Functions of two values.
 BINARY = {
     "add": lambda a, b: a + b,
@@ -135,7 +138,7 @@ BINARY = {
     "minimum": _either(F.least),
     "atan2": F.atan2,
     "copysign": lambda a, b: F.when((b < 0.0) | (b.cast("string") == "-0.0"), -F.abs(a)).otherwise(F.abs(a)),
-    "logaddexp": lambda a, b: F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))),
+    "logaddexp": lambda a, b: F.when(a == b, a + lit(math.log(2.0))).otherwise(F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b)))),
     "logical_and": _as_bool(lambda a, b: a & b),
     "logical_or": _as_bool(lambda a, b: a | b),
     "logical_xor": _as_bool(lambda a, b: a != b),

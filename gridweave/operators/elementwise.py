@@ -98,8 +98,7 @@ def compare(name: str, a, b) -> DenseFrame:
     test = expr.COMPARE[name]
     first, second = (x.todense() if isinstance(x, SparseFrame) else x for x in (a, b))
     if isinstance(first, DenseFrame) and isinstance(second, DenseFrame):
-        if first.shape != second.shape:
-            raise ValueError(f"shapes differ: {first.shape} and {second.shape}")
+        first, second = _stretched(first, second)
         both = first.df.join(second.df.withColumnRenamed("val", "other"), first.coords)
         return DenseFrame(both.select(*first.coords, test(F.col("val"), F.col("other")).alias("val")), first.shape)
     own = first if isinstance(first, DenseFrame) else second
@@ -108,8 +107,13 @@ def compare(name: str, a, b) -> DenseFrame:
 
 
 def unary(name: str, a):
-    """A function of each value; a sparse tensor stays sparse, so functions that do not keep zero refuse it."""
+    """A function of each value; a sparse tensor stays sparse, so functions that do not keep zero refuse it.
+
+    Tests (isnan and the like) of a sparse tensor are dense booleans.
+    """
     fn, keeps_zero = expr.UNARY[name]
+    if isinstance(a, SparseFrame) and name in expr.TESTS:
+        a = a.todense()
     if isinstance(a, SparseFrame):
         if not keeps_zero:
             raise NotImplementedError(f"{name} of a sparse tensor would fill it")
@@ -117,12 +121,20 @@ def unary(name: str, a):
     return DenseFrame(a.df.select(*a.coords, fn(F.col("val")).alias("val")), a.shape)
 
 
+def _stretched(a: DenseFrame, b: DenseFrame) -> tuple[DenseFrame, DenseFrame]:
+    """Both in the shape that they broadcast to."""
+    if a.shape == b.shape:
+        return a, b
+    from gridweave.operators.manipulation import broadcast_arrays
+
+    return tuple(broadcast_arrays(a, b))
+
+
 def binary(name: str, a, b) -> DenseFrame:
-    """A function of the cells of dense tensors of one shape, or of a dense tensor and a number."""
+    """A function of the cells of dense tensors, stretched to one shape, or of a dense tensor and a number."""
     fn = expr.BINARY[name]
     if isinstance(a, DenseFrame) and isinstance(b, DenseFrame):
-        if a.shape != b.shape:
-            raise ValueError(f"shapes differ: {a.shape} and {b.shape}")
+        a, b = _stretched(a, b)
         other = b.df.withColumnRenamed("val", "other")
         both = a.df.join(other, a.coords) if a.coords else a.df.crossJoin(other)
         return DenseFrame(both.select(*a.coords, fn(F.col("val"), F.col("other")).alias("val")), a.shape)

@@ -28,9 +28,17 @@ def _contract(a: SparseFrame, k: int, b: DenseFrame, b_axis: int):
 
 
 def matmul(a, b) -> DenseFrame:
-    """A matrix times a dense vector, matrix or batch of matrices (batch axes first): dense, every cell."""
+    """A sparse or dense matrix, or a dense vector, times a dense vector, matrix or batch of matrices (batch axes first): dense, every cell."""
+    if isinstance(a, DenseFrame) and a.ndim in (1, 2):
+        cells = a.df if a.ndim == 2 else a.df.select(F.lit(0).cast("long").alias("row"), F.col("i0").alias("col"), "val")
+        out = matmul(SparseFrame(cells, a.shape if a.ndim == 2 else (1, *a.shape), "csr", coalesced=True), b)
+        if a.ndim == 2:
+            return out
+        from gridweave.operators.manipulation import squeeze
+
+        return squeeze(out, out.ndim - 2 if out.ndim > 1 else 0)
     if not isinstance(a, SparseFrame):
-        raise NotImplementedError("the left operand must be sparse")
+        raise NotImplementedError("the left operand must be a sparse tensor, or a dense matrix or vector")
     if isinstance(b, SparseFrame):
         raise NotImplementedError("sparse times sparse is not supported")
     if a.fmt == "coond":

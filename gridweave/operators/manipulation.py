@@ -33,9 +33,10 @@ def prune(a: SparseFrame, eps: float) -> SparseFrame:
 
 def eliminate_zeros(a: SparseFrame) -> SparseFrame:
     """Drops stored zeros. NaN goes with them, but in csr and csc stays if no zero is stored."""
-    if a.fmt in ("csr", "csc") and not a.df.where("val = 0").limit(1).count():
-        return a
-    return prune(a, 0.0)
+    if a.fmt not in ("csr", "csc"):
+        return prune(a, 0.0)
+    any_zero = F.broadcast(a.df.agg(F.coalesce(F.max(F.col("val") == 0.0), F.lit(False)).alias("_any")))
+    return a.like(a.df.crossJoin(any_zero).where((F.col("val") != 0.0) & ~(F.col("_any") & F.isnan("val"))).drop("_any"))  # one row beside all
 
 
 # ---- parts and types
@@ -271,7 +272,12 @@ def flip(a, axis=None):
     return _moved(a, {k: F.lit(a.shape[k] - 1).cast("long") - F.col(a.coords[k]) for k in axes})
 
 
-def roll(a, shift: int, axis: int | None = None):
+def roll(a, shift, axis=None):
+    """Cells moved along an axis, or along several by a shift each, round the end; without an axis in row-major order."""
+    if isinstance(axis, (tuple, list)):
+        for by, k in zip(shift if isinstance(shift, (tuple, list)) else [shift] * len(axis), axis, strict=True):
+            a = roll(a, by, k)
+        return a
     if axis is None:
         flat = roll(reshape(a, (math.prod(a.shape),)), shift, 0)
         return reshape(flat, a.shape)
@@ -287,7 +293,10 @@ def _copied(a, k: int, times: int, place):
     return DenseFrame(df, shape) if isinstance(a, DenseFrame) else a.like(df, shape=shape)
 
 
-def repeat(a, repeats: int, axis: int):
+def repeat(a, repeats: int, axis: int | None = None):
+    """Each cell `repeats` times along an axis; without one, of the vector of all cells in row-major order."""
+    if axis is None:
+        a, axis = reshape(a, (math.prod(a.shape),)), 0
     return _copied(a, axis % a.ndim, repeats, lambda i, n: i * repeats + n)
 
 

@@ -17,7 +17,7 @@ def _partials(name: str) -> dict[str, Column]:
     if name in ("sum", "mean"):
         return {"s": F.sum(v)}
     if name in ("var", "std"):
-        return {"s": F.sum(v), "q": F.sum(v * v)}
+        return {"n": F.count("*"), "s": F.avg(v), "q": F.var_pop(v)}
     if name in ("min", "max"):
         return {"n": F.count("*"), "m": getattr(F, name)(F.when(~F.isnan(v), v))}
     if name == "prod":
@@ -29,7 +29,7 @@ def _partials(name: str) -> dict[str, Column]:
 
 def _result(name: str, cells: int, correction: float) -> Column:
     """The reduction of a group of so many cells, from what was gathered; nulls stand for no stored cell."""
-    n, zero = F.coalesce("n", F.lit(0)) if name not in ("sum", "mean", "var", "std") else None, F.lit(0.0)
+    n, zero = F.coalesce("n", F.lit(0)) if name not in ("sum", "mean") else None, F.lit(0.0)
     s = F.coalesce("s", zero) if n is None else None
     if name == "sum":
         return s
@@ -38,7 +38,9 @@ def _result(name: str, cells: int, correction: float) -> Column:
     if name in ("var", "std"):
         if cells - correction <= 0:
             return zero
-        var = F.greatest(zero, (F.coalesce("q", zero) - s * s / F.lit(float(cells))) / F.lit(float(cells - correction)))
+        mean, apart = F.coalesce("s", zero), F.coalesce("q", zero)  # of the stored cells; missing ones pull the mean towards zero
+        var = n * (apart + mean * mean * (F.lit(float(cells)) - n) / F.lit(float(cells))) / F.lit(float(cells - correction))
+        var = F.greatest(zero, var)
         return F.sqrt(var) if name == "std" else var
     if name in ("min", "max"):
         own = F.coalesce("m", zero)
@@ -147,8 +149,21 @@ def _axis_of(a: SparseFrame, axis) -> int:
     return normal_axes(axis, 2)[0]
 
 
+def _one_line(a):
+    """A vector as the only row of a matrix."""
+    return SparseFrame(a.df.select(F.lit(0).cast("long").alias("row"), F.col("i0").alias("col"), "val"), (1, *a.shape), "csr", getattr(a, "coalesced", True))
+
+
+def _of_vector(fn, a, *rest):
+    out = fn(_one_line(a), *rest)
+    cells, shape = out.df.select(F.col("col").alias("i0"), "val"), out.shape[1:]
+    return DenseFrame(cells, shape) if isinstance(out, DenseFrame) else SparseFrame(cells, shape, "coond", coalesced=True)
+
+
 def cumulative_sum(a: SparseFrame, axis=None) -> DenseFrame:
-    """Running sums along an axis of a matrix, for every cell."""
+    """Running sums along an axis of a matrix, or along a vector, for every cell."""
+    if a.ndim == 1:
+        return _of_vector(cumulative_sum, a, 1)
     k = _axis_of(a, axis)
     full = a.todense()
     out = _running(full.df, full.coords[1 - k], full.coords[k], a.shape[k], total=("val", F.sum, lambda x, y: x + y, 0.0))
@@ -156,7 +171,9 @@ def cumulative_sum(a: SparseFrame, axis=None) -> DenseFrame:
 
 
 def cumulative_prod(a: SparseFrame, axis=None) -> DenseFrame:
-    """Running products along an axis of a matrix, for every cell: 0.0 from the first missing cell on."""
+    """Running products along an axis of a matrix, or along a vector, for every cell: 0.0 from the first missing cell on."""
+    if a.ndim == 1:
+        return _of_vector(cumulative_prod, a, 1)
     k = _axis_of(a, axis)
     names, pair = ["row", "col"], F.struct("val", F.lit(1).alias("stored"))
     missing = F.struct(F.lit(0.0).alias("val"), F.lit(0).alias("stored"))
@@ -169,12 +186,14 @@ def cumulative_prod(a: SparseFrame, axis=None) -> DenseFrame:
 
 
 def diff(a: SparseFrame, n: int = 1, axis: int = -1) -> SparseFrame:
-    """The n-th difference along an axis of a matrix; zeros are dropped.
+    """The n-th difference along an axis of a matrix, or along a vector; zeros are dropped.
 
     Each stored cell adds to at most n + 1 cells of the result, with signed binomials for weights.
     """
     if n < 0:
         raise ValueError("n must not be negative")
+    if a.ndim == 1:
+        return _of_vector(diff, a, n, 1)
     (k,) = normal_axes(axis, 2)
     if n == 0:
         return a

@@ -26,16 +26,21 @@ def nonzero(a):
     return own.df.where("val != 0").select(*a.coords)
 
 
-def arg_extreme(name: str, a: DenseFrame, axis: int) -> DenseFrame:
-    """argmax or argmin along an axis: the first place of the largest or smallest value."""
+def arg_extreme(name: str, a: DenseFrame, axis: int, keepdims: bool = False) -> DenseFrame:
+    """argmax or argmin along an axis: the first place of the largest or smallest value, or of the first NaN."""
     k = axis % a.ndim
     rest = [c for i, c in enumerate(a.coords) if i != k]
-    best = F.max(F.struct("val", (-F.col(a.coords[k])).alias("at"))) if name == "argmax" else F.min(F.struct("val", F.col(a.coords[k]).alias("at")))
+    best = F.max(F.struct("val", (-F.col(a.coords[k])).alias("at"))) if name == "argmax" else F.min(F.struct(~F.isnan("val"), "val", F.col(a.coords[k]).alias("at")))
     place = F.abs(F.col("best.at"))
     shape = tuple(n for i, n in enumerate(a.shape) if i != k)
     names = ["row", "col"] if len(shape) == 2 else [f"i{i}" for i in range(len(shape))]
     out = a.df.groupBy(*rest).agg(best.alias("best"))
-    return DenseFrame(out.select(*[F.col(c).alias(n) for c, n in zip(rest, names, strict=True)], place.alias("val")), shape)
+    done = DenseFrame(out.select(*[F.col(c).alias(n) for c, n in zip(rest, names, strict=True)], place.alias("val")), shape)
+    if not keepdims:
+        return done
+    from gridweave.operators.manipulation import expand_dims
+
+    return expand_dims(done, k)
 
 
 def where(cond: DenseFrame, x: DenseFrame, y: DenseFrame) -> DenseFrame:
@@ -59,7 +64,7 @@ def searchsorted(x: DenseFrame, v: DenseFrame, side: str = "left") -> DenseFrame
 
 
 def unique_values(a: DenseFrame):
-    """(val): each value once, in no order."""
+    """(val): each value once, in no order; all NaNs are one value here."""
     return a.df.select("val").distinct()
 
 
@@ -82,22 +87,23 @@ def unique_all(a: DenseFrame):
     return a.df.groupBy("val").agg(F.count("*").alias("count"), F.min(key).alias("index"))
 
 
-def _ranked(a: DenseFrame, axis: int):
+def _ranked(a: DenseFrame, axis: int, descending: bool):
     k = axis % a.ndim
     if a.ndim == 1:
-        return k, running_total(a.df, ["val", "i0"], F.lit(1).cast("long"), "_to").withColumn("_to", F.col("_to") - 1)
-    line = Window.partitionBy(*[c for i, c in enumerate(a.coords) if i != k]).orderBy("val", a.coords[k])
+        own = a.df.withColumn("_by", -F.col("val") if descending else F.col("val"))
+        return k, running_total(own, ["_by", "i0"], F.lit(1).cast("long"), "_to").withColumn("_to", F.col("_to") - 1)
+    line = Window.partitionBy(*[c for i, c in enumerate(a.coords) if i != k]).orderBy(F.desc("val") if descending else F.asc("val"), a.coords[k])
     return k, a.df.withColumn("_to", (F.row_number().over(line) - 1).cast("long"))
 
 
-def sort(a: DenseFrame, axis: int = -1) -> DenseFrame:
-    """Each line along the axis in ascending order, NaN last."""
-    k, ranked = _ranked(a, axis)
+def sort(a: DenseFrame, axis: int = -1, descending: bool = False) -> DenseFrame:
+    """Each line along the axis in ascending order, NaN last; in descending order NaN comes first in matrices, last in vectors."""
+    k, ranked = _ranked(a, axis, descending)
     return DenseFrame(ranked.select(*[F.col("_to").alias(c) if i == k else F.col(c) for i, c in enumerate(a.coords)], "val"), a.shape)
 
 
-def argsort(a: DenseFrame, axis: int = -1) -> DenseFrame:
-    """The places of each line's values in ascending order; equal values keep their order."""
-    k, ranked = _ranked(a, axis)
+def argsort(a: DenseFrame, axis: int = -1, descending: bool = False) -> DenseFrame:
+    """The places of each line's values in ascending or descending order; equal values keep their order."""
+    k, ranked = _ranked(a, axis, descending)
     at = F.col(a.coords[k]).alias("val")
     return DenseFrame(ranked.select(*[F.col("_to").alias(c) if i == k else F.col(c) for i, c in enumerate(a.coords)], at), a.shape)

@@ -47,8 +47,8 @@ def quantities(spark, sf_dir, fmt="csr") -> SparseFrame:
 
 
 def counts(spark, sf_dir, fmt="csr") -> SparseFrame:
-    """Lines of even parts: shares some cells with quantities."""
-    return _triples(spark, sf_dir, F.lit(1.0), fmt, F.col("l_partkey") % 2 == 0).coalesce()
+    """Lines with a discount: shares some cells with quantities."""
+    return _triples(spark, sf_dir, F.lit(1.0), fmt, F.col("l_discount") != 0).coalesce()
 
 
 def raw_discounts(spark, sf_dir, fmt="coo") -> SparseFrame:
@@ -95,7 +95,7 @@ def part_features(spark, sf_dir) -> DenseFrame:
 
 
 Q_SQL = "SELECT l_suppkey AS r, l_partkey AS c, sum(l_quantity) AS v FROM lineitem GROUP BY ALL"
-C_SQL = "SELECT l_suppkey AS r, l_partkey AS c, CAST(count(*) AS DOUBLE) AS v FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY ALL"
+C_SQL = "SELECT l_suppkey AS r, l_partkey AS c, CAST(count(*) AS DOUBLE) AS v FROM lineitem WHERE l_discount <> 0 GROUP BY ALL"
 D_SQL = "SELECT l_suppkey AS r, l_partkey AS c, l_discount AS v FROM lineitem"
 S_SQL = "SELECT c_custkey AS r, c_custkey AS c, c_acctbal AS v FROM customer"
 N_SQL = (

@@ -202,7 +202,8 @@ def _stored(x) -> SparseFrame:
     return x if isinstance(x, SparseFrame) else SparseFrame(x.df, x.shape, "csr" if x.ndim == 2 else "coond", coalesced=True)
 
 
-for _name in ("sum", "prod", "min", "max", "mean", "all", "any"):
+_REDUCED = ("sum", "prod", "min", "max", "mean", "all", "any")
+for _name in _REDUCED:
     globals()[_name] = _reduction(_name)
 
 
@@ -223,27 +224,42 @@ def cumulative_prod(x, axis=None):
 
 
 def diff(x, *, n=1, axis=-1):
-    return reductions.diff(x, n, axis)
+    """Of a sparse tensor it is sparse, of a dense one dense."""
+    out = reductions.diff(_stored(x), n, axis)
+    return out if isinstance(x, SparseFrame) else out.todense()
 
 
 # ---- searching, sorting, sets
 
 count_nonzero, nonzero, where, searchsorted = searching.count_nonzero, searching.nonzero, searching.where, searching.searchsorted
-sort, argsort = searching.sort, searching.argsort
+
+
+
+def sort(x, axis=-1, descending=False, stable=True):
+    return searching.sort(x, axis, descending)
+
+
+def argsort(x, axis=-1, descending=False, stable=True):
+    return searching.argsort(x, axis, descending)
+
+
 unique_values, unique_counts, unique_inverse, unique_all = searching.unique_values, searching.unique_counts, searching.unique_inverse, searching.unique_all
 
 
 def argmax(x, axis=None, keepdims=False):
-    return searching.arg_extreme("argmax", *_line(x, axis))
+    return _arg("argmax", x, axis, keepdims)
 
 
 def argmin(x, axis=None, keepdims=False):
-    return searching.arg_extreme("argmin", *_line(x, axis))
+    return _arg("argmin", x, axis, keepdims)
 
 
-def _line(x, axis):
+def _arg(name: str, x, axis, keepdims):
     own = x.todense() if isinstance(x, SparseFrame) else x
-    return (own, axis) if axis is not None else (manipulation.reshape(own, (math.prod(own.shape),)), 0)
+    if axis is not None:
+        return searching.arg_extreme(name, own, axis, keepdims)
+    out = searching.arg_extreme(name, manipulation.reshape(own, (math.prod(own.shape),)), 0)
+    return manipulation.reshape(out, (1,) * x.ndim) if keepdims else out
 
 
 # ---- about
@@ -264,17 +280,16 @@ def __array_namespace_info__() -> dict:
         "default_device": "cpu",
         "dtypes": ["bool", "int64", "float64"],
         "default_dtypes": {"floating": "float64", "integral": "int64", "boolean": "bool"},
-        "capabilities": {
-            "sparse": True,
-            "linalg": ["matmul", "matrix_transpose", "tensordot", "vecdot"],
-            "reductions": ["sum", "mean", "min", "max", "count_nonzero", "prod", "all", "any", "cumulative_sum", "cumulative_prod", "var", "std", "diff"],
-            "elementwise": ["add", "subtract", "multiply", "divide", "floor_divide", "remainder", "pow", *expr.COMPARE, *[k for k, (_, keeps) in expr.UNARY.items() if keeps]],
-            "creation": ["zeros", "eye"],
-            "manipulation": ["permute_dims", "reshape", "squeeze", "expand_dims", "moveaxis", "flip", "roll", "concat", "stack"],
-        },
+        "capabilities": {"sparse": True} | {part: _exported(part) for part in ("linalg", "searching", "manipulation", "creation")} | {"reductions": [*_REDUCED, "var", "std", *_exported("reductions")]} | {"elementwise": [*expr.UNARY, *expr.BINARY, "nextafter"]},
     }
 
 
+def _exported(part: str) -> list[str]:
+    """The names of this namespace that are functions of a part of the library."""
+    module = {"linalg": linalg, "reductions": reductions, "searching": searching, "manipulation": manipulation, "creation": creation}[part]
+    return sorted(k for k, v in globals().items() if callable(v) and not isinstance(v, type) and not k.startswith("_") and k not in _REDUCED and (hasattr(module, k) or getattr(v, "__module__", "") == module.__name__))
+
+
 def __getattr__(name: str):
     if name.startswith("_"):
         raise AttributeError(name)

@@ -354,3 +354,28 @@ def test_dense_item(spark):
     assert isinstance(csr(spark, A).todense(), DenseFrame) and isinstance(csr(spark, A), SparseFrame)
     assert searching.unique_all(dense(spark, [2.0, 1, 2])).count() == 2
     assert manipulation.permute_axes(csr(spark, A), (1, 0)).shape == (3, 2)
+
+
+def test_namespace_as_numpy(spark):
+    x, y = np.array([[1.0, -2, 3], [0, 5, -6]]), np.array([2.0, 0, -1])
+    a, b = dense(spark, x), dense(spark, y)
+    assert np.array_equal(xp.add(a, b).toarray(), x + y) and np.array_equal(xp.greater(a, b).toarray(), x > y)
+    assert np.array_equal(xp.matmul(a, b).toarray(), x @ y) and np.array_equal(xp.matmul(a, dense(spark, x.T)).toarray(), x @ x.T)
+    assert np.array_equal(xp.matmul(b, dense(spark, x.T)).toarray(), y @ x.T) and xp.matmul(b, b).item() == y @ y
+    assert np.array_equal(xp.cumulative_sum(b).toarray(), np.cumsum(y)) and np.array_equal(xp.cumulative_prod(b).toarray(), np.cumprod(y))
+    assert np.array_equal(xp.diff(b).toarray(), np.diff(y)) and np.array_equal(xp.diff(a, n=2, axis=1).toarray(), np.diff(x, 2))
+    nan = dense(spark, [3.0, np.nan, 1])
+    assert xp.argmin(nan, axis=0).item() == 1 and xp.argmax(nan, axis=0).item() == 1
+    assert xp.argmax(a, axis=1, keepdims=True).toarray().tolist() == np.argmax(x, 1, keepdims=True).tolist()
+    assert xp.argmin(a, keepdims=True).toarray().tolist() == [[5]]
+    assert np.array_equal(xp.repeat(a, 2).toarray(), np.repeat(x, 2)) and np.array_equal(xp.roll(a, (1, -1), (0, 1)).toarray(), np.roll(x, (1, -1), (0, 1)))
+    assert np.array_equal(xp.sort(a, axis=1, descending=True).toarray(), -np.sort(-x, 1)) and xp.argsort(b, descending=True).toarray().tolist() == [0, 1, 2]
+    ends = [np.inf, -np.inf, 1.0]
+    assert np.array_equal(xp.logaddexp(dense(spark, ends), dense(spark, ends)).toarray(), np.logaddexp(ends, ends))
+    close = np.array([[1e8 + 1, 1e8 + 2, 1e8 + 3, 1e8 + 4]])
+    assert xp.var(dense(spark, close)).item() == pytest.approx(1.25) and xp.std(csr(spark, close), axis=1).toarray()[0] == pytest.approx(1.25**0.5)
+    signs = xp.signbit(csr(spark, x))
+    assert isinstance(signs, DenseFrame) and signs.toarray().dtype == bool and np.array_equal(signs.toarray(), x < 0)
+    assert not xp.isnan(csr(spark, x)).toarray().any()
+    parts = xp.__array_namespace_info__()["capabilities"]
+    assert {"matmul", "vecdot"} <= set(parts["linalg"]) and {"sort", "unique_all"} <= set(parts["searching"]) and {"sum", "diff", "var"} <= set(parts["reductions"])
