@@ -48,16 +48,19 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def render(turns: DataFrame, template: str = "<|{role}|>\n{text}\n") -> DataFrame:
-    """(conv_id, part, turns, rendered): all turns of a conversation in order; a part for each CHUNK of turn numbers.
+    """(conv_id, part, piece, turns, rendered): all turns of a conversation in order; a part for each CHUNK of turn numbers.
 
-    Null roles and texts are empty; rows that repeat a turn count once; null turn numbers come first.
+    Null roles and texts are empty; rows that repeat a turn count once; null turn numbers come first, in part 0.
+    A part with more than CHUNK rows, of null or equal turn numbers, comes in pieces of so many.
     """
     pieces = template.replace("{role}", "\0role\0").replace("{text}", "\0text\0").split("\0")
     turn = F.concat(*[F.coalesce(F.col(p), F.lit("")) if p in ("role", "text") else F.lit(p) for p in pieces if p])
-    own = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(0)).alias("part"), "turn", "role", "text").distinct()
+    own = turns.select("conv_id", F.coalesce(F.floor(F.col("turn") / CHUNK), F.lit(0)).alias("part"), "turn", *[F.coalesce(c, F.lit("")).alias(c) for c in ("role", "text")]).distinct()
+    rank = F.row_number().over(Window.partitionBy("conv_id", "part").orderBy(F.asc_nulls_first("turn"), "role", "text"))
+    own = own.withColumn("piece", F.floor((rank - 1) / CHUNK))
     told = F.sort_array(F.collect_list(F.struct("turn", "role", "text", turn.alias("said"))))
-    return own.groupBy("conv_id", "part").agg(told.alias("told")).select(
-        "conv_id", "part", F.size("told").cast("long").alias("turns"), F.array_join(F.transform("told", lambda x: x["said"]), "").alias("rendered")
+    return own.groupBy("conv_id", "part", "piece").agg(told.alias("told")).select(
+        "conv_id", "part", "piece", F.size("told").cast("long").alias("turns"), F.array_join(F.transform("told", lambda x: x["said"]), "").alias("rendered")
     )
 
 

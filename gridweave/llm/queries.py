@@ -84,9 +84,11 @@ whole AS (SELECT conv_id, list({'t': turn, 'r': role, 'x': text} ORDER BY turn N
 starts AS (SELECT DISTINCT l[1:k] AS l FROM (SELECT l, unnest(range(1, len(l))) AS k FROM whole)),
 logged AS (SELECT min(conv_id) AS conv_id, l FROM whole GROUP BY l),
 kept AS (SELECT conv_id FROM logged WHERE NOT EXISTS (SELECT 1 FROM starts WHERE starts.l = logged.l))
-SELECT conv_id, CAST(coalesce(floor(turn / 512), 0) AS BIGINT) AS part, count(*) AS turns,
+SELECT conv_id, part, piece, count(*) AS turns,
     string_agg('<|' || role || '|>' || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS rendered
-FROM own JOIN kept USING (conv_id) GROUP BY ALL
+FROM (SELECT *, CAST((row_number() OVER (PARTITION BY conv_id, part ORDER BY turn NULLS FIRST, role, text) - 1) // 512 AS BIGINT) AS piece
+    FROM (SELECT *, CAST(coalesce(floor(turn / 512), 0) AS BIGINT) AS part FROM own JOIN kept USING (conv_id)))
+GROUP BY conv_id, part, piece
 """
 
 OP6_SQL = r"""

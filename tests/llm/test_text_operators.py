@@ -1,13 +1,15 @@
 """Classifiers, chat collapse, decontamination and SimHash on small tables, against plain versions."""
 
+import os
 import random
+import zlib
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridweave.llm import chat, common, decontaminate, quality, simhash, toxicity
+from gridweave.llm import chat, common, decontaminate, quality, queries, simhash, toxicity
 
 DOCS = "doc_id long, text string, label string, score double"
 
@@ -50,6 +52,25 @@ def test_evidence_is_the_sum_over_clauses():
     assert found > 1_000
 
 
+def test_composed_machine_is_the_transducers_in_turn():
+    pick = random.Random(1)
+    for _ in range(300):
+        symbols = [pick.randrange(7) for _ in range(pick.randint(1, 20))]
+        out = symbols
+        for part in toxicity.CASCADE:
+            state, now = 0, []
+            for symbol in out:
+                state, got = part(state, symbol)
+                now.append(got)
+            out = now
+        machine = toxicity.Machine()
+        state, seen = machine.start, []
+        for symbol in symbols:
+            state, got = machine.step(state, symbol)
+            seen.append(got)
+        assert seen == out
+
+
 def test_toxicity_learns_and_holds_out(spark):
     pick = random.Random(1)
     words = [f"w{k}" for k in range(300)]
@@ -91,6 +112,19 @@ def test_quality_ranks_junk_last(spark):
     assert quality.keep_above(scored, 0.5).count() >= 82
 
 
+def test_quality_fits_the_pair_loss():
+    pick = np.random.default_rng(3)
+    x, label = pick.normal(size=(60, 4)), np.arange(60) % 2
+    x[label == 1, 0] += 1.0
+    own = quality.fit(x, label, pairs=4_000, ridge=0.05)
+    z, w = (x - x.mean(0)) / (x.std(0) + 1e-6), np.zeros(4)
+    good, bad = z[label == 1], z[label == 0]
+    d = (good[:, None, :] - bad[None, :, :]).reshape(-1, 4)  # all pairs
+    for _ in range(4_000):
+        w += 0.5 * (d.T @ (1 / (1 + np.exp(d @ w))) / len(d) - 0.05 * w)
+    assert np.abs(own["w"] - w).max() < 0.1
+
+
 def test_quality_cut_is_a_quantile():
     cut = quality._cut(np.array([0.0, 1.0, 2.0, 3.0]), np.array([0, 0, 1, 1]))
     assert 1 < cut["cut"] < 2 and cut["slope"] > 0
@@ -126,6 +160,13 @@ def test_chat_keeps_maximal_conversations(spark):
     assert whole == {c: rendered(talks[c]) for c in (2, 4, 5, 6)}
 
 
+def test_chat_cuts_turns_of_one_number(spark):
+    rows = [(1, None, "user", f"{k:05d}") for k in range(1_300)] + [(2, 0, None, None), (2, 0, "", "")]
+    got = {(r["conv_id"], r["piece"]): r for r in chat.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[1, k]["turns"] for k in range(3)] == [512, 512, 276] and got[2, 0]["turns"] == 1
+    assert "".join(got[1, k]["rendered"] for k in range(3)) == "".join(f"<|user|>\n{k:05d}\n" for k in range(1_300))
+
+
 def test_chat_without_rows(spark):
     assert chat.collapse(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
@@ -387,3 +428,25 @@ def test_components(spark, monkeypatch):
     want = plain_components(400, pairs)
     assert got == {k: want[k] for k in {x for p in pairs for x in p if p[0] != p[1]}}
     assert common.components(edges.limit(0)).count() == 0
+
+
+# ---- the queries
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_queries_return_what_they_promise(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r["text"] or "" for r in common.table(spark, sf, "documents").collect()}
+    for name, folds, held, cut in (("op1_quality", 5, 0, 0.3), ("op9_toxicity", 3, 1, 0.7)):
+        got = queries.QUERIES[name](spark, sf).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(docs)
+        for r in got:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % folds == held)
+            assert 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= cut)
+    got = {r["doc_id"]: r["fingerprint"] for r in queries.op7_simhash(spark, sf).collect()}
+    assert got == {d: f"{plain_fingerprint(t):016x}" for d, t in docs.items()}
+    assert queries.op4_packing(spark, sf).columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    found = queries.op2_decontaminate(spark, sf)
+    assert found.columns == ["doc_id", "item_id", "start", "end", "edits"]
+    items = {r["item_id"]: decontaminate.normal(r["text"]) for r in common.table(spark, sf, "benchmark").collect()}
+    whole = {(d, i) for d, t in docs.items() for i, item in items.items() if item in decontaminate.normal(t)}
+    assert whole <= {(r["doc_id"], r["item_id"]) for r in found.collect()}
