@@ -7,8 +7,8 @@ import sys
 from array import array
 from itertools import islice
 
-#: Entries of a cache generation; two generations are held.
-CACHE_WORDS = 200_000
+#: Entries of a cache generation, twice as many where capitals and spaces make more forms of a word; two are held.
+CACHE_WORDS = 300_000
 #: Characters of a word that a cache keeps: longer ones (encoded data, say) hardly come again.
 LONGEST = 48
 TAIL = ".,;:!?"
@@ -45,9 +45,9 @@ class _Unsafe(Exception):
 class _Cache(dict):
     """Ids (32-bit, little-endian) by word. When full, its words become the old generation."""
 
-    def __init__(self, make):
+    def __init__(self, make, times: int = 1):
         super().__init__()
-        self.make, self.old = make, {}
+        self.make, self.old, self.times = make, {}, times
 
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
@@ -55,7 +55,7 @@ class _Cache(dict):
             got = self.make(word)
         if len(word) > LONGEST:
             return got
-        if len(self) >= CACHE_WORDS:
+        if len(self) >= self.times * CACHE_WORDS:
             self.old = dict(self)
             self.clear()
         self[word] = got
@@ -86,7 +86,7 @@ class Encoder:
         self.letters = str.maketrans(byte_letters())
         self.model = self.tokenizer.model
         self.tails = _Cache(self.library)
-        self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit)) for lead in ("", " ", "\n")}
+        self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit), 2 if self.byte_level else 1) for lead in ("", " ", "\n")}
 
     def library(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
