@@ -7,8 +7,8 @@ import sys
 from array import array
 from itertools import islice
 
-#: Entries of a cache generation, twice as many where capitals and spaces make more forms of a word; two are held.
-CACHE_WORDS = 300_000
+#: Entries of a cache generation, three times as many where capitals and spaces make more forms of a word; two are held.
+CACHE_WORDS = 200_000
 #: Characters of a word that a cache keeps: longer ones (encoded data, say) hardly come again.
 LONGEST = 48
 TAIL = ".,;:!?"
@@ -86,7 +86,7 @@ class Encoder:
         self.letters = str.maketrans(byte_letters())
         self.model = self.tokenizer.model
         self.tails = _Cache(self.library)
-        self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit), 2 if self.byte_level else 1) for lead in ("", " ", "\n")}
+        self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit), 3 if self.byte_level else 1) for lead in ("", " ", "\n")}
 
     def library(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
