@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from gridweave.llm.common import few_at_a_time, small, stored
 
 Q = 12
-WINDOW = 160
+#: Characters of a window, and from one to the next: wherever WINDOW + STEP - 1 characters of a longer benchmark text
+#: are taken from, a whole window is among them.
+WINDOW, STEP = 160, 40
 EDIT_SHARE = 0.07
-#: Benchmark characters that one pass over the documents holds in memory, at some 25 bytes each.
+#: Benchmark characters that one pass over the documents holds in memory, at some 50 bytes each.
 PASS_CHARS = 2_000_000
-#: Places of shared q-grams that are looked at together.
-PLACES = 1_000_000
+#: Places of shared q-grams that are looked at together, each in up to five windows.
+PLACES = 250_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "text_key long, start long, end long, edits int"
 
@@ -70,6 +72,11 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
+def runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first, first + 1 and so on, `count` numbers for each."""
+    return np.repeat(first - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
+
+
 def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
@@ -114,22 +121,28 @@ class Index:
         self.windows: list[tuple[int | None, str, np.ndarray, int]] = []
         self.origin: list[tuple[int, int]] = []  # which text a window is from, and where it starts there
         self.texts: list[np.ndarray] = []
+        grams, places, starts, chars = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
         for item, text in items:
             text = normal(text)
-            self.texts.append(codes_of(text))
-            starts = range(0, max(1, len(text) - WINDOW // 2), WINDOW // 2) if len(text) > WINDOW else (0,)
-            for a in starts:
+            codes = codes_of(text)
+            self.texts.append(codes)
+            if len(text) < Q:
+                continue
+            for a in range(0, max(1, len(text) - WINDOW + STEP), STEP):
                 a = min(a, max(0, len(text) - WINDOW))
-                part = text[a:][:WINDOW]
-                if len(part) >= Q:
-                    self.origin.append((len(self.texts) - 1, a))
-                    self.windows.append((item, part, codes_of(part), budget(len(part))))
-        grams = [gram_hashes(w[2]) for w in self.windows]
-        hashes = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        window = np.repeat(np.arange(len(grams)), [len(g) for g in grams]).astype(np.int64)
-        place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.zeros(0, np.int64)
+                part = text[a : a + WINDOW]
+                self.origin.append((len(self.texts) - 1, a))
+                self.windows.append((item, part, codes[a : a + WINDOW], budget(len(part))))
+                starts.append(chars + a)
+            grams.append(gram_hashes(codes))
+            places.append(np.arange(chars, chars + len(grams[-1])))
+            chars += len(text)
+        hashes = np.concatenate(grams)
         order = np.argsort(hashes, kind="stable")
-        self.hashes, self.window, self.place = hashes[order], window[order], place[order]
+        # q-grams by hash, with their place in all texts one after another; and the first and last such place of each window
+        self.hashes, self.place = hashes[order], np.concatenate(places)[order]
+        self.first = np.array(starts, np.int64)
+        self.last = self.first + np.array([len(w[1]) - Q for w in self.windows], np.int64)
         self.shift = np.uint64(64 - max(16, min(27, int(np.log2(len(hashes) + 1)) + 5)))
         self.filter = np.zeros(1 << (64 - int(self.shift)), bool)
         self.filter[(self.hashes >> self.shift).astype(np.int64)] = True
@@ -158,8 +171,10 @@ class Index:
 
     def _banded(self, at: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Shared q-grams counted by window and band of diagonals, for some of a document's q-grams."""
-        entry = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
-        window, diagonal = self.window[entry], np.repeat(at, count) - self.place[entry]
+        place = self.place[runs(lo, count)]
+        low, high = np.searchsorted(self.last, place, "left"), np.searchsorted(self.first, place, "right")
+        window = runs(low, high - low)
+        diagonal = np.repeat(np.repeat(at, count) - place, high - low) + self.first[window]
         band = diagonal // (self.budgets[window] + 1)
         return np.unique(np.concatenate([window, window]) * (1 << 34) + np.concatenate([band, band - 1]) + (1 << 33), return_counts=True)
 

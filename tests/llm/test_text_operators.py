@@ -258,6 +258,17 @@ def test_bands_miss_no_window_within_its_budget(seed, monkeypatch):
         assert {w for w, *_ in index.verified(text)} == want
 
 
+def test_every_part_as_long_as_a_window_and_a_step_is_found():
+    pick = random.Random(11)
+    item = "".join(pick.choices("abcdefgh ", k=700)).replace("  ", " x").strip()
+    index, least = decontaminate.Index([(1, "too short"), (3, item), (4, "another text of the benchmark")]), decontaminate.WINDOW + decontaminate.STEP - 1
+    for a in range(len(item) - least + 1):
+        text = f"ahead {item[a : a + least]} behind"
+        (found, start, end, edits), = index.search(text)  # windows that reach a few characters over either end are found too
+        assert found == 3 and edits <= 3 * decontaminate.budget(decontaminate.WINDOW) and end - start >= decontaminate.WINDOW
+        assert any(item[k : k + decontaminate.WINDOW] in text[start:end] for k in range(a, a + least))
+
+
 def test_decontamination_does_not_depend_on_passes(spark, monkeypatch):
     speak = lambda n, seed: " ".join(f"w{random.Random(seed * 1000 + k).randrange(10**6)}" for k in range(n))
     one, two, three = speak(9, 1), speak(11, 2), speak(50, 3)
