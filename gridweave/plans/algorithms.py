@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.frame import BROADCAST_CELLS, DenseFrame, SparseFrame, dense
+from gridweave.frame import BROADCAST_CELLS, DenseFrame, SparseFrame
 from gridweave.operators import linalg
 from gridweave.plans.ranges import checkpointed
 
@@ -67,14 +67,11 @@ def block_pagerank(p: SparseFrame, x0: DenseFrame, alpha: float = 0.85, tol: flo
 def _pagerank(p: SparseFrame, x0: DenseFrame, alpha: float, tol: float, maxiter: int) -> tuple[DenseFrame, int, float]:
     k, n = x0.shape[1], x0.shape[0]
     columns = range(k)
-    state = x0.df.groupBy("row").agg(*[F.sum(F.when(F.col("col") == j, F.col("val"))).alias(f"s{j}") for j in columns])
-    state = checkpointed(state).select("*", *[F.col(f"s{j}").alias(f"x{j}") for j in columns])
+    state = checkpointed(_records(x0, "s")).select("*", *[F.col(f"s{j}").alias(f"x{j}") for j in columns])
     rounds, change = 0, math.inf
     while rounds < maxiter and change > tol:
         rounds += 1
-        right = state.select(F.col("row").alias("col"), *[f"x{j}" for j in columns])
-        right = F.broadcast(right) if n * k <= BROADCAST_CELLS else right
-        sums = p.df.join(right, "col").groupBy("row").agg(*[F.sum(F.col("val") * F.col(f"x{j}")).alias(f"y{j}") for j in columns])
+        sums = _product(p, state, n, k)
         mixed = [(alpha * F.coalesce(f"y{j}", F.lit(0.0)) + (1 - alpha) * F.col(f"s{j}")).alias(f"m{j}") for j in columns]
         now = checkpointed(state.join(sums, "row", "left").select("row", *[c + str(j) for j in columns for c in "sx"], *mixed))
         totals = [t or 1.0 for t in now.agg(*[F.sum(f"m{j}") for j in columns]).first()]
@@ -82,44 +79,62 @@ def _pagerank(p: SparseFrame, x0: DenseFrame, alpha: float, tol: float, maxiter:
         step = now.agg(*[F.sum((v - F.col(f"x{j}")) ** 2) for j, v in enumerate(new)], *[F.sum(v**2) for v in new]).first()
         change = math.sqrt(sum(step[:k])) / (math.sqrt(sum(step[k:])) or 1.0)
         state = now.select("row", *[f"s{j}" for j in columns], *[v.alias(f"x{j}") for j, v in enumerate(new)])
-    cells = state.select("row", F.posexplode(F.array(*[f"x{j}" for j in columns])).alias("col", "val"))
-    return DenseFrame(cells.select("row", F.col("col").cast("long").alias("col"), "val"), x0.shape), rounds, change
+    return _cells(state, x0.shape), rounds, change
+
+
+def _records(x: DenseFrame, name: str = "x") -> DataFrame:
+    """A record for each row of a dense matrix, with a column for each of its columns: row, x0, x1 and so on."""
+    return x.df.groupBy("row").agg(*[F.sum(F.when(F.col("col") == j, F.col("val"))).alias(f"{name}{j}") for j in range(x.shape[1])])
+
+
+def _cells(records: DataFrame, shape: tuple[int, ...]) -> DenseFrame:
+    cells = records.select("row", F.posexplode(F.array(*[f"x{j}" for j in range(shape[1])])).alias("col", "val"))
+    return DenseFrame(cells.select("row", F.col("col").cast("long").alias("col"), "val"), shape)
+
+
+def _product(a: SparseFrame, records: DataFrame, n: int, k: int) -> DataFrame:
+    """(row, y0, y1 and so on): a times n records of k columns; rows of a without cells are left out."""
+    right = records.select(F.col("row").alias("col"), *[f"x{j}" for j in range(k)])
+    right = F.broadcast(right) if n * k <= BROADCAST_CELLS else right
+    return a.df.join(right, "col").groupBy("row").agg(*[F.sum(F.col("val") * F.col(f"x{j}")).alias(f"y{j}") for j in range(k)])
 
 
 def block_power(a: SparseFrame, q: DenseFrame, iters: int = 10) -> tuple[DenseFrame, np.ndarray]:
     """(Q, Ritz values) after rounds of Q <- orthonormal basis of A Q.
 
     The basis comes from the Cholesky factor of the k-by-k matrix of column products, the only thing on the
-    driver besides the values; k is the number of columns and small.
+    driver besides the values. A row of Q is one record with a column for each vector, so k should be tens at most.
     """
     with _held(a) as own:
         return _power(own, q, iters)
 
 
 def _power(a: SparseFrame, q: DenseFrame, iters: int) -> tuple[DenseFrame, np.ndarray]:
-    spark, k = a.spark, q.shape[1]
+    n, k = q.shape
+    state = checkpointed(_records(q))
     for _ in range(iters):
-        aq = DenseFrame(checkpointed(linalg.matmul(a, q).df), q.shape)
-        inverse = np.linalg.inv(np.linalg.cholesky(_gram(aq, aq, k) + 1e-300 * np.eye(k))).T
-        q = DenseFrame(checkpointed(_times(aq, dense(spark, inverse)).df), q.shape)
-    ritz = np.linalg.eigvalsh((lambda g: (g + g.T) / 2)(_gram(q, linalg.matmul(a, q), k)))
-    return q, ritz[::-1]
+        product = checkpointed(state.select("row").join(_product(a, state, n, k), "row", "left").fillna(0.0))
+        inverse = np.linalg.inv(np.linalg.cholesky(_gram(product, "y", "y", k) + 1e-300 * np.eye(k))).T
+        state = product.select("row", *[F.expr(_combined("y", inverse[:, j])).alias(f"x{j}") for j in range(k)])
+    state = checkpointed(state)
+    ritz = _gram(state.join(_product(a, state, n, k), "row"), "x", "y", k)
+    return _cells(state, q.shape), np.linalg.eigvalsh((ritz + ritz.T) / 2)[::-1]
 
 
-def _gram(x: DenseFrame, y: DenseFrame, k: int) -> np.ndarray:
-    """The k-by-k products of the columns of x and y."""
-    both = x.df.select("row", F.col("col").alias("i"), F.col("val").alias("u")).join(y.df.select("row", F.col("col").alias("j"), F.col("val").alias("w")), "row")
-    out = np.zeros((k, k))
-    for r in both.groupBy("i", "j").agg(F.sum(F.col("u") * F.col("w")).alias("g")).collect():
-        out[r["i"], r["j"]] = r["g"]
-    return out
+def _combined(name: str, weights: np.ndarray) -> str:
+    return " + ".join(f"{name}{i} * {float(w)!r}D" for i, w in enumerate(weights) if w) or "0D"
 
 
-def _times(x: DenseFrame, y: DenseFrame) -> DenseFrame:
-    """A tall dense matrix times a small one."""
-    right = F.broadcast(y.df.select(F.col("row").alias("_k"), F.col("col").alias("c"), F.col("val").alias("w")))
-    sums = x.df.join(right, F.col("col") == F.col("_k")).groupBy("row", "c").agg(F.sum(F.col("val") * F.col("w")).alias("val"))
-    return DenseFrame(sums.select("row", F.col("c").alias("col"), "val"), (x.shape[0], y.shape[1]))
+def _gram(records: DataFrame, left: str, right: str, k: int) -> np.ndarray:
+    """The products of the columns left0, left1 and so on with right0, right1 and so on, summed over all records."""
+    pairs = [(i, j) for i in range(k) for j in range(i if left == right else 0, k)]
+    sums = records.agg(*[F.expr(f"sum({left}{i} * {right}{j})") for i, j in pairs]).first()
+    out = np.zeros((k, k))
+    for (i, j), total in zip(pairs, sums, strict=True):
+        out[i, j] = total or 0.0
+        if left == right:
+            out[j, i] = out[i, j]
+    return out
 
 
 def row_stochastic(a: SparseFrame) -> SparseFrame:

@@ -343,33 +343,55 @@ _STOCHASTIC = _TOTALS + (
     ", p AS MATERIALIZED (SELECT n.r, n.c, v / s AS v FROM n JOIN t ON n.r = t.r WHERE s <> 0"
     " UNION ALL SELECT i, i, 1.0 FROM range(25) z(i) WHERE i NOT IN (SELECT r FROM t WHERE s <> 0))"
 )
-_RANK_STEP = "SELECT i, v / sum(v) OVER () AS v FROM (SELECT z.i, 0.85 * coalesce(sum(p.v * b.v), 0) + 0.15 / 25 AS v FROM range(25) z(i) LEFT JOIN p ON p.c = z.i LEFT JOIN {before} b ON b.i = p.r GROUP BY z.i)"
+_RANK_STEP = (
+    "SELECT i, k, s, v / sum(v) OVER (PARTITION BY k) AS v FROM (SELECT z.i, z.k, z.s, 0.85 * coalesce(sum(p.v * b.v), 0) + 0.15 * z.s AS v"
+    " FROM {before} z LEFT JOIN p ON p.c = z.i LEFT JOIN {before} b ON b.i = p.r AND b.k = z.k GROUP BY z.i, z.k, z.s)"
+)
+_STARTS = "SELECT i, k, s, s AS v FROM (SELECT i, k, CASE k WHEN 0 THEN 1.0 / 25 ELSE (i + 1.0) / 325 END AS s FROM range(25) z(i) CROSS JOIN range(2) y(k))"
 
 
-@query("pagerank_block", _unrolled("SELECT i, 1.0 / 25 AS v FROM range(25) z(i)", 20, _RANK_STEP, f"SELECT i AS row, CAST(k AS BIGINT) AS col, {_val('v')} FROM {{before}} CROSS JOIN range(2) y(k)", _STOCHASTIC))
+@query("pagerank_block", _unrolled(_STARTS, 20, _RANK_STEP, f"SELECT i AS row, CAST(k AS BIGINT) AS col, {_val('1e6 * v')} FROM {{before}}", _STOCHASTIC))
 def _pagerank(s, d):
+    """Ranks in millionths after 20 rounds, of an even start and of one that favours the last nations."""
     p = manipulation.to_csr(algorithms.row_stochastic(nations(s, d)).T)
-    return algorithms.block_pagerank(p, creation.full(s, (25, 2), 1 / 25), 0.85, 1e-8, 20)[0]
-
-
-@query("cg_solve", "SELECT i AS i0, CAST(1 AS DOUBLE) AS val FROM range(25) z(i)")
-def _cg(s, d):
-    """A times the solution of A x = 1, which is 1 again."""
-    a = algorithms.spd(nations(s, d))
-    return a @ algorithms.cg_solve(a, creation.ones(s, (25,)), 1e-8, 50)[0]
+    starts = dense(s, [[1 / 25, (i + 1) / 325] for i in range(25)])
+    ranks = algorithms.block_pagerank(p, starts, 0.85, 0.0, 20)[0]
+    return ranks.df.withColumn("val", F.col("val") * 1e6)
 
 
 _SPD = "n AS MATERIALIZED (" + N_SQL + (
     "), o AS (SELECT r, c, sum(v) AS v FROM (SELECT * FROM n UNION ALL SELECT c, r, v FROM n) WHERE r <> c GROUP BY r, c),"
     " a AS MATERIALIZED (SELECT * FROM o UNION ALL SELECT i, i, coalesce(s, 0) + 0.001 FROM range(25) z(i) LEFT JOIN (SELECT r, sum(abs(v)) AS s FROM o GROUP BY r) ON r = i)"
 )
-_POWER_STEP = "SELECT i, v / sqrt(sum(v * v) OVER ()) AS v FROM (SELECT a.r AS i, sum(a.v * b.v) AS v FROM a JOIN {before} b ON b.i = a.c GROUP BY a.r)"
+_CG_STEP = (
+    "SELECT i, x, r, r + sum(r * r) OVER () / rr * p AS p FROM (SELECT i, x + rr / pap * p AS x, r - rr / pap * ap AS r, p, rr"
+    " FROM (SELECT *, sum(r * r) OVER () AS rr, sum(p * ap) OVER () AS pap"
+    " FROM (SELECT b.i, b.x, b.r, b.p, sum(a.v * q.p) AS ap FROM {before} b JOIN a ON a.r = b.i JOIN {before} q ON q.i = a.c GROUP BY b.i, b.x, b.r, b.p)))"
+)
+
+
+@query("cg_solve", _unrolled("SELECT i, CAST(0 AS DOUBLE) AS x, 1e6 * (i % 7 + 1) AS r, 1e6 * (i % 7 + 1) AS p FROM range(25) z(i)", 12, _CG_STEP, f"SELECT i AS i0, {_val('x')} FROM {{before}}", _SPD))
+def _cg(s, d):
+    """The solution of A x = b after at most 12 rounds."""
+    b = creation.arange(s, 25)
+    b = DenseFrame(b.df.withColumn("val", 1e6 * (F.col("i0") % 7 + 1)), b.shape)
+    return algorithms.cg_solve(algorithms.spd(nations(s, d)), b, 1e-13, 12)[0]
+
+
+_POWER_STEP = (
+    "SELECT i, v, w / sqrt(sum(w * w) OVER ()) AS w FROM (SELECT i, v, w - v * sum(v * w) OVER () AS w FROM (SELECT i, v / sqrt(sum(v * v) OVER ()) AS v, w"
+    " FROM (SELECT a.r AS i, sum(a.v * b.v) AS v, sum(a.v * b.w) AS w FROM a JOIN {before} b ON b.i = a.c GROUP BY a.r)))"
+)
+_RITZ = (
+    "SELECT CAST(k AS BIGINT) AS i0, round((f + h) / 2 + CASE k WHEN 0 THEN 1 ELSE -1 END * sqrt((f - h) * (f - h) / 4 + g * g), 4) + 0.0 AS val FROM range(2) z(k) CROSS JOIN"
+    " (SELECT sum(x.v * a.v * y.v) AS f, sum(x.v * a.v * y.w) AS g, sum(x.w * a.v * y.w) AS h FROM a JOIN {before} x ON x.i = a.r JOIN {before} y ON y.i = a.c)"
+)
 
 
-@query("block_power", _unrolled("SELECT i, CAST(i % 3 + 1 AS DOUBLE) AS v FROM range(25) z(i)", 10, _POWER_STEP, f"SELECT CAST(0 AS BIGINT) AS i0, {_val('sum(x.v * a.v * y.v)')} FROM a JOIN {{before}} x ON x.i = a.r JOIN {{before}} y ON y.i = a.c", _SPD))
+@query("block_power", _unrolled("SELECT i, CAST(i % 3 + 1 AS DOUBLE) AS v, CAST(i * i % 11 AS DOUBLE) AS w FROM range(25) z(i)", 10, _POWER_STEP, _RITZ, _SPD))
 def _power(s, d):
-    """The Rayleigh quotient after ten rounds of a block of one column."""
-    start = dense(s, [[i % 3 + 1.0] for i in range(25)])
+    """The Ritz values after ten rounds of a block of two columns."""
+    start = dense(s, [[i % 3 + 1.0, i * i % 11 + 0.0] for i in range(25)])
     values = algorithms.block_power(algorithms.spd(nations(s, d)), start, 10)[1]
     return s.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "i0 long, val double")
 

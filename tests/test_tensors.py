@@ -331,8 +331,15 @@ def test_iterations(spark):
         want = 0.85 * p.toarray().T @ want + 0.15 / 6
         want /= want.sum()
     assert np.allclose(ranks[:, 0], want, atol=1e-8)
-    values = algorithms.block_power(s, dense(spark, pick.random((6, 2))), 6)[1]
-    assert values[0] == pytest.approx(np.linalg.eigvalsh(full)[-1], rel=0.05)
+    start = pick.random((6, 3))
+    got, values = algorithms.block_power(s, dense(spark, start), 6)
+    for _ in range(6):
+        start = np.linalg.qr(full @ start)[0]
+    got = got.toarray()
+    assert np.allclose(got.T @ got, np.eye(3)) and np.allclose(got @ got.T, start @ start.T)
+    assert np.allclose(values, np.linalg.eigvalsh(start.T @ full @ start)[::-1])
+    none = algorithms.block_power(s, dense(spark, np.eye(6)[:, :2]), 0)[1]
+    assert np.allclose(none, np.linalg.eigvalsh(full[:2, :2])[::-1])
 
 
 def test_windowed_stream(spark, tmp_path):
