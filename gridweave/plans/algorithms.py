@@ -127,13 +127,11 @@ def _combined(name: str, weights: np.ndarray) -> str:
 
 def _gram(records: DataFrame, left: str, right: str, k: int) -> np.ndarray:
     """The products of the columns left0, left1 and so on with right0, right1 and so on, summed over all records."""
-    pairs = [(i, j) for i in range(k) for j in range(i if left == right else 0, k)]
-    sums = records.agg(*[F.expr(f"sum({left}{i} * {right}{j})") for i, j in pairs]).first()
+    each = F.posexplode(F.array(*[f"{left}{i}" for i in range(k)])).alias("i", "u")
+    sums = records.select(each, *[F.col(f"{right}{j}").alias(f"w{j}") for j in range(k)]).groupBy("i").agg(*[F.sum(F.col("u") * F.col(f"w{j}")) for j in range(k)])
     out = np.zeros((k, k))
-    for (i, j), total in zip(pairs, sums, strict=True):
-        out[i, j] = total or 0.0
-        if left == right:
-            out[j, i] = out[i, j]
+    for row in sums.collect():  # k rows
+        out[row[0]] = row[1:]
     return out
 
 
