@@ -21,6 +21,11 @@ def byte_letters() -> dict[str, str]:
     return {chr(b): chr(b) for b in own} | {chr(b): chr(256 + k) for k, b in enumerate(rest)}
 
 
+def letter_bytes() -> dict[str, int]:
+    """The byte that each printable stand-in of byte-level BPE stands for."""
+    return {stand_in: ord(own) for own, stand_in in byte_letters().items()}
+
+
 def packed(ids: list[int]) -> bytes:
     """Ids as 32-bit little-endian bytes."""
     own = array("I", ids)
@@ -68,10 +73,10 @@ class Encoder:
     Both kinds of tokenizer (byte-level BPE, and BPE with word ends that drops white space) never merge across
     a space or line end that stands between two other characters, so texts are cut there and each word is
     encoded once while it stays in the cache. Texts with special tokens or runs of white space that a cut
-    would change are encoded in one piece.
+    would change are encoded in one piece. With plain, special tokens in a text are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -79,14 +84,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         about = json.loads(self.tokenizer.to_str())
-        self.special = [t["content"] for t in about["added_tokens"]]
+        self.tokenizer.encode_special_tokens = plain
+        self.special = [] if plain else [t["content"] for t in about["added_tokens"]]
         kinds = str(about["pre_tokenizer"])
         self.byte_level = about["pre_tokenizer"]["type"] == "ByteLevel" and about["pre_tokenizer"]["use_regex"] and not about["pre_tokenizer"]["add_prefix_space"] and about["normalizer"] is None
         self.words_only = about["normalizer"] is not None and "Lowercase" in str(about["normalizer"]) and "Removed" in kinds
         self.letters = str.maketrans(byte_letters())
         self.model = self.tokenizer.model
         self.tails = _Cache(self.library)
-        self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit), 3 if self.byte_level else 1) for lead in ("", " ", "\n")}
+        self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit), 3 if self.byte_level and not plain else 1) for lead in ("", " ", "\n")}
 
     def library(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -124,7 +130,8 @@ class Encoder:
             first, *rest = text.split("\n")
             bare, spaced, newline = self.units[""], self.units[" "].__getitem__, self.units["\n"]
             parts = first.split(" ")
-            out = [bare[parts[0]], *map(spaced, islice(parts, 1, None))]
+            out = [] if not parts[0] and len(parts) > 1 else [bare[parts[0]]]  # nothing stands before a space at the start
+            out += map(spaced, islice(parts, 1, None))
             for line in rest:
                 parts = line.split(" ")
                 out.append(newline[parts[0]])
@@ -134,12 +141,44 @@ class Encoder:
             return self.library(text)
 
 
-_HELD: dict[str, Encoder] = {}
+class PieceEncoder:
+    """ids(text): the same ids as SentencePieceProcessor.encode(text), as 32-bit bytes.
+
+    Where no piece but those of spaces alone has a space inside, nothing merges across a single space between two other
+    characters, so texts are cut there and each word is encoded once while it stays in the cache. Texts with other
+    spaces, or with the character that stands for one in pieces, are encoded in one piece.
+    """
+
+    SPACE = "\u2581"
+
+    def __init__(self, path: str):
+        from sentencepiece import SentencePieceProcessor
+
+        self.own = SentencePieceProcessor(model_file=path)
+        names = [self.own.id_to_piece(k) for k in range(self.own.get_piece_size())]
+        self.by_word = not any(self.SPACE in name[1:] and name.strip(self.SPACE) for name in names)
+        self.words = _Cache(self.library)
+
+    def pieces(self) -> list[bytes]:
+        """The bytes that each id stands for."""
+        names = map(self.own.id_to_piece, range(self.own.get_piece_size()))
+        return [bytes([int(name[3:5], 16)]) if self.own.is_byte(k) else name.replace(self.SPACE, " ").encode() for k, name in enumerate(names)]
+
+    def library(self, text: str) -> bytes:
+        return packed(self.own.encode(text, num_threads=1))
+
+    def ids(self, text: str) -> bytes:
+        if not self.by_word or "  " in text or self.SPACE in text or text[:1] == " " or text[-1:] == " ":
+            return self.library(text)
+        return b"".join(map(self.words.__getitem__, text.split(" ")))
+
+
+_HELD: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """The encoder of a file, kept for the next task of the same worker."""
-    if path not in _HELD:
+    if (path, plain) not in _HELD:
         _HELD.clear()
-        _HELD[path] = Encoder(path)
-    return _HELD[path]
+        _HELD[path, plain] = Encoder(path, plain)
+    return _HELD[path, plain]
