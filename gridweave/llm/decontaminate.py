@@ -3,11 +3,13 @@
 A benchmark text is cut into overlapping windows, each with an edit budget. By the q-gram lemma a document
 region within k edits of a window of n characters shares at least n - q + 1 - k q of its q-grams, all within
 k + 1 neighbouring diagonals. Shared q-grams are counted in bands of diagonals that overlap by that much;
-bands that reach the bound are verified by aligning the window with the region.
+bands that reach the bound are verified by aligning the window with the region. Long stretches that repeat a few
+characters over and over, such as ruled lines, are cut to one length on both sides first.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,9 @@ EDIT_SHARE = 0.07
 PASS_CHARS = 2_000_000
 #: Places of shared q-grams that are looked at together, each in up to five windows.
 PLACES = 250_000
+#: Periods of stretches that are cut, and to how many characters: short ones so that any phase is within the edit budget,
+#: longer ones so that a whole window of any phase is left.
+PERIODS, SHORT_PERIOD, SHORT_STRETCH, STRETCH = 32, 8, 64, 256
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 FOUND = "text_key long, start long, end long, edits int"
 
@@ -35,8 +40,8 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def original_span(text: str, start: int, end: int) -> tuple[int, int]:
-    """Where characters start to end of normal(text) stand in text."""
+def offsets(text: str) -> np.ndarray:
+    """Where each character of normal(text) stands in text."""
     at, spaced = [], True
     for i, c in enumerate(text):
         if c.isspace():
@@ -46,7 +51,7 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
         else:
             at += [i] * len(c.lower())
             spaced = False
-    return (at[start], at[min(end, len(at)) - 1] + 1) if at and end > start else (0, 0)
+    return np.array(at, np.int64)
 
 
 def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
@@ -81,6 +86,64 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def stretches(codes: np.ndarray, grams: np.ndarray) -> list[int]:
+    """Periods, up to PERIODS, with which some stretch longer than SHORT_STRETCH may repeat."""
+    if len(grams) <= PERIODS:
+        return []
+    ahead = np.lib.stride_tricks.sliding_window_view(grams, PERIODS + 1)[::PERIODS]
+    return (np.flatnonzero((ahead[:, 1:] == ahead[:, :1]).any(axis=0)) + 1).tolist()
+
+
+def _cut(codes: np.ndarray, period: int) -> np.ndarray:
+    """Which characters stay when stretches of a period are cut to their first so many."""
+    most = SHORT_STRETCH if period <= SHORT_PERIOD else STRETCH
+    edges = np.flatnonzero(np.diff(np.r_[False, codes[period:] == codes[:-period], False].astype(np.int8)))
+    begins, ends = edges[::2], edges[1::2] + period
+    keep = np.ones(len(codes), bool)
+    for a, b in zip(begins[ends - begins > most].tolist(), ends[ends - begins > most].tolist(), strict=True):
+        keep[a + most : b] = False
+    return keep
+
+
+class Prepared:
+    """A text in normal form: its codes without what is cut from repeating stretches, their q-grams, and where they stood.
+
+    A stretch that repeats up to 8 characters counts as its first 64 characters, one that repeats up to 32 as its first 256.
+    """
+
+    def __init__(self, text: str | None):
+        self.text = text or ""
+        self.own = normal(self.text)
+        self.codes = codes_of(self.own)
+        self.grams = gram_hashes(self.codes)
+        self.kept: np.ndarray | None = None
+        for period in stretches(self.codes, self.grams):
+            if len(self.codes) <= period:
+                break
+            keep = _cut(self.codes, period)
+            if not keep.all():
+                self.kept = (np.arange(len(keep)) if self.kept is None else self.kept)[keep]
+                self.codes = self.codes[keep]
+        if self.kept is not None:
+            self.grams = gram_hashes(self.codes)
+            self.own = self.codes.tobytes().decode("utf-32-le", "surrogatepass")
+        self._at: np.ndarray | None = None
+
+    def span(self, start: int, end: int) -> tuple[int, int]:
+        """Where characters start to end stand in the text as it came, with what was cut within PERIODS characters behind them."""
+        if self._at is None:
+            self._at = offsets(self.text)
+        if end <= start or not len(self.codes):
+            return 0, 0
+        end = min(end, len(self.codes))
+        if self.kept is None:
+            return int(self._at[start]), int(self._at[end - 1]) + 1
+        near = np.append(self.kept, len(self._at))[end - 1 : end + PERIODS]
+        cut = np.flatnonzero(np.diff(near) > 1)
+        last = int(near[cut[0] + 1]) - 1 if len(cut) else int(near[0])
+        return int(self._at[self.kept[start]]), int(self._at[last]) + 1
+
+
 def budget(length: int) -> int:
     """Edits allowed in a window, never so many that the q-gram bound falls below one."""
     return max(0, min(int(length * EDIT_SHARE), (length - Q) // Q))
@@ -123,8 +186,8 @@ class Index:
         self.texts: list[np.ndarray] = []
         grams, places, starts, chars = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [], 0
         for item, text in items:
-            text = normal(text)
-            codes = codes_of(text)
+            own = Prepared(text)
+            text, codes = own.own, own.codes
             self.texts.append(codes)
             if len(text) < Q:
                 continue
@@ -134,7 +197,7 @@ class Index:
                 self.origin.append((len(self.texts) - 1, a))
                 self.windows.append((item, part, codes[a : a + WINDOW], budget(len(part))))
                 starts.append(chars + a)
-            grams.append(gram_hashes(codes))
+            grams.append(own.grams)
             places.append(np.arange(chars, chars + len(grams[-1])))
             chars += len(text)
         hashes = np.concatenate(grams)
@@ -149,9 +212,8 @@ class Index:
         self.budgets = np.array([w[3] for w in self.windows], np.int64)
         self.least = np.array([len(w[1]) - Q + 1 - w[3] * Q for w in self.windows], np.int64)
 
-    def candidates(self, codes: np.ndarray) -> list[tuple[int, int, int]]:
+    def candidates(self, grams: np.ndarray) -> list[tuple[int, int, int]]:
         """(window, first diagonal, last diagonal) of each band that reaches the q-gram bound."""
-        grams = gram_hashes(codes)
         at = np.flatnonzero(self.filter[(grams >> self.shift).astype(np.int64)])
         lo, hi = np.searchsorted(self.hashes, grams[at], "left"), np.searchsorted(self.hashes, grams[at], "right")
         count = hi - lo
@@ -178,12 +240,12 @@ class Index:
         band = diagonal // (self.budgets[window] + 1)
         return np.unique(np.concatenate([window, window]) * (1 << 34) + np.concatenate([band, band - 1]) + (1 << 33), return_counts=True)
 
-    def verified(self, own: str) -> Iterator[tuple[int, int, int, int]]:
-        """(window, edits, start, end) of each place in a normal text where a window is found, some more than once."""
+    def verified(self, text: Prepared) -> Iterator[tuple[int, int, int, int]]:
+        """(window, edits, start, end) of each place in a prepared text where a window is found, some more than once."""
+        own, codes = text.own, text.codes
         if len(own) < Q or not self.windows:
             return
-        codes = codes_of(own)
-        for w, first, last in self.candidates(codes):
+        for w, first, last in self.candidates(text.grams):
             _, part, window, most = self.windows[w]
             a, b = max(0, first - most), min(len(own), last + len(part) + most)
             at = own.find(part, a, b)
@@ -195,39 +257,53 @@ class Index:
 
     def holds(self, text: str | None) -> bool:
         """Whether a window is found in the text."""
-        return next(self.verified(normal(text or "")), None) is not None
+        return next(self.verified(Prepared(text)), None) is not None
 
     def search(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item_id, start, end, edits) for each region of the text that holds an item or part of it.
 
         A region is a chain of windows of one benchmark text that overlap or touch and follow one another as they do
-        in that text; its edits are those to the part of the text that its windows cover.
+        in that text; its edits are those to the part of the text that its windows cover. Of places of one window
+        that overlap by more than half, those with fewer edits count, of equal ones the first. So a ruled line
+        is one region, which spans all of it.
         """
-        own = normal(text or "")
-        places: dict[int, list[tuple[int, int, int]]] = {}
-        for w, *place in sorted(set(self.verified(own))):
-            held = places.setdefault(w, [])
-            if place[0] == 0 or not any(2 * (min(place[2], e) - max(place[1], s)) > place[2] - place[1] for _, s, e in held):
-                held.append(tuple(place))
+        own = Prepared(text)
         chains: dict[int, list[list]] = {}
-        for k, a, w, edits, start, end in sorted((self.origin[w][0], start, w, edits, start, end) for w, held in places.items() for edits, start, end in held):
+        ended: dict[int, list[list]] = {}
+        for k, a, w, edits, start, end in sorted((self.origin[w][0], start, w, edits, start, end) for w, held in self._placed(own).items() for edits, start, end in held):
             origin, most = self.origin[w][1], self.windows[w][3]
-            for chain in reversed(chains.setdefault(k, [])):  # [start, end, first and last place in the text, shift, budget of the last, edits]
-                if start <= chain[1] and origin > chain[7] and abs(start - origin - chain[4]) <= most + chain[5]:
+            active = chains.setdefault(k, [])
+            if any(chain[1] < start for chain in active):  # places come by their start: these chains are over
+                ended.setdefault(k, []).extend(c for c in active if c[1] < start)
+                active[:] = [c for c in active if c[1] >= start]
+            for chain in reversed(active):  # [start, end, first and last place in the text, shift, budget of the last, edits, place, item]
+                if origin > chain[7] and abs(start - origin - chain[4]) <= most + chain[5]:
                     chain[1], chain[3], chain[4], chain[5] = max(chain[1], end), origin + len(self.windows[w][1]), start - origin, most
                     chain[6], chain[7] = chain[6] + edits, origin
                     break
             else:
-                chains[k].append([start, end, origin, origin + len(self.windows[w][1]), start - origin, most, edits, origin, self.windows[w][0]])
-        codes, found = codes_of(own), []
-        for k, own_chains in chains.items():
-            for start, end, first, last, _, most, edits, _, item in own_chains:
+                active.append([start, end, origin, origin + len(self.windows[w][1]), start - origin, most, edits, origin, self.windows[w][0]])
+        found = []
+        for k, active in chains.items():
+            for start, end, first, last, _, most, edits, _, item in sorted(ended.get(k, []) + active, key=lambda c: c[:2]):
                 if edits and last - first > WINDOW:
-                    hit = align(self.texts[k][first:last], codes[start:end], edits + 2 * most)
+                    hit = align(self.texts[k][first:last], own.codes[start:end], edits + 2 * most)
                     edits, start, end = (hit[0], start + hit[1], start + hit[2]) if hit else (edits, start, end)
-                found.append((item, *original_span(text, start, end), edits))
+                found.append((item, *own.span(start, end), edits))
         return list(dict.fromkeys(found))
 
+    def _placed(self, own: Prepared) -> dict[int, list[tuple[int, int, int]]]:
+        """(edits, start, end) of the places of each window, without those that lie for the most part on a better one."""
+        places: dict[int, list[tuple[int, int, int]]] = {}
+        for w, *place in sorted(set(self.verified(own))):
+            edits, start, end = place
+            held = places.setdefault(w, [])
+            reach = len(self.windows[w][1]) + self.windows[w][3]
+            near = held[bisect_left(held, (start - reach,)) : bisect_left(held, (end,))]
+            if not any(2 * (min(end, e) - max(start, s)) > end - start for s, e, _ in near):
+                insort(held, (start, end, edits))
+        return {w: [(edits, start, end) for start, end, edits in held] for w, held in places.items()}
+
 
 def _texts(benchmark: DataFrame) -> DataFrame:
     """(item_id, text_key, text) of the benchmark, each row once; equal texts have one key."""

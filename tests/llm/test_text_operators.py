@@ -2,6 +2,7 @@
 
 import os
 import random
+import time
 import zlib
 
 import numpy as np
@@ -255,7 +256,7 @@ def test_bands_miss_no_window_within_its_budget(seed, monkeypatch):
             own[k : k + 1] = pick.choices("abcd", k=pick.randint(0, 2))
         text = decontaminate.normal("".join(pick.choices("abcd ", k=40)) + "".join(own) + "".join(pick.choices("abcd -", k=40)))
         want = {w for w, (_, window, _, most) in enumerate(index.windows) if plain_distance(window, text) <= most}
-        assert {w for w, *_ in index.verified(text)} == want
+        assert {w for w, *_ in index.verified(decontaminate.Prepared(text))} == want
 
 
 def test_every_part_as_long_as_a_window_and_a_step_is_found():
@@ -269,6 +270,54 @@ def test_every_part_as_long_as_a_window_and_a_step_is_found():
         assert any(item[k : k + decontaminate.WINDOW] in text[start:end] for k in range(a, a + least))
 
 
+@pytest.mark.parametrize("unit", ["-", "=-", "* ", "abcdefg", "twelve char.", "a stretch of thirty-two letters:"])
+def test_repeating_stretches_are_one_region_in_linear_time(unit):
+    for left, right in ((400, 4_000), (2_000, 20_000), (20_000, 80_000)):
+        index = decontaminate.Index([(1, unit * (left // len(unit)))])
+        rule = (unit * (right // len(unit)))[3:]
+        begin = time.perf_counter()
+        found = index.search(f"Some words. {rule} More words")
+        spent = time.perf_counter() - begin
+        assert len({f[:3] for f in found}) == len(found) and spent < 2
+        assert min(s for _, s, *_ in found) <= 12 + 4 + len(unit) and max(e for *_, e, _ in found) >= 12 + len(rule) - 40
+        if len(unit) <= decontaminate.SHORT_PERIOD:
+            assert len(found) == 1
+        assert index.holds(rule) and not index.holds("Some words. More words, and none of them a rule")
+
+
+def test_a_text_around_a_ruled_line_is_found_whole():
+    text = "What is the name of it?\n" + "-" * 300 + "\nThe name of it is known to no one, said the other one."
+    index = decontaminate.Index([(4, text)])
+    own = f"Before. {text} After, more of it."
+    assert [f[:3] for f in index.search(own)] == [(4, own.index(text), own.index(text) + len(text))]
+
+
+def test_many_copies_of_a_passage_take_time_in_proportion():
+    pick = random.Random(12)
+    item = "".join(pick.choices("abcdefgh ", k=390)).replace("  ", " x").strip()
+    index, spent = decontaminate.Index([(3, item)]), []
+    for copies in (50, 1_000):
+        text = " and then ".join([item] * copies)
+        begin = time.perf_counter()
+        found = index.search(text)
+        spent.append((time.perf_counter() - begin) / copies)
+        assert len(found) == copies and all(text[s:e] == item and not edits for _, s, e, edits in found)
+    assert spent[1] < 4 * spent[0] + 0.001
+
+
+def test_offsets_lead_back_to_the_text_as_it_came():
+    pick = random.Random(13)
+    for _ in range(300):
+        text = "".join(pick.choice(["a", "B", " ", "  ", "\n", "İ", "ß", "-" * pick.randint(1, 200), "=-" * 90, "word"]) for _ in range(pick.randint(0, 12)))
+        own = decontaminate.Prepared(text)
+        assert len(own.own) == len(own.codes) <= len(decontaminate.normal(text))
+        for _ in range(5):
+            a, b = sorted((pick.randint(0, len(own.own)), pick.randint(0, len(own.own))))
+            start, end = own.span(a, b)
+            assert 0 <= start <= end <= len(text)
+            assert own.own[a:b] in decontaminate.normal(text[start:end]) or own.kept is not None or a == b or "İ" in text
+
+
 def test_decontamination_does_not_depend_on_passes(spark, monkeypatch):
     speak = lambda n, seed: " ".join(f"w{random.Random(seed * 1000 + k).randrange(10**6)}" for k in range(n))
     one, two, three = speak(9, 1), speak(11, 2), speak(50, 3)
