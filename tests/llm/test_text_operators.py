@@ -315,7 +315,7 @@ def test_offsets_lead_back_to_the_text_as_it_came():
             a, b = sorted((pick.randint(0, len(own.own)), pick.randint(0, len(own.own))))
             start, end = own.span(a, b)
             assert 0 <= start <= end <= len(text)
-            assert own.own[a:b] in decontaminate.normal(text[start:end]) or own.kept is not None or a == b or "İ" in text
+            assert own.own[a:b].strip() in decontaminate.normal(text[start:end]) or own.kept is not None or a == b or "İ" in text
 
 
 def test_decontamination_does_not_depend_on_passes(spark, monkeypatch):
