@@ -385,7 +385,7 @@ def test_near_fingerprints_meet(distance):
     for segments in (2, 3, 4) if distance < 8 else (3, 4):
         keys = [{}, {}]
         for held, prints in zip(keys, (base, other), strict=True):
-            for at, key in simhash.filed_under(prints.view(np.int64), distance, segments):
+            for at, key in simhash.filed_under([prints], simhash.plan_segments(distance, segments)):
                 for i, k in zip(at.tolist(), key.tolist(), strict=True):
                     held.setdefault(i, set()).add(k)
         assert all(keys[0][i] & keys[1][i] for i in range(40))
@@ -410,19 +410,19 @@ def test_linked_fingerprints(spark, segments, tile_rows):
     table = spark.createDataFrame([(int(p),) for p in prints], "fp long").repartition(3)
     place = {int(p): i for i, p in enumerate(prints)}
     want = near_by(prints, 4)
-    got = {(place[r["a"]], place[r["b"]]) for r in simhash.candidates(table, 4, segments, tile_rows=tile_rows, crowd=10**6).collect()}
+    got = {(place[r["a"]], place[r["b"]]) for r in simhash.candidates(table, 4, simhash.plan_segments(4, segments), tile_rows=tile_rows, crowd=10**6).collect()}
     assert got == set(want)
     assert same_groups(simhash.grouped_prints(table, 4, segments, tile_rows), place, want)
 
 
-@pytest.mark.parametrize(("few", "hot"), [(4, 1_000_000), (256, 0)])
-def test_crowded_values_are_left_to_crowds(spark, monkeypatch, few, hot):
-    monkeypatch.setattr(simhash, "MOST_HOT", hot)
+@pytest.mark.parametrize(("few", "slots"), [(4, 1 << 20), (256, 1)])
+def test_crowded_values_are_left_to_crowds(spark, monkeypatch, few, slots):
+    monkeypatch.setattr(simhash, "SLOTS", slots)
     prints = near_prints(5, centres=2, each=120)
     want = near_by(prints, 6)
     table = spark.createDataFrame([(int(p),) for p in prints], "fp long").repartition(2)
     place = {int(p): i for i, p in enumerate(prints)}
-    found = simhash.candidates(table, 6, 3, tile_rows=60, few=few, crowd=2).collect()
+    found = simhash.candidates(table, 6, simhash.plan_segments(6, 3), tile_rows=60, few=few, crowd=2).collect()
     pairs = [(place[r["a"]], place[r["b"]]) for r in found if r["b"] is not None]
     crowd = plain_components(len(prints), [(place[r["a"]], place[r["crowd"]]) for r in found if r["b"] is None])
     left = {place[r["a"]] for r in found if r["b"] is None}
@@ -448,9 +448,18 @@ def test_near_copies_are_those_of_a_plain_search(spark, crowd, alike):
     texts += ["a b c d e f g " * 40 + " ".join(f"{k}v{n}" for n in range(30)) for k in range(6)]  # one fingerprint at most, not alike
     texts += ["", None, "a b", "A  b", " ".join(line), " ".join(line[1:])]
     sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else {()} for t in texts]
-    prints = [simhash.fingerprint(t, 5) & (1 << 64) - 1 for t in texts]
-    same = lambda i, j: 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= 13
-    top = plain_components(len(texts), [(i, j) for j in range(len(texts)) for i in range(j) if same(i, j)])
+    alike_pairs = [(i, j) for j in range(len(texts)) for i in range(j) if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    lanes = [[x & (1 << 64) - 1 for x in simhash.lanes_of(simhash.shingles(simhash.words(t), 5))] for t in texts]
+
+    def met(i, j):
+        bits = [(x ^ y) for x, y in zip(lanes[i], lanes[j], strict=True)]
+        near = bits[0].bit_count() <= simhash.DISTANCE and sum(x.bit_count() for x in bits) <= simhash.WHOLE_DISTANCE
+        segments = [(bits[k // 4] >> 14 * (k % 4) & (1 << 14) - 1).bit_count() for k in range(20)]
+        return near and any(segments[k] + segments[(k + 1) % 20] <= 2 for k in range(20))
+
+    pairs = [(i, j) for i, j in alike_pairs if sets[i] == sets[j] or met(i, j)]
+    assert len(pairs) >= 0.95 * len(alike_pairs) and len(pairs) > 40
+    top = plain_components(len(texts), pairs)
     kept = {top[i] for i in range(len(texts))}
     assert len(kept) < len(texts) - 40
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, node string, fp int").repartition(4)
@@ -458,6 +467,19 @@ def test_near_copies_are_those_of_a_plain_search(spark, crowd, alike):
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == sorted(kept)
 
 
+def test_texts_without_ids_link_others_all_the_same(spark):
+    pick = random.Random(21)
+    near = lambda x, y: ((simhash.fingerprint(x) ^ simhash.fingerprint(y)) & (1 << 64) - 1).bit_count()
+    while True:  # a and b are each near n, but not near each other
+        n = [f"w{pick.randrange(10**6)}" for _ in range(150)]
+        a, b = " ".join(["x1", *n[1:]]), " ".join([*n[:-2], "y1", "y2"])
+        if near(a, " ".join(n)) <= 4 and near(" ".join(n), b) <= 4 and near(a, b) > 4:
+            break
+    for ids, want in (((1, None, 2), [1, 1, 1]), ((1, 3, 2), [1, 1, 1]), ((5, None, None), [5, 5, 5]), ((None, None, None), [None] * 3)):
+        docs = spark.createDataFrame(list(zip(ids, (a, " ".join(n), b), strict=True)), "doc_id long, text string")
+        assert [r["component_id"] for r in simhash.near_duplicates(docs).collect()] == want
+
+
 def test_near_copies_of_repeated_ids(spark):
     speak = lambda seed: " ".join(f"w{random.Random(seed * 100 + k).randrange(10**6)}" for k in range(40))
     rows = [(1, speak(1)), (1, speak(1)), (2, speak(1)), (2, speak(2)), (None, speak(1)), (None, None), (3, None), (4, ""), (5, speak(3)), (5, speak(3).upper())]
