@@ -24,19 +24,21 @@ TABLE = bytes(_OWN.get(c, 32) for c in range(256))
 #: Documents of a language that hold a kept term at least, and ranks of terms reported.
 LEAST, TOP = 30, 50
 #: Counts that a task gathers before it gives them on, and characters of the terms in the automata of one pass.
-HELD, PASS_CHARS = 200_000, 1_000_000
+HELD, PASS_CHARS = 400_000, 4_000_000
 #: Terms and sources of a tile, and texts that a Python function gets at once.
 TILE_TERMS, TILE_SOURCES, TEXTS_AT_ONCE = 1_024, 256, 500
 SCALE, PRIOR = 1_000_000_000, 5
 
 
-def plain(text: str) -> bytes:
-    """The text as terms with spaces between and around them, in UTF-8."""
-    return b" %b " % text.encode("utf-8", "surrogatepass").translate(TABLE)
+def plain(text: bytes) -> bytes:
+    """A text in UTF-8 as terms with spaces between and around them."""
+    return b" %b " % text.translate(TABLE)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")])
+    """lang, source and the text in UTF-8."""
+    own = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source", "text")]
+    return docs.select(*own).withColumn("text", F.col("text").cast("binary"))
 
 
 def frequencies(docs: DataFrame) -> DataFrame:
@@ -57,12 +59,12 @@ def frequencies(docs: DataFrame) -> DataFrame:
             yield flushed(held)
 
     def flushed(held: dict[str, Counter]) -> pd.DataFrame:
-        rows = [(lang, term.decode("utf-8", "surrogatepass"), n) for lang, own in held.items() for term, n in own.items()]
+        rows = [(lang, term, n) for lang, own in held.items() for term, n in own.items()]
         held.clear()
         return pd.DataFrame(rows, columns=["lang", "term", "n"])
 
-    parts = _texts(docs).select("lang", "text").mapInPandas(counted, "lang string, term string, n long")
-    return parts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    parts = _texts(docs).select("lang", "text").mapInPandas(counted, "lang string, term binary, n long")
+    return parts.groupBy("lang", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"))
 
 
 def kept_terms(docs: DataFrame, least: int = LEAST) -> DataFrame:
@@ -84,12 +86,15 @@ def _passes(kept: DataFrame, pass_chars: int) -> Iterator[list[tuple[str, str, i
 
 
 def automata(terms: list[tuple[str, str, int]]) -> dict:
-    """An automaton for each language that finds its terms with a space on either side, and gives their ids."""
+    """An automaton for each language that finds its terms with a space on either side, and gives their ids.
+
+    It runs over bytes of UTF-8, each as a character: no byte of a term is a space, so nothing else is met.
+    """
     import ahocorasick
 
     out: dict = {}
     for lang, term, number in terms:
-        out.setdefault(lang, ahocorasick.Automaton()).add_word(f" {term} ", number)
+        out.setdefault(lang, ahocorasick.Automaton()).add_word(f" {term} ".encode().decode("latin-1"), number)
     for own in out.values():
         own.make_automaton()
     return out
@@ -119,7 +124,7 @@ def postings(docs: DataFrame, kept: DataFrame, pass_chars: int = PASS_CHARS) ->
                     if lang in machines:
                         own = held.setdefault((lang, source), Counter())
                         size -= len(own)
-                        own.update([number for _, number in machines[lang].iter(plain(text).decode("utf-8", "surrogatepass"))])
+                        own.update([number for _, number in machines[lang].iter(plain(text).decode("latin-1"))])
                         size += len(own)
                     if size > HELD:
                         yield flushed(held)
