@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.llm.common import batches_of, stored
-from gridweave.llm.tokens import PieceEncoder, encoder, letter_bytes
+from gridweave.llm.tokens import ByteEncoder, PieceEncoder
 
 #: Labels of a byte, and what ends with a byte where tokens of both sides end.
 NONE, A_END, B_END, BOTH = 0, 1, 2, 3
@@ -38,29 +38,20 @@ class Aligner:
     """tokens, groups and links of a text by two tokenizers: A of byte-level entries, B of pieces with byte fallback."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a, self.b = encoder(path_a, plain=True), PieceEncoder(path_b)
-        entries = self.a.tokenizer.get_vocab(with_added_tokens=True)
-        own = letter_bytes()
-        self.a_bytes = [b""] * (max(entries.values()) + 1)
-        for entry, number in entries.items():
-            self.a_bytes[number] = bytes(map(own.__getitem__, entry)) if all(c in own for c in entry) else entry.encode()
-        self.b_bytes = self.b.pieces()
-        self.sizes = [np.array([len(x) for x in table], np.int64) for table in (self.a_bytes, self.b_bytes)]
-        if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
+        self.a, self.b = ByteEncoder(path_a), PieceEncoder(path_b)
+        tables = self.a.pieces(), self.b.pieces()
+        if max(map(len, tables)) > 1 << 16:
             raise ValueError("ids of more than 16 bits")
-        self.told = [f"{k}{c}" for k in range(max(map(len, self.sizes))) for c in (",", "|", ";")]
+        self.sizes = [np.array([len(x) for x in table], np.int64) for table in tables]
+        # each id with what may follow it, as a row of bytes, zeros behind
+        told = [f"{k}{c}".encode() for k in range(max(map(len, tables))) for c in ",|;"]
+        self.told = np.array(told, "S6").view(np.uint8).reshape(-1, 6)
 
     def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of both sides for a space and the text; none where either side's bytes are others than that."""
-        none = np.zeros(0, np.uint32)
-        if not text:
-            return none, none
-        whole = (" " + text).encode("utf-8", "surrogatepass")
-        a, b = (np.frombuffer(x, "<u4") for x in (self.a.ids(" " + text), self.b.ids(text)))
-        for ids, table in ((a, self.a_bytes), (b, self.b_bytes)):
-            if b"".join(map(table.__getitem__, ids.tolist())) != whole:
-                return none, none
-        return a, b
+        if text and (a := self.a.ids(" " + text)) is not None and (b := self.b.ids(text)) is not None:
+            return np.array(a, np.uint32), np.array(b, np.uint32)
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
 
     def labels(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """A label for each byte of the tokens."""
@@ -71,11 +62,12 @@ class Aligner:
         return out
 
     def groups(self, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many tokens of A and of B each group holds."""
+        """How many tokens of A and of B each group holds: one more than the labels of its own that its span has before the last."""
         spans = GROUP.findall(labels.tobytes())
-        return tuple(np.fromiter((s.count(end) for s in spans), np.int64, len(spans)) + 1 for end in (b"\1", b"\2"))
+        ends = np.cumsum(np.fromiter(map(len, spans), np.int64, len(spans)))
+        return tuple(np.diff(np.cumsum(labels == label, dtype=np.int64)[ends - 1], prepend=0) + 1 for label in (A_END, B_END))
 
-    def written(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> str:
+    def written(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> bytes:
         """The groups as a1,a2|b1;a3|b2,b3."""
         starts = np.cumsum(of_a + of_b) - of_a - of_b
         first = np.repeat(starts, of_a) + np.arange(len(a)) - np.repeat(np.cumsum(of_a) - of_a, of_a)
@@ -84,7 +76,7 @@ class Aligner:
         told[first], told[second] = 3 * a.astype(np.int64), 3 * b.astype(np.int64)
         told[starts + of_a - 1] += 1
         told[starts + of_a + of_b - 1] += 2
-        return "".join(map(self.told.__getitem__, told.tolist()))[:-1]
+        return self.told[told].tobytes().translate(None, b"\0")[:-1]
 
     def links(self, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
         """The pair of each link: up to each end of a token, from the end before, one token of A and one of B overlap."""
@@ -100,7 +92,7 @@ class Aligner:
         labels = self.labels(a, b)
         of_a, of_b = self.groups(labels)
         links = self.links(a, b, labels)
-        return len(a), len(b), len(of_a), len(links), hashlib.sha256(self.written(a, b, of_a, of_b).encode()).hexdigest(), packed_pairs(*np.unique(links, return_counts=True))
+        return len(a), len(b), len(of_a), len(links), hashlib.sha256(self.written(a, b, of_a, of_b)).hexdigest(), packed_pairs(*np.unique(links, return_counts=True))
 
 
 def packed_pairs(keys: np.ndarray, times: np.ndarray) -> bytes:

@@ -73,10 +73,10 @@ class Encoder:
     Both kinds of tokenizer (byte-level BPE, and BPE with word ends that drops white space) never merge across
     a space or line end that stands between two other characters, so texts are cut there and each word is
     encoded once while it stays in the cache. Texts with special tokens or runs of white space that a cut
-    would change are encoded in one piece. With plain, special tokens in a text are text like any other.
+    would change are encoded in one piece.
     """
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import json
 
@@ -84,15 +84,14 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         about = json.loads(self.tokenizer.to_str())
-        self.tokenizer.encode_special_tokens = plain
-        self.special = [] if plain else [t["content"] for t in about["added_tokens"]]
+        self.special = [t["content"] for t in about["added_tokens"]]
         kinds = str(about["pre_tokenizer"])
         self.byte_level = about["pre_tokenizer"]["type"] == "ByteLevel" and about["pre_tokenizer"]["use_regex"] and not about["pre_tokenizer"]["add_prefix_space"] and about["normalizer"] is None
         self.words_only = about["normalizer"] is not None and "Lowercase" in str(about["normalizer"]) and "Removed" in kinds
         self.letters = str.maketrans(byte_letters())
         self.model = self.tokenizer.model
         self.tails = _Cache(self.library)
-        self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit), 3 if self.byte_level and not plain else 1) for lead in ("", " ", "\n")}
+        self.units = {lead: _Cache(lambda unit, lead=lead: self._unit(lead, unit), 3 if self.byte_level else 1) for lead in ("", " ", "\n")}
 
     def library(self, text: str) -> bytes:
         return packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -130,8 +129,7 @@ class Encoder:
             first, *rest = text.split("\n")
             bare, spaced, newline = self.units[""], self.units[" "].__getitem__, self.units["\n"]
             parts = first.split(" ")
-            out = [] if not parts[0] and len(parts) > 1 else [bare[parts[0]]]  # nothing stands before a space at the start
-            out += map(spaced, islice(parts, 1, None))
+            out = [bare[parts[0]], *map(spaced, islice(parts, 1, None))]
             for line in rest:
                 parts = line.split(" ")
                 out.append(newline[parts[0]])
@@ -141,44 +139,73 @@ class Encoder:
             return self.library(text)
 
 
-class PieceEncoder:
-    """ids(text): the same ids as SentencePieceProcessor.encode(text), as 32-bit bytes.
+_HELD: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """The encoder of a file, kept for the next task of the same worker."""
+    if path not in _HELD:
+        _HELD.clear()
+        _HELD[path] = Encoder(path)
+    return _HELD[path]
+
+
+#: Fixed value: how byte-level BPE cuts texts into words.
+WORDS_OF_BYTES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    Where no piece but those of spaces alone has a space inside, nothing merges across a single space between two other
-    characters, so texts are cut there and each word is encoded once while it stays in the cache. Texts with other
-    spaces, or with the character that stands for one in pieces, are encoded in one piece.
+
+class ByteEncoder:
+    """ids(text): the same ids as Tokenizer.encode of a byte-level BPE file, special tokens in the text being plain text.
+
+    Where the ids of entries follow the order of merges, as they do in files that were trained in one go, merging by the id of the
+    result is the same, which another library does several times as fast.
     """
 
+    def __init__(self, path: str):
+        import json
+
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            about = json.load(f)
+        model, special = about["model"], {t["content"] for t in about["added_tokens"]}
+        letters = letter_bytes()
+        self.entries = {bytes(map(letters.__getitem__, entry)): number for entry, number in model["vocab"].items() if entry not in special}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged) or not about["pre_tokenizer"]["use_regex"] or about["pre_tokenizer"]["add_prefix_space"] or about["normalizer"]:
+            raise ValueError(f"not a plain byte-level BPE: {path}")
+        self.own = tiktoken.Encoding("bytes", pat_str=WORDS_OF_BYTES, mergeable_ranks=self.entries, special_tokens={})
+
+    def pieces(self) -> list[bytes]:
+        """The bytes that each id stands for; of special tokens none."""
+        out = [b""] * (max(self.entries.values()) + 1)
+        for entry, number in self.entries.items():
+            out[number] = entry
+        return out
+
+    def ids(self, text: str) -> list[int] | None:
+        """The ids, or None where they do not spell the text."""
+        out = self.own.encode_ordinary(text)
+        return out if self.own.decode_bytes(out) == text.encode("utf-8", "surrogatepass") else None
+
+
+class PieceEncoder:
+    """ids(text): the same ids as SentencePieceProcessor.encode(text)."""
+
     SPACE = "\u2581"
 
     def __init__(self, path: str):
         from sentencepiece import SentencePieceProcessor
 
         self.own = SentencePieceProcessor(model_file=path)
-        names = [self.own.id_to_piece(k) for k in range(self.own.get_piece_size())]
-        self.by_word = not any(self.SPACE in name[1:] and name.strip(self.SPACE) for name in names)
-        self.words = _Cache(self.library)
+        self.spelt = self.pieces()
 
     def pieces(self) -> list[bytes]:
         """The bytes that each id stands for."""
         names = map(self.own.id_to_piece, range(self.own.get_piece_size()))
         return [bytes([int(name[3:5], 16)]) if self.own.is_byte(k) else name.replace(self.SPACE, " ").encode() for k, name in enumerate(names)]
 
-    def library(self, text: str) -> bytes:
-        return packed(self.own.encode(text, num_threads=1))
-
-    def ids(self, text: str) -> bytes:
-        if not self.by_word or "  " in text or self.SPACE in text or text[:1] == " " or text[-1:] == " ":
-            return self.library(text)
-        return b"".join(map(self.words.__getitem__, text.split(" ")))
-
-
-_HELD: dict[tuple[str, bool], Encoder] = {}
-
-
-def encoder(path: str, plain: bool = False) -> Encoder:
-    """The encoder of a file, kept for the next task of the same worker."""
-    if (path, plain) not in _HELD:
-        _HELD.clear()
-        _HELD[path, plain] = Encoder(path, plain)
-    return _HELD[path, plain]
+    def ids(self, text: str) -> list[int] | None:
+        """The ids, or None where they do not spell a space and the text."""
+        out = self.own.encode(text, num_threads=1)
+        return out if b"".join(map(self.spelt.__getitem__, out)) == (" " + text).encode("utf-8", "surrogatepass") else None
