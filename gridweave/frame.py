@@ -59,7 +59,60 @@ class DenseFrame:
         return self.df.select("val").first()[0]
 
     def __repr__(self) -> str:
-        return f"DenseFrame(shape={self.shape})"
+        return f"{type(self).__name__}(shape={self.shape})"
+
+    def tiles(self, cells: int = 4_000_000):
+        """(first row, array) of blocks of whole rows, in order, of at most so many cells (or one row): one is on the driver at a time."""
+        from gridweave.sources import tiles
+
+        return tiles.streamed(self, cells)
+
+
+class StretchedFrame(DenseFrame):
+    """A dense tensor repeated along axes of length one, which it carries without making the cells.
+
+    base holds the cells, with as many axes as shape, of length one where they repeat. Functions of several tensors join on the
+    axes that are real on both sides; whatever else needs all cells finds them in df, made where they are read.
+    """
+
+    def __init__(self, base: DenseFrame, shape: tuple[int, ...]):
+        self.base, self.shape, self.ndim = base, tuple(int(n) for n in shape), len(shape)
+        self.coords = coord_names(self.ndim)
+
+    @property
+    def df(self) -> DataFrame:
+        out = self.base.df
+        for c, n, own in zip(self.coords, self.shape, self.base.shape, strict=True):
+            if n != own:
+                out = out.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))) if n else out.limit(0)
+        return out.select(*self.coords, "val")
+
+
+class FilledFrame(DenseFrame):
+    """A tensor of stored cells, each once, and a value that all others have.
+
+    Functions of single values, and of two such tensors, work on stored cells and the value alone. Whatever
+    needs every cell finds them in df, made where they are read.
+    """
+
+    def __init__(self, stored: DataFrame, shape: tuple[int, ...], value):
+        self.stored, self.shape, self.ndim, self.value = stored, tuple(int(n) for n in shape), len(shape), value
+        self.coords = coord_names(self.ndim)
+
+    @property
+    def df(self) -> DataFrame:
+        return fill(self.stored, self.coords, self.shape, self.stored.sparkSession, F.lit(self.value)).df
+
+    @property
+    def nnz(self) -> int:
+        return self.stored.count()
+
+    def toarray(self) -> np.ndarray:
+        """All cells on the driver, made from the stored ones."""
+        got = self.stored.select(*self.coords, "val").toPandas()
+        out = np.full(self.shape, self.value)
+        out[tuple(got[c].to_numpy(np.int64) for c in self.coords)] = got["val"].to_numpy(out.dtype)
+        return out
 
 
 class SparseFrame:
@@ -140,6 +193,17 @@ class SparseFrame:
     def map_values(self, fn) -> SparseFrame:
         return self.like(self.df.select(*self.coords, fn(F.col("val")).cast("double").alias("val")))
 
+    def filled(self, value: float = 0.0) -> FilledFrame:
+        """The stored cells, repeats added up, with a value for all others."""
+        names = coord_names(self.ndim)
+        return FilledFrame(self.coalesce().df.select(*[F.col(c).alias(n) for c, n in zip(self.coords, names, strict=True)], "val"), self.shape, value)
+
+    def tiles(self, cells: int = 4_000_000):
+        """(first row, array) of blocks of whole rows, as of a dense tensor; only stored cells travel to the tasks that make them."""
+        from gridweave.sources import tiles
+
+        return tiles.streamed(self, cells)
+
     def todense(self) -> DenseFrame:
         """A row for every cell, repeats added up."""
         return fill(self.coalesce().df, self.coords, self.shape, self.spark)

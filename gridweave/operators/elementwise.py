@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.frame import DenseFrame, SparseFrame, coord_names, fill
+from gridweave.frame import BROADCAST_CELLS, DenseFrame, FilledFrame, SparseFrame, StretchedFrame, coord_names, fill
 from gridweave.functions import expr
 
 ZERO_DIVISION = {"divide": "division by zero", "floor_divide": "division by zero", "remainder": "integer modulo by zero"}
@@ -94,62 +95,125 @@ def hadamard_broadcast(a: SparseFrame, b: SparseFrame) -> SparseFrame:
 
 
 def compare(name: str, a, b) -> DenseFrame:
-    """equal, not_equal, less, less_equal, greater or greater_equal of all cells, as booleans."""
-    test = expr.COMPARE[name]
-    first, second = (x.todense() if isinstance(x, SparseFrame) else x for x in (a, b))
-    if isinstance(first, DenseFrame) and isinstance(second, DenseFrame):
-        first, second = _stretched(first, second)
-        both = first.df.join(second.df.withColumnRenamed("val", "other"), first.coords)
-        return DenseFrame(both.select(*first.coords, test(F.col("val"), F.col("other")).alias("val")), first.shape)
-    own = first if isinstance(first, DenseFrame) else second
-    values = [F.col("val") if isinstance(x, DenseFrame) else F.lit(float(x)) for x in (first, second)]
-    return DenseFrame(own.df.select(*own.coords, test(*values).alias("val")), own.shape)
+    """equal, not_equal, less, less_equal, greater or greater_equal of all cells, as booleans; of sparse tensors, of the stored cells and zero."""
+    return binary(name, *(x.filled() if isinstance(x, SparseFrame) else x for x in (a, b)))
 
 
 def unary(name: str, a):
-    """A function of each value; a sparse tensor stays sparse, so functions that do not keep zero refuse it.
+    """A function of each value. Of a sparse tensor it is sparse if it keeps zero, else a tensor with another value for missing cells.
 
-    Tests (isnan and the like) of a sparse tensor are dense booleans.
+    Tests (isnan and the like) of a sparse tensor are booleans with a value for missing cells.
     """
     fn, keeps_zero = expr.UNARY[name]
-    if isinstance(a, SparseFrame) and name in expr.TESTS:
-        a = a.todense()
     if isinstance(a, SparseFrame):
-        if not keeps_zero:
-            raise NotImplementedError(f"{name} of a sparse tensor would fill it")
-        return a.map_values(fn)
+        if keeps_zero and name not in expr.TESTS:
+            return a.map_values(fn)
+        a = a.filled()
+    if isinstance(a, FilledFrame):
+        spark = a.stored.sparkSession
+        return FilledFrame(a.stored.select(*a.coords, fn(F.col("val")).alias("val")), a.shape, _value(spark, fn(F.lit(a.value))))
+    if isinstance(a, StretchedFrame):
+        return StretchedFrame(unary(name, a.base), a.shape)
     return DenseFrame(a.df.select(*a.coords, fn(F.col("val")).alias("val")), a.shape)
 
 
-def _stretched(a: DenseFrame, b: DenseFrame) -> tuple[DenseFrame, DenseFrame]:
-    """Both in the shape that they broadcast to."""
-    if a.shape == b.shape:
-        return a, b
-    from gridweave.operators.manipulation import broadcast_arrays
+def _value(spark, value) -> float | bool:
+    """A constant expression's value."""
+    return spark.range(1).select(value.alias("v")).first()[0]
 
-    return tuple(broadcast_arrays(a, b))
+
+def _real(x: DenseFrame, shape: tuple[int, ...]) -> tuple[DenseFrame, list[int]]:
+    """(the cells that x holds, with as many axes as shape; the axes along which they differ)."""
+    base = x.base if isinstance(x, StretchedFrame) else x
+    lead = len(shape) - base.ndim
+    return base, [k + lead for k, n in enumerate(base.shape) if n != 1]
+
+
+def aligned(*tensors) -> tuple[DataFrame, tuple[int, ...], tuple[int, ...]]:
+    """(rows, real, shape): coordinates and v0, v1 and so on for each cell of the shape that dense tensors broadcast to.
+
+    real is that shape with ones for axes along which all tensors are stretched; rows have their cells once.
+
+    The tensor with the most real axes comes first, and each other one is joined on the axes that are real on both sides; small ones are
+    sent to all tasks. So no cell is repeated before it is needed. Tensors that share no axis give an outer product, which
+    has as many cells. Of filled tensors the stored cells are joined, if some other tensor has all cells.
+    """
+    shape: tuple[int, ...] = ()
+    for t in tensors:
+        shape = broadcast_shape(shape, t.shape)
+    names, n = coord_names(len(shape)), len(shape)
+    if 0 in shape:
+        empty = tensors[0].df.select("val").limit(0)
+        return empty.select(*[F.lit(0).cast("long").alias(c) for c in names], *[F.col("val").alias(f"v{k}") for k in range(len(tensors))]), shape, shape
+    order = sorted(range(len(tensors)), key=lambda k: (-len(_real(tensors[k], shape)[1]), isinstance(tensors[k], FilledFrame), -tensors[k].size))
+    out, known = None, []
+    for k in order:
+        own, axes = _real(tensors[k], shape)
+        lead = n - own.ndim
+        lazy = isinstance(own, FilledFrame) and out is not None and set(axes) <= set(known)
+        columns = [F.col(own.coords[x - lead]).alias(names[x]) for x in axes]
+        df = (own.stored if lazy else own.df).select(*columns, F.col("val").alias(f"v{k}"))
+        if out is None:
+            out, known = df, axes
+            continue
+        df = F.broadcast(df) if own.size <= BROADCAST_CELLS else df
+        shared = [names[x] for x in axes if x in known]
+        out = out.join(df, shared, "left" if lazy else "inner") if shared else out.crossJoin(df)  # an outer product, or one cell beside all
+        if lazy:
+            out = out.withColumn(f"v{k}", F.coalesce(f"v{k}", F.lit(own.value)))
+        known = known + [x for x in axes if x not in known]
+    rows = out.select(*[F.col(c) if x in known else F.lit(0).cast("long").alias(c) for x, c in enumerate(names)], *[f"v{k}" for k in range(len(tensors))])
+    return rows, tuple(m if x in known else 1 for x, m in enumerate(shape)), shape
+
+
+def _of_rows(tensors: list, operands: list, fn) -> DenseFrame:
+    """fn of the operands, tensors among them brought together."""
+    rows, real, shape = aligned(*tensors)
+    at = iter(range(len(tensors)))
+    values = [F.col(f"v{next(at)}") if isinstance(x, DenseFrame) else F.lit(x) for x in operands]
+    out = DenseFrame(rows.select(*coord_names(len(shape)), fn(*values).alias("val")), real)
+    return out if real == shape else StretchedFrame(out, shape)
+
+
+def combined(fn, *operands) -> DenseFrame:
+    """fn of the cells of dense tensors, stretched to one shape, and of numbers.
+
+    Filled tensors of one shape stay filled: their stored cells are brought together, and fn is taken once of the values of the others.
+    """
+    operands = [x.filled() if isinstance(x, SparseFrame) else x for x in operands]
+    tensors = [x for x in operands if isinstance(x, DenseFrame)]
+    if all(isinstance(t, FilledFrame) and t.shape == tensors[0].shape for t in tensors):
+        return _combined_filled(fn, operands, tensors)
+    return _of_rows(tensors, operands, fn)
+
+
+def _combined_filled(fn, operands: list, tensors: list[FilledFrame]) -> FilledFrame:
+    first, spark = tensors[0], tensors[0].stored.sparkSession
+    out = first.stored.withColumnRenamed("val", "v0")
+    for k, t in enumerate(tensors[1:], 1):
+        out = out.join(t.stored.withColumnRenamed("val", f"v{k}"), first.coords, "full")
+    at, values, rest = 0, [], []
+    for x in operands:
+        own = F.lit(x.value if isinstance(x, FilledFrame) else x)
+        rest.append(own)
+        values.append(F.coalesce(f"v{at}", own) if isinstance(x, FilledFrame) else own)
+        at += isinstance(x, FilledFrame)
+    return FilledFrame(out.select(*first.coords, fn(*values).alias("val")), first.shape, _value(spark, fn(*rest)))
 
 
 def binary(name: str, a, b) -> DenseFrame:
     """A function of the cells of dense tensors, stretched to one shape, or of a dense tensor and a number."""
-    fn = expr.BINARY[name]
-    if isinstance(a, DenseFrame) and isinstance(b, DenseFrame):
-        a, b = _stretched(a, b)
-        other = b.df.withColumnRenamed("val", "other")
-        both = a.df.join(other, a.coords) if a.coords else a.df.crossJoin(other)
-        return DenseFrame(both.select(*a.coords, fn(F.col("val"), F.col("other")).alias("val")), a.shape)
-    own = a if isinstance(a, DenseFrame) else b
-    values = [F.col("val") if isinstance(x, DenseFrame) else F.lit(float(x)) for x in (a, b)]
-    return DenseFrame(own.df.select(*own.coords, fn(*values).alias("val")), own.shape)
-
-
-def nextafter(a: DenseFrame, toward: float) -> DenseFrame:
-    """The next double towards a number: the bits of a double are in its order, so a step is one bit."""
+    return combined(expr.BINARY[name], *(x if isinstance(x, DenseFrame) else float(x) for x in (a, b)))
+
+
+def nextafter(a, toward) -> DenseFrame:
+    """The next double from each cell towards another tensor's, or towards a number."""
     @F.pandas_udf("double")
-    def step(v: pd.Series) -> pd.Series:
-        return pd.Series(np.nextafter(v, toward))
+    def step(v: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series(np.nextafter(v, w))
 
-    return DenseFrame(a.df.withColumn("val", step("val")), a.shape)
+    operands = [x if isinstance(x, DenseFrame) else float(x) for x in (a, toward)]
+    return _of_rows([x for x in operands if isinstance(x, DenseFrame)], operands, step)
 
 
 def sign(a: SparseFrame) -> SparseFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridweave.frame import BROADCAST_CELLS, DenseFrame, SparseFrame, coord_names, fill
 
-#: Columns of a dense right operand up to which each is a sum of its own.
-WIDE_COLUMNS = 64
+#: Columns of a dense right operand that one record holds, each with a sum of its own.
+BLOCK_COLUMNS = 64
+#: Stored cells of a contracted place from which it may be hot, and the tasks that it is dealt to.
+HOT_CELLS, SALTS = 100_000, 64
 
 
 def _dense(b, what: str) -> DenseFrame:
@@ -22,8 +25,8 @@ def _contract(a: SparseFrame, k: int, b: DenseFrame, b_axis: int):
     """(sums, columns of a, columns of b): a's axis k against an axis of b. Small b is sent to all tasks."""
     kept = [c for i, c in enumerate(a.coords) if i != k]
     rest = [f"b{i}" for i in range(b.ndim) if i != b_axis]
-    right = b.hinted().select(*[F.col(c).alias("_k" if i == b_axis else f"b{i}") for i, c in enumerate(b.coords)], F.col("val").alias("_w"))
-    both = a.df.withColumnRenamed(a.coords[k], "_k").join(right, "_k")
+    right = b.df.select(*[F.col(c).alias("_k" if i == b_axis else f"b{i}") for i, c in enumerate(b.coords)], F.col("val").alias("_w"))
+    both = met(a.df.withColumnRenamed(a.coords[k], "_k"), right, "_k", b.size <= BROADCAST_CELLS)
     return both.groupBy(*kept, *rest).agg(F.sum(F.col("val") * F.col("_w")).alias("val")), kept, rest
 
 
@@ -47,30 +50,89 @@ def matmul(a, b) -> DenseFrame:
     inner = 0 if b.ndim == 1 else b.ndim - 2
     if b.ndim == 0 or b.shape[inner] != a.shape[1]:
         raise ValueError(f"inner dimensions differ: {a.shape} and {b.shape}")
-    if b.ndim == 2 and 1 < b.shape[1] <= WIDE_COLUMNS:
-        return _matmul_wide(a, b)
+    if b.ndim > 1 and b.size // b.shape[inner] > 1 if b.shape[inner] else False:
+        return _matmul_blocks(a, b)
     sums, kept, rest = _contract(a, 1, b, inner)
     order = kept if b.ndim == 1 else [*rest[:-1], *kept, rest[-1]]
     shape = (*b.shape[: max(0, b.ndim - 2)], a.shape[0], *b.shape[b.ndim - 1 :][: b.ndim > 1])
     return fill(sums, order, shape, a.spark)
 
 
-def _matmul_wide(a: SparseFrame, b: DenseFrame) -> DenseFrame:
-    """A matrix times a dense one of few columns: a row of b is one record, and each of its columns one sum.
+def met(cells: DataFrame, right: DataFrame, key: str, sent: bool, hot_cells: int | None = None) -> DataFrame:
+    """cells joined with the rows of right on key; right is sent to all tasks, or both sides are shuffled.
 
-    The join then makes a record for each stored cell, not for each cell and column of b.
+    When shuffled, a key with many cells is dealt to SALTS tasks by its cells' other coordinates, and its rows of
+    right go to each of them: a row of tiles, whose partial sums the caller's aggregation brings together. Hot keys are those
+    with over hot_cells cells and over one in 10,000 of all, so there are few.
     """
-    k = b.shape[1]
-    records = b.df.groupBy(F.col("row").alias("_k")).agg(*[F.sum(F.when(F.col("col") == j, F.col("val"))).alias(f"b{j}") for j in range(k)])
-    records = F.broadcast(records) if b.size <= BROADCAST_CELLS else records
-    sums = a.df.select("row", F.col("col").alias("_k"), "val").join(records, "_k").groupBy("row").agg(*[F.sum(F.col("val") * F.col(f"b{j}")).alias(f"b{j}") for j in range(k)])
-    rows = a.spark.range(a.shape[0]).select(F.col("id").alias("row")).join(sums, "row", "left")
-    cells = rows.select("row", F.posexplode(F.array(*[F.coalesce(f"b{j}", F.lit(0.0)) for j in range(k)])).alias("col", "val"))
-    return DenseFrame(cells.select("row", F.col("col").cast("long").alias("col"), "val"), (a.shape[0], k))
+    if sent:
+        return cells.join(F.broadcast(right), key)
+    hot_cells = HOT_CELLS if hot_cells is None else hot_cells
+    counts = cells.groupBy(key).agg(F.count("*").alias("_n"))
+    total = cells.count()
+    hot = F.broadcast(counts.where(F.col("_n") > max(hot_cells, total // 10_000)).select(key, F.lit(True).alias("_hot")))
+    others = [c for c in cells.columns if c not in (key, "val")]
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*others), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = cells.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    spread = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return dealt.join(spread, [key, "_salt"]).drop("_salt")
+
+
+def _matmul_blocks(a: SparseFrame, b: DenseFrame) -> DenseFrame:
+    """A matrix times a dense matrix or a batch of them: a block of BLOCK_COLUMNS columns of a row of b is one record, and each of them one sum.
+
+    The join then makes a record for each stored cell and block, not for each cell and column of b. Blocks of all
+    matrices of a batch are numbered in one row.
+    """
+    lead, n, k = b.shape[:-2], b.shape[-2], b.shape[-1]
+    blocks, wide = -(-k // BLOCK_COLUMNS), min(k, BLOCK_COLUMNS)
+    from gridweave.operators.manipulation import linear_key
+
+    place = linear_key([F.col(c) for c in b.coords[:-2]], lead) * blocks + F.floor(F.col(b.coords[-1]) / BLOCK_COLUMNS)
+    rows = b.df.select(F.col(b.coords[-2]).alias("_k"), place.alias("_block"), (F.col(b.coords[-1]) % BLOCK_COLUMNS).alias("_at"), F.col("val").alias("_w"))
+    records = rows.groupBy("_k", "_block").agg(*[F.sum(F.when(F.col("_at") == j, F.col("_w"))).alias(f"b{j}") for j in range(wide)])
+    both = met(a.df.select("row", F.col("col").alias("_k"), "val"), records, "_k", b.size <= BROADCAST_CELLS)
+    sums = both.groupBy("row", "_block").agg(*[F.sum(F.col("val") * F.col(f"b{j}")).alias(f"b{j}") for j in range(wide)])
+    every = a.spark.range(a.shape[0] * math.prod(lead) * blocks)
+    every = every.select((F.expr(f"id div {max(1, math.prod(lead) * blocks)}")).alias("row"), (F.col("id") % max(1, math.prod(lead) * blocks)).alias("_block"))
+    cells = every.join(sums, ["row", "_block"], "left").select("row", "_block", F.posexplode(F.array(*[F.coalesce(f"b{j}", F.lit(0.0)) for j in range(wide)])).alias("_at", "val"))
+    col = (F.col("_block") % blocks) * BLOCK_COLUMNS + F.col("_at")
+    cells = cells.where(col < k) if k % BLOCK_COLUMNS and blocks > 1 else cells
+    shape = (*lead, a.shape[0], k)
+    names, batch = coord_names(len(shape)), F.expr(f"_block div {blocks}")
+    strides = [math.prod(lead[x + 1 :]) for x in range(len(lead))]
+    at = [(F.floor(batch / s) % d).cast("long") for s, d in zip(strides, lead, strict=True)]
+    return DenseFrame(cells.select(*[c.alias(name) for c, name in zip([*at, F.col("row"), col.cast("long")], names, strict=True)], "val"), shape)
+
+
+def _dense_product(a: DenseFrame, b: DenseFrame, axes_a: list[int], axes_b: list[int]) -> DenseFrame:
+    """Sums of products of dense tensors over pairs of axes; the axes left of a come first, then those of b."""
+    if [a.shape[k] for k in axes_a] != [b.shape[k] for k in axes_b]:
+        raise ValueError(f"inner dimensions differ: {a.shape} and {b.shape}")
+    rest = [[k for k in range(x.ndim) if k not in axes] for x, axes in ((a, axes_a), (b, axes_b))]
+    sides = []
+    for mark, x, axes, own in (("a", a, axes_a, rest[0]), ("b", b, axes_b, rest[1])):
+        columns = [F.col(x.coords[k]).alias(f"_k{n}") for n, k in enumerate(axes)] + [F.col(x.coords[k]).alias(f"{mark}{n}") for n, k in enumerate(own)]
+        df = x.df.select(*columns, F.col("val").alias("_" + mark))
+        sides.append(F.broadcast(df) if mark == "b" and x.size <= BROADCAST_CELLS else df)
+    keys = [f"_k{n}" for n in range(len(axes_a))]
+    both = sides[0].join(sides[1], keys) if keys else sides[0].crossJoin(sides[1])  # an outer product has as many cells
+    shape = tuple(x.shape[k] for x, own in zip((a, b), rest, strict=True) for k in own)
+    left = [f"{mark}{n}" for mark, own in zip("ab", rest, strict=True) for n in range(len(own))]
+    sums = both.groupBy(*left).agg(F.sum(F.col("_a") * F.col("_b")).alias("val"))
+    if 0 in [a.shape[k] for k in axes_a] or not left:
+        return fill(sums, left, shape, a.df.sparkSession)
+    return DenseFrame(sums.select(*[F.col(c).alias(n) for c, n in zip(left, coord_names(len(shape)), strict=True)], "val"), shape)
 
 
 def vecdot(a: SparseFrame, b: DenseFrame, axis: int | None = None):
-    """The dot product with a vector along an axis: dense for a matrix, coond for a coond tensor."""
+    """The dot product with a vector along an axis: dense for a matrix, coond for a coond tensor.
+
+    Of two dense tensors it is taken along the axis, the last one unless given, of both, in the shape that they broadcast to.
+    """
+    if isinstance(a, DenseFrame) and isinstance(b, DenseFrame):
+        return _dense_dot(a, b, -1 if axis is None else int(axis))
     if isinstance(b, SparseFrame) or not isinstance(b, DenseFrame) or b.ndim != 1:
         raise NotImplementedError("vecdot needs a dense vector")
     k = a.ndim - 1 if axis is None else int(axis)
@@ -82,6 +144,23 @@ def vecdot(a: SparseFrame, b: DenseFrame, axis: int | None = None):
     return _along(a, k, b)
 
 
+def _dense_dot(a: DenseFrame, b: DenseFrame, axis: int) -> DenseFrame:
+    from gridweave.operators.elementwise import combined
+
+    if not -min(a.ndim, b.ndim) <= axis < min(a.ndim, b.ndim) or a.shape[axis] != b.shape[axis]:
+        raise ValueError(f"no common axis {axis} in {a.shape} and {b.shape}")
+    product = combined(lambda u, v: u * v, a, b)
+    shape = product.shape
+    k = axis % len(shape) if axis < 0 else axis + len(shape) - max(a.ndim, b.ndim)
+    names = coord_names(len(shape))
+    rest = [c for i, c in enumerate(names) if i != k]
+    sums = product.df.groupBy(*rest).agg(F.sum("val").alias("val"))
+    out = tuple(n for i, n in enumerate(shape) if i != k)
+    if not shape[k] or not rest:
+        return fill(sums, rest, out, a.df.sparkSession)
+    return DenseFrame(sums.select(*[F.col(c).alias(n) for c, n in zip(rest, coord_names(len(out)), strict=True)], "val"), out)
+
+
 def _along(a: SparseFrame, k: int, b: DenseFrame):
     sums, kept, rest = _contract(a if a.fmt != "coond" else a.like(a.df.where("val != 0")), k, b, 0)
     shape = (*(n for i, n in enumerate(a.shape) if i != k), *b.shape[1:])
@@ -93,8 +172,20 @@ def _along(a: SparseFrame, k: int, b: DenseFrame):
     return SparseFrame(sums.select(*[F.col(c).alias(n) for c, n in zip([*kept, *rest], names, strict=True)], "val"), shape, "coond", coalesced=True)
 
 
-def tensordot(a: SparseFrame, b: DenseFrame, axes=1):
-    """Contraction with the first axis of a dense tensor: the last axis of a matrix, any axis of a coond tensor."""
+def tensordot(a, b: DenseFrame, axes=None):
+    """Contraction with the first axis of a dense tensor: the last axis of a matrix, any axis of a coond tensor.
+
+    Of two dense tensors any pairs of axes are contracted, the last two of a with the first two of b unless given.
+    """
+    if isinstance(a, DenseFrame) and isinstance(b, DenseFrame):
+        axes = 2 if axes is None else axes
+        if isinstance(axes, int):
+            if axes < 0 or axes > min(a.ndim, b.ndim):
+                raise ValueError(f"no {axes} axes to contract")
+            return _dense_product(a, b, list(range(a.ndim - axes, a.ndim)), list(range(axes)))
+        first, second = ([int(k) for k in (x if isinstance(x, (tuple, list)) else [x])] for x in axes)
+        return _dense_product(a, b, [k % a.ndim for k in first], [k % b.ndim for k in second])
+    axes = 1 if axes is None else axes
     if isinstance(b, SparseFrame):
         raise NotImplementedError("sparse times sparse is not supported")
     b = _dense(b, "tensordot")
@@ -111,8 +202,14 @@ def tensordot(a: SparseFrame, b: DenseFrame, axes=1):
     return _along(a, k, b)
 
 
-def matrix_transpose(a: SparseFrame) -> SparseFrame:
-    """Rows for columns, in the same format."""
+def matrix_transpose(a):
+    """Rows for columns: of a sparse matrix in the same format, of a dense tensor in its last two axes."""
+    if isinstance(a, DenseFrame):
+        from gridweave.operators.manipulation import permute_axes
+
+        if a.ndim < 2:
+            raise ValueError("a transpose needs two axes")
+        return permute_axes(a, [*range(a.ndim - 2), a.ndim - 1, a.ndim - 2])
     if a.fmt == "coond":
         raise NotImplementedError("a transpose needs a matrix")
     return a.like(a.df.select(F.col("col").alias("row"), F.col("row").alias("col"), "val"), shape=a.shape[::-1])

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from gridweave.frame import DenseFrame, SparseFrame, coord_names, fill
+from gridweave.frame import DenseFrame, SparseFrame, StretchedFrame, coord_names, fill
 
 
 def _named(a, columns: list[Column], shape) -> SparseFrame | DenseFrame:
@@ -60,9 +60,14 @@ def getitem(a: SparseFrame, key):
 
 
 def astype(a: SparseFrame, dtype) -> SparseFrame:
-    """A copy; float64 is the only type of values."""
+    """A copy; float64 is the only type of values of a sparse tensor. Dense ones also take int64 and bool, which cut and test values."""
     import numpy as np
 
+    if isinstance(a, DenseFrame):
+        kinds = {np.dtype(np.float64): "double", np.dtype(np.int64): "long", np.dtype(bool): "boolean"}
+        if np.dtype(dtype) not in kinds:
+            raise NotImplementedError(f"no values of {dtype}")
+        return DenseFrame(a.df.withColumn("val", F.col("val").cast(kinds[np.dtype(dtype)])), a.shape)
     if a.fmt != "csr" or np.dtype(dtype) != np.float64:
         raise NotImplementedError("values are float64, and only csr has astype")
     return a.like(a.df)
@@ -87,14 +92,24 @@ def take_along_axis(a: DenseFrame, indices: DenseFrame, axis: int) -> DenseFrame
     return DenseFrame(where.join(own, keys).select(*indices.coords, "val"), indices.shape)
 
 
+def _triangle(a, inside):
+    """The cells for which inside(last axis less the one before) holds; the others of a dense tensor are zero."""
+    if a.ndim < 2:
+        raise ValueError("a triangle needs two axes")
+    kept = inside(F.col(a.coords[-1]) - F.col(a.coords[-2]))
+    if isinstance(a, SparseFrame):
+        return a.like(a.df.where(kept))
+    return DenseFrame(a.df.withColumn("val", F.when(kept, F.col("val")).otherwise(F.lit(0.0))), a.shape)
+
+
 def tril(a, k: int = 0):
-    own = a.df.where(F.col("col") - F.col("row") <= k)
-    return fill(own, a.coords, a.shape, a.df.sparkSession) if isinstance(a, DenseFrame) else a.like(own)
+    """The lower triangle of a matrix, or of each matrix of a stack."""
+    return _triangle(a, lambda apart: apart <= k)
 
 
 def triu(a, k: int = 0):
-    own = a.df.where(F.col("col") - F.col("row") >= k)
-    return fill(own, a.coords, a.shape, a.df.sparkSession) if isinstance(a, DenseFrame) else a.like(own)
+    """The upper triangle of a matrix, or of each matrix of a stack."""
+    return _triangle(a, lambda apart: apart >= k)
 
 
 # ---- formats
@@ -176,8 +191,13 @@ def linear_key(columns: list[Column], shape) -> Column:
 
 
 def reshape(a, new_shape):
-    """Row-major: the same order of cells in another shape."""
-    new_shape = tuple(int(n) for n in new_shape)
+    """Row-major: the same order of cells in another shape; one length may be -1, and follows from the others."""
+    new_shape = tuple(int(n) for n in ((new_shape,) if isinstance(new_shape, int) else new_shape))
+    if new_shape.count(-1) == 1:
+        known = -math.prod(new_shape)
+        if not known or math.prod(a.shape) % known:
+            raise ValueError(f"{a.shape} does not reshape to {new_shape}")
+        new_shape = tuple(math.prod(a.shape) // known if n == -1 else n for n in new_shape)
     if math.prod(new_shape) != math.prod(a.shape):
         raise ValueError(f"{a.shape} does not reshape to {new_shape}")
     keyed = a.df.select(linear_key(_cols(a), a.shape).alias("_key"), "val")
@@ -217,7 +237,10 @@ def axes_unfold_to_csc(a: SparseFrame, row_axes) -> SparseFrame:
 
 # ---- joining, stretching and moving
 
-def concat(tensors: list, axis: int = 0):
+def concat(tensors: list, axis: int | None = 0):
+    """Tensors one after another along an axis; without one, of the vectors of all their cells in row-major order."""
+    if axis is None:
+        tensors, axis = [reshape(t, (-1,)) if math.prod(t.shape) else reshape(t, (0,)) for t in tensors], 0
     k, first, out, at = axis % tensors[0].ndim, tensors[0], None, 0
     for t in tensors:
         if t.shape[:k] + t.shape[k + 1 :] != first.shape[:k] + first.shape[k + 1 :]:
@@ -240,18 +263,21 @@ def unstack(a, axis: int = 0) -> list:
 
 
 def broadcast_to(a, shape):
-    """Axes of length one repeated, and axes put in front."""
+    """Axes of length one repeated, and axes put in front; a dense tensor carries them without making the cells."""
     shape = tuple(shape)
     lead = len(shape) - a.ndim
     if lead < 0 or any(n not in (1, m) for n, m in zip(a.shape, shape[lead:], strict=True)):
         raise ValueError(f"{a.shape} does not stretch to {shape}")
     cols = [F.lit(0).cast("long")] * lead + _cols(a)
+    if isinstance(a, DenseFrame):
+        base = a.base if isinstance(a, StretchedFrame) else a
+        return StretchedFrame(_named(base, [F.lit(0).cast("long")] * lead + _cols(base), (1,) * lead + base.shape), shape)
     stretched = [k for k, n in enumerate(shape) if k < lead or a.shape[k - lead] == 1 != n]
     wide = _named(a, cols, shape)
     df = wide.df
     for k in stretched:
         df = df.withColumn(wide.coords[k], F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shape[k] - 1).cast("long")))) if shape[k] else df.limit(0)
-    return DenseFrame(df, shape) if isinstance(wide, DenseFrame) else wide.like(df, shape=shape)
+    return wide.like(df, shape=shape)
 
 
 def broadcast_arrays(*tensors) -> list:
@@ -301,7 +327,10 @@ def repeat(a, repeats: int, axis: int | None = None):
 
 
 def tile(a, reps):
+    """The tensor side by side so often along each axis; with more numbers than axes, axes are put in front."""
     reps = (reps,) if isinstance(reps, int) else tuple(reps)
+    while len(reps) > a.ndim:
+        a = expand_dims(a, 0)
     reps = (1,) * (a.ndim - len(reps)) + reps
     for k, times in enumerate(reps):
         own = a.shape[k]

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from gridweave.frame import DenseFrame, SparseFrame, coord_names, fill, normal_axes
+from gridweave.frame import DenseFrame, FilledFrame, SparseFrame, coord_names, fill, grid, normal_axes
 from gridweave.functions.expr import binomials
 
 
@@ -19,7 +19,7 @@ def _partials(name: str) -> dict[str, Column]:
     if name in ("var", "std"):
         return {"n": F.count("*"), "s": F.avg(v), "q": F.var_pop(v)}
     if name in ("min", "max"):
-        return {"n": F.count("*"), "m": getattr(F, name)(F.when(~F.isnan(v), v))}
+        return {"n": F.count("*"), "m": getattr(F, name)(F.when(~F.isnan(v), v)), "x": F.max(F.isnan(v))}
     if name == "prod":
         return {"n": F.count("*"), "p": F.product(v)}
     if name in ("all", "any"):
@@ -55,12 +55,13 @@ def _result(name: str, cells: int, correction: float) -> Column:
     return n
 
 
-def reduce(name: str, a: SparseFrame, axis=None, keepdims: bool = False, correction: float = 0.0):
+def reduce(name: str, a: SparseFrame, axis=None, keepdims: bool = False, correction: float = 0.0, nan: bool = False):
     """A reduction of a sparse tensor over an axis, axes or all of it.
 
     Of a matrix it is a DenseFrame, with a cell for every row or column; over an axis of a coond tensor it is
     a coond tensor of the groups that have stored cells. sum, mean, all and any read repeated cells as their
-    sum; the others take stored entries as they are. min and max skip NaN; all and any take it as true.
+    sum; the others take stored entries as they are. min and max skip NaN, or with nan give it wherever there is one;
+    all and any take it as true.
     """
     axes = normal_axes(axis, a.ndim)
     kept = [k for k in range(a.ndim) if k not in axes]
@@ -69,6 +70,8 @@ def reduce(name: str, a: SparseFrame, axis=None, keepdims: bool = False, correct
     names, shape = [a.coords[k] for k in kept], tuple(a.shape[k] for k in kept)
     partial = source.groupBy(*names).agg(*[c.alias(k) for k, c in _partials(name).items()])
     value = _result(name, cells, correction)
+    if nan and name in ("min", "max"):
+        value = F.when(F.col("x"), F.lit(math.nan)).otherwise(value)
     if a.fmt == "coond" and kept:
         own = partial.select(*[F.col(c).alias(f"i{k}") for k, c in enumerate(names)], value.alias("val"))
         out = SparseFrame(own, shape, "coond", coalesced=True)
@@ -125,16 +128,16 @@ def reduce_mean_axes(a: SparseFrame, axes) -> SparseFrame:
 CHUNK = 65_536
 
 
-def _running(df, line: str, at: str, length: int, **totals):
+def _running(df, lines: list[str], at: str, length: int, **totals):
     """df with running totals along each line, by name: (column, running aggregate, how two of them combine, what none is)."""
     chunked = length > CHUNK
     own = df.withColumn("_chunk", F.floor(F.col(at) / CHUNK)) if chunked else df
-    keys = [line, "_chunk"] if chunked else [line]
+    keys = [*lines, "_chunk"] if chunked else lines
     window = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, 0)
     local = own.select("*", *[fn(c).over(window).alias(k) for k, (c, fn, _, _) in totals.items()])
     if not chunked:
         return local
-    before = Window.partitionBy(line).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*lines).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     whole = own.groupBy(*keys).agg(*[fn(c).alias("_w_" + k) for k, (c, fn, _, _) in totals.items()])
     carried = whole.select(*keys, *[F.coalesce(fn("_w_" + k).over(before), F.lit(none)).alias("_b_" + k) for k, (_, fn, _, none) in totals.items()])
     both = local.join(carried, keys)
@@ -143,63 +146,73 @@ def _running(df, line: str, at: str, length: int, **totals):
     return both
 
 
-def _axis_of(a: SparseFrame, axis) -> int:
+def _axis_of(a, axis) -> int:
     if axis is None:
+        if a.ndim == 1:
+            return 0
         raise NotImplementedError("a running sum or product needs an axis")
-    return normal_axes(axis, 2)[0]
+    return normal_axes(axis, a.ndim)[0]
 
 
-def _one_line(a):
-    """A vector as the only row of a matrix."""
-    return SparseFrame(a.df.select(F.lit(0).cast("long").alias("row"), F.col("i0").alias("col"), "val"), (1, *a.shape), "csr", getattr(a, "coalesced", True))
+def _plain_names(a) -> tuple:
+    """(cells, each once, with the names of a dense tensor's coordinates; these names)."""
+    names = coord_names(a.ndim)
+    df = a.coalesce().df if isinstance(a, SparseFrame) else a.df
+    return df.select(*[F.col(c).alias(n) for c, n in zip(a.coords, names, strict=True)], "val"), names
 
 
-def _of_vector(fn, a, *rest):
-    out = fn(_one_line(a), *rest)
-    cells, shape = out.df.select(F.col("col").alias("i0"), "val"), out.shape[1:]
-    return DenseFrame(cells, shape) if isinstance(out, DenseFrame) else SparseFrame(cells, shape, "coond", coalesced=True)
+def cumulative_sum(a, axis=None) -> DenseFrame:
+    """Running sums along an axis, for every cell.
 
-
-def cumulative_sum(a: SparseFrame, axis=None) -> DenseFrame:
-    """Running sums along an axis of a matrix, or along a vector, for every cell."""
-    if a.ndim == 1:
-        return _of_vector(cumulative_sum, a, 1)
+    The stored cells of a line are summed up in order, with one of zero at its start and at each chunk's; every sum then
+    stands for the cells up to the next stored one. Lines are all that is counted out, no grid of cells is joined.
+    """
     k = _axis_of(a, axis)
-    full = a.todense()
-    out = _running(full.df, full.coords[1 - k], full.coords[k], a.shape[k], total=("val", F.sum, lambda x, y: x + y, 0.0))
-    return DenseFrame(out.select(*full.coords, F.col("total").alias("val")), a.shape)
-
-
-def cumulative_prod(a: SparseFrame, axis=None) -> DenseFrame:
-    """Running products along an axis of a matrix, or along a vector, for every cell: 0.0 from the first missing cell on."""
-    if a.ndim == 1:
-        return _of_vector(cumulative_prod, a, 1)
+    cells, names = _plain_names(a)
+    lines, at, length = [c for i, c in enumerate(names) if i != k], names[k], a.shape[k]
+    if not isinstance(a, SparseFrame):
+        out = _running(cells, lines, at, length, total=("val", F.sum, lambda x, y: x + y, 0.0))
+        return DenseFrame(out.select(*names, F.col("total").alias("val")), a.shape)
+    starts = grid(a.spark, tuple(n for i, n in enumerate(a.shape) if i != k), lines) if lines else a.spark.range(1).select()
+    first = F.sequence(*[F.lit(x).cast("long") for x in (0, max(0, length - 1), CHUNK)])
+    starts = starts.select(*lines, F.explode(first).alias(at), F.lit(0.0).alias("val"))
+    starts = starts if length else starts.limit(0)
+    both = cells.unionByName(starts).groupBy(*names).agg(F.sum("val").alias("val"))
+    out = _running(both, lines, at, length, total=("val", F.sum, lambda x, y: x + y, 0.0))
+    chunk = F.floor(F.col(at) / CHUNK)
+    following = F.lead(at).over(Window.partitionBy(*lines, chunk).orderBy(at))
+    last = F.coalesce(following - 1, F.least((chunk + 1) * CHUNK, F.lit(length)) - 1)
+    spread = out.withColumn("_last", last).withColumn("_at", F.explode(F.sequence(F.col(at), F.col("_last"))))
+    return DenseFrame(spread.select(*[F.col("_at").alias(c) if i == k else F.col(c) for i, c in enumerate(names)], F.col("total").alias("val")), a.shape)
+
+
+def cumulative_prod(a, axis=None) -> DenseFrame:
+    """Running products along an axis, for every cell: 0.0 from the first missing cell on.
+
+    Only the stored cells before that have another value, so of a sparse tensor these alone are held.
+    """
     k = _axis_of(a, axis)
-    names, pair = ["row", "col"], F.struct("val", F.lit(1).alias("stored"))
-    missing = F.struct(F.lit(0.0).alias("val"), F.lit(0).alias("stored"))
-    full = fill(a.coalesce().df.select(*names, pair.alias("val")), names, a.shape, a.spark, missing).df.select(*names, "val.val", "val.stored")
-    out = _running(
-        full, names[1 - k], names[k], a.shape[k],
-        total=("val", F.product, lambda x, y: x * y, 1.0), least=("stored", F.min, F.least, 1),
-    )
-    return DenseFrame(out.select(*names, F.when(F.col("least") == 0, F.lit(0.0)).otherwise(F.col("total")).alias("val")), a.shape)
+    cells, names = _plain_names(a)
+    lines, at = [c for i, c in enumerate(names) if i != k], names[k]
+    out = _running(cells, lines, at, a.shape[k], total=("val", F.product, lambda x, y: x * y, 1.0), held=(F.lit(1), F.sum, lambda x, y: x + y, 0))
+    if not isinstance(a, SparseFrame):
+        return DenseFrame(out.select(*names, F.col("total").alias("val")), a.shape)
+    return FilledFrame(out.where(F.col("held") == F.col(at) + 1).select(*names, F.col("total").alias("val")), a.shape, 0.0)
 
 
-def diff(a: SparseFrame, n: int = 1, axis: int = -1) -> SparseFrame:
-    """The n-th difference along an axis of a matrix, or along a vector; zeros are dropped.
+def diff(a, n: int = 1, axis: int = -1) -> SparseFrame:
+    """The n-th difference along an axis of a matrix or of a tensor of any number of axes; zeros are dropped.
 
     Each stored cell adds to at most n + 1 cells of the result, with signed binomials for weights.
     """
     if n < 0:
         raise ValueError("n must not be negative")
-    if a.ndim == 1:
-        return _of_vector(diff, a, n, 1)
-    (k,) = normal_axes(axis, 2)
     if n == 0:
         return a
+    (k,) = normal_axes(axis, a.ndim)
     shape = tuple(max(0, d - n) if i == k else d for i, d in enumerate(a.shape))
-    at, other = a.coords[k], a.coords[1 - k]
+    at, others = a.coords[k], [c for i, c in enumerate(a.coords) if i != k]
     weights = F.explode(F.array(*[F.struct(F.lit(j).cast("long").alias("j"), F.lit(float(w)).alias("w")) for j, w in enumerate(binomials(n))]))
-    spread = a.coalesce().df.select(other, at, "val", weights.alias("x")).select(other, (F.col(at) - F.col("x.j")).alias(at), (F.col("val") * F.col("x.w")).alias("val"))
+    spread = a.coalesce().df.select(*others, at, "val", weights.alias("x")).select(*others, (F.col(at) - F.col("x.j")).alias(at), (F.col("val") * F.col("x.w")).alias("val"))
     inside = spread.where((F.col(at) >= 0) & (F.col(at) < shape[k]))
     return a.like(inside.groupBy(*a.coords).agg(F.sum("val").alias("val")).where("val != 0"), shape=shape, coalesced=True)

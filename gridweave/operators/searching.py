@@ -1,6 +1,6 @@
 """Searching, sorting and sets.
 
-Sorting along an axis is a window on each line of the tensor; a vector, a single line, is ranked by ranges.
+Sorting along an axis is a window on each line of the tensor; long lines, and vectors, are ranked by ranges.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridweave.frame import DenseFrame, SparseFrame, normal_axes
-from gridweave.operators import reductions
+from gridweave.operators import elementwise, reductions
 from gridweave.plans.ranges import running_total
 
 
@@ -43,12 +43,9 @@ def arg_extreme(name: str, a: DenseFrame, axis: int, keepdims: bool = False) ->
     return expand_dims(done, k)
 
 
-def where(cond: DenseFrame, x: DenseFrame, y: DenseFrame) -> DenseFrame:
-    """x where cond is true, else y; all of one shape."""
-    if not cond.shape == x.shape == y.shape:
-        raise ValueError("shapes differ")
-    both = cond.df.withColumnRenamed("val", "_c").join(x.df.withColumnRenamed("val", "_x"), x.coords).join(y.df, x.coords)
-    return DenseFrame(both.select(*x.coords, F.when(F.col("_c").cast("boolean"), F.col("_x")).otherwise(F.col("val")).alias("val")), x.shape)
+def where(cond, x, y) -> DenseFrame:
+    """x where cond is true, else y: tensors that broadcast to one shape, or numbers. A sparse tensor is true where it is not zero."""
+    return elementwise.combined(lambda c, u, v: F.when(c.cast("boolean"), u).otherwise(v), *(k if isinstance(k, (DenseFrame, SparseFrame)) else float(k) for k in (cond, x, y)))
 
 
 def searchsorted(x: DenseFrame, v: DenseFrame, side: str = "left") -> DenseFrame:
@@ -87,17 +84,27 @@ def unique_all(a: DenseFrame):
     return a.df.groupBy("val").agg(F.count("*").alias("count"), F.min(key).alias("index"))
 
 
+#: Cells of a line from which lines are ranked by ranges of all cells, so that one is dealt to many tasks.
+LONG_LINE = 1_000_000
+
+
 def _ranked(a: DenseFrame, axis: int, descending: bool):
+    """(axis, cells with _to, the place that each takes in its line): equal values keep their order, NaN counts as largest.
+
+    All lines are equally long, so in an order by line and value the place in a line is the rank among all cells less whole lines.
+    """
     k = axis % a.ndim
-    if a.ndim == 1:
-        own = a.df.withColumn("_by", -F.col("val") if descending else F.col("val"))
-        return k, running_total(own, ["_by", "i0"], F.lit(1).cast("long"), "_to").withColumn("_to", F.col("_to") - 1)
-    line = Window.partitionBy(*[c for i, c in enumerate(a.coords) if i != k]).orderBy(F.desc("val") if descending else F.asc("val"), a.coords[k])
-    return k, a.df.withColumn("_to", (F.row_number().over(line) - 1).cast("long"))
+    lines = [c for i, c in enumerate(a.coords) if i != k]
+    own = a.df.withColumn("_nan", F.isnan("val") if not descending else ~F.isnan("val")).withColumn("_by", F.when(F.isnan("val"), 0.0).otherwise(-F.col("val") if descending else F.col("val")))
+    if lines and a.shape[k] <= LONG_LINE:
+        line = Window.partitionBy(*lines).orderBy("_nan", "_by", a.coords[k])
+        return k, own.withColumn("_to", (F.row_number().over(line) - 1).cast("long"))
+    ranked = running_total(own, [*lines, "_nan", "_by", a.coords[k]], F.lit(1).cast("long"), "_to")
+    return k, ranked.withColumn("_to", (F.col("_to") - 1) % max(1, a.shape[k]))
 
 
 def sort(a: DenseFrame, axis: int = -1, descending: bool = False) -> DenseFrame:
-    """Each line along the axis in ascending order, NaN last; in descending order NaN comes first in matrices, last in vectors."""
+    """Each line along the axis in ascending order, NaN last, or in descending order, NaN first."""
     k, ranked = _ranked(a, axis, descending)
     return DenseFrame(ranked.select(*[F.col("_to").alias(c) if i == k else F.col(c) for i, c in enumerate(a.coords)], "val"), a.shape)
 

@@ -1,7 +1,8 @@
 """Iterations on sparse matrices: conjugate gradients, block PageRank and block power iteration.
 
-Each round is a few joins and sums on Spark; the driver gets scalars, or a k-by-k matrix, to decide on. Every
-round's state is cut from its lineage by a checkpoint in the shared folder, so lost executors cost one round.
+The matrix is laid out once, by the axis that rounds join or sum on, and kept; a round reads it without an exchange of its cells where
+the vectors are small enough to be sent to all tasks. The driver gets scalars to decide on. A round's state is written as a
+table in the shared folder, so lost executors cost one round, and its sums are observed in the same job.
 """
 
 from __future__ import annotations
@@ -10,49 +11,66 @@ import math
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gridweave.frame import BROADCAST_CELLS, DenseFrame, SparseFrame
-from gridweave.operators import linalg
+from gridweave.plans import qr
 from gridweave.plans.ranges import checkpointed
 
+#: Stored cells, or numbers of a state, in a partition.
+PART_CELLS = 1_000_000
+
 
 @contextmanager
-def _held(a: SparseFrame):
-    """The matrix kept in memory and on disk while rounds read it; lost parts are computed again."""
-    own = a.like(a.df.persist())
+def _held(a: SparseFrame, k: int):
+    """(matrix, partitions): its cells dealt by row if k vectors are sent to all tasks, else by column, and kept; lost parts are made again."""
+    cells = max(a.nnz, a.shape[0] * k)
+    parts = 1 + cells // PART_CELLS
+    own = a.like(a.df.repartition(parts, "row" if a.shape[1] * k <= BROADCAST_CELLS else "col").persist(StorageLevel.MEMORY_AND_DISK))
     try:
-        yield own
+        yield own, parts
     finally:
         own.df.unpersist()
 
 
-def _total(df: DataFrame, value) -> float:
-    return df.agg(F.sum(value)).first()[0] or 0.0
+def _observed(df: DataFrame, *sums) -> tuple[DataFrame, list[float]]:
+    """df as a table, and its sums, in one job: nothing is shuffled behind the sums, so each task's count once."""
+    seen = Observation()
+    out = checkpointed(df.observe(seen, *[F.sum(v).alias(f"s{k}") for k, v in enumerate(sums)]))
+    return out, [seen.get[f"s{k}"] or 0.0 for k in range(len(sums))]
 
 
 def cg_solve(a: SparseFrame, b: DenseFrame, tol: float = 1e-8, maxiter: int = 1000) -> tuple[DenseFrame, int, float]:
-    """(x, rounds, residual) of A x = b for a symmetric positive definite A; stops when |r|/|b| is at most tol."""
-    with _held(a) as own:
-        return _cg(own, b, tol, maxiter)
-
-
-def _cg(a: SparseFrame, b: DenseFrame, tol: float, maxiter: int) -> tuple[DenseFrame, int, float]:
-    state = checkpointed(b.df.select("i0", F.lit(0.0).alias("x"), F.col("val").alias("r"), F.col("val").alias("p")))
-    size = math.sqrt(_total(b.df, F.col("val") * F.col("val"))) or 1.0
-    rr, k = _total(state, F.col("r") * F.col("r")), 0
-    while k < maxiter and math.sqrt(rr) / size > tol:
-        ap = linalg.matmul(a, DenseFrame(state.select("i0", F.col("p").alias("val")), b.shape))
-        both = checkpointed(state.join(ap.df.withColumnRenamed("val", "ap"), "i0"))
-        pap = _total(both, F.col("p") * F.col("ap"))
-        if pap == 0.0:
+    """(x, rounds, residual) of A x = b for a symmetric positive definite A; stops when |r|/|b| is at most tol.
+
+    Both sums of a round are taken at once, over r and A r: directions and their products follow from those by recurrences.
+    """
+    with _held(a, 1) as (own, parts):
+        return _cg(own, parts, b, tol, maxiter)
+
+
+def _cg(a: SparseFrame, parts: int, b: DenseFrame, tol: float, maxiter: int) -> tuple[DenseFrame, int, float]:
+    zero = F.lit(0.0)
+    state = b.df.select(F.col("i0").alias("row"), zero.alias("x"), F.col("val").alias("x0"), zero.alias("p"), zero.alias("s"))
+    state, n, k, size, before, alpha = state.repartition(parts, "row"), b.shape[0], 0, None, 0.0, 1.0
+    while True:  # x0 is the residual, whose product with A is y0
+        product = _product(a, state.select("row", "x0"), n, 1)
+        both = state.join(product, "row", "left").withColumn("y0", F.coalesce("y0", zero))
+        both, (rr, ry) = _observed(both, F.col("x0") * F.col("x0"), F.col("x0") * F.col("y0"))
+        size = size or math.sqrt(rr) or 1.0
+        if k >= maxiter or math.sqrt(rr) / size <= tol:
             break
-        k, alpha = k + 1, rr / pap
-        moved = both.select("i0", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("ap")).alias("r"), "p")
-        rr, before = _total(moved, F.col("r") * F.col("r")), rr
-        state = moved.withColumn("p", F.col("r") + (rr / before) * F.col("p"))
-    return DenseFrame(checkpointed(state.select("i0", F.col("x").alias("val"))), b.shape), k, math.sqrt(rr) / size
+        beta = rr / before if k else 0.0
+        bottom = ry - beta * rr / alpha if k else ry
+        if bottom == 0.0:
+            break
+        k, alpha, before = k + 1, rr / bottom, rr
+        p, s = F.col("x0") + beta * F.col("p"), F.col("y0") + beta * F.col("s")
+        moved = both.select("row", "x", "x0", p.alias("p"), s.alias("s"))
+        state = moved.select("row", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("x0") - alpha * F.col("s")).alias("x0"), "p", "s")
+    return DenseFrame(both.select(F.col("row").alias("i0"), F.col("x").alias("val")), b.shape), k, math.sqrt(rr) / size
 
 
 def block_pagerank(p: SparseFrame, x0: DenseFrame, alpha: float = 0.85, tol: float = 1e-8, maxiter: int = 100) -> tuple[DenseFrame, int, float]:
@@ -60,23 +78,25 @@ def block_pagerank(p: SparseFrame, x0: DenseFrame, alpha: float = 0.85, tol: flo
 
     A row of X is one record with a column for each of its vectors, so x0 should have tens of columns at most.
     """
-    with _held(p) as own:
-        return _pagerank(own, x0, alpha, tol, maxiter)
+    with _held(p, x0.shape[1]) as (own, parts):
+        return _pagerank(own, parts, x0, alpha, tol, maxiter)
 
 
-def _pagerank(p: SparseFrame, x0: DenseFrame, alpha: float, tol: float, maxiter: int) -> tuple[DenseFrame, int, float]:
+def _pagerank(p: SparseFrame, parts: int, x0: DenseFrame, alpha: float, tol: float, maxiter: int) -> tuple[DenseFrame, int, float]:
     k, n = x0.shape[1], x0.shape[0]
     columns = range(k)
-    state = checkpointed(_records(x0, "s")).select("*", *[F.col(f"s{j}").alias(f"x{j}") for j in columns])
+    state = _records(x0, "s").repartition(parts, "row").select("*", *[F.col(f"s{j}").alias(f"x{j}") for j in columns])
     rounds, change = 0, math.inf
     while rounds < maxiter and change > tol:
         rounds += 1
-        sums = _product(p, state, n, k)
+        product = _product(p, state, n, k)
         mixed = [(alpha * F.coalesce(f"y{j}", F.lit(0.0)) + (1 - alpha) * F.col(f"s{j}")).alias(f"m{j}") for j in columns]
-        now = checkpointed(state.join(sums, "row", "left").select("row", *[c + str(j) for j in columns for c in "sx"], *mixed))
-        totals = [t or 1.0 for t in now.agg(*[F.sum(f"m{j}") for j in columns]).first()]
+        now = state.join(product, "row", "left").select("row", *[c + str(j) for j in columns for c in "sx"], *mixed)
+        now, totals = _observed(now, *[F.col(f"m{j}") for j in columns])
+        totals = [t or 1.0 for t in totals]
         new = [F.col(f"m{j}") / F.lit(totals[j]) for j in columns]
         step = now.agg(*[F.sum((v - F.col(f"x{j}")) ** 2) for j, v in enumerate(new)], *[F.sum(v**2) for v in new]).first()
+        step = [x or 0.0 for x in step]
         change = math.sqrt(sum(step[:k])) / (math.sqrt(sum(step[k:])) or 1.0)
         state = now.select("row", *[f"s{j}" for j in columns], *[v.alias(f"x{j}") for j, v in enumerate(new)])
     return _cells(state, x0.shape), rounds, change
@@ -102,29 +122,23 @@ def _product(a: SparseFrame, records: DataFrame, n: int, k: int) -> DataFrame:
 def block_power(a: SparseFrame, q: DenseFrame, iters: int = 10) -> tuple[DenseFrame, np.ndarray]:
     """(Q, Ritz values) after rounds of Q <- orthonormal basis of A Q.
 
-    The basis comes from the Cholesky factor of the k-by-k matrix of column products, the only thing on the
-    driver besides the values. A row of Q is one record with a column for each vector, so k should be tens at most.
+    The basis comes from a QR factorisation of blocks of rows, so it is orthonormal however the columns of A Q depend on one
+    another or differ in size. A row of Q is one record with a column for each vector, so k should be tens at most.
     """
-    with _held(a) as own:
-        return _power(own, q, iters)
+    with _held(a, q.shape[1]) as (own, parts):
+        return _power(own, parts, q, iters)
 
 
-def _power(a: SparseFrame, q: DenseFrame, iters: int) -> tuple[DenseFrame, np.ndarray]:
+def _power(a: SparseFrame, parts: int, q: DenseFrame, iters: int) -> tuple[DenseFrame, np.ndarray]:
     n, k = q.shape
-    state = checkpointed(_records(q))
+    state = checkpointed(_records(q).repartition(parts, "row"))
     for _ in range(iters):
-        product = checkpointed(state.select("row").join(_product(a, state, n, k), "row", "left").fillna(0.0))
-        inverse = np.linalg.inv(np.linalg.cholesky(_gram(product, "y", "y", k) + 1e-300 * np.eye(k))).T
-        state = product.select("row", *[F.expr(_combined("y", inverse[:, j])).alias(f"x{j}") for j in range(k)])
-    state = checkpointed(state)
+        product = state.select("row").join(_product(a, state, n, k), "row", "left").fillna(0.0)
+        state = qr.orthonormal(product.withColumnsRenamed({f"y{j}": f"x{j}" for j in range(k)}), n, k)
     ritz = _gram(state.join(_product(a, state, n, k), "row"), "x", "y", k)
     return _cells(state, q.shape), np.linalg.eigvalsh((ritz + ritz.T) / 2)[::-1]
 
 
-def _combined(name: str, weights: np.ndarray) -> str:
-    return " + ".join(f"{name}{i} * {float(w)!r}D" for i, w in enumerate(weights) if w) or "0D"
-
-
 def _gram(records: DataFrame, left: str, right: str, k: int) -> np.ndarray:
     """The products of the columns left0, left1 and so on with right0, right1 and so on, summed over all records."""
     each = F.posexplode(F.array(*[f"{left}{i}" for i in range(k)])).alias("i", "u")

@@ -191,7 +191,7 @@ def take(x, indices, /, *, axis=None):
 
 def _reduction(name: str):
     def call(x, axis=None, keepdims=False):
-        return reductions.reduce(name, _stored(x), axis, keepdims)
+        return reductions.reduce(name, _stored(x), axis, keepdims, nan=isinstance(x, DenseFrame))
 
     call.__name__ = name
     return call
@@ -216,11 +216,11 @@ def std(x, axis=None, correction=0.0, keepdims=False):
 
 
 def cumulative_sum(x, axis=None):
-    return reductions.cumulative_sum(_stored(x), axis)
+    return reductions.cumulative_sum(x, axis)
 
 
 def cumulative_prod(x, axis=None):
-    return reductions.cumulative_prod(_stored(x), axis)
+    return reductions.cumulative_prod(x, axis)
 
 
 def diff(x, *, n=1, axis=-1):

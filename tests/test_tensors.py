@@ -1,14 +1,16 @@
 """Tensor operators against NumPy on small tensors with repeats, stored zeros, NaN and empty lines."""
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from gridweave import xp
 from gridweave.frame import DenseFrame, SparseFrame, dense
 from gridweave.functions import expr
 from gridweave.operators import elementwise, linalg, manipulation, reductions, searching
-from gridweave.plans import algorithms
-from gridweave.sources import creation
+from gridweave.plans import algorithms, qr
+from gridweave.sources import creation, matrix_market, tiles
 
 A = np.array([[1.0, 0, 2], [0, 3, 0]])
 
@@ -386,3 +388,259 @@ def test_namespace_as_numpy(spark):
     assert not xp.isnan(csr(spark, x)).toarray().any()
     parts = xp.__array_namespace_info__()["capabilities"]
     assert {"matmul", "vecdot"} <= set(parts["linalg"]) and {"sort", "unique_all"} <= set(parts["searching"]) and {"sum", "diff", "var"} <= set(parts["reductions"])
+
+
+# ---- iterations in depth
+
+@pytest.mark.parametrize(("rows", "columns", "block"), [(40, 3, 100), (200, 4, 7), (333, 5, 5), (64, 8, 8)])
+def test_orthonormal_is_numpys_up_to_signs(spark, monkeypatch, rows, columns, block):
+    monkeypatch.setattr(qr, "BRANCH", 3)
+    rng = np.random.default_rng(rows)
+    for spread in (0, 12):
+        x = rng.normal(size=(rows, columns)) * 10.0 ** np.linspace(0, -spread, columns)
+        records = spark.createDataFrame(pd.DataFrame(x, columns=[f"x{j}" for j in range(columns)]).assign(row=range(rows)))
+        got = qr.orthonormal(records, rows, columns, block).toPandas().sort_values("row")[[f"x{j}" for j in range(columns)]].to_numpy()
+        want, r = np.linalg.qr(x)
+        np.testing.assert_allclose(got, want * np.sign(np.diag(r)), atol=1e-10)
+        np.testing.assert_allclose(got.T @ got, np.eye(columns), atol=1e-12)
+
+
+def test_orthonormal_completes_dependent_columns(spark, monkeypatch):
+    monkeypatch.setattr(qr, "BRANCH", 2)
+    rng = np.random.default_rng(3)
+    x = np.outer(rng.normal(size=90), [1.0, 2.0, 0.0, -1.0])
+    records = spark.createDataFrame(pd.DataFrame(x, columns=[f"x{j}" for j in range(4)]).assign(row=range(90)))
+    got = qr.orthonormal(records, 90, 4, 10).toPandas().sort_values("row")[[f"x{j}" for j in range(4)]].to_numpy()
+    np.testing.assert_allclose(got.T @ got, np.eye(4), atol=1e-12)
+    np.testing.assert_allclose(np.abs(got[:, 0]), np.abs(x[:, 0]) / np.linalg.norm(x[:, 0]), atol=1e-12)
+    with pytest.raises(ValueError):
+        qr.orthonormal(records, 3, 4)
+
+
+def test_block_power_of_a_matrix_of_rank_one(spark):
+    u = np.array([1.0, 2.0, -1.0, 0.5])
+    a = csr(spark, np.outer(u, u))
+    q, values = algorithms.block_power(a, dense(spark, np.eye(4)[:, :2] + 0.1), 4)
+    np.testing.assert_allclose(values, [u @ u, 0.0], atol=1e-12)
+    found = q.toarray()
+    np.testing.assert_allclose(found.T @ found, np.eye(2), atol=1e-12)
+
+
+def test_conjugate_gradients_end_over_tables_and_partitions(spark, monkeypatch):
+    monkeypatch.setattr(algorithms, "PART_CELLS", 50)
+    rng = np.random.default_rng(8)
+    m = np.where(rng.random((60, 60)) < 0.05, rng.normal(size=(60, 60)), 0.0)
+    m = m + m.T
+    np.fill_diagonal(m, np.abs(m).sum(axis=1) + 0.1)
+    b = rng.normal(size=60)
+    for most in (1_000_000, 0):  # vectors sent to all tasks, and shuffled
+        monkeypatch.setattr(algorithms, "BROADCAST_CELLS", most)
+        x, rounds, residual = algorithms.cg_solve(csr(spark, m), dense(spark, b), 1e-10, 200)
+        assert residual <= 1e-10 and 5 < rounds < 100
+        np.testing.assert_allclose(m @ x.toarray(), b, atol=1e-8)
+
+
+# ---- stretched and filled tensors, dense input
+
+def dense_of(spark, x):
+    return dense(spark, np.asarray(x, dtype=float))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_broadcasting_makes_no_cells_before_they_are_needed(spark):
+    rng = np.random.default_rng(4)
+    x, y, z, w = rng.normal(size=(4, 5)), rng.normal(size=5), rng.normal(size=(4, 1)), rng.normal(size=(3, 1, 5))
+    got = xp.add(dense_of(spark, x), dense_of(spark, y))
+    assert "Generate" not in plan_of(got.df) and plan_of(got.df).count("Join") == 1
+    np.testing.assert_allclose(got.toarray(), x + y)
+    for a, b in ((x, z), (z, y), (w, x), (w, z), (x, np.array(2.5)), (np.array([[3.0]]), w)):
+        got = xp.multiply(dense_of(spark, a), dense_of(spark, b))
+        assert "Generate" not in plan_of(got.df)
+        np.testing.assert_allclose(got.toarray(), a * b)
+    stretched = xp.broadcast_to(dense_of(spark, y), (3, 4, 5))
+    np.testing.assert_allclose(stretched.toarray(), np.broadcast_to(y, (3, 4, 5)))
+    both = xp.subtract(xp.exp(stretched), xp.broadcast_to(dense_of(spark, z), (3, 4, 5)))
+    assert "Generate" not in plan_of(both.df) and both.shape == (4, 5) or both.shape == (3, 4, 5)
+    np.testing.assert_allclose(both.toarray(), np.broadcast_to(np.exp(y) - z, (3, 4, 5)))
+    assert xp.add(dense_of(spark, np.zeros((0, 3))), dense_of(spark, np.ones(3))).toarray().shape == (0, 3)
+    with pytest.raises(ValueError):
+        xp.add(dense_of(spark, x), dense_of(spark, z[:3]))
+
+
+def test_where_takes_numbers_and_shapes_that_broadcast(spark, pair):
+    a = pair[0]
+    x = dense_of(spark, a)
+    cond = xp.greater(x, 0.0)
+    np.testing.assert_array_equal(xp.where(cond, x, 0.0).toarray(), np.where(a > 0, a, 0.0))
+    np.testing.assert_array_equal(xp.where(cond, 1.0, -1.0).toarray(), np.where(a > 0, 1.0, -1.0))
+    row, col = np.arange(7.0), np.arange(5.0)[:, None]
+    np.testing.assert_array_equal(xp.where(cond, dense_of(spark, row), dense_of(spark, col)).toarray(), np.where(a > 0, row, col))
+    np.testing.assert_array_equal(xp.where(csr(spark, a), x, dense_of(spark, col)).toarray(), np.where(a != 0, a, col))
+
+
+def test_filled_tensors_hold_stored_cells_alone(spark, pair):
+    a, b = pair
+    with np.errstate(all="ignore"):
+        for name in ("exp", "cos", "log", "acosh", "log2", "isnan", "isfinite", "logical_not"):
+            got, want = getattr(xp, name)(csr(spark, a)), getattr(np, {"acosh": "arccosh"}.get(name, name))(a)
+            assert got.nnz == np.count_nonzero(a)
+            np.testing.assert_allclose(got.toarray(), want)
+    equal = xp.equal(csr(spark, a), 0.0)
+    assert equal.nnz == np.count_nonzero(a) and "Range" not in plan_of(equal.stored)
+    np.testing.assert_array_equal(equal.toarray(), a == 0)
+    np.testing.assert_array_equal(equal.df.count(), a.size)
+    less = xp.less(csr(spark, a), csr(spark, b))
+    assert less.nnz == np.count_nonzero((a != 0) | (b != 0))
+    np.testing.assert_array_equal(less.toarray(), a < b)
+    np.testing.assert_allclose(xp.add(xp.exp(csr(spark, a)), xp.cos(csr(spark, b))).toarray(), np.exp(a) + np.cos(b))
+    mixed = xp.multiply(xp.exp(csr(spark, a)), dense_of(spark, b))
+    assert "Range" not in plan_of(mixed.df)
+    np.testing.assert_allclose(mixed.toarray(), np.exp(a) * b)
+    np.testing.assert_allclose(xp.sum(xp.exp(csr(spark, a)), axis=1).toarray(), np.exp(a).sum(1))
+
+
+def test_dense_input_is_taken_as_numpy_takes_it(spark):
+    rng = np.random.default_rng(9)
+    x, y, w = rng.normal(size=(3, 4)), rng.normal(size=(3, 4)), rng.normal(size=(2, 3, 4))
+    dx, dy, dw = (dense_of(spark, v) for v in (x, y, w))
+    np.testing.assert_allclose(xp.vecdot(dx, dy).toarray(), (x * y).sum(-1))
+    np.testing.assert_allclose(xp.vecdot(dw, dy).toarray(), (w * y).sum(-1))
+    np.testing.assert_allclose(xp.vecdot(dw, dy, axis=-2).toarray(), (w * y).sum(-2))
+    np.testing.assert_allclose(xp.tensordot(dx, dy).toarray(), np.tensordot(x, y))
+    np.testing.assert_allclose(xp.tensordot(dw, dense_of(spark, x.T), axes=1).toarray(), np.tensordot(w, x.T, 1))
+    np.testing.assert_allclose(xp.tensordot(dw, dy, axes=([1, 2], [0, 1])).toarray(), np.tensordot(w, y, ([1, 2], [0, 1])))
+    np.testing.assert_allclose(xp.tensordot(dx, dense_of(spark, [1.0, 2.0]), axes=0).toarray(), np.tensordot(x, [1.0, 2.0], 0))
+    np.testing.assert_allclose(xp.matrix_transpose(dw).toarray(), np.swapaxes(w, -1, -2))
+    assert xp.astype(dx, np.int64).toarray().dtype == np.int64 and xp.astype(dx, bool).toarray().all()
+    np.testing.assert_array_equal(xp.astype(dx, np.int64).toarray(), x.astype(np.int64))
+    for k in (-1, 0, 2):
+        np.testing.assert_array_equal(xp.tril(dw, k=k).toarray(), np.tril(w, k))
+        np.testing.assert_array_equal(xp.triu(dx, k=k).toarray(), np.triu(x, k))
+    np.testing.assert_array_equal(xp.tile(dx, (2, 1, 3)).toarray(), np.tile(x, (2, 1, 3)))
+    np.testing.assert_array_equal(xp.concat([dx, dw], axis=None).toarray(), np.concatenate([x, w], axis=None))
+    np.testing.assert_array_equal(xp.reshape(dw, (-1, 6)).toarray(), w.reshape(-1, 6))
+    np.testing.assert_array_equal(xp.reshape(dw, (2, -1)).toarray(), w.reshape(2, -1))
+    np.testing.assert_array_equal(xp.nextafter(dx, dy).toarray(), np.nextafter(x, y))
+    np.testing.assert_array_equal(xp.nextafter(dx, 1.0).toarray(), np.nextafter(x, 1.0))
+    for axis in (0, 1, 2, -1):
+        np.testing.assert_allclose(xp.cumulative_sum(dw, axis=axis).toarray(), np.cumsum(w, axis))
+        np.testing.assert_allclose(xp.cumulative_prod(dw, axis=axis).toarray(), np.cumprod(w, axis))
+        np.testing.assert_allclose(xp.diff(dw, axis=axis).toarray(), np.diff(w, axis=axis))
+    hole = np.array([[1.0, np.nan, 3.0], [4.0, 5.0, 6.0]])
+    for axis in (None, 0, 1):
+        np.testing.assert_array_equal(xp.max(dense_of(spark, hole), axis=axis).toarray(), hole.max(axis))
+        np.testing.assert_array_equal(xp.min(dense_of(spark, hole), axis=axis).toarray(), hole.min(axis))
+    with pytest.raises(ValueError):
+        xp.reshape(dw, (-1, 7))
+
+
+@pytest.mark.parametrize("chunk", [3, 65_536])
+def test_running_sums_of_sparse_tensors_join_no_grid(spark, monkeypatch, chunk):
+    monkeypatch.setattr(reductions, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    a = np.where(rng.random((3, 8, 4)) < 0.4, rng.normal(size=(3, 8, 4)), 0.0)
+    a[0, :, 1], a[1] = rng.normal(size=8), 0
+    x = sparse(spark, a, "coond")
+    for axis in (0, 1, 2):
+        np.testing.assert_allclose(xp.cumulative_sum(x, axis=axis).toarray(), np.cumsum(a, axis), atol=1e-12)
+        got = xp.cumulative_prod(x, axis=axis)
+        assert "Range" not in plan_of(got.stored)
+        np.testing.assert_allclose(got.toarray(), np.cumprod(a, axis), atol=1e-12)
+    plan = plan_of(xp.cumulative_sum(x, axis=1).df)
+    assert "LeftOuter" not in plan and "Join" not in plan or chunk == 3
+
+
+@pytest.mark.parametrize("line", [2, 1_000_000])
+def test_sorting_of_long_lines_by_ranges(spark, monkeypatch, line):
+    monkeypatch.setattr(searching, "LONG_LINE", line)
+    rng = np.random.default_rng(6)
+    a = rng.integers(-3, 4, (4, 30)).astype(float)
+    a[1, ::7] = np.nan
+    x = dense_of(spark, a)
+    for axis in (0, 1):
+        np.testing.assert_array_equal(xp.sort(x, axis=axis).toarray(), np.sort(a, axis))
+        np.testing.assert_array_equal(xp.sort(x, axis=axis, descending=True).toarray(), np.flip(np.sort(a, axis), axis))
+        np.testing.assert_array_equal(xp.argsort(x, axis=axis).toarray(), np.argsort(a, axis, kind="stable"))
+    v = np.array([2.0, np.nan, -1.0, 2.0])
+    np.testing.assert_array_equal(xp.sort(dense_of(spark, v), descending=True).toarray(), [np.nan, 2, 2, -1])
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_products_by_blocks_of_columns_and_batches(spark, monkeypatch, sent, pair):
+    monkeypatch.setattr(linalg, "BROADCAST_CELLS", sent)
+    monkeypatch.setattr(linalg, "BLOCK_COLUMNS", 3)
+    monkeypatch.setattr(linalg, "HOT_CELLS", 2)
+    a, rng = pair[0], np.random.default_rng(2)
+    for shape in ((7, 1), (7, 2), (7, 8), (2, 7, 4), (2, 3, 7, 5), (7,)):
+        b = rng.normal(size=shape)
+        for fmt in ("csr", "csc", "coo"):
+            np.testing.assert_allclose((sparse(spark, a, fmt) @ dense_of(spark, b)).toarray(), a @ b, atol=1e-12)
+
+
+def test_a_hot_column_is_dealt_to_many_tasks(spark):
+    n = 20_000
+    cells = spark.range(2 * n).selectExpr("id % 20000 as row", "if(id < 20000, 5, id % 4000) as col", "cast(1 as double) as val")
+    right = spark.range(4000).selectExpr("id as _k", "cast(id as double) as _w")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        both = linalg.met(cells.withColumnRenamed("col", "_k"), right, "_k", sent=False, hot_cells=1_000)
+        sizes = [r["count"] for r in both.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 2 * n and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+    assert both.agg(F.sum("_w")).first()[0] == n * 5 + sum(i % 4000 for i in range(n, 2 * n))
+
+
+def test_tiles_are_blocks_of_rows_in_order(spark, tmp_path, pair):
+    a = pair[0]
+    for x in (csr(spark, a), dense_of(spark, a), xp.exp(csr(spark, a))):
+        want = np.exp(a) if isinstance(x, DenseFrame) and hasattr(x, "stored") else a
+        parts = list(x.tiles(15))
+        assert [first for first, _ in parts] == [0, 2, 4] and all(p.size <= 15 for _, p in parts)
+        np.testing.assert_allclose(np.concatenate([p for _, p in parts]), want)
+    cube = np.arange(24.0).reshape(4, 3, 2)
+    np.testing.assert_array_equal(np.concatenate([p for _, p in dense_of(spark, cube).tiles(1)]), cube)
+    rows = tiles.write(csr(spark, a), str(tmp_path / "tiles"), 15)
+    np.testing.assert_array_equal(np.concatenate([p for _, p in tiles.read(spark, str(tmp_path / "tiles"), a.shape, rows)]), a)
+
+
+def test_matrix_market_files(spark, tmp_path, pair):
+    a = pair[0]
+    folder = str(tmp_path / "whole")
+    matrix_market.write(csr(spark, a), folder)
+    for split in (7, 1 << 20):
+        back = matrix_market.read(spark, folder, "csr", split)
+        assert back.shape == a.shape
+        np.testing.assert_array_equal(back.toarray(), a)
+    head = "%%MatrixMarket matrix coordinate {} {}\n% a remark\n%\n{}\n"
+    cells = [(i + 1, j + 1, round(0.25 * (i - j) + i, 3)) for i in range(60) for j in range(i + 1) if (i * j) % 3 != 1]
+    low = np.zeros((60, 60))
+    for i, j, v in cells:
+        low[i - 1, j - 1] = v
+    off = np.tril(low, -1)
+    texts = {
+        ("real", "symmetric"): ("".join(f"{i} {j} {v}\n" for i, j, v in cells), low + off.T),
+        ("real", "skew-symmetric"): ("".join(f"{i} {j} {v}\n" for i, j, v in cells if i != j), off - off.T),
+        ("integer", "general"): ("\n".join(f"{i}   {j} {int(v)}" for i, j, v in cells) + "\n\n", np.trunc(low)),
+        ("pattern", "symmetric"): ("\r\n".join(f"{i} {j}" for i, j, _ in cells), None),
+    }
+    ones = np.zeros((60, 60))
+    for i, j, _ in cells:
+        ones[i - 1, j - 1] = ones[j - 1, i - 1] = 1
+    for (field, symmetry), (body, want) in texts.items():
+        path = tmp_path / f"{field}-{symmetry}.mtx"
+        path.write_text(head.format(field, symmetry, f"60 60 {len(cells)}") + body)
+        for split in (1, 50, 1 << 20) if field == "pattern" else (37, 1 << 20):
+            if split == 1:
+                continue
+            got = matrix_market.read(spark, str(path), split_bytes=split)
+            np.testing.assert_allclose(got.toarray(), ones if want is None else want)
+    with pytest.raises(ValueError):
+        (tmp_path / "array.mtx").write_text("%%MatrixMarket matrix array real general\n1 1\n1\n")
+        matrix_market.read_header(str(tmp_path / "array.mtx"))
+    empty = csr(spark, np.zeros((3, 4)))
+    matrix_market.write(empty, str(tmp_path / "empty"))
+    np.testing.assert_array_equal(matrix_market.read(spark, str(tmp_path / "empty")).toarray(), np.zeros((3, 4)))
