@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import batches_of, stored
+from gridweave.llm.common import batches_of, stored, worker_held
 from gridweave.llm.tokens import ByteEncoder, PieceEncoder
 
 #: Labels of a byte, and what ends with a byte where tokens of both sides end.
@@ -106,15 +106,9 @@ def unpacked_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(columns[0], dtype=np.uint32), columns[1]
 
 
-_HELD: dict[tuple[str, str], Aligner] = {}
-
-
 def aligner(path_a: str, path_b: str) -> Aligner:
     """The aligner of two files, kept for the next task of the same worker."""
-    if (path_a, path_b) not in _HELD:
-        _HELD.clear()
-        _HELD[path_a, path_b] = Aligner(path_a, path_b)
-    return _HELD[path_a, path_b]
+    return worker_held(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b))
 
 
 def aligned(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:

@@ -128,6 +128,17 @@ def small(df: DataFrame, most: int = MOST_SENT) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+_KEPT: dict = {}
+
+
+def worker_held(key, make):
+    """What make() gives, kept in this Python worker for its next task; what it kept before goes, so that a worker keeps one thing."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not use, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import batches_of, stored
+from gridweave.llm.common import batches_of, stored, worker_held
 
 #: Bytes of a text that stand outside terms become spaces, and A to Z small; all others stay.
 _OWN = {c: c + 32 for c in range(65, 91)} | {c: c for c in range(97, 123)} | {c: c for c in range(128, 256)}
@@ -100,15 +100,10 @@ def automata(terms: list[tuple[str, str, int]]) -> dict:
     return out
 
 
-_HELD_AUTOMATA: dict[int, dict] = {}
-
-
 def _automata_of(sent) -> dict:
     """The automata over the terms of a broadcast, made once in each worker process and kept for its next task."""
-    if sent.value[0] not in _HELD_AUTOMATA:
-        _HELD_AUTOMATA.clear()
-        _HELD_AUTOMATA[sent.value[0]] = automata(sent.value[1])
-    return _HELD_AUTOMATA[sent.value[0]]
+    name, terms = sent.value
+    return worker_held(("automata", name), lambda: automata(terms))
 
 
 def postings(docs: DataFrame, kept: DataFrame, pass_chars: int = PASS_CHARS) -> DataFrame:

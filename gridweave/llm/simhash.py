@@ -27,13 +27,13 @@ LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
 #: Filed rows that are compared at once, that a task files, and rows under one value from which it is cut into blocks.
 TASK_ROWS, FILED_ROWS, TILE_ROWS = 400_000, 4_000_000, 50_000
-#: Fingerprints filed, and pairs of whole texts compared, at a time.
-AT_ONCE, TEXTS_AT_ONCE = 1_024, 500
+#: Fingerprints filed at a time, filed rows that travel as one record, and pairs of whole texts compared at a time.
+AT_ONCE, RECORD_ROWS, TEXTS_AT_ONCE = 16_384, 512, 500
 #: Slots that values are dealt to by hash: a slot's values are cut into as many blocks as the largest of them needs.
 SLOTS = 1 << 20
 #: Rows under one value that are compared along with those of others, near pairs a row from which a value is crowded,
 #: and texts of one fingerprint that are compared pair by pair.
-FEW, CROWD, ALIKE = 256, 4, 8
+FEW, CROWD, ALIKE = 256, 1, 8
 #: Near copies: fingerprints of five-word shingles in LANES words of 64 bits, at most so many bits apart in the first word and in
 #: all of them, and shared shingles as a fraction. Texts that share four fifths differ by 10 and 48 bits on average.
 SHINGLE, LANES, DISTANCE, WHOLE_DISTANCE, SHARE = 5, 5, 20, 84, (4, 5)
@@ -180,6 +180,19 @@ def slot_of(keys: np.ndarray, slots: int) -> np.ndarray:
     return (mixed(keys) % np.uint64(slots)).astype(np.int64)
 
 
+def gathered(batches: Iterator[pd.DataFrame], words: list[str]) -> Iterator[list[np.ndarray]]:
+    """The words of fingerprints, AT_ONCE or more at a time, whatever the size of batches."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append([batch[w].to_numpy().view(np.uint64) for w in words])
+        rows += len(batch)
+        if rows >= AT_ONCE:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, rows = [], 0
+    if rows:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def hot_values(prints: DataFrame, plan: list[Table], words: list[str], tile_rows: int, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """(slots, blocks): the slots that hold keys with many rows, and into how many blocks their keys are cut.
 
@@ -352,28 +365,27 @@ def candidates(prints: DataFrame, distance: int, plan: list[Table], pairs: bool
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = np.ones(most_slots if len(hot_slots) else 0, np.int64)
         slots[hot_slots] = hot_blocks
-        for batch in batches:
-            for x in range(0, len(batch), AT_ONCE):
-                own_words = [batch[w].to_numpy()[x : x + AT_ONCE].view(np.uint64) for w in words]
-                fps = own_words[0]
-                for at, key in filed_under(own_words, plan):
-                    if not len(at):
-                        continue
-                    cut = slots[slot_of(key, most_slots)] if len(slots) else np.ones(len(key), np.int64)
-                    block = (mixed(fps)[at] >> np.uint64(20)).astype(np.int64) % cut
-                    step = np.arange(len(key)) % np.searchsorted(at, at[0], "right") if wide else np.zeros(len(key), np.int64)
-                    tile = np.zeros(len(key), np.uint64)
-                    if (cut > 1).any():
-                        times = np.repeat(np.arange(len(key)), cut)
-                        other = np.arange(len(times)) - np.repeat(np.cumsum(cut) - cut, cut)
-                        at, key, block, step = at[times], key[times], block[times], step[times]
-                        tile = ((np.minimum(block, other) << 28) | (np.maximum(block, other) << 1) | (block > other)).astype(np.uint64)
-                    bucket = (mixed(key, tile >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-                    order = np.lexsort((key, bucket))
-                    own = [c[order] for c in (key, tile | (step.astype(np.uint64) << np.uint64(56)), fps[at])]
-                    first = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
-                    ends = [*first[1:].tolist(), len(order)]
-                    yield pd.DataFrame({"bucket": bucket[order][first], "rows": [packed(*[c[a:b] for c in own]) for a, b in zip(first.tolist(), ends, strict=True)]})
+        for own_words in gathered(batches, words):
+            fps = own_words[0]
+            for at, key in filed_under(own_words, plan):
+                if not len(at):
+                    continue
+                cut = slots[slot_of(key, most_slots)] if len(slots) else np.ones(len(key), np.int64)
+                block = (mixed(fps)[at] >> np.uint64(20)).astype(np.int64) % cut
+                step = np.arange(len(key)) % np.searchsorted(at, at[0], "right") if wide else np.zeros(len(key), np.int64)
+                tile = np.zeros(len(key), np.uint64)
+                if (cut > 1).any():
+                    times = np.repeat(np.arange(len(key)), cut)
+                    other = np.arange(len(times)) - np.repeat(np.cumsum(cut) - cut, cut)
+                    at, key, block, step = at[times], key[times], block[times], step[times]
+                    tile = ((np.minimum(block, other) << 28) | (np.maximum(block, other) << 1) | (block > other)).astype(np.uint64)
+                bucket = (mixed(key, tile >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((key, bucket))
+                own, bucket = [c[order] for c in (key, tile | (step.astype(np.uint64) << np.uint64(56)), fps[at])], bucket[order]
+                place = np.arange(len(order)) - np.maximum.accumulate(np.where(np.r_[True, bucket[1:] != bucket[:-1]], np.arange(len(order)), 0))
+                first = np.flatnonzero(place % RECORD_ROWS == 0)  # where a bucket begins, or has filled a record
+                ends = [*first[1:].tolist(), len(order)]
+                yield pd.DataFrame({"bucket": bucket[first], "rows": [packed(*[c[a:b] for c in own]) for a, b in zip(first.tolist(), ends, strict=True)]})
 
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         own = np.concatenate([unpacked(x, 3) for x in rows["rows"]], axis=1)
