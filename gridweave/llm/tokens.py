@@ -7,8 +7,6 @@ import sys
 from array import array
 from itertools import islice
 
-from gridweave.llm.common import worker_held
-
 #: Entries of a cache generation, three times as many where capitals and spaces make more forms of a word; two are held.
 CACHE_WORDS = 200_000
 #: Characters of a word that a cache keeps: longer ones (encoded data, say) hardly come again.
@@ -141,9 +139,15 @@ class Encoder:
             return self.library(text)
 
 
+_HELD: dict[str, Encoder] = {}
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of a file, kept for the next task of the same worker."""
-    return worker_held(("encoder", path), lambda: Encoder(path))
+    if path not in _HELD:
+        _HELD.clear()
+        _HELD[path] = Encoder(path)
+    return _HELD[path]
 
 
 #: Fixed value: how byte-level BPE cuts texts into words.
