@@ -105,6 +105,11 @@ query("equal_filled_cells", f"SELECT r AS row, c AS col, v = 0 AS val FROM ({ADD
 query("less_of_two_filled", f"WITH {GRID}, b AS ({DOUBLED}) SELECT g.r AS row, g.c AS col, g.v < coalesce(b.v, 0) AS val FROM g LEFT JOIN b ON b.r = g.r AND b.c = g.c")(lambda s, d: xp.less(daily(s, d), folded(s, d, "csr")))
 query("filled_times_dense", f"WITH {GRID} SELECT r AS row, c AS col, {_val('exp(v / 100) * v')} FROM g")(lambda s, d: (lambda x: xp.multiply(xp.exp(elementwise.scalar("divide", x, 100.0)), x.todense()))(daily(s, d)))
 
+for _name, _sql in (("sum", "sum(exp(v / 100))"), ("max", "max(exp(v / 100))"), ("min", "min(exp(v / 100))"), ("mean", "avg(exp(v / 100))")):
+    query(f"{_name}_of_filled", f"WITH {GRID} SELECT r AS i0, {_val(_sql)} FROM g GROUP BY r")(lambda s, d, name=_name: getattr(xp, name)(xp.exp(elementwise.scalar("divide", daily(s, d), 100.0)), axis=1))
+query("all_of_filled", f"WITH {GRID} SELECT c AS i0, bool_and(v < 40) AS val FROM g GROUP BY c")(lambda s, d: xp.all(xp.less(daily(s, d, "csc"), 40.0), axis=0))
+query("any_of_filled", f"WITH {GRID} SELECT c AS i0, bool_or(v > 40) AS val FROM g GROUP BY c")(lambda s, d: xp.any(xp.greater(daily(s, d, "csc"), 40.0), axis=0))
+
 # ---- dense input
 
 query("vecdot_dense", f"WITH {GRID} SELECT r AS i0, {_val('sum(v * (c + 1))')} FROM g GROUP BY r")(lambda s, d: xp.vecdot(daily(s, d).todense(), xp.arange(1, DAYS + 1)))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from gridweave.frame import DenseFrame, FilledFrame, SparseFrame, coord_names, fill, grid, normal_axes
-from gridweave.functions.expr import binomials
+from gridweave.functions.expr import binomials, power
 
 
 def _partials(name: str) -> dict[str, Column]:
@@ -84,6 +84,41 @@ def reduce(name: str, a: SparseFrame, axis=None, keepdims: bool = False, correct
     return _kept_dense(done, a.ndim, axes, kept) if keepdims else done
 
 
+def reduce_filled(name: str, a: FilledFrame, axis=None, keepdims: bool = False) -> DenseFrame:
+    """sum, mean, prod, min, max, all or any over all cells of a filled tensor, from its stored cells and how many there are.
+
+    NaN is what min and max of a line with NaN are; all and any take it as true.
+    """
+    axes = normal_axes(axis, a.ndim)
+    kept = [k for k in range(a.ndim) if k not in axes]
+    cells, names, shape = math.prod(a.shape[k] for k in axes), [a.coords[k] for k in kept], tuple(a.shape[k] for k in kept)
+    v, other = F.col("val").cast("double"), F.lit(float(a.value))
+    sums = {
+        "n": F.count("*"), "s": F.sum(v), "p": F.product(v), "t": F.sum((v != 0).cast("long")), "x": F.max(F.isnan(v)),
+        "lo": F.min(F.when(~F.isnan(v), v)), "hi": F.max(F.when(~F.isnan(v), v)),
+    }
+
+    def value(n: Column, s: Column, p: Column, t: Column, x: Column, lo: Column, hi: Column) -> Column:
+        rest = F.lit(cells) - n
+        true = t + (rest if a.value else F.lit(0))
+        if name in ("sum", "mean"):
+            total = s + F.when(rest > 0, rest * other).otherwise(0.0)
+            return total if name == "sum" else total / F.lit(float(cells)) if cells else F.lit(0.0)
+        if name == "prod":
+            return p * F.when(rest > 0, power(other, rest.cast("double"))).otherwise(1.0)
+        if name in ("all", "any"):
+            return true >= cells if name == "all" else true > 0
+        own, pick = (lo, F.least) if name == "min" else (hi, F.greatest)
+        return F.when(x | ((rest > 0) & F.isnan(other)), math.nan).when(rest > 0, F.coalesce(pick(own, other), other)).otherwise(own)
+
+    none = [F.lit(0), F.lit(0.0), F.lit(1.0), F.lit(0), F.lit(False), F.lit(None).cast("double"), F.lit(None).cast("double")]
+    gathered = a.stored.groupBy(*names).agg(*[c.alias(k) for k, c in sums.items()])
+    own = value(*[F.coalesce(F.col(k), first) for k, first in zip(sums, none, strict=True)])
+    reduced = gathered.select(*names, own.alias("val"))
+    done = DenseFrame(reduced, ()) if not kept else fill(reduced, names, shape, a.stored.sparkSession, value(*none))
+    return _kept_dense(done, a.ndim, axes, kept) if keepdims else done
+
+
 def _default(name: str, cells: int) -> Column:
     """The reduction of a group without stored cells."""
     if name == "all":

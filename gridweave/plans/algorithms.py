@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from gridweave.frame import BROADCAST_CELLS, DenseFrame, SparseFrame
 from gridweave.plans import qr
-from gridweave.plans.ranges import checkpointed
+from gridweave.plans.ranges import Rounds, checkpointed
 
 #: Stored cells, or numbers of a state, in a partition.
 PART_CELLS = 1_000_000
@@ -35,41 +35,45 @@ def _held(a: SparseFrame, k: int):
         own.df.unpersist()
 
 
-def _observed(df: DataFrame, *sums) -> tuple[DataFrame, list[float]]:
-    """df as a table, and its sums, in one job: nothing is shuffled behind the sums, so each task's count once."""
+def _observed(rounds: Rounds, df: DataFrame, *sums) -> tuple[DataFrame, list[float]]:
+    """df as the table of a round, and its sums, in one job: nothing is shuffled behind the sums, so each task's count once."""
     seen = Observation()
-    out = checkpointed(df.observe(seen, *[F.sum(v).alias(f"s{k}") for k, v in enumerate(sums)]))
+    out = rounds.put(df.observe(seen, *[F.sum(v).alias(f"s{k}") for k, v in enumerate(sums)]))
     return out, [seen.get[f"s{k}"] or 0.0 for k in range(len(sums))]
 
 
-def cg_solve(a: SparseFrame, b: DenseFrame, tol: float = 1e-8, maxiter: int = 1000) -> tuple[DenseFrame, int, float]:
+def cg_solve(a: SparseFrame, b: DenseFrame, tol: float = 1e-8, maxiter: int = 1000, scaled: bool = False) -> tuple[DenseFrame, int, float]:
     """(x, rounds, residual) of A x = b for a symmetric positive definite A; stops when |r|/|b| is at most tol.
 
-    Both sums of a round are taken at once, over r and A r: directions and their products follow from those by recurrences.
+    All sums of a round are taken at once, over r and A r: directions and their products follow from those by recurrences. With scaled,
+    residuals are divided by the diagonal, which takes fewer rounds where its numbers differ.
     """
     with _held(a, 1) as (own, parts):
-        return _cg(own, parts, b, tol, maxiter)
-
-
-def _cg(a: SparseFrame, parts: int, b: DenseFrame, tol: float, maxiter: int) -> tuple[DenseFrame, int, float]:
-    zero = F.lit(0.0)
-    state = b.df.select(F.col("i0").alias("row"), zero.alias("x"), F.col("val").alias("x0"), zero.alias("p"), zero.alias("s"))
-    state, n, k, size, before, alpha = state.repartition(parts, "row"), b.shape[0], 0, None, 0.0, 1.0
-    while True:  # x0 is the residual, whose product with A is y0
-        product = _product(a, state.select("row", "x0"), n, 1)
-        both = state.join(product, "row", "left").withColumn("y0", F.coalesce("y0", zero))
-        both, (rr, ry) = _observed(both, F.col("x0") * F.col("x0"), F.col("x0") * F.col("y0"))
+        return _cg(own, parts, b, tol, maxiter, scaled)
+
+
+def _cg(a: SparseFrame, parts: int, b: DenseFrame, tol: float, maxiter: int, scaled: bool) -> tuple[DenseFrame, int, float]:
+    zero, n = F.lit(0.0), b.shape[0]
+    state = b.df.select(F.col("i0").alias("row"), zero.alias("x"), F.col("val").alias("r"), F.lit(1.0).alias("m"), zero.alias("p"), zero.alias("s"))
+    if scaled:
+        diagonal = a.df.where("row = col").groupBy("row").agg(F.sum("val").alias("d"))
+        state = state.join(diagonal, "row", "left").withColumn("m", F.when(F.col("d") > 0, 1 / F.col("d")).otherwise(1.0)).drop("d")
+    state, k, size, before, alpha = state.repartition(parts, "row"), 0, None, 0.0, 1.0
+    tables = Rounds(a.spark)
+    u, w = F.col("r") * F.col("m"), F.coalesce("y0", zero)  # the scaled residual, and its product with A
+    while True:
+        product = _product(a, state.select("row", u.alias("x0")), n, 1)
+        both, (rr, ru, wu) = _observed(tables, state.join(product, "row", "left"), F.col("r") * F.col("r"), F.col("r") * u, w * u)
         size = size or math.sqrt(rr) or 1.0
         if k >= maxiter or math.sqrt(rr) / size <= tol:
             break
-        beta = rr / before if k else 0.0
-        bottom = ry - beta * rr / alpha if k else ry
+        beta = ru / before if k else 0.0
+        bottom = wu - beta * ru / alpha if k else wu
         if bottom == 0.0:
             break
-        k, alpha, before = k + 1, rr / bottom, rr
-        p, s = F.col("x0") + beta * F.col("p"), F.col("y0") + beta * F.col("s")
-        moved = both.select("row", "x", "x0", p.alias("p"), s.alias("s"))
-        state = moved.select("row", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("x0") - alpha * F.col("s")).alias("x0"), "p", "s")
+        k, alpha, before = k + 1, ru / bottom, ru
+        moved = both.select("row", "x", "r", "m", (u + beta * F.col("p")).alias("p"), (w + beta * F.col("s")).alias("s"))
+        state = moved.select("row", (F.col("x") + alpha * F.col("p")).alias("x"), (F.col("r") - alpha * F.col("s")).alias("r"), "m", "p", "s")
     return DenseFrame(both.select(F.col("row").alias("i0"), F.col("x").alias("val")), b.shape), k, math.sqrt(rr) / size
 
 
@@ -86,13 +90,13 @@ def _pagerank(p: SparseFrame, parts: int, x0: DenseFrame, alpha: float, tol: flo
     k, n = x0.shape[1], x0.shape[0]
     columns = range(k)
     state = _records(x0, "s").repartition(parts, "row").select("*", *[F.col(f"s{j}").alias(f"x{j}") for j in columns])
-    rounds, change = 0, math.inf
+    rounds, change, tables = 0, math.inf, Rounds(p.spark)
     while rounds < maxiter and change > tol:
         rounds += 1
         product = _product(p, state, n, k)
         mixed = [(alpha * F.coalesce(f"y{j}", F.lit(0.0)) + (1 - alpha) * F.col(f"s{j}")).alias(f"m{j}") for j in columns]
         now = state.join(product, "row", "left").select("row", *[c + str(j) for j in columns for c in "sx"], *mixed)
-        now, totals = _observed(now, *[F.col(f"m{j}") for j in columns])
+        now, totals = _observed(tables, now, *[F.col(f"m{j}") for j in columns])
         totals = [t or 1.0 for t in totals]
         new = [F.col(f"m{j}") / F.lit(totals[j]) for j in columns]
         step = now.agg(*[F.sum((v - F.col(f"x{j}")) ** 2) for j, v in enumerate(new)], *[F.sum(v**2) for v in new]).first()

@@ -20,6 +20,23 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Rounds:
+    """Tables of the rounds of an iteration: when a round's is written, the one before it is removed."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, None
+
+    def put(self, df: DataFrame) -> DataFrame:
+        """df as a table, in place of the one before, which df may read."""
+        path, before = shared_folder(self.spark, "round"), self.path
+        df.write.parquet(path)
+        self.path = path
+        if before is not None:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(before)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share."""
     context = spark.sparkContext

@@ -12,7 +12,7 @@ import math
 import numpy as np
 from pyspark.sql import SparkSession
 
-from gridweave.frame import DenseFrame, SparseFrame, dense
+from gridweave.frame import DenseFrame, FilledFrame, SparseFrame, dense
 from gridweave.functions import expr
 from gridweave.operators import elementwise, linalg, manipulation, reductions, searching
 from gridweave.sources import creation
@@ -191,6 +191,8 @@ def take(x, indices, /, *, axis=None):
 
 def _reduction(name: str):
     def call(x, axis=None, keepdims=False):
+        if isinstance(x, FilledFrame):
+            return reductions.reduce_filled(name, x, axis, keepdims)
         return reductions.reduce(name, _stored(x), axis, keepdims, nan=isinstance(x, DenseFrame))
 
     call.__name__ = name

@@ -280,8 +280,7 @@ def test_functions_of_one_value(spark):
             got, want = getattr(xp, name)(d, dense(spark, w)).toarray(), getattr(np, own)(v, w)
             assert np.allclose(got, want, equal_nan=True), name
     assert np.array_equal(xp.nextafter(d, 9.0).toarray(), np.nextafter(v, 9.0), equal_nan=True)
-    with pytest.raises(NotImplementedError):
-        xp.exp(csr(spark, A))
+    assert np.allclose(xp.exp(csr(spark, A)).toarray(), np.exp(A))
 
 
 def test_creation(spark):
@@ -435,7 +434,7 @@ def test_conjugate_gradients_end_over_tables_and_partitions(spark, monkeypatch):
     b = rng.normal(size=60)
     for most in (1_000_000, 0):  # vectors sent to all tasks, and shuffled
         monkeypatch.setattr(algorithms, "BROADCAST_CELLS", most)
-        x, rounds, residual = algorithms.cg_solve(csr(spark, m), dense(spark, b), 1e-10, 200)
+        x, rounds, residual = algorithms.cg_solve(csr(spark, m), dense(spark, b), 1e-10, 200, scaled=not most)
         assert residual <= 1e-10 and 5 < rounds < 100
         np.testing.assert_allclose(m @ x.toarray(), b, atol=1e-8)
 
@@ -502,6 +501,23 @@ def test_filled_tensors_hold_stored_cells_alone(spark, pair):
     np.testing.assert_allclose(xp.sum(xp.exp(csr(spark, a)), axis=1).toarray(), np.exp(a).sum(1))
 
 
+def test_reductions_of_filled_tensors_count_missing_cells(spark, pair):
+    a = pair[0]
+    hole = np.where(a == a.max(), np.nan, a)
+    with np.errstate(all="ignore"):
+        for x, want in ((xp.exp(csr(spark, a)), np.exp(a)), (xp.cos(csr(spark, hole)), np.cos(hole)), (xp.log(csr(spark, a)), np.log(a))):
+            assert isinstance(x.nnz, int)
+            for name in ("sum", "mean", "prod", "min", "max"):
+                for axis in (None, 0, 1):
+                    got = getattr(xp, name)(x, axis=axis)
+                    np.testing.assert_allclose(got.toarray(), getattr(np, name)(want, axis=axis), err_msg=f"{name} {axis}")
+    for x, want in ((xp.equal(csr(spark, a), 0.0), a == 0), (xp.not_equal(csr(spark, a), 0.0), a != 0), (xp.less(csr(spark, a), 9.0), a < 9)):
+        for name in ("all", "any"):
+            for axis in (None, 0, 1):
+                np.testing.assert_array_equal(getattr(xp, name)(x, axis=axis, keepdims=True).toarray(), getattr(np, name)(want, axis=axis, keepdims=True))
+    assert "Range" not in plan_of(xp.sum(xp.exp(csr(spark, a))).df)
+
+
 def test_dense_input_is_taken_as_numpy_takes_it(spark):
     rng = np.random.default_rng(9)
     x, y, w = rng.normal(size=(3, 4)), rng.normal(size=(3, 4)), rng.normal(size=(2, 3, 4))
