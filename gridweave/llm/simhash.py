@@ -28,7 +28,7 @@ SEED = 42
 #: Filed rows that are compared at once, that a task files, and rows under one value from which it is cut into blocks.
 TASK_ROWS, FILED_ROWS, TILE_ROWS = 400_000, 4_000_000, 50_000
 #: Fingerprints filed at a time, filed rows that travel as one record, and pairs of whole texts compared at a time.
-AT_ONCE, RECORD_ROWS, TEXTS_AT_ONCE = 16_384, 512, 500
+AT_ONCE, RECORD_ROWS, TEXTS_AT_ONCE = 2_048, 512, 500
 #: Slots that values are dealt to by hash: a slot's values are cut into as many blocks as the largest of them needs.
 SLOTS = 1 << 20
 #: Rows under one value that are compared along with those of others, near pairs a row from which a value is crowded,
@@ -152,10 +152,11 @@ def around(own: np.ndarray, k: int, width: int, radius: int) -> Iterator[tuple[n
         yield np.repeat(at, len(masks)), (own[at][:, None] ^ masks[None, :]).ravel() | np.uint64(k << 32)
 
 
-def filed_under(words: list[np.ndarray], plan: list[Table]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, keys): where each fingerprint is filed, in all tables."""
+def filed_under(words: list[np.ndarray], plan: list[Table]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(table, positions, keys): where each fingerprint is filed, in all tables."""
     for k, table in enumerate(plan):
-        yield from around(table.values(words), k, table.width, table.radius)
+        for at, key in around(table.values(words), k, table.width, table.radius):
+            yield k, at, key
 
 
 def mixed(*parts: np.ndarray) -> np.ndarray:
@@ -359,15 +360,19 @@ def candidates(prints: DataFrame, distance: int, plan: list[Table], pairs: bool
     wide = len(words) > 1
     total, most_slots = prints.count(), SLOTS
     hot_slots, hot_blocks = hot_values(prints, plan, words, tile_rows, most_slots) if total > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    each = sum(len(ball(t.width, t.radius // 2)) + len(ball(t.width, (t.radius + 1) // 2)) for t in plan) / 2
-    buckets = max(1, math.ceil((total * each + tile_rows * int((hot_blocks * hot_blocks).sum())) / TASK_ROWS))
+    filings = [(len(ball(t.width, t.radius // 2)) + len(ball(t.width, (t.radius + 1) // 2))) / 2 for t in plan]
+    each = sum(filings)
+    tasks = (total * each + tile_rows * int((hot_blocks * hot_blocks).sum())) / TASK_ROWS
+    # each table has buckets of its own, so that what a task files at once in a table falls into few of them
+    buckets = [max(1, math.ceil(tasks * n / each)) for n in filings]
+    begins = [sum(buckets[:k]) for k in range(len(plan))]
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slots = np.ones(most_slots if len(hot_slots) else 0, np.int64)
         slots[hot_slots] = hot_blocks
         for own_words in gathered(batches, words):
             fps = own_words[0]
-            for at, key in filed_under(own_words, plan):
+            for k, at, key in filed_under(own_words, plan):
                 if not len(at):
                     continue
                 cut = slots[slot_of(key, most_slots)] if len(slots) else np.ones(len(key), np.int64)
@@ -379,7 +384,7 @@ def candidates(prints: DataFrame, distance: int, plan: list[Table], pairs: bool
                     other = np.arange(len(times)) - np.repeat(np.cumsum(cut) - cut, cut)
                     at, key, block, step = at[times], key[times], block[times], step[times]
                     tile = ((np.minimum(block, other) << 28) | (np.maximum(block, other) << 1) | (block > other)).astype(np.uint64)
-                bucket = (mixed(key, tile >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+                bucket = begins[k] + (mixed(key, tile >> np.uint64(1)) % np.uint64(buckets[k])).astype(np.int64)
                 order = np.lexsort((key, bucket))
                 own, bucket = [c[order] for c in (key, tile | (step.astype(np.uint64) << np.uint64(56)), fps[at])], bucket[order]
                 place = np.arange(len(order)) - np.maximum.accumulate(np.where(np.r_[True, bucket[1:] != bucket[:-1]], np.arange(len(order)), 0))

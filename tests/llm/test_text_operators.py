@@ -385,7 +385,7 @@ def test_near_fingerprints_meet(distance):
     for segments in (2, 3, 4) if distance < 8 else (3, 4):
         keys = [{}, {}]
         for held, prints in zip(keys, (base, other), strict=True):
-            for at, key in simhash.filed_under([prints], simhash.plan_segments(distance, segments)):
+            for _, at, key in simhash.filed_under([prints], simhash.plan_segments(distance, segments)):
                 for i, k in zip(at.tolist(), key.tolist(), strict=True):
                     held.setdefault(i, set()).add(k)
         assert all(keys[0][i] & keys[1][i] for i in range(40))
