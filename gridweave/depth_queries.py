@@ -112,9 +112,9 @@ query("any_of_filled", f"WITH {GRID} SELECT c AS i0, bool_or(v > 40) AS val FROM
 
 # ---- dense input
 
-query("vecdot_dense", f"WITH {GRID} SELECT r AS i0, {_val('sum(v * (c + 1))')} FROM g GROUP BY r")(lambda s, d: xp.vecdot(daily(s, d).todense(), xp.arange(1, DAYS + 1)))
-query("tensordot_dense", f"WITH {GRID} SELECT {_val('sum(v * v)')} FROM g")(lambda s, d: (lambda x: xp.tensordot(x, x))(daily(s, d).todense()))
-query("tensordot_dense_axes", f"WITH n AS ({N_SQL}) SELECT a.c AS row, b.c AS col, {_val('sum(a.v * b.v)')} FROM n a JOIN n b USING (r) GROUP BY ALL")(lambda s, d: (lambda x: xp.tensordot(x, x, axes=([0], [0])))(nations(s, d).todense()))
+query("vecdot_dense", f"WITH {GRID} SELECT r AS i0, {_val('sum(v * (c + 1)) / 1e4')} FROM g GROUP BY r")(lambda s, d: xp.divide(xp.vecdot(daily(s, d).todense(), xp.arange(1, DAYS + 1)), 1e4))
+query("tensordot_dense", f"WITH {GRID} SELECT {_val('sum(v * v) / 1e6')} FROM g")(lambda s, d: (lambda x: xp.divide(xp.tensordot(x, x), 1e6))(daily(s, d).todense()))
+query("tensordot_dense_axes", f"WITH n AS ({N_SQL}) SELECT a.c AS row, b.c AS col, {_val('sum(a.v * b.v) / 1e6')} FROM n a JOIN n b USING (r) GROUP BY ALL")(lambda s, d: (lambda x: xp.divide(xp.tensordot(x, x, axes=([0], [0])), 1e6))(nations(s, d).todense()))
 query("matrix_transpose_dense", f"WITH {GRID} SELECT c AS row, r AS col, {_val('v')} FROM g")(lambda s, d: xp.matrix_transpose(daily(s, d).todense()))
 query("astype_dense", f"WITH {GRID} SELECT r AS row, c AS col, CAST(trunc(v) AS BIGINT) AS val FROM g")(lambda s, d: xp.astype(daily(s, d).todense(), np.int64))
 query("tril_stack", f"WITH {GRID} SELECT CAST(k AS BIGINT) AS i0, r AS i1, c AS i2, {_val('CASE WHEN c - r <= -1 THEN (k + 1) * v ELSE 0 END')} FROM g CROSS JOIN range(2) t(k)")(
@@ -180,13 +180,13 @@ def _files(s, d):
     return matrix_market.read(s, folder, split_bytes=100_000)
 
 
-@query("tiles", f"WITH {GRID} SELECT CAST(r // 64 AS BIGINT) AS tile, count(*) AS cells, {_val('sum(v * (c + 1))').replace(' AS val', ' AS total')} FROM g GROUP BY 1")
+@query("tiles", f"WITH {GRID} SELECT CAST(r // 64 AS BIGINT) AS tile, count(*) AS cells, {_val('sum(v * (c + 1)) / 1e6').replace(' AS val', ' AS total')} FROM g GROUP BY 1")
 def _tiles(s, d):
     """The matrix in tiles of 64 rows: their cells, and a sum over them that depends on their places."""
     own, rows = tiles.tiled(daily(s, d), 64 * DAYS)
 
     @F.pandas_udf("double")
     def total(cells):
-        return cells.map(lambda x: float((np.frombuffer(x, "<f8").reshape(-1, DAYS) * np.arange(1, DAYS + 1)).sum()))
+        return cells.map(lambda x: float((np.frombuffer(x, "<f8").reshape(-1, DAYS) * np.arange(1, DAYS + 1)).sum()) / 1e6)
 
     return own.select("tile", (F.length("cells") / 8).cast("long").alias("cells"), total("cells").alias("total"))
