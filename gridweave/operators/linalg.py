@@ -50,7 +50,7 @@ def matmul(a, b) -> DenseFrame:
     inner = 0 if b.ndim == 1 else b.ndim - 2
     if b.ndim == 0 or b.shape[inner] != a.shape[1]:
         raise ValueError(f"inner dimensions differ: {a.shape} and {b.shape}")
-    if b.ndim > 1 and b.size // b.shape[inner] > 1 if b.shape[inner] else False:
+    if b.ndim > 1 and 0 < b.shape[inner] < b.size:
         return _matmul_blocks(a, b)
     sums, kept, rest = _contract(a, 1, b, inner)
     order = kept if b.ndim == 1 else [*rest[:-1], *kept, rest[-1]]
@@ -85,17 +85,17 @@ def _matmul_blocks(a: SparseFrame, b: DenseFrame) -> DenseFrame:
     The join then makes a record for each stored cell and block, not for each cell and column of b. Blocks of all
     matrices of a batch are numbered in one row.
     """
-    lead, n, k = b.shape[:-2], b.shape[-2], b.shape[-1]
-    blocks, wide = -(-k // BLOCK_COLUMNS), min(k, BLOCK_COLUMNS)
     from gridweave.operators.manipulation import linear_key
 
+    lead, k = b.shape[:-2], b.shape[-1]
+    blocks, wide = -(-k // BLOCK_COLUMNS), min(k, BLOCK_COLUMNS)
     place = linear_key([F.col(c) for c in b.coords[:-2]], lead) * blocks + F.floor(F.col(b.coords[-1]) / BLOCK_COLUMNS)
     rows = b.df.select(F.col(b.coords[-2]).alias("_k"), place.alias("_block"), (F.col(b.coords[-1]) % BLOCK_COLUMNS).alias("_at"), F.col("val").alias("_w"))
     records = rows.groupBy("_k", "_block").agg(*[F.sum(F.when(F.col("_at") == j, F.col("_w"))).alias(f"b{j}") for j in range(wide)])
     both = met(a.df.select("row", F.col("col").alias("_k"), "val"), records, "_k", b.size <= BROADCAST_CELLS)
     sums = both.groupBy("row", "_block").agg(*[F.sum(F.col("val") * F.col(f"b{j}")).alias(f"b{j}") for j in range(wide)])
-    every = a.spark.range(a.shape[0] * math.prod(lead) * blocks)
-    every = every.select((F.expr(f"id div {max(1, math.prod(lead) * blocks)}")).alias("row"), (F.col("id") % max(1, math.prod(lead) * blocks)).alias("_block"))
+    parts = math.prod(lead) * blocks
+    every = a.spark.range(a.shape[0] * parts).select(F.expr(f"id div {parts}").alias("row"), (F.col("id") % parts).alias("_block"))
     cells = every.join(sums, ["row", "_block"], "left").select("row", "_block", F.posexplode(F.array(*[F.coalesce(f"b{j}", F.lit(0.0)) for j in range(wide)])).alias("_at", "val"))
     col = (F.col("_block") % blocks) * BLOCK_COLUMNS + F.col("_at")
     cells = cells.where(col < k) if k % BLOCK_COLUMNS and blocks > 1 else cells
