@@ -139,6 +139,17 @@ def worker_held(key, make):
     return _KEPT[key]
 
 
+def spare() -> None:
+    """Gives back what earlier tasks of this Python worker have left: things kept, encoders, and memory that Arrow holds free."""
+    import pyarrow
+
+    from gridweave.llm import tokens
+
+    _KEPT.clear()
+    tokens.release()
+    pyarrow.default_memory_pool().release_unused()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that df does not use, whatever the case of its letters."""
     taken = {c.lower() for c in df.columns}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import batches_of, components, few_at_a_time, free_name, looked_up, small, smallest_linked, stored
+from gridweave.llm.common import batches_of, components, few_at_a_time, free_name, looked_up, small, smallest_linked, spare, stored
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -368,6 +368,7 @@ def candidates(prints: DataFrame, distance: int, plan: list[Table], pairs: bool
     begins = [sum(buckets[:k]) for k in range(len(plan))]
 
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spare()
         slots = np.ones(most_slots if len(hot_slots) else 0, np.int64)
         slots[hot_slots] = hot_blocks
         for own_words in gathered(batches, words):
@@ -467,6 +468,7 @@ def text_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, node, fp, w1 and so on, size) of each row with a doc_id: hash of its words, fingerprint, number of distinct shingles."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        spare()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):

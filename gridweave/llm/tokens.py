@@ -142,6 +142,11 @@ class Encoder:
 _HELD: dict[str, Encoder] = {}
 
 
+def release() -> None:
+    """Drops the encoder that this worker keeps."""
+    _HELD.clear()
+
+
 def encoder(path: str) -> Encoder:
     """The encoder of a file, kept for the next task of the same worker."""
     if path not in _HELD:
