@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -140,14 +143,52 @@ def worker_held(key, make):
 
 
 def spare() -> None:
-    """Gives back what earlier tasks of this Python worker have left: things kept, encoders, and memory that Arrow holds free."""
-    import pyarrow
-
+    """Gives back what tasks of this Python worker have left: things kept, encoders, and memory that is held free."""
     from gridweave.llm import tokens
 
     _KEPT.clear()
     tokens.release()
+    gc.collect()  # encoders refer to themselves
+    trim()
+
+
+def trim() -> None:
+    """Gives memory that Arrow and the C library hold free back to the system."""
+    import pyarrow
+
     pyarrow.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError, TypeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def sparing(read):
+    """A function over batches that leaves nothing in its Python worker when a task ends.
+
+    Spark keeps workers for later tasks, and after stages with two Python functions in a task more of them than run at once:
+    those that wait would hold what their last task left.
+    """
+
+    @functools.wraps(read)
+    def own(batches):
+        try:
+            yield from read(batches)
+        finally:
+            spare()
+
+    return own
+
+
+def trimmed(work):
+    """A function of one group that gives back what its worker holds free afterwards."""
+
+    @functools.wraps(work)
+    def own(rows):
+        try:
+            return work(rows)
+        finally:
+            trim()
+
+    return own
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import few_at_a_time, small, stored
+from gridweave.llm.common import few_at_a_time, small, sparing, stored
 
 Q = 12
 #: Characters of a window, and from one to the next: wherever WINDOW + STEP - 1 characters of a longer benchmark text
@@ -341,6 +341,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts, found = _texts(benchmark), None
     for index, several in _passes(texts):
 
+        @sparing
         def searched(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 rows = [(d, *hit) for d, text in zip(batch["doc_id"], batch["text"], strict=True) for hit in index.search(text)]
@@ -354,8 +355,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _free(index: Index):
     @F.pandas_udf("boolean")
-    def free(texts: pd.Series) -> pd.Series:
-        return pd.Series([not index.holds(t) for t in texts], dtype=bool)
+    @sparing
+    def free(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([not index.holds(t) for t in texts], dtype=bool)
 
     return free
 

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import few_at_a_time, stored
+from gridweave.llm.common import few_at_a_time, sparing, stored
 from gridweave.llm.tokens import encoder
 
 WINDOW = 4096
@@ -133,6 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True
     powers of two. A document is cut if it is longer than a window or tops one up.
     """
 
+    @sparing
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end, part = encoder(tokenizer).ids, end_id.to_bytes(4, "little"), TaskContext.get().partitionId()
         rows = _Rows(part << 32, part, keep_ids)
@@ -159,6 +160,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, keep_ids: bool = True
                     rows.put(pieces, left_over=not last)
                 yield from rows.take(0)
 
+        @sparing
         def safe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             held = [b for b in batches if len(b)]
             return merge(iter(held)) if held else iter(())

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import crc_fold, few_at_a_time, labelled_sample
+from gridweave.llm.common import crc_fold, few_at_a_time, labelled_sample, sparing
 
 #: Scores at the cut; documents below are rejected.
 CUT = 0.3
@@ -107,6 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     """Fits on at most max_labelled labelled rows outside the held-out fold; only their features reach the driver."""
     sample = labelled_sample(few_at_a_time(docs), labels, "quality", crc_fold("doc_id", folds) != held_out, max_labelled)
 
+    @sparing
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"x": list(matrix(batch["text"])), "label": batch["label"]})
@@ -122,6 +123,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "scor
     base = np.log(CUT / (1 - CUT))
 
     @F.pandas_udf("double")
+    @sparing
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             off = model["slope"] * (strengths(model, texts) - model["cut"])

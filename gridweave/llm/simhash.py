@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import batches_of, components, few_at_a_time, free_name, looked_up, small, smallest_linked, spare, stored
+from gridweave.llm.common import batches_of, components, few_at_a_time, free_name, looked_up, small, smallest_linked, sparing, stored, trimmed
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED = 42
@@ -85,8 +85,10 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprin
     """All rows and columns of docs, and the fingerprint of each text as a long; a column named `out` is replaced."""
 
     @F.pandas_udf("long")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
+    @sparing
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([fingerprint(t, shingle) for t in texts], dtype="int64")
 
     return few_at_a_time(docs).withColumn(out, of(F.col(text_col)))
 
@@ -204,6 +206,7 @@ def hot_values(prints: DataFrame, plan: list[Table], words: list[str], tile_rows
     each = F.array(*[F.struct(F.lit(k).alias("k"), table.column(words).alias("value")) for k, table in enumerate(plan)])
     values = prints.select(F.explode(each).alias("x")).groupBy("x.k", "x.value").agg(F.count("*").alias("n")).where(F.col("n") * most >= tile_rows)
 
+    @sparing
     def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for k, own in batch.groupby("k"):
@@ -367,8 +370,8 @@ def candidates(prints: DataFrame, distance: int, plan: list[Table], pairs: bool
     buckets = [max(1, math.ceil(tasks * n / each)) for n in filings]
     begins = [sum(buckets[:k]) for k in range(len(plan))]
 
+    @sparing
     def filed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spare()
         slots = np.ones(most_slots if len(hot_slots) else 0, np.int64)
         slots[hot_slots] = hot_blocks
         for own_words in gathered(batches, words):
@@ -393,6 +396,7 @@ def candidates(prints: DataFrame, distance: int, plan: list[Table], pairs: bool
                 ends = [*first[1:].tolist(), len(order)]
                 yield pd.DataFrame({"bucket": bucket[first], "rows": [packed(*[c[a:b] for c in own]) for a, b in zip(first.tolist(), ends, strict=True)]})
 
+    @trimmed
     def compared(rows: pd.DataFrame) -> pd.DataFrame:
         own = np.concatenate([unpacked(x, 3) for x in rows["rows"]], axis=1)
         step, own[1] = own[1] >> np.uint64(56), own[1] & np.uint64((1 << 56) - 1)
@@ -467,8 +471,8 @@ WORDS = ["fp", *(f"w{k}" for k in range(1, LANES))]
 def text_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, node, fp, w1 and so on, size) of each row with a doc_id: hash of its words, fingerprint, number of distinct shingles."""
 
+    @sparing
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        spare()
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -483,8 +487,10 @@ def text_prints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def _node():
     @F.pandas_udf("binary")
-    def node(texts: pd.Series) -> pd.Series:
-        return pd.Series([word_hash(words(t)) for t in texts])
+    @sparing
+    def node(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([word_hash(words(t)) for t in texts])
 
     return node
 
@@ -528,8 +534,10 @@ def _crowded_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, distan
     members = stored(members, "near-members")
 
     @F.pandas_udf("array<long>")
-    def shingle_set(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingles(words(t), shingle)).view(np.int64) for t in texts])
+    @sparing
+    def shingle_set(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingles(words(t), shingle)).view(np.int64) for t in texts])
 
     sizes = small(stored(members.groupBy("crowd").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "near-crowds"))
     with batches_of(docs.sparkSession, TEXTS_AT_ONCE):
@@ -540,20 +548,22 @@ def _crowded_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, distan
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
     )
-    return stored(tiles.groupBy("crowd", "low", "high").applyInPandas(lambda rows: tile_copies(rows, distance), "a binary, b binary"), "near-crowd-links")
+    return stored(tiles.groupBy("crowd", "low", "high").applyInPandas(trimmed(lambda rows: tile_copies(rows, distance)), "a binary, b binary"), "near-crowd-links")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) whose whole texts are similar."""
 
     @F.pandas_udf("boolean")
-    def alike(key: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        held, out = {}, []
-        for k, x, y in zip(key, a, b, strict=True):
-            if k not in held:  # pairs come by their second text
-                held = {k: np.unique(shingles(words(y), shingle))}
-            out.append(similar(np.unique(shingles(words(x), shingle)), held[k]))
-        return pd.Series(out, dtype=bool)
+    @sparing
+    def alike(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for key, a, b in batches:
+            held, out = {}, []
+            for k, x, y in zip(key, a, b, strict=True):
+                if k not in held:  # pairs come by their second text
+                    held = {k: np.unique(shingles(words(y), shingle))}
+                out.append(similar(np.unique(shingles(words(x), shingle)), held[k]))
+            yield pd.Series(out, dtype=bool)
 
     texts = _texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), nodes, docs)
     for side, other in (("a", "b"), ("b", "a")):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.llm.common import checkpointed, crc_fold, few_at_a_time, labelled_sample
+from gridweave.llm.common import checkpointed, crc_fold, few_at_a_time, labelled_sample, sparing
 
 OTHER, BREAK, NEGATION, REPORT, TARGET, THREAT, INSULT = range(7)
 DIRECTED, NEGATED, REPORTED, MENACE = 7, 8, 9, 10
@@ -162,6 +162,7 @@ def learn_lexicon(sample: DataFrame, min_contexts: int = 4, max_entries: int = 5
     has nearly all their toxic texts stays. At most max_entries reach the driver.
     """
 
+    @sparing
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = {0: Counter(), 1: Counter()}
@@ -216,6 +217,7 @@ def fit(sample: DataFrame) -> tuple[dict[str, float], float, float]:
     """Lexicon, slope and offset from (text, label) rows of a bounded sample."""
     lexicon = learn_lexicon(sample)
 
+    @sparing
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grammar = Grammar(lexicon)
         for batch in batches:
@@ -230,6 +232,7 @@ def score(docs: DataFrame, model: tuple[dict[str, float], float, float], text_co
     lexicon, slope, offset = model
 
     @F.pandas_udf("double")
+    @sparing
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         grammar = Grammar(lexicon)
         for texts in batches:

@@ -344,3 +344,29 @@ def test_pipeline_stages_take_any_rows(spark, tmp_path):
             want.remove(next(r for r in want if r["doc_id"] == 1))
         assert sorted(map(key, got.collect())) == sorted(map(key, want)), name
     check_packed(corpus_pipeline.pack(spark, docs.where("doc_id <> 1 and doc_id <> 5"), str(tmp_path)).collect(), {i: texts[i] for i in (0, 2, 3, 4)})
+
+
+# ---- what tasks leave in Python workers
+
+def test_workers_keep_no_encoder_after_packing(spark):
+    """Waiting workers that held one took an executor of the pipeline over its memory."""
+
+    def held(batches):
+        for batch in batches:
+            yield batch.assign(n=len(common._KEPT) + len(tokens._HELD))
+
+    docs = docs_of(spark, [f"word {i} of a text that is packed" for i in range(64)]).repartition(8)
+    assert packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).where("start = 0").count() == 64
+    assert spark.range(0, 64, 1, 8).mapInPandas(held, "id long, n long").agg(F.sum("n")).first()[0] == 0
+
+
+def test_sparing_gives_back_when_a_task_ends_early():
+    def read(batches):
+        for batch in batches:
+            yield common.worker_held("kept", lambda: batch)
+
+    rows = common.sparing(read)(iter([1, 2]))
+    assert next(rows) == 1 and common._KEPT
+    rows.close()
+    assert not common._KEPT
+    assert common.trimmed(lambda rows: rows + 1)(1) == 2
