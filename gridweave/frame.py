@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 FORMATS = ("csr", "csc", "coo", "coond")
 #: Cells of a dense operand that may be broadcast: 16 to 40 MB with its coordinates.
 BROADCAST_CELLS = 1_000_000
+#: Cells of an outer product that a task makes, the most tasks for one, and how many cells a row must make to be dealt out for it.
+TASK_CELLS, MOST_TASKS, SPREAD = 8_000_000, 20_000, 16
 
 
 def coord_names(ndim: int, fmt: str | None = None) -> list[str]:
@@ -81,11 +83,14 @@ class StretchedFrame(DenseFrame):
 
     @property
     def df(self) -> DataFrame:
-        out = self.base.df
-        for c, n, own in zip(self.coords, self.shape, self.base.shape, strict=True):
-            if n != own:
-                out = out.withColumn(c, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))) if n else out.limit(0)
-        return out.select(*self.coords, "val")
+        if not self.size:
+            return self.base.df.select(*self.coords, "val").limit(0)
+        repeated = {c: n for c, n, own in zip(self.coords, self.shape, self.base.shape, strict=True) if n != own}
+        if not repeated:
+            return self.base.df.select(*self.coords, "val")
+        times = math.prod(repeated.values())
+        places = grid(self.base.df.sparkSession, tuple(repeated.values()), list(repeated), tasks_for(self.size))
+        return beside(self.base.df.drop(*repeated), self.base.size, places, times, lies=True).select(*self.coords, "val")
 
 
 class FilledFrame(DenseFrame):
@@ -299,9 +304,33 @@ for _module, _names in {
         setattr(SparseFrame, _name, _method(_module, _name))
 
 
-def grid(spark: SparkSession, shape: tuple[int, ...], coords: list[str]) -> DataFrame:
-    """A row for every cell of a shape."""
+def tasks_for(cells: int) -> int:
+    """Into how many tasks the making of so many cells is dealt."""
+    return max(1, min(-(-cells // TASK_CELLS), MOST_TASKS))
+
+
+def dealt(df: DataFrame, rows: int, times: int) -> DataFrame:
+    """df (so many rows), in as many tasks as it takes where each row makes `times` cells; as it lies where that is little."""
+    tasks = min(rows, tasks_for(rows * times))
+    return df.repartition(tasks) if tasks > 1 and times >= SPREAD else df
+
+
+def beside(a: DataFrame, n: int, b: DataFrame, m: int, lies: bool = False) -> DataFrame:
+    """Each of the n rows of a beside each of the m rows of b.
+
+    One side is dealt to as many tasks as the product takes, and the other sent to all of them, so no cell of the product moves. The
+    first is b where a has too few rows. lies: b lies in its tasks already.
+    """
+    if m > max(n, BROADCAST_CELLS) or n < min(m, tasks_for(n * m)):
+        return (b if lies else dealt(b, m, n)).crossJoin(F.broadcast(a) if n <= BROADCAST_CELLS else a)
+    return dealt(a, n, m).crossJoin(F.broadcast(b) if m <= BROADCAST_CELLS else b)
+
+
+def grid(spark: SparkSession, shape: tuple[int, ...], coords: list[str], tasks: int | None = None) -> DataFrame:
+    """A row for every cell of a shape, in so many tasks at least."""
     cells, strides = spark.range(math.prod(shape)), [math.prod(shape[k + 1 :]) for k in range(len(shape))]
+    if tasks is not None and tasks > spark.sparkContext.defaultParallelism:
+        cells = spark.range(0, math.prod(shape), 1, tasks)
     parts = [(F.expr(f"id div {max(1, s)}") % F.lit(max(1, n))).alias(c) for c, s, n in zip(coords, strides, shape, strict=True)]
     return cells.select(*parts)
 

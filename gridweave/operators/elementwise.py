@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridweave.frame import BROADCAST_CELLS, DenseFrame, FilledFrame, SparseFrame, StretchedFrame, coord_names, fill
+from gridweave.frame import BROADCAST_CELLS, DenseFrame, FilledFrame, SparseFrame, StretchedFrame, beside, coord_names, dealt, fill
 from gridweave.functions import expr
 
 ZERO_DIVISION = {"divide": "division by zero", "floor_divide": "division by zero", "remainder": "integer modulo by zero"}
@@ -136,7 +138,7 @@ def aligned(*tensors) -> tuple[DataFrame, tuple[int, ...], tuple[int, ...]]:
 
     The tensor with the most real axes comes first, and each other one is joined on the axes that are real on both sides; small ones are
     sent to all tasks. So no cell is repeated before it is needed. Tensors that share no axis give an outer product, which
-    has as many cells. Of filled tensors the stored cells are joined, if some other tensor has all cells.
+    has as many cells and is dealt out by its size. Of filled tensors the stored cells are joined, if some other tensor has all cells.
     """
     shape: tuple[int, ...] = ()
     for t in tensors:
@@ -156,9 +158,14 @@ def aligned(*tensors) -> tuple[DataFrame, tuple[int, ...], tuple[int, ...]]:
         if out is None:
             out, known = df, axes
             continue
-        df = F.broadcast(df) if own.size <= BROADCAST_CELLS else df
         shared = [names[x] for x in axes if x in known]
-        out = out.join(df, shared, "left" if lazy else "inner") if shared else out.crossJoin(df)  # an outer product, or one cell beside all
+        rows = math.prod(shape[x] for x in known)
+        if not shared:  # an outer product, or one cell beside all
+            out = beside(out, rows, df, own.size)
+        elif own.size <= BROADCAST_CELLS:
+            out = dealt(out, rows, math.prod(shape[x] for x in axes if x not in known)).join(F.broadcast(df), shared, "left" if lazy else "inner")
+        else:
+            out = out.join(df, shared, "left" if lazy else "inner")
         if lazy:
             out = out.withColumn(f"v{k}", F.coalesce(f"v{k}", F.lit(own.value)))
         known = known + [x for x in axes if x not in known]

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.frame import DenseFrame, SparseFrame, dense, dense_table
+from gridweave.frame import DenseFrame, SparseFrame, StretchedFrame, dense, dense_table
 from gridweave.functions import expr
 from gridweave.operators import elementwise, linalg, manipulation, reductions, searching
 from gridweave.plans import algorithms
@@ -117,6 +117,8 @@ def query(name: str, sql: str | None):
     def add(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             out = fn(spark, sf_dir)
+            if isinstance(out, StretchedFrame):  # each cell is rounded once, not wherever it is repeated
+                return StretchedFrame(DenseFrame(rounded(out.base.df), out.base.shape), out.shape).df
             return rounded(out.df if isinstance(out, (SparseFrame, DenseFrame)) else out)
 
         run.__name__ = name
@@ -129,7 +131,7 @@ def query(name: str, sql: str | None):
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[(F.round(c, DIGITS) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(expr.rounded(F.col(c), DIGITS) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def _val(sql: str) -> str:

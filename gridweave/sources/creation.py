@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridweave.frame import DenseFrame, SparseFrame, coord_names, dense, fill, grid
+from gridweave.frame import DenseFrame, SparseFrame, StretchedFrame, coord_names, dense, fill, grid
 
 
 def _rows(spark: SparkSession, columns: list, names: list[str]) -> DataFrame:
@@ -116,16 +116,16 @@ def linspace(spark: SparkSession, start, stop, num: int) -> DenseFrame:
 
 
 def meshgrid(*vectors: DenseFrame, indexing: str = "xy") -> list[DenseFrame]:
-    """A tensor for each vector that holds its value along its own axis."""
+    """A tensor for each vector that holds its value along its own axis, and carries the others without making the cells."""
     order = list(range(len(vectors)))
     if indexing == "xy" and len(order) > 1:
         order[:2] = [1, 0]
     shape = tuple(vectors[k].shape[0] for k in order)
     names, out = coord_names(len(shape)), []
     for k, v in enumerate(vectors):
-        axis = names[order.index(k)]
-        cells = grid(v.df.sparkSession, shape, names)
-        out.append(DenseFrame(cells.join(v.df.select(F.col("i0").alias(axis), "val"), axis).select(*names, "val"), shape))
+        own = order.index(k)
+        base = v.df.select(*[F.col("i0").alias(c) if x == own else F.lit(0).cast("long").alias(c) for x, c in enumerate(names)], "val")
+        out.append(StretchedFrame(DenseFrame(base, tuple(n if x == own else 1 for x, n in enumerate(shape))), shape))
     return out
 
 

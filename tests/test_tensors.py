@@ -469,6 +469,40 @@ def test_broadcasting_makes_no_cells_before_they_are_needed(spark):
         xp.add(dense_of(spark, x), dense_of(spark, z[:3]))
 
 
+def in_tasks(df):
+    """The most rows that a task makes, and how many tasks make some."""
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(counts), len(counts)
+
+
+@pytest.fixture
+def small_tasks(monkeypatch):
+    monkeypatch.setattr("gridweave.frame.TASK_CELLS", 1_000, raising=False)
+
+
+def test_meshgrid_joins_no_grid(spark, small_tasks):
+    x, y, z = np.arange(40.0), np.arange(90.0) / 7, np.array([5.0, -1.0])
+    for indexing in ("xy", "ij"):
+        for vectors in ((x, y), (z, x, y), (x,), (x, np.zeros(0))):
+            got = xp.meshgrid(*[dense_of(spark, v) for v in vectors], indexing=indexing)
+            for one, want in zip(got, np.meshgrid(*vectors, indexing=indexing), strict=True):
+                assert "Join Inner" not in plan_of(one.df) and one.shape == want.shape
+                np.testing.assert_array_equal(one.toarray(), want)
+    most, tasks = in_tasks(xp.meshgrid(dense_of(spark, x), dense_of(spark, y))[1].df)
+    assert most <= 1_100 and tasks >= 4
+
+
+def test_results_are_rounded_as_the_sql_rounds_them(spark):
+    v = np.concatenate([np.arange(-3000.0, 3000) / 102400, np.arange(1.0, 2000) / 1e5, [1e300, -1e-300, 0.0, np.inf, -np.inf, np.nan, 2.0**53 + 2]])
+    scaled = v * 1e4
+    with np.errstate(all="ignore"):
+        whole = np.trunc(scaled)
+        want = (whole + np.where(np.abs(scaled - whole) >= 0.5, np.sign(scaled), 0.0)) / 1e4
+    want = np.where(np.isfinite(want), want, v)
+    rows = spark.createDataFrame([(float(x), float(y)) for x, y in zip(v, want, strict=True)], "v double, want double")
+    assert rows.where(~expr.rounded(F.col("v"), 4).eqNullSafe(F.col("want"))).count() == 0
+
+
 def test_where_takes_numbers_and_shapes_that_broadcast(spark, pair):
     a = pair[0]
     x = dense_of(spark, a)
