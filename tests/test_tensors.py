@@ -492,6 +492,14 @@ def test_meshgrid_joins_no_grid(spark, small_tasks):
     assert most <= 1_100 and tasks >= 4
 
 
+def test_a_sum_of_a_column_and_a_row_is_dealt_out(spark, small_tasks):
+    x, y = np.arange(120.0), np.arange(100.0) / 3
+    got = xp.add(xp.expand_dims(dense_of(spark, x), 1), dense_of(spark, y))
+    most, tasks = in_tasks(got.df)
+    assert most <= 1_200 and tasks >= 10
+    np.testing.assert_array_equal(got.toarray(), x[:, None] + y)
+
+
 def test_results_are_rounded_as_the_sql_rounds_them(spark):
     v = np.concatenate([np.arange(-3000.0, 3000) / 102400, np.arange(1.0, 2000) / 1e5, [1e300, -1e-300, 0.0, np.inf, -np.inf, np.nan, 2.0**53 + 2]])
     scaled = v * 1e4
