@@ -500,6 +500,15 @@ def test_a_sum_of_a_column_and_a_row_is_dealt_out(spark, small_tasks):
     np.testing.assert_array_equal(got.toarray(), x[:, None] + y)
 
 
+def test_stretched_cells_are_dealt_out(spark, small_tasks):
+    x, y, one = np.arange(120.0), np.arange(100.0) / 3, np.array([[7.0]])
+    for a, b in ((x[:, None], y), (one, np.zeros((120, 100))), (x[:3, None], np.zeros(4_000))):
+        got, want = xp.broadcast_arrays(dense_of(spark, a), dense_of(spark, b))[0], np.broadcast_arrays(a, b)[0]
+        most, tasks = in_tasks(got.df)
+        assert most <= 1_400 and tasks >= 9
+        np.testing.assert_array_equal(got.toarray(), want)
+
+
 def test_results_are_rounded_as_the_sql_rounds_them(spark):
     v = np.concatenate([np.arange(-3000.0, 3000) / 102400, np.arange(1.0, 2000) / 1e5, [1e300, -1e-300, 0.0, np.inf, -np.inf, np.nan, 2.0**53 + 2]])
     scaled = v * 1e4
