@@ -509,6 +509,15 @@ def test_stretched_cells_are_dealt_out(spark, small_tasks):
         np.testing.assert_array_equal(got.toarray(), want)
 
 
+def test_a_product_of_a_column_and_a_row_is_dealt_out(spark, small_tasks):
+    x, y = np.arange(120.0), np.arange(100.0) / 3
+    for a, b in ((x[:, None], y), (np.arange(1.0, 21).reshape(2, 10, 1), np.arange(3_000.0)), (np.arange(2_000.0).reshape(20, 100, 1), np.arange(3_000.0).reshape(100, 30))):
+        got = xp.multiply(dense_of(spark, a), dense_of(spark, b))
+        most, tasks = in_tasks(got.df)
+        assert most <= 2_000 and tasks >= 5
+        np.testing.assert_array_equal(got.toarray(), a * b)
+
+
 def test_results_are_rounded_as_the_sql_rounds_them(spark):
     v = np.concatenate([np.arange(-3000.0, 3000) / 102400, np.arange(1.0, 2000) / 1e5, [1e300, -1e-300, 0.0, np.inf, -np.inf, np.nan, 2.0**53 + 2]])
     scaled = v * 1e4
