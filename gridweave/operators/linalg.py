@@ -13,6 +13,8 @@ from gridweave.frame import BROADCAST_CELLS, DenseFrame, SparseFrame, coord_name
 BLOCK_COLUMNS = 64
 #: Stored cells of a contracted place from which it may be hot, and the tasks that it is dealt to.
 HOT_CELLS, SALTS = 100_000, 64
+#: Bytes of both operands that a task of a product by blocks joins. Each task may have a sum for every cell of the result, so the fewer the less is shuffled.
+TASK_BYTES, CELL_BYTES = 256 << 20, 40
 
 
 def _dense(b, what: str) -> DenseFrame:
@@ -58,12 +60,13 @@ def matmul(a, b) -> DenseFrame:
     return fill(sums, order, shape, a.spark)
 
 
-def met(cells: DataFrame, right: DataFrame, key: str, sent: bool, hot_cells: int | None = None) -> DataFrame:
+def met(cells: DataFrame, right: DataFrame, key: str, sent: bool, hot_cells: int | None = None, right_bytes: int | None = None) -> DataFrame:
     """cells joined with the rows of right on key; right is sent to all tasks, or both sides are shuffled.
 
     When shuffled, a key with many cells is dealt to SALTS tasks by its cells' other coordinates, and its rows of
     right go to each of them: a row of tiles, whose partial sums the caller's aggregation brings together. Hot keys are those
-    with over hot_cells cells and over one in 10,000 of all, so there are few.
+    with over hot_cells cells and over one in 10,000 of all, so there are few. With right_bytes, the size of right, tasks are as few as
+    TASK_BYTES and the cores allow.
     """
     if sent:
         return cells.join(F.broadcast(right), key)
@@ -76,34 +79,40 @@ def met(cells: DataFrame, right: DataFrame, key: str, sent: bool, hot_cells: int
     dealt = cells.join(hot, key, "left").withColumn("_salt", salt).drop("_hot")
     every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     spread = right.join(hot, key, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    if right_bytes is not None:
+        spark = cells.sparkSession
+        least = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tasks = max(1, least, -(-(CELL_BYTES * total + right_bytes) // TASK_BYTES))
+        here = F.spark_partition_id() >= 0  # always; the planner raises the number of tasks of an exchange that stands right below a join
+        dealt, spread = (side.repartition(tasks, key, "_salt").where(here) for side in (dealt, spread))
     return dealt.join(spread, [key, "_salt"]).drop("_salt")
 
 
 def _matmul_blocks(a: SparseFrame, b: DenseFrame) -> DenseFrame:
     """A matrix times a dense matrix or a batch of them: a block of BLOCK_COLUMNS columns of a row of b is one record, and each of them one sum.
 
-    The join then makes a record for each stored cell and block, not for each cell and column of b. Blocks of all
-    matrices of a batch are numbered in one row.
+    The join then makes a record for each stored cell and block, not for each cell and column of b. The columns of all
+    matrices of a batch are numbered in one row, and blocks go across matrices.
     """
     from gridweave.operators.manipulation import linear_key
 
     lead, k = b.shape[:-2], b.shape[-1]
-    blocks, wide = -(-k // BLOCK_COLUMNS), min(k, BLOCK_COLUMNS)
-    place = linear_key([F.col(c) for c in b.coords[:-2]], lead) * blocks + F.floor(F.col(b.coords[-1]) / BLOCK_COLUMNS)
-    rows = b.df.select(F.col(b.coords[-2]).alias("_k"), place.alias("_block"), (F.col(b.coords[-1]) % BLOCK_COLUMNS).alias("_at"), F.col("val").alias("_w"))
+    columns = math.prod(lead) * k
+    blocks, wide = -(-columns // BLOCK_COLUMNS), min(columns, BLOCK_COLUMNS)
+    place = linear_key([F.col(c) for c in (*b.coords[:-2], b.coords[-1])], (*lead, k))
+    rows = b.df.select(F.col(b.coords[-2]).alias("_k"), place.alias("_place"), F.col("val").alias("_w"))
+    rows = rows.select("_k", F.expr(f"_place div {BLOCK_COLUMNS}").alias("_block"), (F.col("_place") % BLOCK_COLUMNS).alias("_at"), "_w")
     records = rows.groupBy("_k", "_block").agg(*[F.sum(F.when(F.col("_at") == j, F.col("_w"))).alias(f"b{j}") for j in range(wide)])
-    both = met(a.df.select("row", F.col("col").alias("_k"), "val"), records, "_k", b.size <= BROADCAST_CELLS)
+    both = met(a.df.select("row", F.col("col").alias("_k"), "val"), records, "_k", b.size <= BROADCAST_CELLS, right_bytes=8 * b.size)
     sums = both.groupBy("row", "_block").agg(*[F.sum(F.col("val") * F.col(f"b{j}")).alias(f"b{j}") for j in range(wide)])
-    parts = math.prod(lead) * blocks
-    every = a.spark.range(a.shape[0] * parts).select(F.expr(f"id div {parts}").alias("row"), (F.col("id") % parts).alias("_block"))
+    every = a.spark.range(a.shape[0] * blocks).select(F.expr(f"id div {blocks}").alias("row"), (F.col("id") % blocks).alias("_block"))
     cells = every.join(sums, ["row", "_block"], "left").select("row", "_block", F.posexplode(F.array(*[F.coalesce(f"b{j}", F.lit(0.0)) for j in range(wide)])).alias("_at", "val"))
-    col = (F.col("_block") % blocks) * BLOCK_COLUMNS + F.col("_at")
-    cells = cells.where(col < k) if k % BLOCK_COLUMNS and blocks > 1 else cells
+    cells = cells.select("row", (F.col("_block") * BLOCK_COLUMNS + F.col("_at")).alias("_place"), "val")
+    cells = cells.where(F.col("_place") < columns) if columns % wide else cells
     shape = (*lead, a.shape[0], k)
-    names, batch = coord_names(len(shape)), F.expr(f"_block div {blocks}")
-    strides = [math.prod(lead[x + 1 :]) for x in range(len(lead))]
-    at = [(F.floor(batch / s) % d).cast("long") for s, d in zip(strides, lead, strict=True)]
-    return DenseFrame(cells.select(*[c.alias(name) for c, name in zip([*at, F.col("row"), col.cast("long")], names, strict=True)], "val"), shape)
+    strides = [k * math.prod(lead[x + 1 :]) for x in range(len(lead))]
+    at = [F.expr(f"(_place div {s}) % {d}L") for s, d in zip(strides, lead, strict=True)]
+    return DenseFrame(cells.select(*[c.alias(name) for c, name in zip([*at, F.col("row"), F.expr(f"_place % {k}L")], coord_names(len(shape)), strict=True)], "val"), shape)
 
 
 def _dense_product(a: DenseFrame, b: DenseFrame, axes_a: list[int], axes_b: list[int]) -> DenseFrame:

@@ -656,6 +656,23 @@ def test_products_by_blocks_of_columns_and_batches(spark, monkeypatch, sent, pai
             np.testing.assert_allclose((sparse(spark, a, fmt) @ dense_of(spark, b)).toarray(), a @ b, atol=1e-12)
 
 
+def test_a_batch_is_one_row_of_blocks_joined_in_few_tasks(spark, monkeypatch, pair):
+    monkeypatch.setattr(linalg, "BROADCAST_CELLS", 0)
+    a, rng = pair[0], np.random.default_rng(12)
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        for shape in ((8, 7, 16), (3, 2, 7, 11), (7, 64), (7, 65), (2, 7, 1)):
+            b = rng.normal(size=shape)
+            got = csr(spark, a) @ dense_of(spark, b)
+            blocks = -(-b.size // 7 // 64)
+            plan = got.df._jdf.queryExecution().executedPlan().toString()
+            assert f"Range (0, {5 * blocks}, " in plan and plan.count(f", {spark.sparkContext.defaultParallelism}), REPARTITION_BY_NUM") == 2
+            np.testing.assert_allclose(got.toarray(), a @ b, atol=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_a_hot_column_is_dealt_to_many_tasks(spark):
     n = 20_000
     cells = spark.range(2 * n).selectExpr("id % 20000 as row", "if(id < 20000, 5, id % 4000) as col", "cast(1 as double) as val")
