@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridweave import xp
 from gridweave.frame import DenseFrame, SparseFrame, dense, dense_table
 from gridweave.operators import elementwise, linalg, manipulation, reductions, searching
-from gridweave.queries import E_SQL, FLOOR, VALUES, _count, _table, _val, balances, events, query
+from gridweave.queries import E_SQL, FLOOR, VALUES, _count, _table, _val, balances, entries, events, query
 
 DAYS = 155
 SHIFT = 25.0371234
@@ -23,7 +23,10 @@ def daily(s, d, fmt: str = "csr") -> SparseFrame:
     out = SparseFrame(cells, (own.shape[0], DAYS), "coo")
     if fmt == "coond":
         return SparseFrame(cells.withColumnsRenamed({"row": "i0", "col": "i1"}), out.shape, "coond")
-    return out if fmt == "coo" else manipulation._format(out, fmt)
+    if fmt == "coo":
+        return out
+    listed = entries(s, d).select(F.col("i0").cast("long").alias("row"), (F.col("i1") * 31 + F.col("i2")).cast("long").alias("col"), (F.col("value") - F.lit(SHIFT)).alias("val"), "event_id")
+    return manipulation._format(out.like(listed).coalesce("event_id"), fmt)  # ranks tell sums apart by their last digits
 
 
 def elementwise_shift(a: SparseFrame) -> SparseFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FORMATS = ("csr", "csc", "coo", "coond")
@@ -189,10 +189,18 @@ class SparseFrame:
 
     # ---- forms
 
-    def coalesce(self) -> SparseFrame:
-        """Repeated cells added up; zero sums stay stored."""
+    def coalesce(self, order: str | None = None) -> SparseFrame:
+        """Repeated cells added up; zero sums stay stored.
+
+        order: a column beside the values, in whose order each cell's are added, one after another. Without it the last digits of a
+        sum of three values and more depend on how the rows are dealt out, and so does the order of sums that are nearly equal.
+        """
         if self.coalesced:
             return self
+        if order is not None:
+            line = Window.partitionBy(*self.coords).orderBy(order, "val")
+            so_far = self.df.select(*self.coords, F.sum("val").over(line.rowsBetween(Window.unboundedPreceding, 0)).alias("val"), F.lead(F.lit(False), 1, True).over(line).alias("_last"))
+            return self.like(so_far.where("_last").drop("_last"), coalesced=True)
         return self.like(self.df.groupBy(*self.coords).agg(F.sum("val").alias("val")), coalesced=True)
 
     def map_values(self, fn) -> SparseFrame:

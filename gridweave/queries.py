@@ -74,10 +74,14 @@ def nations(spark, sf_dir, fmt="csr") -> SparseFrame:
 
 def events(spark, sf_dir) -> SparseFrame:
     """Users by event types by days: values, cells repeat."""
-    kind = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) - 1
-    own = _table(spark, sf_dir, "events").select(F.col("user_id").alias("i0"), kind.alias("i1"), (F.dayofmonth("ts") - 1).alias("i2"), "value")
     users = (_table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0] or 0) + 1
-    return SparseFrame.from_triples(own, (users, len(EVENT_TYPES), 31), ["i0", "i1", "i2"], "value", "coond")
+    return SparseFrame.from_triples(entries(spark, sf_dir), (users, len(EVENT_TYPES), 31), ["i0", "i1", "i2"], "value", "coond")
+
+
+def entries(spark, sf_dir) -> DataFrame:
+    """The events' users, types, days and values, with their ids, in whose order the table lists them."""
+    kind = F.array_position(F.array(*map(F.lit, EVENT_TYPES)), F.col("event_type")) - 1
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("i0"), kind.alias("i1"), (F.dayofmonth("ts") - 1).alias("i2"), "value", "event_id")
 
 
 def prices(spark, sf_dir) -> DenseFrame:

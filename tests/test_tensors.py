@@ -518,6 +518,21 @@ def test_a_product_of_a_column_and_a_row_is_dealt_out(spark, small_tasks):
         np.testing.assert_array_equal(got.toarray(), a * b)
 
 
+def test_equal_sums_rank_by_place_however_their_rows_are_dealt_out(spark, tmp_path):
+    from gridweave.format_queries import SHIFT
+    from gridweave.queries import QUERIES
+
+    pick = np.random.default_rng(1)
+    triple = next(x for x in (pick.integers(1, 9_999, 3) / 100 for _ in range(1_000)) if ((y := x - SHIFT)[0] + y[1]) + y[2] > y[0] + (y[1] + y[2]))
+    rows = [(3 * user + n, user, float(v)) for user in (0, 1) for n, v in enumerate(triple)]
+    split = [[r for r in rows if r[0] in (0, 1, 3)], [r for r in rows if r[0] in (2, 4, 5)]]
+    for part in split:
+        df = spark.createDataFrame(part, "event_id long, user_id long, value double").selectExpr("event_id", "timestamp'2024-01-01 00:00:00' as ts", "user_id", "'click' as event_type", "value")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    got = QUERIES["argsort_missing"](spark, str(tmp_path)).where("col = 0").orderBy("row")
+    assert [r["val"] for r in got.collect()] == [0, 1]
+
+
 def test_results_are_rounded_as_the_sql_rounds_them(spark):
     v = np.concatenate([np.arange(-3000.0, 3000) / 102400, np.arange(1.0, 2000) / 1e5, [1e300, -1e-300, 0.0, np.inf, -np.inf, np.nan, 2.0**53 + 2]])
     scaled = v * 1e4
